@@ -10,6 +10,7 @@ from clearbrook.llm.chat import OP4_SQL, op4_chat_formatting
 from clearbrook.llm.decontaminate import OP5_SQL, op5_decontamination
 from clearbrook.llm.langid import op3_language_id
 from clearbrook.llm.pieces import op6_sentencepiece
+from clearbrook.llm.pii import op9_pii
 from clearbrook.llm.quality import OP7_SQL, op7_quality_rules
 from clearbrook.llm.sharding import op1_sharding
 from clearbrook.llm.simhash import op2_simhash
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
 
