@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic regression over words and word beginnings. Every labelled text that names a group is also read with
+A logistic regression over words and over word beginnings that occur once, twice or four times at least. Every labelled text that names a group is also read with
 the names swapped within their kind, and the loss adds the squared change of the score: what only tells groups
 apart gets no weight, so that neutral mentions are no reason for rejection.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 30_000
 #: Features kept: seen in MIN_ROWS fitted texts or more, those that tell the classes apart best.
-FEATURES, MIN_ROWS = 4_000, 8
-STARTS = (4, 5, 6, 7)
+FEATURES, MIN_ROWS = 1_000, 8
+STARTS, TIMES = (4, 5, 6, 7), (1, 2, 4)
 REJECT = 0.7
 #: Names of groups by kind; a name is swapped for the next one of its list.
 IDENTITY_TERMS = [
@@ -43,12 +44,18 @@ def swaps(terms: list[list[str]]) -> dict[str, str]:
     return {a: b for kind in terms for a, b in zip(kind, kind[1:] + kind[:1], strict=True)}
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *[f"^{word[:n]}" for n in STARTS if len(word) > n]]
+def parts_of(word: str) -> list[str]:
+    """A word and its beginnings, which are marked with ``^``."""
+    return [word, *[f"^{word[:n]}" for n in STARTS if len(word) >= n]]
 
 
-def text_features(words: set[str]) -> set[str]:
-    return {f for w in words for f in features_of(w)}
+def text_features(words: Counter) -> set[str]:
+    """Words of a text, and beginnings with the times (of TIMES) that they occur at least."""
+    starts: Counter = Counter()
+    for w, k in words.items():
+        for s in parts_of(w)[1:]:
+            starts[s] += k
+    return {*words, *[f"{s}|{t}" for s, k in starts.items() for t in TIMES if k >= t]}
 
 
 @dataclass
@@ -56,17 +63,23 @@ class ToxicityModel:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        #: Beginnings that some feature counts, under the mark of the lowest count.
+        self.parts = {f"{f.rpartition('|')[0]}|{TIMES[0]}" for f in self.weights if f[0] == "^"}
+
     def score(self, text: str | None, memory: dict[str, tuple[str, ...]]) -> float:
-        """Probability of label 1. A text without known words gets that of the bias."""
-        used: set[str] = set()
-        for w in set(WORD.findall(text.lower())) if text else ():
+        """Probability of label 1. A text without known parts gets that of the bias."""
+        found: Counter = Counter()
+        for w, k in Counter(WORD.findall(text.lower())).items() if text else ():
             known = memory.get(w)
             if known is None:
                 if len(memory) >= 200_000:
                     memory.clear()
-                known = memory[w] = tuple(f for f in features_of(w) if f in self.weights)
-            used.update(known)
-        z = self.bias + sum(self.weights[f] for f in sorted(used))
+                known = memory[w] = tuple(p for p in parts_of(w) if p in self.weights or f"{p}|{TIMES[0]}" in self.parts)
+            for p in known:
+                found[p] += k
+        used = [f for p, k in found.items() for f in ([f"{p}|{t}" for t in TIMES if k >= t] if p[0] == "^" else [p])]
+        z = self.bias + math.fsum(self.weights.get(f, 0.0) for f in used)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -76,7 +89,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(rows)
 
 
-def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: float = 1.0, keep: int = FEATURES, min_rows: int = MIN_ROWS, ridge: float = 2e-4, steps: int = 300) -> ToxicityModel:
+def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: float = 1.0, keep: int = FEATURES, min_rows: int = MIN_ROWS, ridge: float = 1e-3, steps: int = 300) -> ToxicityModel:
     """Fit on ``labelled`` (text, toxic), a bounded set. ``strength`` weighs the squared change of the score when group names are swapped. With one class only the model has that class's bias."""
     swap = swaps(IDENTITY_TERMS if terms is None else terms)
 
@@ -84,10 +97,12 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
         for batch in batches:
             own, other = [], []
             for t in batch.column(0):
-                words = set(WORD.findall(t.as_py().lower()))
+                words = Counter(WORD.findall(t.as_py().lower()))
                 own.append(sorted(text_features(words)))
-                named = words & swap.keys()
-                other.append(sorted(text_features({swap.get(w, w) for w in words})) if named else None)
+                swapped: Counter = Counter()
+                for w, k in words.items():
+                    swapped[swap.get(w, w)] += k
+                other.append(sorted(text_features(swapped)) if words.keys() & swap.keys() else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.string())), pa.array(other, pa.list_(pa.string()))], ["toxic", "own", "swapped"])
 
     read = staged(labelled.select("text", "toxic").mapInArrow(run, "toxic int, own array<string>, swapped array<string>"), "toxicity-fit")
