@@ -25,6 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 FIT_ROWS = 30_000
 #: Features kept: seen in MIN_ROWS fitted texts or more, those that tell the classes apart best.
 FEATURES, MIN_ROWS = 1_000, 8
+#: Texts whose features a worker counts at once.
+CHUNK = 100
 STARTS, TIMES = (4, 5, 6, 7), (1, 2, 4)
 REJECT = 0.7
 #: Names of groups by kind; a name is swapped for the next one of its list.
@@ -93,39 +95,47 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
     """Fit on ``labelled`` (text, toxic), a bounded set. ``strength`` weighs the squared change of the score when group names are swapped. With one class only the model has that class's bias."""
     swap = swaps(IDENTITY_TERMS if terms is None else terms)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(f, p, k): texts with a feature, toxic ones and all, summed over a few texts at a time."""
         for batch in batches:
-            own, other = [], []
-            for t in batch.column(0):
-                words = Counter(WORD.findall(t.as_py().lower()))
-                own.append(sorted(text_features(words)))
-                swapped: Counter = Counter()
-                for w, k in words.items():
-                    swapped[swap.get(w, w)] += k
-                other.append(sorted(text_features(swapped)) if words.keys() & swap.keys() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.string())), pa.array(other, pa.list_(pa.string()))], ["toxic", "own", "swapped"])
-
-    read = staged(labelled.select("text", "toxic").mapInArrow(run, "toxic int, own array<string>, swapped array<string>"), "toxicity-fit")
+            for at in range(0, batch.num_rows, CHUNK):
+                part, p, k = batch.slice(at, CHUNK), Counter(), Counter()
+                for t, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    found = text_features(Counter(WORD.findall(t.as_py().lower())))
+                    k.update(found)
+                    if toxic:
+                        p.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.string()), pa.array([p[f] for f in k], pa.int64()), pa.array(list(k.values()), pa.int64())], ["f", "p", "k"])
+
+    read = staged(labelled.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-fit")
     n = {r["toxic"]: r["count"] for r in read.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return ToxicityModel({}, math.log((pos + 0.5) / (neg + 0.5)))
-    seen = read.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.count("*").alias("k")).where(F.col("k") >= min_rows)
-    p0, k, rate = F.col("p"), F.col("k"), pos / (pos + neg)
-    gap = (p0 - k * rate) / F.sqrt(k * rate * (1 - rate) + 1)
+    seen = read.mapInArrow(count, "f string, p long, k long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("k").alias("k")).where(F.col("k") >= min_rows)
+    k, rate = F.col("k"), pos / (pos + neg)
+    gap = (F.col("p") - k * rate) / F.sqrt(k * rate * (1 - rate) + 1)
     features = [r["f"] for r in seen.orderBy(F.desc(F.abs(gap)), "f").limit(keep).select("f").collect()]
     at = {f: i for i, f in enumerate(features)}
-    held = F.broadcast(read.sparkSession.createDataFrame([(f, i) for f, i in at.items()], "f string, i int")) if at else None
-    if held is None:
-        return ToxicityModel({}, math.log((pos + 0.5) / (neg + 0.5)))
-    numbered = read.withColumn("r", F.monotonically_increasing_id())
-    numbered = staged(numbered, "toxicity-rows")
-    x = numbered.select("r", F.explode("own").alias("f")).join(held, "f").groupBy("r").agg(F.sort_array(F.collect_list("i")).alias("x"))
-    s = numbered.where("swapped is not null").select("r", F.explode("swapped").alias("f")).join(held, "f").groupBy("r").agg(F.sort_array(F.collect_list("i")).alias("s"))
-    rows = numbered.select("r", "toxic", F.col("swapped").isNotNull().alias("named")).join(x, "r", "left").join(s, "r", "left").orderBy("r").collect()
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    own, other = _sparse([r["x"] or [] for r in rows]), _sparse([r["s"] or [] for r in rows])
-    named = np.array([r["named"] for r in rows])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The kept features of each text and, if it names a group, of the text with the names swapped."""
+        for batch in batches:
+            own, other = [], []
+            for t in batch.column(0):
+                words = Counter(WORD.findall(t.as_py().lower()))
+                own.append(sorted(at[f] for f in text_features(words) if f in at))
+                swapped: Counter = Counter()
+                if words.keys() & swap.keys():
+                    for w, n in words.items():
+                        swapped[swap.get(w, w)] += n
+                other.append(sorted(at[f] for f in text_features(swapped) if f in at) if swapped else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "x", "s"])
+
+    rows = sorted((r["toxic"], r["x"], r["s"] is not None, r["s"] or []) for r in read.mapInArrow(number, "toxic int, x array<int>, s array<int>").collect())
+    y = np.array([r[0] for r in rows], dtype=float)
+    own, other = _sparse([r[1] for r in rows]), _sparse([r[3] for r in rows])
+    named = np.array([r[2] for r in rows])
     w, b = _fit(own, other, named, y, len(features), strength, ridge, steps)
     return ToxicityModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, b)
 
