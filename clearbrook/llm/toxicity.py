@@ -23,6 +23,7 @@ from clearbrook.llm.shared import held_out, load, schema_with, set_aside, staged
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 30_000
+FIT_TASKS = 48
 #: Features kept: seen in MIN_ROWS fitted texts or more, those that tell the classes apart best.
 FEATURES, MIN_ROWS = 1_000, 8
 #: Texts whose features a worker counts at once.
@@ -51,13 +52,25 @@ def parts_of(word: str) -> list[str]:
     return [word, *[f"^{word[:n]}" for n in STARTS if len(word) >= n]]
 
 
-def text_features(words: Counter) -> set[str]:
+class Parts(dict):
+    """``parts_of`` words that a worker has met; starts anew when it is full."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = parts_of(word)
+        return found
+
+
+def text_features(words: Counter, memory: Parts) -> set[str]:
     """Words of a text, and beginnings with the times (of TIMES) that they occur at least."""
-    starts: Counter = Counter()
+    starts: dict[str, int] = {}
     for w, k in words.items():
-        for s in parts_of(w)[1:]:
-            starts[s] += k
-    return {*words, *[f"{s}|{t}" for s, k in starts.items() for t in TIMES if k >= t]}
+        for s in memory[w][1:]:
+            starts[s] = starts.get(s, 0) + k
+    out = {*words, *[f"{s}|1" for s in starts]}
+    out.update(f"{s}|{t}" for s, k in starts.items() if k > 1 for t in TIMES[1:] if k >= t)
+    return out
 
 
 @dataclass
@@ -86,9 +99,11 @@ class ToxicityModel:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents. Labels are joined by doc_id; of several labels of one id the highest holds."""
+    """(doc_id, text, toxic) of at most ``rows`` labelled documents. Labels are joined by doc_id; of several labels of one id the highest holds, of several texts the first by order."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(rows)
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row for each id, over a fixed number of tasks: they are few rows, but much to count.
+    return found.repartition(FIT_TASKS, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: float = 1.0, keep: int = FEATURES, min_rows: int = MIN_ROWS, ridge: float = 1e-3, steps: int = 300) -> ToxicityModel:
@@ -97,11 +112,12 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(f, p, k): texts with a feature, toxic ones and all, summed over a few texts at a time."""
+        memory = Parts()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part, p, k = batch.slice(at, CHUNK), Counter(), Counter()
                 for t, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    found = text_features(Counter(WORD.findall(t.as_py().lower())))
+                    found = text_features(Counter(WORD.findall(t.as_py().lower())), memory)
                     k.update(found)
                     if toxic:
                         p.update(found)
@@ -120,16 +136,17 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The kept features of each text and, if it names a group, of the text with the names swapped."""
+        memory = Parts()
         for batch in batches:
             own, other = [], []
             for t in batch.column(0):
                 words = Counter(WORD.findall(t.as_py().lower()))
-                own.append(sorted(at[f] for f in text_features(words) if f in at))
+                own.append(sorted(at[f] for f in text_features(words, memory) if f in at))
                 swapped: Counter = Counter()
                 if words.keys() & swap.keys():
                     for w, n in words.items():
                         swapped[swap.get(w, w)] += n
-                other.append(sorted(at[f] for f in text_features(swapped) if f in at) if swapped else None)
+                other.append(sorted(at[f] for f in text_features(swapped, memory) if f in at) if swapped else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "x", "s"])
 
     rows = sorted((r["toxic"], r["x"], r["s"] is not None, r["s"] or []) for r in read.mapInArrow(number, "toxic int, x array<int>, s array<int>").collect())
