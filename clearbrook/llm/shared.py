@@ -15,11 +15,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), the context's own, a new local one if it has none."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        at = context.getCheckpointDir()
     return at
 
 
