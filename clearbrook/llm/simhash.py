@@ -26,6 +26,8 @@ from clearbrook.llm.shared import load, schema_with, set_aside, staged
 RUN = 2048
 #: Comparing two fingerprints costs so much less than shuffling one key.
 PAIRS_PER_KEY = 200
+#: Nodes (about 100 bytes each) that are broadcast to the texts at most; more are joined by shuffle.
+BROADCAST_NODES = 200_000
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
 
@@ -173,7 +175,7 @@ def _mask(bits: list[int]) -> np.uint64:
 
 
 def _mixed(*parts: np.ndarray | int) -> np.ndarray:
-    x = np.uint64(0)
+    x = np.zeros(1, dtype=np.uint64)
     for p in parts:
         x = (np.asarray(p, dtype=np.uint64) ^ x) + MIX[2]
         x = (x ^ (x >> np.uint64(30))) * MIX[0]
@@ -394,16 +396,16 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, prints: int = 4, tau: int = 5, longest: int = RUN) -> DataFrame:
-    """``docs`` with group_id and keep: groups of near duplicates, of which the row with the smallest key stays.
+    """``docs`` with group_id, keep and repeated: groups of near duplicates, of which the row with the smallest key stays.
 
     Two texts are alike if the sets of their ``size``-word shingles have a Jaccard similarity of ``least`` or
     more. Candidates are texts of which one of ``prints`` fingerprints over distinct words differs in ``tau`` bits
     at most (that of shingles would differ in many more), found by ``near_links``; each is verified on the
     shingles. group_id is a hash of the group's smallest text digest. Equal texts are one candidate, whatever
-    their number. Null and empty texts are alike among themselves. Of equal rows that come first all are marked to
-    stay; null keys come last. Input columns named like an output stay as ``<name>_in``.
+    their number. Null and empty texts are alike among themselves. Of rows of one text and key
+    that come first all are marked to stay, and as repeated; null keys come last. Input columns named like an output stay as ``<name>_in``.
     """
-    docs = set_aside(docs, ["group_id", "keep", "_node"])
+    docs = set_aside(docs, ["group_id", "keep", "repeated", "_node"])
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     texts = docs.select(digest.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = staged(with_fingerprints(texts, "text", 1, prints, True).distinct(), "texts")
@@ -413,7 +415,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         found = links if found is None else found.unionByName(links)
     found = staged(found, "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    sets = staged(_shingle_sets(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), size), "shingle-sets")
+    ends = staged(ends, "ends")
+    sets = staged(_shingle_sets(texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), size), "shingle-sets")
     tested = staged(_alike(found, sets, least), "tested")
     links = tested.where("alike").select("a", "b")
     # Where a link of a group failed, others of its nodes may be alike that the forest joined through it.
@@ -428,9 +431,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         again = staged(_alike(others.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), sets, least), "tested-again")
         links = links.unionByName(again.where("alike").select("a", "b"))
     roots = components(links)
-    rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_node").alias("node"))
-    firsts = docs.select(F.col(key), digest.alias("_node")).groupBy("_node").agg(F.min(rank).alias("_first")).join(roots.withColumnRenamed("node", "_node"), "_node", "left").select("_node", F.coalesce("root", "_node").alias("group_id"), "_first")
+    rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_node").alias("node"), F.col("rows"))
+    firsts = docs.select(F.col(key), digest.alias("_node")).groupBy("_node", F.col(key)).agg(F.count("*").alias("rows"))
+    firsts = firsts.groupBy("_node").agg(F.min(rank).alias("_first"), F.sum("rows").alias("_rows")).join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    # A text of one row that is like no other needs no verdict.
+    firsts = staged(firsts.where("root is not null or _rows > 1").select("_node", F.coalesce("root", "_node").alias("group_id"), "_first"), "firsts")
     winners = firsts.groupBy("group_id").agg(F.min("_first").alias("_first"))
-    verdicts = firsts.select("_node", "group_id").join(winners, "group_id")
-    placed = docs.withColumn("_node", digest).join(verdicts, "_node")
-    return placed.withColumn("keep", (F.col("_node") == F.col("_first.node")) & F.col(key).eqNullSafe(F.col("_first.k"))).drop("_node", "_first")
+    verdicts = staged(firsts.select("_node", "group_id").join(winners, "group_id"), "verdicts")
+    placed = docs.withColumn("_node", digest).join(_small(verdicts), "_node", "left").withColumn("group_id", F.coalesce("group_id", "_node"))
+    first = F.col("_first.node").isNull() | ((F.col("_node") == F.col("_first.node")) & F.col(key).eqNullSafe(F.col("_first.k")))
+    return placed.withColumns({"keep": first, "repeated": F.coalesce(F.col("_first.rows") > 1, F.lit(False)) & first}).drop("_node", "_first")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table as one to broadcast, if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+
+def first_of_each_group(docs: DataFrame, **options: object) -> DataFrame:
+    """One row of each group of ``near_duplicates``. Only if equal rows come first in some group are rows dealt by group once more."""
+    marked = near_duplicates(docs, **options)
+    kept = marked.where("keep").drop("keep")
+    if not marked.where("repeated").isEmpty():
+        kept = kept.where("not repeated").unionByName(kept.where("repeated").dropDuplicates(["group_id"]))
+    return kept.drop("group_id", "repeated")

@@ -323,3 +323,9 @@ def test_held_out_third(spark):
 
     df = spark.range(50).withColumn("h", held_out(F.col("id")))
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in df.collect())
+
+
+def test_first_of_each_group_drops_equal_rows(spark):
+    rows = [(1, text(1, 80)), (1, text(1, 80)), (2, text(1, 80)), (3, text(2, 80)), (None, None), (None, None), (4, "")]
+    out = simhash.first_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "3", "4"]
