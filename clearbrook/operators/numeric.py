@@ -47,7 +47,8 @@ def handle_outliers(df: DataFrame, method: str = "cap", k: float = 1.5, columns:
     if method not in ("cap", "remove"):
         raise ValueError(f"unknown method {method!r}")
     columns = numbers(df) if columns is None else columns
-    bounds = {c: b for c, s in column_stats(df, columns).items() if (b := s.bounds(k))}
+    # Columns whose values all lie within their bounds stay as they are, type included.
+    bounds = {c: b for c, s in column_stats(df, columns).items() if (b := s.bounds(k)) and (s.low < b[0] or s.high > b[1])}
     if method == "cap":
         return df.withColumns({c: F.least(F.greatest(F.col(f"`{c}`"), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in bounds.items()}) if bounds else df
     for c, (lo, hi) in bounds.items():

@@ -632,7 +632,7 @@ def review_summary(spark: SparkSession, sf: str) -> DataFrame:
 # -- pipelines -----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {GAPS}, m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM g), k AS (SELECT o_orderpriority AS p FROM g WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), f AS (SELECT o_orderkey, coalesce(o_totalprice, med) AS v, coalesce(o_orderpriority, p) AS o_orderpriority FROM g, m, k), b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM f) SELECT o_orderkey, least(greatest(v, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS o_totalprice, o_orderpriority FROM f, b")
+@query(f"WITH {GAPS}, h AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE o_orderkey % 13 = 0), m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM h), k AS (SELECT o_orderpriority AS p FROM h WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), f AS (SELECT o_orderkey, coalesce(o_totalprice, med) AS v, coalesce(o_orderpriority, p) AS o_orderpriority FROM g, m, k), b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM f) SELECT o_orderkey, least(greatest(v, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS o_totalprice, o_orderpriority FROM f, b")
 def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: gaps filled, duplicates dropped, outliers capped."""
     g = _gaps(spark, sf)
