@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearbrook.llm.components import components
@@ -28,6 +28,10 @@ RUN = 2048
 PAIRS_PER_KEY = 200
 #: Nodes (about 100 bytes each) that are broadcast to the texts at most; more are joined by shuffle.
 BROADCAST_NODES = 200_000
+#: Texts that frequent shingles are looked for in at most, and the share of them that makes one frequent. They only order shingles; no result depends on them.
+SAMPLED, FREQUENT = 20_000, 0.001
+#: Neighbours in a run of one shingle that are tested in turn before all pairs still apart are: a large group is mostly joined by the first.
+REACHES = (4, None)
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
 
@@ -395,13 +399,108 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, schema_with(both.select(*names), "alike boolean"))
 
 
+def _id(node: str) -> Column:
+    """60 bits of a text digest: of texts that share them, each is tested."""
+    return F.conv(F.substring(node, 1, 15), 16, 10).cast("long")
+
+
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """A row for each node; only texts that occur again are shuffled."""
+    again = _small(staged(texts.groupBy("node").count().where("count > 1").select("node"), "repeated-texts"))
+    return texts.join(again, "node", "left_anti").unionByName(texts.join(again, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+
+
+def _frequent_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in order, and their counts, over a sample of about ``SAMPLED`` of ``n`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(0)[k : k + 200]]
+                shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], ["shingle", "n"])
+
+    part = texts if n <= SAMPLED else texts.where(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLED)
+    often = part.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, FREQUENT * min(n, SAMPLED))).toArrow()
+    shingles, counts = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def _prefix_keys(texts: DataFrame, size: int, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, size, at): the first shingles of each set in one order, rare ones first, so many that two sets with a similarity of ``least`` share one of them."""
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = sent.value
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for k in range(0, batch.num_rows, 200):
+                keys, sizes = [], []
+                for t in batch.column("text")[k : k + 200]:
+                    h = np.unique(shingle_hashes(t.as_py(), size))
+                    sizes.append(len(h))
+                    if len(h) and len(frequent):
+                        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                        h = h[np.lexsort((h, np.where(frequent[at] == h, counts[at], 0)))]
+                    keys.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                n = [len(x) for x in keys]
+                at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[k : k + 200], n)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), n)), pa.array(at)], ["key", "id", "size", "at"])
+
+    return texts.select(_id("node").alias("id"), "text").mapInArrow(run, "key long, id long, size int, at int")
+
+
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows of keys that more than one row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, 1 << 62):
+            key = _column(rows, "key")
+            same = np.concatenate(([False], key[1:] == key[:-1], [False]))
+            yield rows.filter(pa.array(same[1:] | same[:-1]))
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema)
+
+
+def _prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, reach: int | None) -> DataFrame:
+    """(a, b): ids of one key (of at most ``reach`` rows apart, by size) with different roots whose sizes and places of the key allow a similarity of ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, 1 << 62):
+            key, root = _column(rows, "key"), _column(rows, "root")
+            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            keep = np.repeat(mixed, np.diff(np.append(starts, len(key))))
+            if not keep.any():
+                continue
+            key, root = key[keep], root[keep]
+            ids, size, at = (rows.column(c).to_numpy()[keep] for c in ("id", "size", "at"))
+            here, d = np.arange(len(key)), 0
+            while len(here) and d != reach:
+                d += 1
+                here = here[here + d < len(key)]
+                # In order of size: one that is too long for a row is followed by longer ones.
+                here = here[(key[here] == key[here + d]) & (size[here] >= least * size[here + d] - 1e-9)]
+                there = here + d
+                most = np.minimum(size[here] - at[here], size[there] - at[there])  # if this key is the first that they share
+                near = (root[here] != root[there]) & (most >= least / (1 + least) * (size[here] + size[there]) - 1e-9)
+                if near.any():
+                    x, y = ids[here[near]], ids[there[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    rows = shared.join(_small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rows.select("key", "id", "root", "size", "at").repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, prints: int = 4, tau: int = 5, longest: int = RUN) -> DataFrame:
     """``docs`` with group_id, keep and repeated: groups of near duplicates, of which the row with the smallest key stays.
 
     Two texts are alike if the sets of their ``size``-word shingles have a Jaccard similarity of ``least`` or
-    more. Candidates are texts of which one of ``prints`` fingerprints over distinct words differs in ``tau`` bits
-    at most (that of shingles would differ in many more), found by ``near_links``; each is verified on the
-    shingles. group_id is a hash of the group's smallest text digest. Equal texts are one candidate, whatever
+    more. Most are found by ``prints`` fingerprints over distinct words that differ in ``tau`` bits at most
+    (``near_links``). That can miss copies that gained or lost a block, so all texts that are still apart and share
+    one of their rarest shingles, as every two alike do, are candidates as well: no pair is missed. Each candidate
+    is verified on the shingles. group_id is a hash of the group's smallest text digest. Equal texts are one candidate, whatever
     their number. Null and empty texts are alike among themselves. Of rows of one text and key
     that come first all are marked to stay, and as repeated; null keys come last. Input columns named like an output stay as ``<name>_in``.
     """
@@ -414,23 +513,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         links = near_links(marked.select("node", F.col("fps")[k].alias("fp")), tau, longest, k)
         found = links if found is None else found.unionByName(links)
     found = staged(found, "candidates")
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    ends = staged(ends, "ends")
-    sets = staged(_shingle_sets(texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), size), "shingle-sets")
-    tested = staged(_alike(found, sets, least), "tested")
-    links = tested.where("alike").select("a", "b")
-    # Where a link of a group failed, others of its nodes may be alike that the forest joined through it.
-    failed = tested.where("not alike").select("group").distinct()
-    if not failed.isEmpty():
-        roots = components(links)
-        doubtful = tested.join(failed, "group", "left_semi")
-        members = doubtful.select("group", F.col("a").alias("node"), F.col("fa").alias("fp")).union(doubtful.select("group", "b", "fb")).distinct()
-        members = staged(members.join(roots, "node", "left").select("group", "node", "fp", F.coalesce("root", "node").alias("root")), "doubtful")
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= tau
-        others = members.join(members.select("group", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b")), "group").where(near & F.expr("node < b and root <> root_b")).select(F.col("node").alias("a"), "b").distinct()
-        again = staged(_alike(others.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), sets, least), "tested-again")
-        links = links.unionByName(again.where("alike").select("a", "b"))
-    roots = components(links)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        sets = staged(_shingle_sets(texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), size), "shingle-sets")
+        return staged(_alike(pairs, sets, least), "tested")
+
+    tested = verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = staged(components(tested.where("alike").select("a", "b")), "roots")
+    # Fingerprints miss pairs, and forests of them leave some out: every pair still apart that can be alike shares a key.
+    single = _one_of_each(texts)
+    often = _frequent_shingles(single, size, marked.count())
+    shared = staged(_shared_keys(_prefix_keys(single, size, least, often)), "shared-keys")
+    for reach in REACHES:
+        pairs = staged(_prefix_pairs(shared, roots.select(_id("node").alias("id"), _id("root").alias("root")), least, reach), "prefix-pairs")
+        if pairs.isEmpty():
+            continue
+        met = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "met")
+        names = staged(marked.select(_id("node").alias("id"), "node").join(_small(met), "id"), "names")
+        named = pairs.join(names.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+        named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.unionByName(verified(staged(named, "named")))
+        roots = staged(components(tested.where("alike").select("a", "b")), "roots")
     rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_node").alias("node"), F.col("rows"))
     firsts = docs.select(F.col(key), digest.alias("_node")).groupBy("_node", F.col(key)).agg(F.count("*").alias("rows"))
     firsts = firsts.groupBy("_node").agg(F.min(rank).alias("_first"), F.sum("rows").alias("_rows")).join(roots.withColumnRenamed("node", "_node"), "_node", "left")

@@ -121,6 +121,30 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert out[1].group_id == out[2].group_id == out[3].group_id and out[6].group_id == out[7].group_id
 
 
+def test_near_duplicates_of_gained_lost_and_edited_blocks_against_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        n = r.randrange(100, 300)
+        base = text(1000 + i, n).split()
+        edited = [w if k % 40 else f"edit{i}x{k}" for k, w in enumerate(base)]
+        block = text(5000 + i, int(n * (0.17 + 0.12 * (i % 2)))).split()
+        rows += [" ".join(x) for x in (base, base + block, base[int(n * 0.18) :], base[: n // 2] + block + base[n // 2 :], edited)]
+    rows += [" ".join(text(9000 + i, 12).split() + "one line that very many of these texts have in common at the end".split()) for i in range(60)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    near = {i: {j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in range(len(rows))}
+    group = {}
+    for i in near:
+        todo = [] if i in group else [i]
+        while todo:
+            if (x := todo.pop()) not in group:
+                group[x] = i
+                todo += near[x]
+    out = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(3)).collect()}
+    assert len(set(group.values())) < len(rows) - 60
+    assert {frozenset(i for i in out if out[i] == g) for g in out.values()} == {frozenset(i for i in group if group[i] == g) for g in group.values()}
+
+
 def test_thresholds_add_up():
     r = np.random.default_rng(0)
     x = (r.random((500, 64)) < np.linspace(0.1, 0.9, 64)).astype(float)
