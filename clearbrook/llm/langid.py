@@ -18,6 +18,8 @@ from clearbrook.llm.shared import held_out, load, schema_with, set_aside
 WORD = re.compile(r"[^\W\d_]+")
 #: Entries that the model keeps of the words and of each n-gram length, the most frequent ones: its size is bounded whatever the corpus.
 MODEL_WORDS, MODEL_NGRAMS, LONGEST = 60_000, 20_000, 5
+#: Share of a frequency that comes from all languages together: languages that lack an entry all get the same, less than one that has it.
+BACKGROUND = 0.01
 #: Words that a worker remembers the scores of.
 REMEMBERED = 150_000
 
@@ -37,7 +39,7 @@ class LanguageModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        edged = f" {word[:64]} " if len(word) <= 64 else f" {word[:48]}{word[-16:]} "
+        edged = f" {word} "
         for n in range(min(self.longest, len(edged)), 0, -1):
             found = [s for i in range(len(edged) - n + 1) if (s := self.ngrams.get(edged[i : i + n])) is not None]
             if found:
@@ -79,48 +81,51 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_rows(rows: list, langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """Log relative frequency with half a count for languages that lack the entry."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    base = np.array([math.log(0.5 / max(1, totals.get(lang, 1))) for lang in langs], dtype=np.float32)
+    """Log relative frequency, mixed with that over all languages."""
+    at, everything = {lang: i for i, lang in enumerate(langs)}, sum(totals.values())
     out: dict[str, np.ndarray] = {}
     for r in rows:
-        v = base.copy()
+        p = np.full(len(langs), BACKGROUND * sum(r["ns"]) / everything)
         for lang, n in zip(r["langs"], r["ns"], strict=True):
-            v[at[lang]] = math.log((n + 0.5) / max(1, totals[lang]))
+            p[at[lang]] += (1 - BACKGROUND) * n / totals[lang]
+        v = np.log(p).astype(np.float32)
         out[r["gram"]] = v - v.max()
     return out
 
 
+def _most_frequent(counted: DataFrame, gram: str, totals: dict[str, int], most: int) -> list:
+    """(gram, langs, ns) of the entries with the largest share of the text of any one language."""
+    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("lang"))
+    by_gram = counted.groupBy(F.col(gram).alias("gram")).agg(F.max(share).alias("share"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
+    return by_gram.orderBy(F.desc("share"), "gram").limit(most).select("gram", "langs", "ns").collect()
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int = MODEL_WORDS, ngrams: int = MODEL_NGRAMS, longest: int = LONGEST) -> LanguageModel:
-    """Count words of all rows with a text and a language; keep the most frequent words and n-grams as the model.
+    """Count words of all rows with a text and a language; keep those with the largest share of a language's text, and n-grams likewise, as the model.
 
-    N-grams are counted over distinct words, weighted by how often these occur. Only the kept entries, a bounded number, reach the driver.
+    N-grams are counted over distinct words, weighted by how often these occur; shares are of all n-grams of that
+    length, kept or not. Only the kept entries, a bounded number, reach the driver.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = known.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
-    by_word = by_word.persist()
+    counted = known.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
-        pairs = by_word.select(F.explode(F.arrays_zip("langs", "ns")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.ns").alias("n")).collect()
-        totals = {r["lang"]: r["n"] for r in pairs}
+        grams_of = lambda n: F.sum(F.col("n") * F.greatest(F.length("word") + (3 - n), F.lit(0)))  # noqa: E731  (a word with its edges)
+        sums = counted.groupBy("lang").agg(F.sum("n").alias("words"), *[grams_of(n).alias(f"g{n}") for n in range(1, longest + 1)]).collect()
+        totals = {r["lang"]: r["words"] for r in sums}
         langs = sorted(totals)
-        top = by_word.orderBy(F.desc("total"), "word").limit(words).select(F.col("word").alias("gram"), "langs", "ns").collect()
-        model = LanguageModel(langs, np.array([0.1 * math.log(totals[x] / sum(totals.values())) for x in langs]), _log_rows(top, langs, totals), {}, longest)
-        edged = F.concat(F.lit(" "), "word", F.lit(" "))
-        edges = by_word.select(edged.alias("word"), "langs", "ns")
+        model = LanguageModel(langs, np.array([0.1 * math.log(totals[x] / sum(totals.values())) for x in langs]), {}, {}, longest)
+        if not langs:
+            return model
+        model.words = _log_rows(_most_frequent(counted, "word", totals, words), langs, totals)
+        edges = counted.select("lang", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"), "n")
         for n in range(1, longest + 1):
             cut = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))  # noqa: B023
-            grams = edges.where(F.length("word") >= n).select(F.explode(cut).alias("gram"), F.arrays_zip("langs", "ns").alias("x"))
-            grams = grams.select("gram", F.explode("x").alias("x")).groupBy("gram", F.col("x.langs").alias("lang")).agg(F.sum("x.ns").alias("n"))
-            grams = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
-            rows = grams.orderBy(F.desc("total"), "gram").limit(ngrams).collect()
-            of = Counter()
-            for r in rows:
-                of.update(dict(zip(r["langs"], r["ns"], strict=True)))
-            model.ngrams |= _log_rows(rows, langs, {x: of.get(x, 1) for x in langs})
+            grams = edges.where(F.length("word") >= n).select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            of = {r["lang"]: r[f"g{n}"] for r in sums if r[f"g{n}"]}
+            model.ngrams |= _log_rows(_most_frequent(grams, "gram", of, ngrams), langs, of)
         return model
     finally:
-        by_word.unpersist()
+        counted.unpersist()
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -177,6 +177,20 @@ def test_language_without_training_rows(spark):
     assert langid.identify(spark.createDataFrame([(1, "abc")], SCHEMA), model).first().lang_pred == "und"
 
 
+def test_a_language_with_one_row_takes_no_text_of_others(spark):
+    r = random.Random(3)
+    vocabulary = {x: [f"{x}{c}{d}{e}" for c in "abcdefghij" for d in "klmnopqrst" for e in "uvwxy"] for x in ("en", "fr")}
+    write = lambda x, n: " ".join(r.choice(vocabulary[x]) for _ in range(n))
+    rows = [(write(x, 40), x) for x in ("en", "fr") for _ in range(150)] + [("hola mundo casa perro", "es")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    rare = langid.train(spark.createDataFrame(rows, "text string, lang string"), words=150)
+    texts = [(i, write(x, 30), x) for i, x in enumerate(["en", "fr"] * 30)] + [(99, "hola perro mundo", "es")]
+    for m in (model, rare):
+        assert {"hola", "mundo", "casa", "perro"} <= set(m.words)
+        assert all(m.classify(t, {})[0] == x for _, t, x in texts)
+    assert model.classify("q" * 40 + "hola" + "q" * 60, {})[0] == "es"
+
+
 # -- chat --------------------------------------------------------------------------------------------------------
 
 
