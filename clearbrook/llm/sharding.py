@@ -34,21 +34,22 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     Only key and shard count decide the shard, so rows of an equal key share one; grown_shard is the shard if
     there were one more. Null keys are a key of their own, null texts count as one byte. Which bucket of its
-    shard a row goes to depends on key, text and the input partition it lies in: equal rows, however many, are
-    dealt over as many buckets as partitions hold them. An empty table gives no rows; input columns named like
+    shard a row goes to depends on key, text and the row's place in the input: equal rows, however many, are dealt
+    over all buckets of their shard. The order of rows in a partition of ``df`` must be repeatable, as that of a
+    table read from files is. An empty table gives no rows; input columns named like
     an output stay as ``<name>_in``.
     """
-    df = set_aside(df, [*OUTPUTS, "_record"])
+    df = set_aside(df, [*OUTPUTS, "_record", "_place"])
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
     total = df.agg(F.sum(size)).first()[0] or 0
     per_shard = max(1, math.ceil(total / (shards * bucket_bytes)))
-    scattered = df.select(
+    scattered = df.withColumn("_place", F.monotonically_increasing_id()).select(
         shard_of(F.col(key), shards, seed).alias("shard"),
         shard_of(F.col(key), shards + 1, seed).alias("grown_shard"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_order"),
+        F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col("_place")).alias("_order"),
         size.alias("size"),
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_record"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("_order", F.spark_partition_id()), F.lit(per_shard)).cast("int"))
+    ).withColumn("bucket", F.pmod(F.xxhash64("_order"), F.lit(per_shard)).cast("int"))
     by_order = lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
     buckets = (
         scattered.repartition(shards * per_shard, "shard", "bucket")

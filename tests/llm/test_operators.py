@@ -40,6 +40,13 @@ def test_shards_hold_every_row_with_gapless_slots(odd):
     assert all(r["size"] == len((r.text or "").encode()) + 1 for r in rows)
 
 
+def test_equal_rows_of_one_partition_are_dealt_over_all_buckets(spark):
+    out = sharding.shuffle_into_shards(spark.createDataFrame([(None, "the same text")] * 400, SCHEMA).coalesce(1), shards=2, bucket_bytes=400)
+    sizes = [r["count"] for r in out.groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 4 and max(sizes) < 120
+    assert sorted(r.slot for r in out.collect()) == list(range(400))
+
+
 def test_shards_are_repeatable_shuffled_and_keep_clashing_columns(spark, odd, tmp_path):
     a = sharding.shuffle_into_shards(odd).select("doc_id", "text", "shard", "slot").collect()
     b = sharding.shuffle_into_shards(odd).select("doc_id", "text", "shard", "slot").collect()
