@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearbrook.llm.shared import load, set_aside, staged
@@ -39,8 +39,6 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text with none of these has no entity and isn't searched further.
 HINT = rf"[0-9@]|(?i:token|secret|passw|_key|-key|apikey)|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
 ROUNDS = 4
-#: Entities whose first surrogate is taken, at most; one more means that the digest space is too small for the input.
-RESOLVED = 5_000
 OUTPUTS = ["surrogate_text", "entities"]
 ENTITY = "array<struct<type:string,gap:int,length:int,surrogate:string,id:string>>"
 
@@ -138,6 +136,14 @@ def _spelled(digest: Column, at: int, n: int, script: str = "Latin") -> Column:
     return F.concat(*[F.get(table, F.pmod(F.conv(F.substring(digest, at + 2 * k, 2), 16, 10).cast("int"), F.lit(32))) for k in range(n)])
 
 
+def _suffix(key: str, rank: Column) -> Column:
+    """Four syllables for a rank among entities of one first surrogate (below 2^20), a permutation of it."""
+    size = F.lit(1024).cast("long")
+    table = F.array(*[F.lit(x) for x in SYLLABLES["Latin"]])
+    of = lambda v: F.concat(F.get(table, F.floor(v / 32).cast("int")), F.get(table, F.pmod(v, F.lit(32)).cast("int")))
+    return _let(_permuted(key, "rank", F.floor(rank / 1024), F.pmod(rank, size), size, size, F.lit(0)), lambda s: F.concat(of(s["l"]), of(s["r"])))
+
+
 def _email(digest: Column, m: Column) -> Column:
     local = F.substring_index(m, "@", 1)
     two = F.concat(_spelled(digest, 1, 5), F.lit("."), _spelled(digest, 13, 5))
@@ -159,15 +165,19 @@ def _case_of(original: Column, made: Column) -> Column:
     return F.when((F.length(original) > 1) & (original == F.upper(original)), F.upper(made)).otherwise(F.initcap(made))
 
 
-def _name_word(digest: Column, word: Column, gender: Column | None) -> Column:
+def _in_script(suffix: Column, script: str) -> Column:
+    return suffix if script == "Latin" else F.translate(suffix, "bdklmnrtaeio", "бдклмнртаеио" if script == "Cyrillic" else "βδκλμνρταειο")
+
+
+def _name_word(digest: Column, word: Column, gender: Column | None, suffix: Column) -> Column:
     """A made-up given name (with a gender's ending) or, without gender, family name in the word's script."""
     ends = {"Latin": ("n", "na"), "Cyrillic": ("н", "на"), "Greek": ("ς", "να")}
 
     def of(script: str) -> Column:
         if gender is None:
-            return _spelled(digest, 1, 6, script)
+            return F.concat(_spelled(digest, 1, 6, script), _in_script(suffix, script))
         m, f = ends[script]
-        return F.concat(_spelled(digest, 1, 4, script), F.when(gender == "f", f).when(gender == "m", m).otherwise(""))
+        return F.concat(_spelled(digest, 1, 4, script), _in_script(suffix, script), F.when(gender == "f", f).when(gender == "m", m).otherwise(""))
 
     made = F.when(word.rlike(r"\p{IsCyrillic}"), of("Cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("Greek")).otherwise(of("Latin"))
     return _case_of(word, made)
@@ -181,21 +191,29 @@ def _kind_of(m: Column) -> Column:
     )
 
 
-def _entity(key: str, tries: Column | None, m: Column) -> Column:
-    """struct(kind, surrogate, tokens): tokens are the parts whose surrogates must be distinct, with their keyed ids."""
+def _entity(key: str, ranks: Column | None, m: Column) -> Column:
+    """struct(kind, surrogate, tokens): tokens are the parts whose surrogates must be distinct, with their keyed ids. Tokens in ``ranks`` have a suffix, in a form that no first surrogate has."""
 
     def id_of(kind: str, canonical: Column) -> Column:
         return F.substring(_keyed(key, "id", kind, canonical), 1, 24)
 
     def digest_of(token: Column) -> Column:
-        n = F.lit(0) if tries is None else F.coalesce(F.element_at(tries, token), F.lit(0))
-        return F.sha2(F.concat(F.lit(key), token, n.cast("string")), 256)
+        return F.sha2(F.concat(F.lit(key), token, F.lit("0")), 256)
+
+    def suffix_of(token: Column) -> Column:
+        return F.lit("") if ranks is None else _let(F.element_at(ranks, token), lambda n: F.when(n.isNull(), "").otherwise(_suffix(key, n)))
+
+    def widened(kind: str, made: Column, suffix: Column) -> Column:
+        if ranks is None or kind not in ("email", "secret"):
+            return made
+        wide = F.concat(F.substring_index(made, "@", 1), F.lit("."), suffix, F.lit("@"), F.substring_index(made, "@", -1)) if kind == "email" else F.concat(made, F.lit("_"), suffix)
+        return F.when(suffix == "", made).otherwise(wide)
 
     def out(kind: str, surrogate: Column, *tokens: tuple[str, Column, Column]) -> Column:
         return F.struct(F.lit(kind).alias("kind"), surrogate.alias("surrogate"), F.array(*[F.struct(F.lit(k).alias("kind"), i.alias("id"), s.alias("made")) for k, i, s in tokens]).alias("tokens"))
 
     def digested(kind: str, canonical: Column, made: Callable[[Column], Column], around: Callable[[Column], Column] = lambda s: s) -> Column:
-        return _let(id_of(kind, canonical), lambda i: _let(made(digest_of(i)), lambda s: out(kind, around(s), (kind, i, s))))
+        return _let(id_of(kind, canonical), lambda i: _let(widened(kind, made(digest_of(i)), suffix_of(i)), lambda s: out(kind, around(s), (kind, i, s))))
 
     def numbered(kind: str, made: Column, n: int) -> Column:
         return _let(made, lambda s: out(kind, s, (kind, id_of(kind, _tail(m, n)), _tail(s, n))))
@@ -206,11 +224,11 @@ def _entity(key: str, tries: Column | None, m: Column) -> Column:
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
     family = F.get(words, F.size(words) - 1)
     given = F.get(words, F.lit(1))
-    one = _let(id_of("family", F.lower(family)), lambda i: _let(_name_word(digest_of(i), family, None), lambda s: out("name", F.concat(F.get(words, F.lit(0)), F.lit(" "), s), ("family", i, F.lower(s)))))
+    one = _let(id_of("family", F.lower(family)), lambda i: _let(_name_word(digest_of(i), family, None, suffix_of(i)), lambda s: out("name", F.concat(F.get(words, F.lit(0)), F.lit(" "), s), ("family", i, F.lower(s)))))
     two = _let(
         F.struct(id_of("family", F.lower(family)).alias("f"), id_of("given", F.concat(gender, F.lower(given))).alias("g")),
         lambda i: _let(
-            F.struct(_name_word(digest_of(i["f"]), family, None).alias("f"), _name_word(digest_of(i["g"]), given, gender).alias("g")),
+            F.struct(_name_word(digest_of(i["f"]), family, None, suffix_of(i["f"])).alias("f"), _name_word(digest_of(i["g"]), given, gender, suffix_of(i["g"])).alias("g")),
             lambda s: out("name", F.concat_ws(" ", F.get(words, F.lit(0)), s["g"], s["f"]), ("family", i["f"], F.lower(s["f"])), ("given", i["g"], F.lower(s["g"]))),
         ),
     )
@@ -228,11 +246,10 @@ def _entity(key: str, tries: Column | None, m: Column) -> Column:
     )
 
 
-def _replaced(df: DataFrame, text: str, key: str, tries: dict[str, int]) -> DataFrame:
-    known = F.create_map(*[x for k, v in tries.items() for x in (F.lit(k), F.lit(v))]) if tries else None
+def _replaced(df: DataFrame, text: str, key: str, ranks: Column | None = None) -> DataFrame:
     hit = F.col(text).rlike(HINT)
     df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
-    df = df.withColumn("_e", F.when(F.size("_m") > 0, F.transform("_m", lambda m: _entity(key, known, m))))
+    df = df.withColumn("_e", F.when(F.size("_m") > 0, F.transform("_m", lambda m: _entity(key, ranks, m))))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(F.col(text), ANY, -1)))
     rebuilt = F.array_join(F.zip_with("_p", "_e", lambda p, e: F.concat(p, F.coalesce(e["surrogate"], F.lit("")))), "")
     entity = lambda e, i: F.struct(e["kind"].alias("type"), F.length(F.get("_p", i)).alias("gap"), F.length(F.get("_m", i)).alias("length"), e["surrogate"].alias("surrogate"), e["tokens"][0]["id"].alias("id"))
@@ -249,25 +266,25 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with surrogate_text and entities: type, gap (characters since the entity before), length, surrogate and a keyed id.
 
     The same entity has the same surrogate in all texts, whatever its layout or letter case; different ones have
-    different surrogates: collisions among all entities of the input are found and one of them is made anew
-    until there are none. A null text stays null, an empty one empty, both without entities. Titles before
+    different surrogates: entities of one first surrogate are ranked in a table over the whole input, and all but
+    one get a suffix from their rank. A null text stays null, an empty one empty, both without entities. Titles before
     names stay and give the gender. Results are written to the shared folder. Input columns named like an
     output stay as ``<name>_in``.
     """
-    df = set_aside(df, [*OUTPUTS, "_m", "_e", "_p", "_tokens"])
-    tries: dict[str, int] = {}
-    for _ in range(16):
-        done = staged(_replaced(df, text, key, tries), "surrogates")
-        tokens = done.where(F.size("_tokens") > 0).select(F.explode("_tokens").alias("t")).select("t.*").distinct()
-        shared = tokens.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-        again = tokens.join(shared, ["kind", "made"]).where("id <> first").select("id").distinct().limit(RESOLVED + 1).collect()
-        if not again:
-            return done.drop("_tokens")
-        for r in again:
-            tries[r["id"]] = tries.get(r["id"], 0) + 1
-        if len(tries) > RESOLVED:
-            break
-    raise RuntimeError("too many colliding surrogates: the digest space is too small for this input")
+    df = set_aside(df, [*OUTPUTS, "_m", "_e", "_p", "_tokens", "_row", "_ranks"])
+    done = staged(_replaced(df, text, key).withColumn("_row", F.monotonically_increasing_id()), "surrogates")
+    tokens = done.where(F.size("_tokens") > 0).select("_row", F.explode("_tokens").alias("t")).select("_row", "t.*")
+    distinct = tokens.select("kind", "made", "id").distinct()
+    shared = distinct.groupBy("kind", "made").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    rank = F.row_number().over(Window.partitionBy("kind", "made").orderBy("id")) - 1
+    ranks = staged(distinct.join(shared, ["kind", "made"]).select("id", rank.cast("long").alias("rank")).where("rank > 0"), "ranks")
+    if ranks.isEmpty():
+        return done.drop("_tokens", "_row")
+    by_row = tokens.select("_row", "id").distinct().join(ranks, "id").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("id", "rank"))).alias("_ranks"))
+    by_row = staged(by_row, "ranks-of-rows")
+    again = _replaced(done.join(by_row, "_row").drop(*OUTPUTS, "_tokens"), text, key, F.col("_ranks")).drop("_ranks", "_tokens", "_row")
+    rest = done.join(by_row, "_row", "left_anti").drop("_tokens", "_row")
+    return rest.unionByName(staged(again, "surrogates-again").select(*rest.columns))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

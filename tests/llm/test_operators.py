@@ -340,6 +340,19 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert pii.pseudonymise(df, "k").select("surrogate_text").distinct().count() == 12
 
 
+def test_many_collisions_are_resolved_without_a_list(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_email", lambda digest, m: F.lit("user@mail.example.com"))
+    monkeypatch.setattr(pii, "_spelled", lambda digest, at, n, script="Latin": F.lit("ba" * n))
+    monkeypatch.setattr(pii, "_secret", lambda digest, value: F.lit("abcdef01"))
+    rows = [(i, f"mail u{i % 6000}@site.org, password: hidden{i % 6000}xx, Mrs. Anna{chr(97 + i % 26)} Smith{chr(97 + i // 26 % 26)}") for i in range(6100)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), "k").collect()
+    assert len(out) == 6100
+    for k, n in ((0, 6000), (1, 6000), (2, 676)):
+        of = Counter(r.entities[k].id + r.entities[k].surrogate if k < 2 else r.text.split("Mrs.")[1] + r.entities[k].surrogate for r in out)
+        assert len(of) == len({r.entities[k].surrogate for r in out}) == n
+        assert all(r.entities[k].surrogate in r.surrogate_text for r in out)
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
