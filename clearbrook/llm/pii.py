@@ -27,8 +27,9 @@ SYLLABLES = {
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9_/+-]{8,256})|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:[\"'][^\s\"']{8,}+|[\p{L}\p{N}_/+.=!@#$%^&*~?|:\\-]{7,}[\p{L}\p{N}_/+=!@#$%^&*~|\\-]))|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}+)(?![A-Za-z0-9])",
+    # Written in groups, all but the bank's code hold a digit (so that no word after it is taken), but for three countries.
+    "iban": r"(?<![A-Za-z0-9])(?:(?=(?:[A-Z]*\d){8})[A-Z]{2}\d{2}[A-Z0-9]{11,30}|NO\d{2} \d{4} \d{4} \d{3}|MT\d{2}(?: [A-Z0-9]{4}){6} [A-Z0-9]{3}|SC\d{2} [A-Z]{4}(?: \d{4}){5} [A-Z]{3}|MU\d{2} [A-Z]{4}(?: \d{4}){4} \d{3}[A-Z] [A-Z]{2}|[A-Z]{2}\d{2} [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
@@ -144,6 +145,20 @@ def _suffix(key: str, rank: Column) -> Column:
     return _let(_permuted(key, "rank", F.floor(rank / 1024), F.pmod(rank, size), size, size, F.lit(0)), lambda s: F.concat(of(s["l"]), of(s["r"])))
 
 
+def _iban(key: str, m: Column) -> Column:
+    """Digits permuted, letters after the country's shifted by the new digits and their place, whatever the layout."""
+
+    def body(made: Column) -> Column:
+        def char(c: Column, i: Column) -> Column:
+            place = F.length(F.replace(F.substring(made, F.lit(1), i + 1), F.lit(" "), F.lit("")))
+            shifted = F.pmod(F.ascii(c) - 65 + _number(_keyed(key, "iban letter", place, _digits(made)), 1), F.lit(26).cast("long"))
+            return F.when((i > 1) & c.rlike("[A-Z]"), F.char(shifted + 65)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(made, ""), char), "")
+
+    return _let(_tail_permuted(key, "iban", m, 16), body)
+
+
 def _email(digest: Column, m: Column) -> Column:
     local = F.substring_index(m, "@", 1)
     two = F.concat(_spelled(digest, 1, 5), F.lit("."), _spelled(digest, 13, 5))
@@ -156,7 +171,7 @@ def _secret_parts(m: Column) -> tuple[Column, Column]:
 
 
 def _secret(digest: Column, value: Column) -> Column:
-    stream = F.concat(*[F.sha2(F.concat(digest, F.lit(str(k))), 256) for k in range(4)])
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda k: F.sha2(F.concat(digest, k.cast("string")), 256)), "")
     hexed = F.substring(stream, F.lit(1), F.length(value))
     return F.when(value == F.upper(value), F.upper(hexed)).otherwise(hexed)
 
@@ -186,8 +201,8 @@ def _name_word(digest: Column, word: Column, gender: Column | None, suffix: Colu
 def _kind_of(m: Column) -> Column:
     """The pattern that a match comes from, by its form."""
     return (
-        F.when(m.contains("@"), "email").when(m.rlike(rf"^(?:{PATTERNS['secret']})$"), "secret").when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^[A-Z]{2}\d{2}[ \d]"), "iban").when(m.rlike(r"^(?:\+|\(|\d{3}[.-]\d{3}[.-])"), "phone").when(m.rlike(r"^[\d -]+$"), "card").otherwise("name")
+        F.when(m.rlike(rf"^(?:{PATTERNS['secret']})$"), "secret").when(m.contains("@"), "email").when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z\d]+$"), "iban").when(m.rlike(r"^(?:\+|\(|\d{3}[.-]\d{3}[.-])"), "phone").when(m.rlike(r"^[\d -]+$"), "card").otherwise("name")
     )
 
 
@@ -238,7 +253,7 @@ def _entity(key: str, ranks: Column | None, m: Column) -> Column:
         .when(kind == "secret", digested("secret", value, lambda d: _secret(d, value), lambda s: F.concat(head, s)))
         .when(kind == "ip", _let(_ip(key, m), lambda s: out("ip", s, ("ip", id_of("ip", m), s))))
         .when(kind == "ssn", numbered("ssn", _tail_permuted(key, "ssn", m, 9), 9))
-        .when(kind == "iban", _let(_tail_permuted(key, "iban", m, 16), lambda s: out("iban", s, ("iban", id_of("iban", F.replace(m, F.lit(" "), F.lit(""))), F.replace(s, F.lit(" "), F.lit(""))))))
+        .when(kind == "iban", _let(_iban(key, m), lambda s: out("iban", s, ("iban", id_of("iban", F.replace(m, F.lit(" "), F.lit(""))), F.replace(s, F.lit(" "), F.lit(""))))))
         .when(kind == "phone", numbered("phone", _tail_permuted(key, "phone", m, 10), 10))
         .when(kind == "card", numbered("card", _card(key, m), 19))
         .when(F.size(words) > 2, two)

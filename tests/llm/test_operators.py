@@ -353,6 +353,19 @@ def test_many_collisions_are_resolved_without_a_list(spark, monkeypatch):
         assert all(r.entities[k].surrogate in r.surrogate_text for r in out)
 
 
+def test_whole_secrets_and_ibans_with_letters_are_replaced(spark):
+    long, jwt = "aB3_" * 200, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9"
+    hidden = [long, jwt, "P@ssw0rd!2024x", "0123456789abcdef" * 8, "sk-" + "a1B2" * 30, "GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947"]
+    texts = [f"token = {long} end", f"token: {jwt}. Next", f"password: {hidden[2]}, next", f"see {hidden[3]} end", f"use {hidden[4]} end", *[f"pay {x} THIS WEEK" for x in hidden[5:]], "pay GB29NWBK60161331926819 now", "password: secrets@mail.org. Next"]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "k").collect()}
+    for i, h in enumerate(hidden):
+        assert len(out[i].entities) == 1 and out[i].surrogate_text.split()[-1] == texts[i].split()[-1], texts[i]
+        assert len(out[i].surrogate_text) == len(texts[i])
+        assert not any(h[k : k + 6] in out[i].surrogate_text for k in range(12 if i == 7 else 0, len(h) - 5)), texts[i]  # of more than 16 digits the first stay
+    assert out[9].entities[0].surrogate == out[5].entities[0].surrogate.replace(" ", "") and out[9].entities[0].id == out[5].entities[0].id
+    assert [e.type for e in out[10].entities] == ["secret"] and out[10].surrogate_text.endswith(". Next") and out[7].surrogate_text.endswith(" THIS WEEK")
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
