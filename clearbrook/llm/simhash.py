@@ -30,8 +30,10 @@ PAIRS_PER_KEY = 200
 BROADCAST_NODES = 200_000
 #: Texts that frequent shingles are looked for in at most, and the share of them that makes one frequent. They only order shingles; no result depends on them.
 SAMPLED, FREQUENT = 20_000, 0.001
-#: Neighbours in a run of one shingle that are tested in turn before all pairs still apart are: a large group is mostly joined by the first.
-REACHES = (4, None)
+#: Neighbours in a run of one shingle that are compared before all pairs still apart are: a large group is mostly joined by the first.
+REACHES = (8, None)
+#: Least and largest number of bits of a parity sketch, which has four for each shingle in between.
+SKETCH_BITS = (256, 4096)
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
 
@@ -97,20 +99,27 @@ def with_fingerprints(df: DataFrame, text: str = "text", size: int = 3, prints:
 # -- the plan: parts and thresholds ------------------------------------------------------------------------
 
 
-def bit_counts(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
-    """(rows, for each pair of bits the rows that have both): 64 x 64 numbers, whatever the number of rows."""
+def bit_counts(fps: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """By print number k: (rows, for each pair of bits the rows that have both). 64 x 64 numbers for each k, whatever the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((64, 64), dtype=np.int64), 0
+        both: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 65536):
-                bits = np.unpackbits(batch.column(0)[k : k + 65536].to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                both += (bits.T @ bits).astype(np.int64)
-                n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(4097)), pa.array([*both.ravel().tolist(), n])], ["at", "n"])
-
-    sums = {r["at"]: r["n"] for r in fps.select(column).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    return sums.get(4096, 0), np.array([sums.get(i, 0) for i in range(4096)], dtype=np.float64).reshape(64, 64)
+            for i in range(0, batch.num_rows, 65536):
+                k = batch.column(0)[i : i + 65536].to_numpy()
+                bits = np.unpackbits(batch.column(1)[i : i + 65536].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                for x in np.unique(k):
+                    own = bits[k == x]
+                    sums = both.setdefault(int(x), np.zeros(4097, dtype=np.int64))
+                    sums[:4096] += (own.T @ own).astype(np.int64).ravel()
+                    sums[4096] += len(own)
+        for x, sums in both.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(4097, x, dtype=np.int32)), pa.array(np.arange(4097, dtype=np.int32)), pa.array(sums)], ["k", "at", "n"])
+
+    found: dict[int, np.ndarray] = {}
+    for r in fps.select(F.col("k").cast("int"), "fp").mapInArrow(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r["k"], np.zeros(4097))[r["at"]] = r["n"]
+    return {k: (int(x[4096]), x[:4096].reshape(64, 64)) for k, x in found.items()}
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -192,21 +201,24 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def _keys(fp: DataFrame, plan: list[tuple[list[int], int]], salt: int) -> DataFrame:
-    """(key, fp, node, free): a row for each part value within the part's threshold; free: the bits outside the part."""
+def _keys(fp: DataFrame, plans: dict[int, list[tuple[list[int], int]]]) -> DataFrame:
+    """(key, fp, node, free): a row for each part value within the part's threshold; free: the bits outside the part. Each print number has its own plan and keys."""
     node = fp.schema["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = _column(batch, "fp")
-            for k, (bits, t) in enumerate(plan):
-                own = _mask(bits)
-                for n in range(t + 1):
-                    for flipped in combinations(bits, n):
-                        key = _mixed(salt * 64 + k, (f & own) ^ _mask(list(flipped)))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp"), batch.column("node"), pa.array(np.full(len(f), ~own).view(np.int64))], ["key", "fp", "node", "free"])
+            prints = batch.column("k").to_numpy()
+            for x in np.unique(prints).tolist():
+                rows = batch.filter(pa.array(prints == x))
+                f = _column(rows, "fp")
+                for part, (bits, t) in enumerate(plans[x]):
+                    own = _mask(bits)
+                    for n in range(t + 1):
+                        for flipped in combinations(bits, n):
+                            key = _mixed(x * 64 + part, (f & own) ^ _mask(list(flipped)))
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rows.column("fp"), rows.column("node"), pa.array(np.full(len(f), ~own).view(np.int64))], ["key", "fp", "node", "free"])
 
-    return fp.select("fp", "node").mapInArrow(run, f"key long, fp long, node {node.dataType.simpleString()}, free long")
+    return fp.select(F.col("k").cast("int"), "fp", "node").mapInArrow(run, f"key long, fp long, node {node.dataType.simpleString()}, free long")
 
 
 def _split(rows: DataFrame, tau: int) -> DataFrame:
@@ -225,13 +237,17 @@ def _split(rows: DataFrame, tau: int) -> DataFrame:
     return rows.select("key", "fp", "node", "free").mapInArrow(run, rows.select("key", "fp", "node", "free").schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """Whole runs of equal keys (sorted by key), many at a time; (True, rows) for rows of a run that is longer than ``longest``."""
+def _runs(batches: Iterator[pa.RecordBatch], longest: int, tau: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Whole runs of equal keys (sorted by key), many at a time; (True, rows) for rows of a run that is longer than ``longest`` and can be split.
+
+    Fingerprints of a run that has no more than ``tau`` free bits left differ in those and in the few flipped bits
+    only: there are at most a few thousand different ones, so such a run is held whole.
+    """
 
     def cut(rows: pa.RecordBatch) -> Iterator[tuple[bool, pa.RecordBatch]]:
-        key = _column(rows, "key")
+        key, free = _column(rows, "key"), _column(rows, "free")
         starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        long = np.flatnonzero(np.diff(starts) > longest)
+        long = np.flatnonzero((np.diff(starts) > longest) & (np.bitwise_count(free[starts[:-1]]) > tau))
         at = 0
         for r in long:
             if starts[r] > at:
@@ -256,13 +272,12 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[boo
                 continue
             hot = None
         if held:
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
-            batch = whole[0]
+            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
             key, held = _column(batch, "key"), []
         last = int(np.argmax(key == key[-1]))  # sorted: the first row of the last key
         if last:
             yield from cut(batch.slice(0, last))
-        if len(key) - last > longest:
+        if len(key) - last > longest and int(_column(batch, "free")[-1]).bit_count() > tau:
             hot = key[-1]
             yield True, batch.slice(last)
         else:
@@ -286,27 +301,15 @@ def _links(key: np.ndarray, f: np.ndarray, tau: int) -> Iterator[tuple[np.ndarra
 
 
 def _probe(rows: DataFrame, tau: int, longest: int) -> DataFrame:
-    """Links as a forest for each key (kind 0: a, b and their fingerprints in fp and free), and rows of runs that are too long (kind 1). Links between rows of one tree add nothing and are left out."""
-    kind = rows.schema["node"].dataType
-    node = pa.string() if kind.simpleString() == "string" else pa.int64()
+    """Links as a forest for each key (kind 0: a and b), and rows of runs that are too long (kind 1: group, a, fp, free). Links between rows of one tree add nothing and are left out."""
+    node = pa.string() if rows.schema["node"].dataType.simpleString() == "string" else pa.int64()
     names = ["kind", "group", "a", "b", "fp", "free"]
 
-    def out(kind_: int, group: np.ndarray, a: pa.Array, b: pa.Array | None, f: np.ndarray, free: np.ndarray | None) -> pa.RecordBatch:
-        n = len(group)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind_, dtype=np.int32)), pa.array(group.view(np.int64)), a, pa.nulls(n, node) if b is None else b, pa.array(f.view(np.int64)), pa.nulls(n, pa.int64()) if free is None else pa.array(free.view(np.int64))], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for long, batch in _runs(batches, longest):
-            key, f, nodes = _column(batch, "key"), _column(batch, "fp"), batch.column("node")
+        for long, batch in _runs(batches, longest, tau):
+            key, f, nodes, n = _column(batch, "key"), _column(batch, "fp"), batch.column("node"), batch.num_rows
             if long:
-                free = _column(batch, "free")
-                few = np.bitwise_count(free) <= tau
-                if few.all():  # all of them are within tau: a chain joins them
-                    if len(key) > 1:
-                        yield out(0, key[1:], nodes.slice(0, len(key) - 1), nodes.slice(1), f[:-1], f[1:])
-                    yield out(2, key[:1], nodes.slice(0, 1), None, f[:1], None)
-                else:
-                    yield out(1, key, nodes, None, f, free)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int32)), batch.column("key"), nodes, pa.nulls(n, node), batch.column("fp"), batch.column("free")], names)
                 continue
             up: dict[int, int] = {}
 
@@ -324,24 +327,20 @@ def _probe(rows: DataFrame, tau: int, longest: int) -> DataFrame:
                         first.append(x)
                         second.append(y)
             if first:
-                yield out(0, key[first], nodes.take(pa.array(first)), nodes.take(pa.array(second)), f[first], f[second])
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), pa.array(key[first].view(np.int64)), nodes.take(pa.array(first)), nodes.take(pa.array(second)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
-    schema = f"kind int, `group` long, a {kind.simpleString()}, b {kind.simpleString()}, fp long, free long"
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    kind = rows.schema["node"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"kind int, `group` long, a {kind}, b {kind}, fp long, free long")
 
 
-def near_links(fp: DataFrame, tau: int, longest: int = RUN, salt: int = 0) -> DataFrame:
-    """(group, a, b, fa, fb) edges between nodes of ``fp`` (node, fp; distinct), with their fingerprints, that join all nodes within ``tau`` bits of each other, directly or through others of their group."""
-    n, both = bit_counts(fp)
-    rows = _keys(fp, plan_parts(n, both, tau), salt)
-    edges = None
+def near_links(fp: DataFrame, tau: int, longest: int = RUN) -> DataFrame:
+    """(a, b) edges between nodes of ``fp`` (node, fp and, if there are several prints, its number k; the fingerprints of a k are distinct) that join all nodes within ``tau`` bits of each other, directly or through others."""
+    fp = fp if "k" in fp.columns else fp.withColumn("k", F.lit(0))
+    rows, edges = _keys(fp, {k: plan_parts(n, both, tau) for k, (n, both) in bit_counts(fp).items()}), None
     while True:
         found = staged(_probe(rows, tau, longest), "probed")
-        new = found.where("kind = 0").select("group", "a", "b", F.col("fp").alias("fa"), F.col("free").alias("fb"))
-        ends = found.where("kind = 2")
-        if not ends.isEmpty():  # chains of one run are joined through their first nodes
-            firsts = ends.groupBy("group").agg(F.min(F.struct(F.col("a").alias("b"), F.col("fp").alias("fb"))).alias("_first"))
-            new = new.unionByName(ends.join(firsts, "group").select("group", "a", "_first.b", F.col("fp").alias("fa"), "_first.fb"))
+        new = found.where("kind = 0").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         long = found.where("kind = 1").select(F.col("group").alias("key"), "fp", F.col("a").alias("node"), "free")
         if long.isEmpty():
@@ -372,25 +371,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, node, shingles): the sorted set of each text's shingle hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 sets = [np.unique(shingle_hashes(t.as_py(), size)).astype("<u8").tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.array(sets, pa.binary())], ["id", "node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, shingles binary")
+    return texts.select("id", "node", "text").mapInArrow(run, "id long, node string, shingles binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (with a and b) and ``alike``: whether the Jaccard similarity of their shingle sets is ``least`` or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b")
-    names = [c for c in both.columns if c not in ("_sa", "_sb")]
+    """``pairs`` (ids a and b) with the digests x and y of their texts and ``alike``: whether the Jaccard similarity of their shingle sets is ``least`` or more."""
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("node").alias("x"), F.col("shingles").alias("_sx")), "a").join(sets.select(F.col("id").alias("b"), F.col("node").alias("y"), F.col("shingles").alias("_sy")), "b")
+    names = ["a", "b", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
-            for x, y in zip(batch.column("_sa"), batch.column("_sb"), strict=True):
+            for x, y in zip(batch.column("_sx"), batch.column("_sy"), strict=True):
                 x, y = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
@@ -410,8 +411,8 @@ def _one_of_each(texts: DataFrame) -> DataFrame:
     return texts.join(again, "node", "left_anti").unionByName(texts.join(again, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
 
-def _frequent_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles in order, and their counts, over a sample of about ``SAMPLED`` of ``n`` texts."""
+def _frequent_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frequent shingles in order, and their counts, over a sample of about ``SAMPLED`` of ``n`` texts; and how many texts one of the sample stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,73 +425,148 @@ def _frequent_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray,
     often = part.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, FREQUENT * min(n, SAMPLED))).toArrow()
     shingles, counts = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(shingles)
-    return shingles[order], counts[order]
+    return shingles[order], counts[order], max(1.0, n / SAMPLED)
 
 
-def _prefix_keys(texts: DataFrame, size: int, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, size, at): the first shingles of each set in one order, rare ones first, so many that two sets with a similarity of ``least`` share one of them."""
+def _prefix_keys(texts: DataFrame, size: int, least: float, often: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(key, id, size, at, deal): the first shingles of each set in one order, rare ones first, so many that two sets with a similarity of ``least`` share one of them.
+
+    deal: -1, but for keys known as frequent a number that spreads their rows over several tasks.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = sent.value
+        frequent, counts, times = sent.value
+        deals = np.ceil(counts * times / RUN).astype(np.int64)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for k in range(0, batch.num_rows, 200):
-                keys, sizes = [], []
-                for t in batch.column("text")[k : k + 200]:
+                keys, sizes, dealt = [], [], []
+                for i, t in zip(ids[k : k + 200].tolist(), batch.column("text")[k : k + 200], strict=True):
                     h = np.unique(shingle_hashes(t.as_py(), size))
                     sizes.append(len(h))
-                    if len(h) and len(frequent):
+                    n = len(h) - math.ceil(least * len(h) - 1e-9) + 1 if len(h) else 0
+                    deal = np.full(n, -1, dtype=np.int64)
+                    if n and len(frequent):
                         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                        h = h[np.lexsort((h, np.where(frequent[at] == h, counts[at], 0)))]
-                    keys.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                        known = frequent[at] == h
+                        order = np.lexsort((h, np.where(known, counts[at], 0)))[:n]
+                        h, known, at = h[order], known[order], at[order]
+                        deal[known] = i % deals[at[known]]
+                    keys.append(h[:n])
+                    dealt.append(deal)
                 n = [len(x) for x in keys]
                 at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[k : k + 200], n)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), n)), pa.array(at)], ["key", "id", "size", "at"])
+                columns = np.concatenate(keys).view(np.int64), np.repeat(ids[k : k + 200], n), np.repeat(np.array(sizes, dtype=np.int32), n), at, np.concatenate(dealt)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "at", "deal"])
 
-    return texts.select(_id("node").alias("id"), "text").mapInArrow(run, "key long, id long, size int, at int")
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, size int, at int, deal long")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of keys that more than one row has."""
+    """(key, id, size, at) of keys that more than one row has. A stream of sorted rows, of which one is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 1 << 62):
+        held, met = None, False  # the last row so far, and whether it equals the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = _column(rows, "key")
-            same = np.concatenate(([False], key[1:] == key[:-1], [False]))
-            yield rows.filter(pa.array(same[1:] | same[:-1]))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate(([met], same)) | np.concatenate((same, [False])) | (rows.column("deal").to_numpy() >= 0)
+            yield rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+            held, met = rows.slice(len(key) - 1), bool(same[-1]) if len(same) else met
+        if held is not None and (met or held.column("deal")[0].as_py() >= 0):
+            yield held
+
+    return keys.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(run, keys.schema).drop("deal")
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema)
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """A bit is 1 if an odd number of the set's hashes fall on it. Two sets differ in at least as many elements as their sketches in bits."""
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << max(0, 4 * len(shingles) - 1).bit_length()))
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
-def _prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, reach: int | None) -> DataFrame:
-    """(a, b): ids of one key (of at most ``reach`` rows apart, by size) with different roots whose sizes and places of the key allow a similarity of ``least``."""
 
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 1 << 62):
-            key, root = _column(rows, "key"), _column(rows, "root")
-            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            keep = np.repeat(mixed, np.diff(np.append(starts, len(key))))
-            if not keep.any():
-                continue
-            key, root = key[keep], root[keep]
-            ids, size, at = (rows.column(c).to_numpy()[keep] for c in ("id", "size", "at"))
-            here, d = np.arange(len(key)), 0
+        for batch in batches:
+            sketches = [parity_sketch(np.unique(shingle_hashes(t.as_py(), size))) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sketches, pa.binary())], ["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+
+
+class SketchTable:
+    """The sketches of some rows, by width; a wider one is folded to the width of a narrower one before they are compared."""
+
+    def __init__(self, sketches: pa.Array) -> None:
+        values, self.of = sketches.to_pylist(), {}
+        self.width = np.array([len(x) for x in values])
+        for w in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            table = np.frombuffer(b"".join(values[i] for i in own), dtype=np.uint64).reshape(-1, w // 8)
+            if len(wider):
+                halves = np.frombuffer(b"".join(values[i] for i in wider), dtype=np.uint64).reshape(-1, 2, w // 8)
+                table = np.concatenate((table, halves[:, 0] ^ halves[:, 1]))
+            at = np.full(len(values), -1)
+            at[np.concatenate((own, wider))] = np.arange(len(table))
+            self.of[w] = (table, at)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows x and y differ; 0 where one is over twice as wide."""
+        out = np.zeros(len(x), dtype=np.int64)
+        least = np.minimum(self.width[x], self.width[y])
+        for w, (table, at) in self.of.items():
+            here = np.flatnonzero((least == w) & (at[x] >= 0) & (at[y] >= 0))
+            for k in range(0, len(here), 20_000):
+                part = here[k : k + 20_000]
+                out[part] = np.bitwise_count(table[at[x[part]]] ^ table[at[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _prefix_pairs(rows: DataFrame, least: float, reach: int | None) -> DataFrame:
+    """(a, b): ids of one key (of at most ``reach`` rows apart, by size) with different roots whose sizes, places of the key and sketches allow a similarity of ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _runs(batches, 1 << 62, 64):
+            key, root = _column(part, "key"), _column(part, "root")
+            ids, size, at, side = (part.column(c).to_numpy() for c in ("id", "size", "at", "side"))
+            sketches, here, d = None, np.arange(len(key)), 0
             while len(here) and d != reach:
                 d += 1
                 here = here[here + d < len(key)]
                 # In order of size: one that is too long for a row is followed by longer ones.
                 here = here[(key[here] == key[here + d]) & (size[here] >= least * size[here + d] - 1e-9)]
                 there = here + d
+                both = size[here] + size[there]
                 most = np.minimum(size[here] - at[here], size[there] - at[there])  # if this key is the first that they share
-                near = (root[here] != root[there]) & (most >= least / (1 + least) * (size[here] + size[there]) - 1e-9)
+                near = (root[here] != root[there]) & ((side[here] == 0) | (side[here] != side[there])) & (most >= least / (1 + least) * both - 1e-9)
                 if near.any():
-                    x, y = ids[here[near]], ids[there[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    sketches = sketches or SketchTable(part.column("sketch"))
+                    x, y = here[near], there[near]
+                    x, y = (z[sketches.differ(x, y) <= (1 - least) / (1 + least) * both[near] + 1e-9] for z in (x, y))
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(run, "a long, b long").distinct()
 
-    rows = shared.join(_small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return rows.select("key", "id", "root", "size", "at").repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(run, "a long, b long").distinct()
+
+def _mixed_keys(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, size, at, root, n) of keys whose rows have different roots; n: rows of the key."""
+    rooted = rows.join(_small(roots), "id", "left").select("key", "id", "size", "at", F.coalesce("root", "id").alias("root"))
+    keys = staged(rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where("_a <> _b").select("key", "n"), "mixed-keys")
+    return staged(rooted.join(_small(keys), "key"), "mixed-rows")
+
+
+def _in_blocks(rows: DataFrame, longest: int) -> DataFrame:
+    """The rows of a key of more than ``longest`` rows dealt out, and each deal met with each other one under a key of their own. side: 1 and 2 for the two deals of such a key, else 0."""
+    deals = F.ceil(F.col("n") / longest).cast("int")
+    own = F.pmod(F.xxhash64("id"), deals).cast("int")
+    met = F.transform(F.sequence(F.lit(0), deals - 1), lambda d: F.struct(F.least(own, d).alias("i"), F.greatest(own, d).alias("j"), F.when(d == own, 0).when(own < d, 1).otherwise(2).alias("side")))
+    placed = rows.where(F.col("n") > longest).select("*", F.explode(met).alias("m")).select(F.xxhash64("key", "m.i", "m.j").alias("key"), "id", "size", "at", "root", "m.side")
+    return rows.where(F.col("n") <= longest).select("key", "id", "size", "at", "root", F.lit(0).alias("side")).unionByName(placed)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, prints: int = 4, tau: int = 5, longest: int = RUN) -> DataFrame:
@@ -499,42 +575,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     Two texts are alike if the sets of their ``size``-word shingles have a Jaccard similarity of ``least`` or
     more. Most are found by ``prints`` fingerprints over distinct words that differ in ``tau`` bits at most
     (``near_links``). That can miss copies that gained or lost a block, so all texts that are still apart and share
-    one of their rarest shingles, as every two alike do, are candidates as well: no pair is missed. Each candidate
-    is verified on the shingles. group_id is a hash of the group's smallest text digest. Equal texts are one candidate, whatever
-    their number. Null and empty texts are alike among themselves. Of rows of one text and key
+    one of their rarest shingles, as every two alike do, are compared as well inside the tasks, by bounds that no pair
+    alike fails: no pair is missed. Each candidate is verified on the shingles. group_id is a hash of the group's
+    smallest text digest. Equal texts are one candidate, whatever their number. Null and empty texts are alike among
+    themselves; very long ones are compared whole; an empty table gives none. Of rows of one text and key
     that come first all are marked to stay, and as repeated; null keys come last. Input columns named like an output stay as ``<name>_in``.
     """
     docs = set_aside(docs, ["group_id", "keep", "repeated", "_node"])
+    text = text if text in docs.columns else f"{text}_in"
+    key = key if key in docs.columns else f"{key}_in"
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     texts = docs.select(digest.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = staged(with_fingerprints(texts, "text", 1, prints, True).distinct(), "texts")
-    found = None
-    for k in range(prints):
-        links = near_links(marked.select("node", F.col("fps")[k].alias("fp")), tau, longest, k)
-        found = links if found is None else found.unionByName(links)
-    found = staged(found, "candidates")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-        sets = staged(_shingle_sets(texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), size), "shingle-sets")
-        return staged(_alike(pairs, sets, least), "tested")
-
-    tested = verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = staged(components(tested.where("alike").select("a", "b")), "roots")
+    single = staged(_one_of_each(texts).select("node", _id("node").alias("id"), "text"), "texts")
+    marked = with_fingerprints(single.select("id", "text"), "text", 1, prints, True).select("id", F.posexplode("fps").alias("k", "fp"))
+    marked = staged(marked, "fingerprints")
+    firsts = staged(marked.groupBy("k", "fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "fingerprint-nodes")
+    equal = marked.join(_small(staged(firsts.where("n > 1").drop("n"), "equal-fingerprints")), ["k", "fp"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    found = near_links(firsts.drop("n"), tau, longest).unionByName(equal)
+    tested = roots = None
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All pairs tested so far and the components of those alike."""
+        pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        ends = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+        sets = staged(_shingle_sets(single.join(_small(ends), "id", "left_semi"), size), "shingle-sets")
+        now = staged(_alike(pairs, sets, least), "tested")
+        now = now if tested is None else tested.unionByName(now)
+        return now, staged(components(now.where("alike").select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+
+    tested, roots = verified(found)
     # Fingerprints miss pairs, and forests of them leave some out: every pair still apart that can be alike shares a key.
-    single = _one_of_each(texts)
-    often = _frequent_shingles(single, size, marked.count())
-    shared = staged(_shared_keys(_prefix_keys(single, size, least, often)), "shared-keys")
+    often = _frequent_shingles(single, size, single.count())
+    rows, sketches = staged(_shared_keys(_prefix_keys(single, size, least, often)), "shared-keys"), None
     for reach in REACHES:
-        pairs = staged(_prefix_pairs(shared, roots.select(_id("node").alias("id"), _id("root").alias("root")), least, reach), "prefix-pairs")
-        if pairs.isEmpty():
-            continue
-        met = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "met")
-        names = staged(marked.select(_id("node").alias("id"), "node").join(_small(met), "id"), "names")
-        named = pairs.join(names.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
-        named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.unionByName(verified(staged(named, "named")))
-        roots = staged(components(tested.where("alike").select("a", "b")), "roots")
+        rows = _mixed_keys(rows.select("key", "id", "size", "at"), roots.select(_id("node").alias("id"), _id("root").alias("root")))
+        if sketches is None:
+            sketches = staged(_sketches(single.join(_small(staged(rows.select("id").distinct(), "met")), "id", "left_semi"), size), "sketches")
+        met = _in_blocks(rows, longest).join(sketches, "id").withColumn("free", F.lit(-1).cast("long"))
+        pairs = staged(_prefix_pairs(met, least, reach).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "prefix-pairs")
+        if not pairs.isEmpty():
+            tested, roots = verified(pairs)
     rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_node").alias("node"), F.col("rows"))
     firsts = docs.select(F.col(key), digest.alias("_node")).groupBy("_node", F.col(key)).agg(F.count("*").alias("rows"))
     firsts = firsts.groupBy("_node").agg(F.min(rank).alias("_first"), F.sum("rows").alias("_rows")).join(roots.withColumnRenamed("node", "_node"), "_node", "left")

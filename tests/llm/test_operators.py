@@ -128,7 +128,8 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert out[1].group_id == out[2].group_id == out[3].group_id and out[6].group_id == out[7].group_id
 
 
-def test_near_duplicates_of_gained_lost_and_edited_blocks_against_brute_force(spark):
+@pytest.mark.parametrize("longest", [simhash.RUN, 6])
+def test_near_duplicates_of_gained_lost_and_edited_blocks_against_brute_force(spark, longest):
     r = random.Random(11)
     rows = []
     for i in range(60):
@@ -147,11 +148,23 @@ def test_near_duplicates_of_gained_lost_and_edited_blocks_against_brute_force(sp
             if (x := todo.pop()) not in group:
                 group[x] = i
                 todo += near[x]
-    out = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(3)).collect()}
+    out = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(3), longest=longest).collect()}
     assert len(set(group.values())) < len(rows) - 60
     assert {frozenset(i for i in out if out[i] == g) for g in out.values()} == {frozenset(i for i in group if group[i] == g) for g in group.values()}
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    r = np.random.default_rng(5)
+    for n in (3, 60, 70, 500, 3000):
+        x = r.integers(0, 1 << 62, n).astype(np.uint64)
+        others = [np.concatenate((x[k:], r.integers(0, 1 << 62, k + extra).astype(np.uint64))) for k in (0, 1, n // 9, n // 3) for extra in (0, n // 5)]
+        table = simhash.SketchTable(__import__("pyarrow").array([simhash.parity_sketch(y) for y in (x, *others)]))
+        bits = table.differ(np.zeros(len(others), dtype=int), np.arange(1, len(others) + 1))
+        apart = [len(set(x.tolist()) ^ set(y.tolist())) for y in others]
+        assert all(b <= a for b, a in zip(bits.tolist(), apart, strict=True)) and bits[0] == 0
+        assert n < 60 or bits[4] > 0.7 * apart[4]
+
+
 def test_thresholds_add_up():
     r = np.random.default_rng(0)
     x = (r.random((500, 64)) < np.linspace(0.1, 0.9, 64)).astype(float)
