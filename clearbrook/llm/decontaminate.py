@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import load, schema_with, set_aside
+from clearbrook.llm.shared import load, map_batches, schema_with, set_aside
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, CONTAINED = 5, 0.8
@@ -46,7 +46,7 @@ class WordHashes(dict):
     """XXH64 of words; starts anew when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
         return h
@@ -136,7 +136,7 @@ def _searched(docs: DataFrame, sketches: Sketches, text: str, name: str) -> Data
             hits = pa.array([sketches.search(t.as_py(), memory) for t in batch.column(at)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema_with(docs, f"{name} {HIT}"))
+    return map_batches(docs, run, schema_with(docs, f"{name} {HIT}"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

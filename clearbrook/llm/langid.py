@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import held_out, load, schema_with, set_aside
+from clearbrook.llm.shared import held_out, load, map_batches, schema_with, set_aside
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Entries that the model keeps of the words and of each n-gram length, the most frequent ones: its size is bounded whatever the corpus.
@@ -21,7 +21,7 @@ MODEL_WORDS, MODEL_NGRAMS, LONGEST = 60_000, 20_000, 5
 #: Share of a frequency that comes from all languages together: languages that lack an entry all get the same, less than one that has it.
 BACKGROUND = 0.01
 #: Words that a worker remembers the scores of.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 
 @dataclass
@@ -107,7 +107,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
     length, kept or not. Only the kept entries, a bounded number, reach the driver.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = known.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    counted = map_batches(known, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
         grams_of = lambda n: F.sum(F.col("n") * F.greatest(F.length("word") + (3 - n), F.lit(0)))  # noqa: E731  (a word with its edges)
         sums = counted.groupBy("lang").agg(F.sum("n").alias("words"), *[grams_of(n).alias(f"g{n}") for n in range(1, longest + 1)]).collect()
@@ -141,7 +141,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
             found = [model.classify(t.as_py(), memory) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(predict, schema)
+    return map_batches(df, predict, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

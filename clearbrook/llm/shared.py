@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,12 +16,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), the context's own, a new local one if it has none."""
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``, or else the context's own; raises if there is none, as a local folder isn't seen by other executors."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        at = context.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return at
 
 
@@ -32,19 +31,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
-    """Columns of ``df`` that an operator's outputs would clash with are kept as ``<name>_in`` (``_in_in`` and so on if that is taken)."""
-    taken, renamed = {c.lower() for c in df.columns} | {n.lower() for n in names}, {}
-    for c in df.columns:
+#: Arrow batches hold rows of so many bytes; a row that is larger is one of its own.
+BATCH_BYTES = "4m"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded size: sets the session's limit of bytes where none is set, as 10,000 long texts are too much for a task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def _aside(columns: list[str], names: list[str]) -> dict[str, str]:
+    taken, renamed = {c.lower() for c in columns} | {n.lower() for n in names}, {}
+    for c in columns:
         if c.lower() in {n.lower() for n in names}:
             new = f"{c}_in"
             while new.lower() in taken:
                 new += "_in"
             taken.add(new.lower())
             renamed[c] = new
+    return renamed
+
+
+def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns of ``df`` that an operator's outputs would clash with are kept as ``<name>_in`` (``_in_in`` and so on if that is taken)."""
+    renamed = _aside(df.columns, names)
     return df.withColumnsRenamed(renamed) if renamed else df
 
 
+def given(out: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``df`` as they were, from the result of an operator that has set aside those named like its outputs ``names``."""
+    renamed = _aside(df.columns, names)
+    return out.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in df.columns])
+
+
 def schema_with(df: DataFrame, added: str) -> StructType:
     """The schema of ``df`` and the columns of a DDL string after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearbrook.llm.components import components
-from clearbrook.llm.shared import load, schema_with, set_aside, staged
+from clearbrook.llm.shared import load, map_batches, schema_with, set_aside, staged
 
 #: Longest run of one key that a task compares within itself; every longer one is split by more bits.
 RUN = 2048
@@ -93,7 +93,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", size: int = 3, prints:
             fps = pa.ListArray.from_arrays(pa.array(np.arange(0, prints * batch.num_rows + 1, prints, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], fps], [*[batch.schema.names[i] for i in kept], "fps"])
 
-    return rest.mapInArrow(run, rest_schema)
+    return map_batches(rest, run, rest_schema)
 
 
 # -- the plan: parts and thresholds ------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def bit_counts(fps: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(4097, x, dtype=np.int32)), pa.array(np.arange(4097, dtype=np.int32)), pa.array(sums)], ["k", "at", "n"])
 
     found: dict[int, np.ndarray] = {}
-    for r in fps.select(F.col("k").cast("int"), "fp").mapInArrow(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(fps.select(F.col("k").cast("int"), "fp"), run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
         found.setdefault(r["k"], np.zeros(4097))[r["at"]] = r["n"]
     return {k: (int(x[4096]), x[:4096].reshape(64, 64)) for k, x in found.items()}
 
@@ -218,7 +218,7 @@ def _keys(fp: DataFrame, plans: dict[int, list[tuple[list[int], int]]]) -> DataF
                             key = _mixed(x * 64 + part, (f & own) ^ _mask(list(flipped)))
                             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rows.column("fp"), rows.column("node"), pa.array(np.full(len(f), ~own).view(np.int64))], ["key", "fp", "node", "free"])
 
-    return fp.select(F.col("k").cast("int"), "fp", "node").mapInArrow(run, f"key long, fp long, node {node.dataType.simpleString()}, free long")
+    return map_batches(fp.select(F.col("k").cast("int"), "fp", "node"), run, f"key long, fp long, node {node.dataType.simpleString()}, free long")
 
 
 def _split(rows: DataFrame, tau: int) -> DataFrame:
@@ -234,7 +234,7 @@ def _split(rows: DataFrame, tau: int) -> DataFrame:
                     own = _mask(bits[k :: tau + 1])
                     yield pa.RecordBatch.from_arrays([pa.array(_mixed(key[at], k, f[at] & own).view(np.int64)), batch.column("fp").take(pa.array(at)), batch.column("node").take(pa.array(at)), pa.array(np.full(len(at), mask & ~own).view(np.int64))], ["key", "fp", "node", "free"])
 
-    return rows.select("key", "fp", "node", "free").mapInArrow(run, rows.select("key", "fp", "node", "free").schema)
+    return map_batches(rows.select("key", "fp", "node", "free"), run, rows.select("key", "fp", "node", "free").schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], longest: int, tau: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -331,7 +331,7 @@ def _probe(rows: DataFrame, tau: int, longest: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), pa.array(key[first].view(np.int64)), nodes.take(pa.array(first)), nodes.take(pa.array(second)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
     kind = rows.schema["node"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"kind int, `group` long, a {kind}, b {kind}, fp long, free long")
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, f"kind int, `group` long, a {kind}, b {kind}, fp long, free long")
 
 
 def near_links(fp: DataFrame, tau: int, longest: int = RUN) -> DataFrame:
@@ -367,6 +367,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_components(load(spark, sf_dir, "documents"))
 
 
+#: Columns that ``near_duplicates`` adds or uses.
+NEAR_OUTPUTS = ["group_id", "keep", "repeated", "_node"]
+
 # -- near-duplicate groups by shingle similarity ---------------------------------------------------------------
 
 
@@ -380,7 +383,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.as_py(), size)).astype("<u8").tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.array(sets, pa.binary())], ["id", "node", "shingles"])
 
-    return texts.select("id", "node", "text").mapInArrow(run, "id long, node string, shingles binary")
+    return map_batches(texts.select("id", "node", "text"), run, "id long, node string, shingles binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -397,7 +400,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 alike.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(alike, pa.bool_())], [*names, "alike"])
 
-    return both.mapInArrow(run, schema_with(both.select(*names), "alike boolean"))
+    return map_batches(both, run, schema_with(both.select(*names), "alike boolean"))
 
 
 def _id(node: str) -> Column:
@@ -422,7 +425,7 @@ def _frequent_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
     part = texts if n <= SAMPLED else texts.where(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLED)
-    often = part.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, FREQUENT * min(n, SAMPLED))).toArrow()
+    often = map_batches(part.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, FREQUENT * min(n, SAMPLED))).toArrow()
     shingles, counts = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], counts[order], max(1.0, n / SAMPLED)
@@ -460,7 +463,7 @@ def _prefix_keys(texts: DataFrame, size: int, least: float, often: tuple[np.ndar
                 columns = np.concatenate(keys).view(np.int64), np.repeat(ids[k : k + 200], n), np.repeat(np.array(sizes, dtype=np.int32), n), at, np.concatenate(dealt)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "at", "deal"])
 
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, size int, at int, deal long")
+    return map_batches(texts.select("id", "text"), run, "key long, id long, size int, at int, deal long")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -480,7 +483,7 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
         if held is not None and (met or held.column("deal")[0].as_py() >= 0):
             yield held
 
-    return keys.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(run, keys.schema).drop("deal")
+    return map_batches(keys.repartition("key", "deal").sortWithinPartitions("key", "deal"), run, keys.schema).drop("deal")
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
@@ -495,7 +498,7 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
             sketches = [parity_sketch(np.unique(shingle_hashes(t.as_py(), size))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sketches, pa.binary())], ["id", "sketch"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+    return map_batches(texts.select("id", "text"), run, "id long, sketch binary")
 
 
 class SketchTable:
@@ -550,7 +553,7 @@ def _prefix_pairs(rows: DataFrame, least: float, reach: int | None) -> DataFrame
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(rows.repartition("key").sortWithinPartitions("key", "size", "id"), run, "a long, b long").distinct()
 
 
 def _mixed_keys(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -581,7 +584,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     themselves; very long ones are compared whole; an empty table gives none. Of rows of one text and key
     that come first all are marked to stay, and as repeated; null keys come last. Input columns named like an output stay as ``<name>_in``.
     """
-    docs = set_aside(docs, ["group_id", "keep", "repeated", "_node"])
+    docs = set_aside(docs, NEAR_OUTPUTS)
     text = text if text in docs.columns else f"{text}_in"
     key = key if key in docs.columns else f"{key}_in"
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import held_out, load, schema_with, set_aside, staged
+from clearbrook.llm.shared import held_out, load, map_batches, schema_with, set_aside, staged
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their ids.
@@ -28,6 +28,8 @@ FIT_TASKS = 48
 FEATURES, MIN_ROWS = 1_000, 8
 #: Texts whose features a worker counts at once.
 CHUNK = 100
+#: Words whose features a worker remembers.
+REMEMBERED = 60_000
 STARTS, TIMES = (4, 5, 6, 7), (1, 2, 4)
 REJECT = 0.7
 #: Names of groups by kind; a name is swapped for the next one of its list.
@@ -56,7 +58,7 @@ class Parts(dict):
     """``parts_of`` words that a worker has met; starts anew when it is full."""
 
     def __missing__(self, word: str) -> list[str]:
-        if len(self) >= 200_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self[word] = parts_of(word)
         return found
@@ -88,7 +90,7 @@ class ToxicityModel:
         for w, k in Counter(WORD.findall(text.lower())).items() if text else ():
             known = memory.get(w)
             if known is None:
-                if len(memory) >= 200_000:
+                if len(memory) >= REMEMBERED:
                     memory.clear()
                 known = memory[w] = tuple(p for p in parts_of(w) if p in self.weights or f"{p}|{TIMES[0]}" in self.parts)
             for p in known:
@@ -128,7 +130,7 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return ToxicityModel({}, math.log((pos + 0.5) / (neg + 0.5)))
-    seen = read.mapInArrow(count, "f string, p long, k long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("k").alias("k")).where(F.col("k") >= min_rows)
+    seen = map_batches(read, count, "f string, p long, k long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("k").alias("k")).where(F.col("k") >= min_rows)
     k, rate = F.col("k"), pos / (pos + neg)
     gap = (F.col("p") - k * rate) / F.sqrt(k * rate * (1 - rate) + 1)
     features = [r["f"] for r in seen.orderBy(F.desc(F.abs(gap)), "f").limit(keep).select("f").collect()]
@@ -149,7 +151,7 @@ def train(labelled: DataFrame, terms: list[list[str]] | None = None, strength: f
                 other.append(sorted(at[f] for f in text_features(swapped, memory) if f in at) if swapped else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "x", "s"])
 
-    rows = sorted((r["toxic"], r["x"], r["s"] is not None, r["s"] or []) for r in read.mapInArrow(number, "toxic int, x array<int>, s array<int>").collect())
+    rows = sorted((r["toxic"], r["x"], r["s"] is not None, r["s"] or []) for r in map_batches(read, number, "toxic int, x array<int>, s array<int>").collect())
     y = np.array([r[0] for r in rows], dtype=float)
     own, other = _sparse([r[1] for r in rows]), _sparse([r[3] for r in rows])
     named = np.array([r[2] for r in rows])
@@ -197,7 +199,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", reje
             scores = pa.array([model.score(t.as_py(), memory) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, schema_with(df, "score double")).withColumn("predicted", (F.col("score") >= reject).cast("int"))
+    return map_batches(df, run, schema_with(df, "score double")).withColumn("predicted", (F.col("score") >= reject).cast("int"))
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
