@@ -308,17 +308,27 @@ def test_order_of_rules_changes_no_verdict(odd):
 # -- urls --------------------------------------------------------------------------------------------------------
 
 
-def test_urls_against_brute_force(spark):
+def test_urls_against_brute_force(spark, monkeypatch):
     rules = [("com", "/a", "block"), ("x.com", "/a/b", "allow"), ("x.com", "/a", "block"), ("x.com", "", "allow"), ("y.x.com", "/a/b/c", "block"), ("org", "", "block")]
     hosts, paths = ["x.com", "y.x.com", "ax.com", "com", "z.org", "q.net"], ["", "/", "/a", "/a/b", "/a/b/c/d", "/ab", "/b"]
     rows = [(i, f"http://{h.upper()}{p}?q#f") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(900, None), (901, "no scheme"), (902, "://"), (0, "http://x.com/a")]
-    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, rules), points_per_sweep=3).collect()
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, rules)).collect()
     assert len(out) == len(rows)
+    monkeypatch.setattr(urls, "BLOCK", 1)  # intervals that are open over many blocks
+    assert Counter(urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, rules)).collect()) == Counter(out)
     for r in out:
         fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == ((max(fit)[2], max(fit)[3]) if fit else (None, "allow")), r
 
 
+def test_odd_tables_of_urls(spark):
+    rules = urls.rules_frame(spark, [("com", "/", "block")])
+    df = spark.createDataFrame([("http://a.com/" + "x" * 20_000, "h", "p"), (None, "h", "p")], "url string, host string, path string")
+    assert urls.filter_urls(df.limit(0), rules).count() == 0 and urls.filter_urls(df, rules.limit(0)).where("verdict = 'allow'").count() == 2
+    out = urls.filter_urls(df, rules).collect()
+    assert {(r.host_in, r.path_in) for r in out} == {("h", "p")} and sorted(r.verdict for r in out) == ["allow", "block"]
+
+
 # -- personal data -----------------------------------------------------------------------------------------------
 
 
