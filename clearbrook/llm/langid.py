@@ -13,37 +13,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import held_out, load, map_batches, schema_with, set_aside
-
-WORD = re.compile(r"[^\W\d_]+")
-#: Entries that the model keeps of the words and of each n-gram length, the most frequent ones: its size is bounded whatever the corpus.
-MODEL_WORDS, MODEL_NGRAMS, LONGEST = 60_000, 20_000, 5
+from clearbrook.llm.shared import held_out, load, map_batches, schema_with, set_aside, staged
+
+#: Numbers that aren't decimal digits, such as fractions and circled ones: no letters.
+NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Labelled rows of each language that the model learns from on average, at most; which ones depends on a hash of the row. All their words and n-grams are kept.
+FIT_ROWS = 4_000
+LONGEST = 5
 #: Share of a frequency that comes from all languages together: languages that lack an entry all get the same, less than one that has it.
 BACKGROUND = 0.01
 #: Words that a worker remembers the scores of.
 REMEMBERED = 80_000
 
 
+@dataclass
+class Frequencies:
+    """Log frequencies: a row of ``table`` for each entry, a column for each language."""
+
+    at: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
+
+    def __contains__(self, entry: str) -> bool:
+        return entry in self.at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies: a row of ``words`` or ``ngrams`` has one value for each of ``langs``."""
+    """What was learned: the languages, words, and the n-grams of each length from 1."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    ngrams: dict[str, np.ndarray] = field(default_factory=dict)
-    longest: int = LONGEST
+    words: Frequencies = field(default_factory=Frequencies)
+    ngrams: list[Frequencies] = field(default_factory=list)
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency of a known word; else the mean over the longest of its n-grams (with edges) that the model knows any of; else zeros."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        row = self.words.at.get(word)
+        if row is not None:
+            return self.words.table[row]
         edged = f" {word} "
-        for n in range(min(self.longest, len(edged)), 0, -1):
-            found = [s for i in range(len(edged) - n + 1) if (s := self.ngrams.get(edged[i : i + n])) is not None]
-            if found:
-                return sum(found) / len(found)
+        for n in range(min(len(self.ngrams), len(edged)), 0, -1):
+            known = self.ngrams[n - 1]
+            rows = [r for i in range(len(edged) - n + 1) if (r := known.at.get(edged[i : i + n])) is not None]
+            if rows:
+                return known.table[rows].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def classify(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
@@ -72,65 +89,66 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) summed over each batch, before anything is shuffled."""
     for batch in batches:
         by_lang: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang[lang].update(WORD.findall(text.lower()))
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by_lang[lang].update(WORD.findall(text.as_py().lower()))
         rows = [(lang, word, n) for lang, words in by_lang.items() for word, n in words.items()]
         if rows:
             langs, words, ns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
 
 
-def _log_rows(rows: list, langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """Log relative frequency, mixed with that over all languages."""
-    at, everything = {lang: i for i, lang in enumerate(langs)}, sum(totals.values())
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        p = np.full(len(langs), BACKGROUND * sum(r["ns"]) / everything)
-        for lang, n in zip(r["langs"], r["ns"], strict=True):
-            p[at[lang]] += (1 - BACKGROUND) * n / totals[lang]
-        v = np.log(p).astype(np.float32)
-        out[r["gram"]] = v - v.max()
-    return out
-
-
-def _most_frequent(counted: DataFrame, gram: str, totals: dict[str, int], most: int) -> list:
-    """(gram, langs, ns) of the entries with the largest share of the text of any one language."""
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("lang"))
-    by_gram = counted.groupBy(F.col(gram).alias("gram")).agg(F.max(share).alias("share"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
-    return by_gram.orderBy(F.desc("share"), "gram").limit(most).select("gram", "langs", "ns").collect()
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int = MODEL_WORDS, ngrams: int = MODEL_NGRAMS, longest: int = LONGEST) -> LanguageModel:
-    """Count words of all rows with a text and a language; keep those with the largest share of a language's text, and n-grams likewise, as the model.
-
-    N-grams are counted over distinct words, weighted by how often these occur; shares are of all n-grams of that
-    length, kept or not. Only the kept entries, a bounded number, reach the driver.
+def _learned(counted: DataFrame, langs: list[str]) -> Frequencies:
+    """Log relative frequencies of (lang, gram, n), mixed with those over all languages."""
+    rows = counted.select("lang", "gram", "n").toArrow()
+    if not rows.num_rows:
+        return Frequencies()
+    grams = rows.column("gram").combine_chunks().dictionary_encode()
+    of_lang = {x: i for i, x in enumerate(langs)}
+    n = np.zeros((len(grams.dictionary), len(langs)))
+    np.add.at(n, (grams.indices.to_numpy(), np.array([of_lang[x] for x in rows.column("lang").to_pylist()])), rows.column("n").to_numpy())
+    totals = n.sum(axis=0)
+    p = BACKGROUND * n.sum(axis=1, keepdims=True) / totals.sum() + (1 - BACKGROUND) * n / np.maximum(totals, 1)
+    v = np.log(p)
+    return Frequencies({g: i for i, g in enumerate(grams.dictionary.to_pylist())}, (v - v.max(axis=1, keepdims=True)).astype(np.float32))
+
+
+def fit_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text) of about ``rows`` rows of each language, of all rows where it has fewer; drawn by a hash of the whole row."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
+    often = {x: n for x, n in counts.items() if n > rows}
+    if often:
+        n = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in often.items() for v in kv]), F.col(lang)), F.lit(1))
+        known = known.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]), n) < rows)
+    return known.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS, longest: int = LONGEST) -> LanguageModel:
+    """Count the words of about ``rows`` rows of each language (``fit_rows``) and keep all of them, and all n-grams of up to ``longest`` characters.
+
+    N-grams are counted over distinct words, weighted by how often these occur. The model's size is bounded by that of the rows it
+    is fitted on, whatever the input. Rows without a text or a language are left out; without any row the model knows no language.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = map_batches(known, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    try:
-        grams_of = lambda n: F.sum(F.col("n") * F.greatest(F.length("word") + (3 - n), F.lit(0)))  # noqa: E731  (a word with its edges)
-        sums = counted.groupBy("lang").agg(F.sum("n").alias("words"), *[grams_of(n).alias(f"g{n}") for n in range(1, longest + 1)]).collect()
-        totals = {r["lang"]: r["words"] for r in sums}
-        langs = sorted(totals)
-        model = LanguageModel(langs, np.array([0.1 * math.log(totals[x] / sum(totals.values())) for x in langs]), {}, {}, longest)
-        if not langs:
-            return model
-        model.words = _log_rows(_most_frequent(counted, "word", totals, words), langs, totals)
-        edges = counted.select("lang", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"), "n")
-        for n in range(1, longest + 1):
-            cut = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))  # noqa: B023
-            grams = edges.where(F.length("word") >= n).select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-            of = {r["lang"]: r[f"g{n}"] for r in sums if r[f"g{n}"]}
-            model.ngrams |= _log_rows(_most_frequent(grams, "gram", of, ngrams), langs, of)
-        return model
-    finally:
-        counted.unpersist()
+    counted = map_batches(fit_rows(labelled, text, lang, rows), _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = staged(counted, "words")
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals)
+    if not langs:
+        return LanguageModel([], np.zeros(0))
+    prior = np.array([0.1 * math.log(totals[x] / sum(totals.values())) for x in langs])
+    model = LanguageModel(langs, prior, _learned(counted.withColumnRenamed("word", "gram"), langs))
+    edges = counted.select("lang", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"), "n")
+    for n in range(1, longest + 1):
+        cut = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))  # noqa: B023
+        grams = edges.where(F.length("word") >= n).select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        model.ngrams.append(_learned(grams, langs))
+    return model
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score (0 to 1) of each whole text. Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing was learned. Input columns named like an output stay as ``<name>_in``."""
+    """``df`` with lang_pred and score (0 to 1) of each whole text, however long. Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing was learned. Repeated rows are judged alike, an empty table gives an empty one. Input columns named like an output stay as ``<name>_in``."""
     df = set_aside(df, ["lang_pred", "score"])
+    text = text if text in df.columns else f"{text}_in"
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
     schema = schema_with(df, "lang_pred string, score double")
@@ -146,5 +164,5 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")

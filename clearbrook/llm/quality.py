@@ -1,105 +1,169 @@
-"""Quality rules as a short-circuit cascade, with DataFrame functions only."""
+"""Quality rules as a short-circuit cascade, with DataFrame functions only.
+
+Each rule carries the features that it needs. The cascade works a feature out inside the branch of the first rule
+that needs it, so a row that is rejected costs nothing further. Rules are ordered by rejection per cost, both
+estimated on a sample: what a rule rejects of the rows that the rules before it have left, and what its features
+that aren't known yet cost on texts of the sample's size.
+"""
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import ascii_words, load, set_aside, staged
+from clearbrook.llm.shared import ascii_words, load, set_aside
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"]
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-#: A rule names the features it needs and what it rejects, over those features.
-BASE_RULES = {
-    "too_short": (["n_words"], "n_words < 50"),
-    "repeats_itself": (["n_words", "n_repeat_words"], "100 * n_repeat_words > 50 * n_words"),
+Rule = tuple[list[str], Callable[[dict[str, Column]], Column]]
+#: A rule names the features it needs and says what it rejects, over those features.
+BASE_RULES: dict[str, Rule] = {
+    "too_short": (["n_words"], lambda f: f["n_words"] < 50),
+    "repeats_itself": (["n_words", "n_repeat_words"], lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
 }
-RULES = BASE_RULES | {
-    "symbols": (["n_words", "n_symbols"], "2 * n_symbols > n_words"),
-    "word_length": (["n_words", "word_chars"], "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    "repeated_lines": (["n_lines", "n_dup_lines"], "10 * n_dup_lines > 4 * n_lines"),
-    "shouting": (["n_letters", "n_upper"], "2 * n_upper > n_letters AND n_letters > 0"),
+RULES: dict[str, Rule] = BASE_RULES | {
+    "symbols": (["n_words", "n_symbols"], lambda f: 2 * f["n_symbols"] > f["n_words"]),
+    "word_length": (["n_words", "word_chars"], lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
+    "repeated_lines": (["n_lines", "n_dup_lines"], lambda f: 10 * f["n_dup_lines"] > 4 * f["n_lines"]),
+    "shouting": (["n_letters", "n_upper"], lambda f: (2 * f["n_upper"] > f["n_letters"]) & (f["n_letters"] > 0)),
 }
-#: Rows of the sample on which rules are timed. Verdicts don't depend on it, only the order of the rules.
+#: Nanoseconds for each character of a text that a feature costs (timed on one core over the whole texts of sf0.1).
+COST = {"n_words": 25, "word_chars": 4, "n_symbols": 4, "n_lines": 8, "n_dup_lines": 9, "n_repeat_words": 140, "n_letters": 22, "n_upper": 26}
+#: Rows that the sample has on average. Verdicts don't depend on it, only the order of the rules.
 SAMPLE_ROWS = 2000
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeated(w: Column) -> Column:
+    """Words that lie in a 3-word window which the text holds twice or more."""
+    windows = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    def twice(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        pairs = lambda o: F.filter(o, lambda x, i: F.coalesce(x["h"] == F.get(o, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(o, i + 1)["h"], F.lit(False)))
+        starts = F.sort_array(F.transform(_let(ordered, pairs), lambda x: x["p"]))
+        # Windows that overlap share words: each start adds the words up to the next start, three at most.
+        new = lambda s: F.transform(s, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(s, i + 1) - x, F.lit(3))))
+        count = F.aggregate(_let(starts, new), F.lit(0), lambda a, x: a + x)
+        # Only a text with some window twice is sorted.
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), count).otherwise(0)
+
+    return F.when(F.size(w) < 4, 0).otherwise(_let(windows, twice))
+
+
+def measure(text: Column, names: list[str]) -> Column:
+    """A struct of the features ``names`` of a text, as longs; null and empty texts have 0 of each. Words and lines are split once for all that need them."""
+    t = F.coalesce(text, F.lit(""))
+    plain = {
+        "n_symbols": lambda: F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "word_chars": lambda: F.length(F.translate(t, SPACE, "")),
+        "n_letters": lambda: F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
+        "n_upper": lambda: F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
+    }
+    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    of_lines = {"n_lines": F.size, "n_dup_lines": lambda x: F.size(x) - F.size(F.array_distinct(x))}
+    of_words = {"n_words": F.size, "n_repeat_words": _repeated}
+
+    def joined(source: Column, of: dict[str, Callable[[Column], Column]]) -> dict[str, Column]:
+        wanted = [n for n in of if n in names]
+        if not wanted:
+            return {}
+        both = _let(source, lambda x: F.struct(*[of[n](x).cast("long").alias(n) for n in wanted]))
+        return {n: both[n] for n in wanted}
+
+    found = {n: c().cast("long") for n, c in plain.items() if n in names} | joined(lines, of_lines) | joined(ascii_words(t), of_words)
+    return F.struct(*[found[n].alias(n) for n in names])
+
+
 def with_features(df: DataFrame, text: str = "text", only: list[str] | None = None) -> DataFrame:
     """``df`` with the counts named in ``only`` (all if None) of each whole text; a null or empty text counts 0 for each.
 
     n_repeat_words: words that lie in a 3-word window which the text holds twice or more, its first place included.
     """
     want = FEATURES if only is None else only
-    df = set_aside(df, FEATURES).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    cheap = {
-        "n_symbols": F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")),
-        "word_chars": F.length(F.translate("_t", SPACE, "")),
-        "n_letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")),
-        "n_upper": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")),
-    }
-    df = df.withColumns({n: c.cast("long") for n, c in cheap.items() if n in want})
-    if {"n_lines", "n_dup_lines"} & {*want}:
-        df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACE, "") != ""))
-        df = df.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
-    if {"n_words", "n_repeat_words"} & {*want}:
-        df = df.withColumn("_w", ascii_words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
-        if "n_repeat_words" in want:
-            df = df.withColumn("_h", F.when(F.col("n_words") >= 4, F.transform(F.slice("_w", 1, F.size("_w") - 2), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))))
-            # Only a text with some window twice is sorted.
-            df = df.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-            twice = F.filter("_p", lambda x, i: F.coalesce(x["h"] == F.get("_p", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_p", i + 1)["h"], F.lit(False)))
-            df = df.withColumn("_s", F.sort_array(F.transform(twice, lambda x: x["p"])))
-            # Windows that overlap share words: each start adds the words up to the next start, three at most.
-            new = F.transform("_s", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_s", i + 1) - x, F.lit(3))))
-            df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(new, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("_h", "_p", "_s")
-        df = df.drop("_w")
-    return df.drop("_t")
-
-
-def measured_order(df: DataFrame, text: str = "text", rules: dict | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected) on a sample of at most ``sample_rows``, best rejection per second first; equal ones by name."""
+    groups = [[n for n in want if n in g] for g in (["n_words", "n_repeat_words"], ["n_lines", "n_dup_lines"], [n for n in FEATURES if n in ("n_symbols", "word_chars", "n_letters", "n_upper")])]
+    df = set_aside(df, FEATURES)
+    for k, g in enumerate(g for g in groups if g):
+        df = df.withColumn(f"_g{k}", measure(F.col(text), g))
+        df = df.withColumns({n: F.col(f"_g{k}.{n}") for n in g}).drop(f"_g{k}")
+    return df
+
+
+def rule_order(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, known: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, cost in nanoseconds a row, share that it rejects of the rows left to it), the best rejection per cost first; of equal ones the first by name.
+
+    The sample is drawn by a hash of the whole row, about ``sample_rows`` rows of the table, so that the order is the same each time. Which rules
+    reject a row is counted for all combinations of rules in one job. Features in ``known`` cost nothing, nor do those of a rule placed before.
+    """
     rules = RULES if rules is None else rules
-    sample = staged(df.select(F.col(text).alias("text")).limit(sample_rows).repartition(1), "quality-sample")
-    rows = max(1, sample.count())
-    measured = []
-    for name, (needs, rejects) in rules.items():
-        began = time.perf_counter()
-        # Not a filter: that would be pushed below the features, into their lambdas.
-        n = with_features(sample, "text", needs).agg(F.sum(F.expr(f"CAST(coalesce({rejects}, false) AS INT)"))).first()[0] or 0
-        measured.append((name, time.perf_counter() - began, n / rows))
-    return sorted(measured, key=lambda m: (-m[2] / max(m[1], 1e-9), m[0]))
-
-
-def cascade(order: list[str], rules: dict | None = None) -> Column:
-    """The first rule of ``order`` that rejects the row, else null. CASE stops at the first hit, so later rules aren't evaluated."""
+    rows = df.count()
+    sample = df if rows <= sample_rows else df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(rows)) < sample_rows)
+    names = sorted(rules)
+    needs = [f for f in FEATURES if any(f in rules[r][0] for r in names)]
+    judged = with_features(sample, text, needs)
+    hits = [F.coalesce(rules[r][1]({f: F.col(f) for f in rules[r][0]}), F.lit(False)).alias(f"r{i}") for i, r in enumerate(names)]
+    counts = judged.select(F.coalesce(F.length(text), F.lit(0)).alias("chars"), *hits).groupBy(*[f"r{i}" for i in range(len(names))]).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
+    chars = sum(r["chars"] for r in counts) / max(1, sum(r["n"] for r in counts))
+    have, order = set(known or []), []
+    while len(order) < len(names):
+        left = sum(r["n"] for r in counts)
+        best = None
+        for i, name in enumerate(names):
+            if name in [o[0] for o in order]:
+                continue
+            share = sum(r["n"] for r in counts if r[f"r{i}"]) / left if left else 0.0
+            cost = 1.0 + chars * sum(COST.get(f, 0) for f in rules[name][0] if f not in have)
+            if best is None or (-share / cost, cost, name) < best[0]:
+                best = ((-share / cost, cost, name), (name, cost, share), i)
+        order.append(best[1])
+        have |= set(rules[best[1][0]][0])
+        counts = [r for r in counts if not r[f"r{best[2]}"]]
+    return order
+
+
+def cascade(order: list[str], text: Column, rules: dict[str, Rule] | None = None, known: dict[str, Column] | None = None) -> Column:
+    """The first rule of ``order`` that rejects the text, else null. Features in ``known`` are columns; each other one is worked out in the branch of the first rule that needs it, which a row rejected before doesn't reach."""
     rules = RULES if rules is None else rules
-    verdict = None
-    for name in order:
-        hit = F.coalesce(F.expr(rules[name][1]), F.lit(False))
-        verdict = F.when(hit, name) if verdict is None else verdict.when(hit, name)
-    return F.lit(None).cast("string") if verdict is None else verdict
 
+    def branch(i: int, have: dict[str, Column]) -> Column:
+        if i == len(order):
+            return F.lit(None).cast("string")
+        needs, rejects = rules[order[i]]
+        new = [n for n in needs if n not in have]
+        judged = lambda f: F.when(F.coalesce(rejects(f), F.lit(False)), F.lit(order[i])).otherwise(branch(i + 1, f))
+        return judged(have) if not new else _let(measure(text, new), lambda s: judged(have | {n: s[n] for n in new}))
+
+    return branch(0, known or {})
 
-def judge_quality(df: DataFrame, text: str = "text", rules: dict | None = None, order: list[str] | None = None) -> DataFrame:
-    """``df`` with the features its rules need, ``rejected_by`` (null if none) and ``kept``.
 
-    ``order`` of the rules is measured on a sample unless given. All rows are judged by all rules, so ``kept``
-    is the same for any order. Null and empty texts have no words and fail ``too_short``. Input columns named
-    like an output stay as ``<name>_in``.
+def judge_quality(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None, features: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns named in ``features`` (none by default), ``rejected_by`` (null if none) and ``kept``.
+
+    ``order`` of the rules is estimated on a sample unless given; ``kept`` is the same for any order. Null and empty
+    texts have no words and fail ``too_short``; very long texts are read whole; repeated rows are judged alike; an empty table gives
+    an empty one. Input columns named like an output stay as ``<name>_in``.
     """
-    rules = RULES if rules is None else rules
-    order = [m[0] for m in measured_order(df, text, rules)] if order is None else order
-    needs = [f for f in FEATURES if any(f in rules[r][0] for r in order)]
-    df = with_features(set_aside(df, ["rejected_by", "kept"]), text, needs)
-    return df.withColumn("rejected_by", cascade(order, rules)).withColumn("kept", F.col("rejected_by").isNull())
+    rules, features = RULES if rules is None else rules, features or []
+    order = [m[0] for m in rule_order(df, text, rules, features)] if order is None else order
+    df = set_aside(df, ["rejected_by", "kept", *[n for n in FEATURES if n in features]])
+    text = text if text in df.columns else f"{text}_in"
+    df = with_features(df, text, features) if features else df
+    return df.withColumn("rejected_by", cascade(order, F.col(text), rules, {f: F.col(f) for f in features})).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    failed = F.expr(" OR ".join(f"({r})" for _, r in BASE_RULES.values()))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = judge_quality(load(spark, sf_dir, "documents").select("doc_id", "text"), features=counts)
+    failed = F.lit(False)
+    for needs, rejects in BASE_RULES.values():
+        failed = failed | rejects({n: F.col(n) for n in needs})
+    return judged.select("doc_id", *counts, failed.alias("base_failed"), "kept")
 
 
 OP7_SQL = r"""

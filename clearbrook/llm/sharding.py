@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from clearbrook.llm.shared import load, set_aside, staged
 
-#: Raw bytes of a bucket. A few buckets may share a task.
+#: Raw bytes of a bucket.
 BUCKET_BYTES = 8 << 20
+#: Buckets that one task shuffles.
+TASK_BUCKETS = 8
 #: So many bucket offsets (24 bytes each) are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_BUCKETS = 500_000
 OUTPUTS = ["size", "shard", "grown_shard", "bucket", "slot"]
@@ -52,7 +54,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     ).withColumn("bucket", F.pmod(F.xxhash64("_order"), F.lit(per_shard)).cast("int"))
     by_order = lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
     buckets = (
-        scattered.repartition(shards * per_shard, "shard", "bucket")
+        scattered.repartition(math.ceil(shards * per_shard / TASK_BUCKETS), "shard", "bucket")
         .groupBy("shard", "bucket")
         .agg(F.array_sort(F.collect_list(F.struct("_order", "grown_shard", "size", "_record")), by_order).alias("rows"))
         .sortWithinPartitions("shard", "bucket")

@@ -203,14 +203,43 @@ def test_a_language_with_one_row_takes_no_text_of_others(spark):
     write = lambda x, n: " ".join(r.choice(vocabulary[x]) for _ in range(n))
     rows = [(write(x, 40), x) for x in ("en", "fr") for _ in range(150)] + [("hola mundo casa perro", "es")]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
-    rare = langid.train(spark.createDataFrame(rows, "text string, lang string"), words=150)
+    rare = langid.train(spark.createDataFrame(rows, "text string, lang string"), rows=60)
     texts = [(i, write(x, 30), x) for i, x in enumerate(["en", "fr"] * 30)] + [(99, "hola perro mundo", "es")]
     for m in (model, rare):
-        assert {"hola", "mundo", "casa", "perro"} <= set(m.words)
+        assert {"hola", "mundo", "casa", "perro"} <= set(m.words.at)
         assert all(m.classify(t, {})[0] == x for _, t, x in texts)
     assert model.classify("q" * 40 + "hola" + "q" * 60, {})[0] == "es"
 
 
+def test_scores_follow_the_rule(spark):
+    r = random.Random(8)
+    rows = [(" ".join(r.choice(("ab", "abc", "b", "cab", "dab")) for _ in range(12)), r.choice("xyz")) for _ in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    counts = {x: Counter(w for t, lang in rows if lang == x for w in t.split()) for x in "xyz"}
+    grams = {x: Counter() for x in "xyz"}
+    for x in "xyz":
+        for w, k in counts[x].items():
+            for i in range(len(w)):
+                grams[x][f" {w} "[i : i + 3]] += k
+
+    def logs(of, entry):
+        total = {x: sum(of[x].values()) for x in "xyz"}
+        p = [0.01 * sum(of[y][entry] for y in "xyz") / sum(total.values()) + 0.99 * of[x][entry] / total[x] for x in "xyz"]
+        return np.log(p) - np.log(max(p))
+
+    assert np.allclose(model.word_scores("cab"), logs(counts, "cab"), atol=1e-5)
+    assert np.allclose(model.word_scores("xabx"), np.mean([model.ngrams[1].table[model.ngrams[1].at["ab"]]], axis=0), atol=1e-5)
+    assert np.allclose(model.ngrams[2].table[model.ngrams[2].at["ab "]], logs(grams, "ab "), atol=1e-5)
+
+
+def test_odd_tables_of_languages(spark, odd):
+    model = langid.train(spark.createDataFrame([("hello there", "en"), ("bonjour", "fr")], "text string, lang string"))
+    df = spark.createDataFrame([(1, "½ ² ① ٣ 一", "x"), (2, "½ ² ① 12", "x"), (3, "hello " * 50_000, "x")], "doc_id long, text string, score string")
+    out = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert out[2].lang_pred == "und" and out[1].lang_pred != "und" and out[3].lang_pred == "en" and out[1].score_in == "x"
+    assert langid.identify(odd.limit(0), model).count() == 0 and langid.identify(odd, model).count() == odd.count()
+
+
 # -- chat --------------------------------------------------------------------------------------------------------
 
 
@@ -238,17 +267,25 @@ def test_contained_items_against_brute_force(spark, odd):
     items = [(i, " ".join(text(i, 60).split()[10:30]).upper() + "!") for i in range(5)] + [(50, "alone"), (51, None), (52, ""), (0, " ".join(text(0, 60).split()[10:30]))]
     items += [(60 + k, " ".join(text(7, 60).split()[:n] + text(99, 40).split()[: 30 - n])) for k, n in enumerate((5, 20, 26, 28))]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    items += [(70, " ".join(text(3, 60).split()[4:7])), (71, text(3, 60).split()[5].upper()), (72, " ".join(text(3, 60).split()[8:4:-1]))]  # short ones inside long texts
+    bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
     for d in odd.collect():
-        own = decontaminate.shingles_of(decontaminate.words_of(d.text))
+        w = decontaminate.words_of(d.text)
         for i, t in items:
-            s = decontaminate.shingles_of(decontaminate.words_of(t))
-            if s and len(s & own) >= 0.8 * len(s):
+            v = decontaminate.words_of(t)
+            n = min(5, len(v))
+            s, own = ({tuple(x[k : k + n]) for k in range(len(x) - n + 1)} for x in (v, w))
+            if n and len(s & own) >= 0.8 * len(s):
                 want[(d.doc_id, i, len(s), len(s & own))] += 1
-    for block in (20_000, 3):
-        out = decontaminate.find_contaminated(odd, bench, block_items=block).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.*")
+    assert any(k[1] == 70 for k in want) and any(k[1] == 71 for k in want)
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        out = decontaminate.find_contaminated(odd, bench, most_bytes=most).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.*")
         assert Counter(map(tuple, out.collect())) == want
     assert decontaminate.find_contaminated(odd, bench.limit(0)).where("size(items) > 0").count() == 0
+    assert decontaminate.find_contaminated(odd.limit(0), bench).count() == 0
+    clash = decontaminate.find_contaminated(odd.withColumn("items", F.lit(5)), bench, most_bytes=0)
+    assert {r.items_in for r in clash.collect()} == {5} and clash.count() == odd.count()
 
 
 # -- pieces ------------------------------------------------------------------------------------------------------
@@ -302,7 +339,27 @@ def test_features_against_brute_force(odd):
 def test_order_of_rules_changes_no_verdict(odd):
     a = quality.judge_quality(odd, order=list(quality.RULES)).select("doc_id", "kept").collect()
     b = quality.judge_quality(odd).select("doc_id", "kept").collect()
-    assert Counter(a) == Counter(b) and any(r.kept for r in a) and not all(r.kept for r in a)
+    c = quality.judge_quality(odd, order=list(quality.RULES)[::-1], features=["n_words", "n_lines"]).select("doc_id", "kept").collect()
+    assert Counter(a) == Counter(b) == Counter(c) and any(r.kept for r in a) and not all(r.kept for r in a)
+    assert quality.rule_order(odd) == quality.rule_order(odd)
+
+
+def test_a_rejected_row_skips_later_features(spark):
+    rules = {"first": (["n_words"], lambda f: f["n_words"] < 3), "second": (["n_upper"], lambda f: F.raise_error(F.lit("reached")).cast("boolean") | (f["n_upper"] > 0))}
+    short, long = (spark.createDataFrame([(1, t)], SCHEMA) for t in ("a b", "a b c d"))
+    assert quality.judge_quality(short, rules=rules, order=["first", "second"]).first().rejected_by == "first"
+    with pytest.raises(Exception, match="reached"):
+        quality.judge_quality(long, rules=rules, order=["first", "second"]).collect()
+
+
+def test_rules_are_ordered_by_what_is_left_to_them(spark):
+    df = spark.createDataFrame([(i, ("UP " * 60 if i % 2 else "word " * 10) if i % 4 else text(i, 60)) for i in range(200)], SCHEMA)
+    order = quality.rule_order(df)
+    assert all(a[2] / a[1] >= order[-1][2] / order[-1][1] for a in order) and {o[0] for o in order} == set(quality.RULES)
+    left = {o[0]: o[2] for o in order}
+    assert left["too_short"] > 0.2 and left["repeats_itself"] < 0.9 and quality.judge_quality(df.limit(0)).count() == 0
+    clash = df.withColumns({"kept": F.lit(7), "n_words": F.lit(8)})
+    assert {(r.kept_in, r.n_words_in) for r in quality.judge_quality(clash, features=["n_words"]).collect()} == {(7, 8)}
 
 
 # -- urls --------------------------------------------------------------------------------------------------------
