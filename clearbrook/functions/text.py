@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,21 @@ KEPT_CASE = ["Unknown", "US", "USA", "UK", "UN", "EU"]
 NULL_WORDS = ["unknown", "n/a", "na", "none", "tbd", "########", "null", "undefined"]
 
 
+#: Noncharacters of Unicode, which texts don't hold; one that does has them swapped for the third before it is searched.
+MARK, PART, SWAPPED = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, whatever lambdas it is used in."""
+    return F.transform(F.array(value), body)[0]
+
+
+def cut_at(x: Column, pattern: str, *groups: int) -> Column:
+    """Pieces of a text: what lies between the matches of a pattern and the matches, in turn; groups follow a match after ``PART``. The pattern runs once."""
+    marked = F.regexp_replace(F.translate(x, MARK + PART, SWAPPED * 2), pattern, f"{MARK}$0{''.join(f'{PART}${g}' for g in groups)}{MARK}")
+    return F.split(marked, MARK, -1)
+
+
 def trim_collapse(x: Column) -> Column:
     """White space of any kind, NBSP included, becomes one space; none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -60,12 +77,20 @@ def expand_words(x: Column, table: dict[str, str]) -> Column:
 
 
 def fold_replace(x: Column, table: dict[str, str], bounded: bool) -> Column:
-    """Entries of ``table`` replaced one after the other, ignoring case; ``bounded``: whole words only. Texts that hold none are left alone."""
+    """The text of ``fold_replaced``."""
+    return fold_replaced(x, table, bounded)["text"]
+
+
+def fold_replaced(x: Column, table: dict[str, str], bounded: bool) -> Column:
+    """struct(text, n): entries of ``table`` replaced one after the other, ignoring case, and how many were; ``bounded``: whole words only, and none that goes on as its replacement does (``parkinson's`` stays). Texts that hold none are left alone."""
     quote = lambda w: "".join("\\" + c if c in r".^$*+?()[]{}|\/" else c for c in w)
-    mark = lambda w: rf"(?iU)\b{quote(w)}\b" if bounded else f"(?i){quote(w)}"
-    steps = F.array(*[F.struct(F.lit(mark(k)).alias("p"), F.lit(v.replace("$", r"\$")).alias("v")) for k, v in table.items()])
+    done = lambda k, v: f"(?!{quote(v[len(k) :])})" if v.lower().startswith(k.lower()) and len(v) > len(k) else ""
+    mark = lambda k, v: rf"(?iU)\b{quote(k)}\b{done(k, v)}" if bounded else f"(?i){quote(k)}"
+    steps = F.array(*[F.struct(F.lit(mark(k, v)).alias("p"), F.lit(v.replace("$", r"\$")).alias("v")) for k, v in table.items()])
     some = f"(?iU){'\\b' if bounded else ''}(?:{'|'.join(quote(k) for k in table)}){'\\b' if bounded else ''}"
-    return F.when(x.rlike(some), F.aggregate(steps, x, lambda a, s: F.regexp_replace(a, s["p"], s["v"]))).otherwise(x)
+    step = lambda a, s: let(F.regexp_count(a["text"], s["p"]), lambda n: F.when(n == 0, a).otherwise(F.struct(F.regexp_replace(a["text"], s["p"], s["v"]).alias("text"), (a["n"] + n).alias("n"))))
+    start = F.struct(x.alias("text"), F.lit(0).alias("n"))
+    return F.when(x.rlike(some), F.aggregate(steps, start, step)).otherwise(start)
 
 
 def guard_formula(x: Column) -> Column:

@@ -13,12 +13,20 @@ from clearbrook.operators.stats import column_stats, kind_of
 #: Parts of column names that say what a column holds.
 ICD_WORDS = ["icd", "diagnosis", "dx_code"]
 DISEASE_WORDS = ["disease", "condition", "illness", "disorder", "comorbidity"]
+CPT_WORDS = ["cpt", "procedure"]
+LOINC_WORDS = ["loinc", "lab_code", "test_code"]
 SKIPPED = ["Unknown", "", "nan"]
+#: Values up to which a column counts as one of categories; each is compared with each other one.
+MOST_VALUES = 5_000
 
 
 def merge_variants(df: DataFrame, column: str, least: int = 85) -> DataFrame:
-    """Every value becomes the most frequent one among those whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the smaller). Only for columns of few values."""
+    """Every value becomes the most frequent one among those whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the smaller). Only for categories: a column of over ``MOST_VALUES`` values raises."""
     counts = df.where(F.col(f"`{column}`").isNotNull() & ~F.col(f"`{column}`").isin(*SKIPPED)).groupBy(F.col(f"`{column}`").alias("v")).count()
+    few = counts.limit(MOST_VALUES + 1).collect()
+    if len(few) > MOST_VALUES:
+        raise ValueError(f"{column} has over {MOST_VALUES} values: it holds text, not categories")
+    counts = df.sparkSession.createDataFrame(few, counts.schema)
     other = counts.select(F.col("v").alias("w"), F.col("count").alias("n"))
     pairs = counts.join(F.broadcast(other), may_reach(F.col("v"), F.col("w"), least - 0.5)).withColumn("r", F.round(ratio(F.col("v"), F.col("w")))).where(F.col("r") >= least)
     best = pairs.groupBy("v").agg(F.max_by("w", F.struct("n", "r", F.expr("-length(w)"), "w")).alias("w"))
@@ -80,7 +88,7 @@ def loinc_report(df: DataFrame, column: str) -> DataFrame:
 
 
 def standardise_codes(df: DataFrame) -> DataFrame:
-    """Every string column by its name: ICD-10, disease names or CPT; the first that fits."""
+    """Every string column by its name: ICD-10, disease names, CPT or LOINC (whose values stay; ``code_report`` counts them); the first that fits."""
     for c in df.columns:
         n = c.lower()
         if kind_of(df, c) != "string":
@@ -89,11 +97,28 @@ def standardise_codes(df: DataFrame) -> DataFrame:
             df = standardise_icd(df, c)
         elif any(w in n for w in DISEASE_WORDS):
             df = normalise_disease(df, c)
-        elif "cpt" in n:
-            df = df.withColumn(c, pad_cpt(F.col(f"`{c}`")))
+        elif any(w in n for w in CPT_WORDS):
+            df = df.withColumn(c, pad_cpt(F.trim(F.col(f"`{c}`"))))
     return df
 
 
+def code_report(df: DataFrame) -> DataFrame:
+    """(column, metric, n): how many values of ICD-10 columns are codes, map exactly, by a name they hold, by likeness or not at all, and how many of LOINC columns are known. Counted over distinct values."""
+    out = df.sparkSession.createDataFrame([], "column string, metric string, n long")
+    for c in df.columns:
+        name = c.lower()
+        if kind_of(df, c) != "string":
+            continue
+        if any(w in name for w in ICD_WORDS):
+            counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count()
+            found = counts.join(_icd_lookup(counts.select("v"), diseases(df), True), "v")
+            way = F.when(F.col("plain").isNotNull(), "code").when(F.col("exact").isNotNull(), "exact").when(F.col("held").isNotNull(), "held").when(F.col("fuzzy_code").isNotNull(), "fuzzy").otherwise("unrecognised")
+            out = out.unionByName(found.groupBy(way.alias("metric")).agg(F.sum("count").alias("n")).select(F.lit(c).alias("column"), "metric", "n"))
+        elif any(w in name for w in LOINC_WORDS) and not any(w in name for w in [*DISEASE_WORDS, *CPT_WORDS]):
+            out = out.unionByName(loinc_report(df, c).select(F.lit(c).alias("column"), F.expr("stack(2, 'valid', valid, 'unrecognised', unrecognised) as (metric, n)")))
+    return out
+
+
 def clean_text_columns(df: DataFrame) -> DataFrame:
     """Spaces repaired in every string column; title case where it has under 50 values."""
     stats = column_stats(df, distinct=True, quantiles=False)

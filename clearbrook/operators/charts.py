@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearbrook.operators.stats import kind_of
+from clearbrook.operators.stats import MARGIN, exact_quantiles, kind_of
 
 EMPTY = ["", "0", "nan", "None", "null"]
 
@@ -22,8 +22,32 @@ def chart_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def group_aggregate(df: DataFrame, x: str, y: str, method: str = "mean") -> DataFrame:
     """(label, value) of count, sum, mean, median, min or max of y for each x as text; nulls of y are left out, a group of none is 0."""
-    f = {"count": F.count, "sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max}.get(method, F.avg)
-    return df.groupBy(F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("null")).alias("label")).agg(F.coalesce(f(F.col(f"`{y}`")).cast("double"), F.lit(0.0)).alias("value"))
+    label = F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("null")).alias("label")
+    if method == "median":
+        return group_medians(df.select(label, F.col(f"`{y}`").cast("double").alias("v")))
+    f = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}.get(method, F.avg)
+    return df.groupBy(label).agg(F.coalesce(f(F.col(f"`{y}`")).cast("double"), F.lit(0.0)).alias("value"))
+
+
+def group_medians(df: DataFrame) -> DataFrame:
+    """(label, value) of a table (label, v): exact medians, 0 for a group without values.
+
+    An approximate percentile brackets each median; only the distinct values in the bracket are ranked, with
+    their counts. If a bracket should not hold the median, the group's values are ranked whole.
+    """
+    around = F.percentile_approx("v", [0.5 - MARGIN, 0.5 + MARGIN], 10_000)
+    groups = df.groupBy("label").agg(F.count("v").alias("n"), around.alias("q")).select("label", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    met = df.where("v is not null").join(groups, "label")
+    counts = met.groupBy("label").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v").between(F.col("lo"), F.col("hi"))).alias("within"))
+    ranges = groups.join(counts, "label", "left").withColumn("holds", (F.floor((F.col("n") - 1) / 2) >= F.col("below")) & (F.ceil((F.col("n") - 1) / 2) < F.col("below") + F.col("within")))
+    ranges = ranges.withColumn("below", F.when(F.col("holds"), F.col("below")).otherwise(0))
+    values = df.where("v is not null").join(ranges.where("n > 0"), "label").where("not holds or v between lo and hi").groupBy("label", "v", "n", "below").count()
+    upto = F.col("below") + F.sum("count").over(Window.partitionBy("label").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("count"))
+    has = lambda k: (F.col("start") <= k) & (k < F.col("upto"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    medians = placed.where(has(low) | has(high)).groupBy("label").agg((0.5 * F.min("v") + 0.5 * F.max("v")).alias("value"))
+    return groups.select("label").join(medians, "label", "left").select("label", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def correlations(df: DataFrame, columns: list[str], pairwise: bool = False) -> DataFrame:
@@ -44,9 +68,11 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, x: str, y: str, groups: int = 20) -> DataFrame:
     """(label, min, q1, median, q3, max, mean) of y for the first ``groups`` values of x."""
-    v = F.col(f"`{y}`").cast("double")
-    g = df.groupBy(F.col(f"`{x}`").cast("string").alias("label")).agg(F.percentile(v, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"), F.avg(v).alias("mean"))
-    return g.orderBy("label").limit(groups).select("label", *[F.col("p")[i].alias(n) for i, n in enumerate(["min", "q1", "median", "q3", "max"])], "mean")
+    t = df.select(F.col(f"`{x}`").cast("string").alias("label"), F.col(f"`{y}`").cast("double").alias("v"))
+    first = t.groupBy("label").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean")).orderBy("label").limit(groups).collect()
+    quartiles = exact_quantiles(t, [F.when(F.col("label").eqNullSafe(r["label"]), F.col("v")) for r in first], [0.25, 0.5, 0.75])
+    rows = [(r["label"], r["min"], *q, r["max"], r["mean"]) for r, q in zip(first, quartiles, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "label string, min double, q1 double, median double, q3 double, max double, mean double")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

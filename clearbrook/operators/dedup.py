@@ -40,6 +40,11 @@ def sort_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
 
 
+def head(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows, by ``order`` if given (nulls last), else as they come."""
+    return (df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]) if order else df).limit(n)
+
+
 def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) of ``size`` rows."""
     return df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]).offset(number * size).limit(size)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_date
-from clearbrook.functions.text import fold_replace
+from clearbrook.functions.text import MARK, PART, cut_at, fold_replace, fold_replaced, let, word_count
 from clearbrook.functions.values import DISEASES, DRUGS, MEASUREMENTS, PROCEDURES, TEXT_ABBREVIATIONS, TEXT_MISSPELLINGS
 from clearbrook.operators.privacy import redact_text, spans
 
@@ -19,11 +19,16 @@ from clearbrook.operators.privacy import redact_text, spans
 ARTEFACTS = {"’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "é": "e", "è": "e", "ü": "u", "ö": "o", "ä": "a", "\ufffd": "", "\ufeff": ""}
 PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "..."}
 ICD10, CPT = r"\b[A-Z]\d{2}(?:\.\d{1,4})?\b", r"(?i)(?:CPT|procedure|code)[:\s#]*(\d{5})\b"
-HEADINGS = [r"^#{1,6}\s+(.+)$", r"^([A-Z][A-Z\s&/\-]{3,}):?\s*$", r"^([A-Z][A-Z\s&/\-]{3,}):\s*(.+)$", r"^\d+\.\s+([A-Z].+)$"]
 ENTITY_WORDS = {"DISEASE": DISEASES, "DRUG": DRUGS, "PROCEDURE": PROCEDURES}
-CONFIRMING = {"DISEASE": ["diagnos", "history", "assessment", "problem"], "DRUG": ["medication", "drug", "prescription", "treatment"], "PROCEDURE": ["procedure", "imaging", "surgery", "plan"]}
+CONFIRMING = {
+    "DISEASE": ["diagnosis", "diagnos", "condition", "history", "assessment", "impression", "problem", "comorbid"],
+    "DRUG": ["medication", "medic", "drug", "rx", "prescription", "treatment", "therapy", "pharmacol"],
+    "PROCEDURE": ["procedure", "intervention", "surgery", "operation", "test", "exam", "laboratory", "imaging"],
+}
 METRICS = {"BMI": (r"(?i)BMI\D*(\d+\.?\d*)\s*(\d+\.?\d*)?\s*(kg/m2|kg/m\^2)?", "bmi_unit"), "HbA1c": (r"(?i)HBA1C\D*(\d+\.?\d*)%\s*(?:and|to)?\s*(\d+\.?\d*)?%?()", "percent")}
 DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{4})\b"
+#: A heading line: marked by #, in capitals, in capitals with a title after a colon, or numbered. Its last group is the heading.
+HEADING = r"(?md)^[^\S\n]*(?:#{1,6}[^\S\n]+(.+?)|([A-Z][A-Z&/\-[^\S\n]]{3,}):|([A-Z][A-Z&/\-[^\S\n]]{2,}[A-Z&/\-])|[A-Z][A-Z&/\-[^\S\n]]{3,}:[^\S\n]*(.+?)|\d+\.[^\S\n]+([A-Z].+?))[^\S\n]*$"
 CLEANING = ["remove_control_chars", "fix_encoding_artifacts", "normalize_unicode", "normalize_whitespace", "normalize_line_breaks", "remove_empty_lines", "fix_hyphenation", "standardize_punctuation"]
 
 
@@ -64,12 +69,15 @@ def cleaning_step(x: Column, name: str) -> Column:
 
 
 def clean_documents(df: DataFrame, text: str = "text", steps: list[str] | None = None) -> DataFrame:
-    """``df`` with cleaned, the characters each step has taken (changes) and size_reduction_pct. Nulls stay null."""
+    """``df`` with cleaned, changes (characters that a step has taken; for the two that repair characters and for hyphens, how many it has repaired) and size_reduction_pct. Nulls stay null."""
     steps = CLEANING if steps is None else [s for s in CLEANING if s in steps]
     df = df.withColumn("_s0", F.col(text))
     for i, s in enumerate(steps):
         df = df.withColumn(f"_s{i + 1}", cleaning_step(F.col(f"_s{i}"), s))
-    taken = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), F.length(f"_s{i}") - F.length(f"_s{i + 1}"))]) if steps else F.expr("cast(map() as map<string,int>)")
+    held = lambda i, table: F.length(f"_s{i}") - F.length(F.translate(F.col(f"_s{i}"), "".join(table), ""))
+    repaired = {"fix_encoding_artifacts": lambda i: held(i, ARTEFACTS), "standardize_punctuation": lambda i: held(i, PUNCTUATION), "fix_hyphenation": lambda i: F.regexp_count(F.col(f"_s{i}"), F.lit(r"(?U)(\w+)-\n(\w+)"))}
+    count = lambda i, s: repaired.get(s, lambda i: F.length(f"_s{i}") - F.length(f"_s{i + 1}"))(i)
+    taken = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), count(i, s))]) if steps else F.expr("cast(map() as map<string,int>)")
     last = F.col(f"_s{len(steps)}")
     return df.withColumns({"cleaned": last, "changes": taken, "size_reduction_pct": F.round(100.0 * (1 - F.length(last) / F.greatest(F.length(text), F.lit(1))), 2)}).drop(*[f"_s{i}" for i in range(len(steps) + 1)])
 
@@ -78,9 +86,12 @@ def strip_rtf(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\\[a-z]+\d*\s?", ""), r"[{}]", "")
 
 
+LONG_FORMS = {k: f"{v} ({k.upper()})" for k, v in TEXT_ABBREVIATIONS.items()}
+
+
 def expand_abbreviations(x: Column) -> Column:
     """``BP`` becomes ``Blood Pressure (BP)``, entry by entry."""
-    return fold_replace(x, {k: f"{v} ({k.upper()})" for k, v in TEXT_ABBREVIATIONS.items()}, bounded=True)
+    return fold_replace(x, LONG_FORMS, bounded=True)
 
 
 def fix_spelling(x: Column) -> Column:
@@ -148,35 +159,41 @@ def _mentioned(concept: str) -> Callable[[Column], Column]:
 
 
 def mentions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, concept, matched_text, position) of every abbreviation, its long form and every known term; one for each concept and 50 characters."""
+    """(key, concept, matched_text, position) of every abbreviation, its long form and every known term; one for each concept and 50 characters. A term is searched for only in texts that hold it."""
     quote = lambda w: "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in w)
-    terms = {f"(?i)\\b(?:{quote(k)}|{quote(v)})\\b": v for k, v in TEXT_ABBREVIATIONS.items()} | {f"(?i)\\b{quote(v)}\\b": v[:1].upper() + v[1:] for v in sorted(set(TEXT_MISSPELLINGS.values()))}
-    found = F.concat(*[F.transform(spans(F.col(text), p), _mentioned(c)) for p, c in terms.items()])
-    each = df.select(F.col(key), F.explode(found).alias("m")).select(key, "m.*")
+    terms = {f"(?i)\\b(?:{quote(k)}|{quote(v)})\\b": (v, [k, v]) for k, v in TEXT_ABBREVIATIONS.items()} | {f"(?i)\\b{quote(v)}\\b": (v[:1].upper() + v[1:], [v]) for v in sorted(set(TEXT_MISSPELLINGS.values()))}
+    none = F.expr("cast(array() as array<struct<concept:string,matched_text:string,position:int>>)")
+
+    def found(low: Column) -> Column:
+        held = lambda words: F.lit(False) if not words else low.contains(words[0].lower()) | held(words[1:])
+        return F.concat(*[F.when(held(words), F.transform(spans(F.col(text), p), _mentioned(c))).otherwise(none) for p, (c, words) in terms.items()])
+
+    each = df.select(F.col(key), F.explode(let(F.lower(F.col(text)), found)).alias("m")).select(key, "m.*")
     first = each.groupBy(key, "concept", F.floor(F.col("position") / 50).alias("_b")).agg(F.min(F.struct("position", "matched_text")).alias("m"))
     return first.select(key, "concept", "m.matched_text", "m.position")
 
 
 def sections(text: Column) -> Column:
-    """array of struct(section_id, heading, line_start, start, content, word_count); text before the first heading belongs to none."""
-    lines = F.split(text, "\n")
+    """array of struct(section_id, heading, line_start, start, content, word_count); text before the first heading belongs to none. One run of the heading pattern cuts the text, one fold over the pieces adds lines and offsets up."""
     bare = lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    none = F.expr("cast(array() as array<struct<heading:string,line_start:int,start:int>>)")
 
-    def heading(x: Column) -> Column:
-        b = bare(x)
-        return F.when(b.rlike(HEADINGS[0]), F.regexp_extract(b, HEADINGS[0], 1)).when(b.rlike(HEADINGS[1]), F.regexp_extract(b, HEADINGS[1], 1)).when(b.rlike(HEADINGS[2]), F.regexp_extract(b, HEADINGS[2], 2)).when(b.rlike(HEADINGS[3]), F.regexp_extract(b, HEADINGS[3], 1))
+    def step(a: Column, x: Column) -> Column:
+        whole = F.when(a["inside"], F.substring_index(x, PART, 1)).otherwise(x)
+        head = F.struct(F.trim(F.replace(F.substring(x, F.length(F.substring_index(x, PART, 1)) + 1, F.length(x)), F.lit(PART), F.lit(""))).alias("heading"), a["line"].alias("line_start"), a["at"].alias("start"))
+        return F.struct((a["at"] + F.length(whole)).alias("at"), (a["line"] + breaks(whole)).alias("line"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["out"], F.array(head))).otherwise(a["out"]).alias("out"))
 
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"), F.trim(heading(x)).alias("h")))
-    heads = F.filter(marked, lambda m: m["h"].isNotNull())
-    offset = lambda i: F.coalesce(F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1), F.lit(0))
+    def section(h: Column, k: Column, body: Column) -> Column:
+        content = bare(F.array_join(F.filter(F.split(body, "\n"), lambda x: bare(x) != ""), "\n"))
+        named = lambda c: F.struct(F.concat(F.lit("SEC-"), F.lpad((k + 1).cast("string"), 3, "0")).alias("section_id"), h["heading"].alias("heading"), h["line_start"].alias("line_start"), h["start"].alias("start"), c.alias("content"), word_count(c).alias("word_count"))
+        return let(content, named)
 
-    def section(h: Column, k: Column) -> Column:
-        until = F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
-        body = F.filter(F.slice(lines, h["i"] + 2, F.greatest(until - h["i"] - 1, F.lit(0))), lambda x: bare(x) != "")
-        content = bare(F.array_join(body, "\n"))
-        return F.struct(F.concat(F.lit("SEC-"), F.lpad((k + 1).cast("string"), 3, "0")).alias("section_id"), h["h"].alias("heading"), (h["i"] + 1).alias("line_start"), offset(h["i"]).alias("start"), content.alias("content"), F.size(F.filter(F.split(content, r"\s+"), lambda w: w != "")).alias("word_count"))
+    def of(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(False).alias("inside"), none.alias("out"))
+        return F.transform(F.aggregate(pieces, start, step, lambda a: a["out"]), lambda h, k: section(h, k, F.get(pieces, 2 * k + 2)))
 
-    return F.transform(heads, section)
+    return let(cut_at(text, HEADING, 1, 2, 3, 4, 5), of)
 
 
 def section_at(found: Column, position: Column) -> Column:
@@ -184,23 +201,41 @@ def section_at(found: Column, position: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda s: s["start"] <= position), F.lit(-1))
 
 
-def _named(kind: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(F.lit(kind).alias("type"), s["match"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))
+def _alternatives(words: list[str]) -> str:
+    """The words as one alternation, those with the same two first letters together; words that can match at one place keep their order."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:2] if w[:2].isalpha() and w[2:3] not in ("?", "*") else "", []).append(w)
+    return "|".join("|".join(ws) if not k else f"{k}(?:{'|'.join(w[2:] for w in ws)})" for k, ws in by.items())
+
+
+def entity_array(text: Column, found: Column) -> Column:
+    """array of struct(type, text, start, section_id, section, confidence, context) of a text and its sections: diseases, drugs and procedures; one for each name and 200 characters. Confidence is 0.95 where the section confirms the type, else 0.80."""
+
+    def entity(kind: str, s: Column) -> Column:
+        def at(sec: Column) -> Column:
+            heading = F.coalesce(sec["heading"], F.lit(""))
+            sure = F.lower(heading).rlike("|".join(CONFIRMING[kind]))
+            from_ = F.greatest(F.lit(0), s["start"] - 50)
+            context = F.trim(F.substring(text, from_ + 1, s["end"] + 50 - from_))
+            return F.struct(
+                F.lit(kind).alias("type"), F.lower(s["match"]).alias("l"), F.floor(s["start"] / 200).alias("b"), s["start"].alias("start"), s["match"].alias("text"),
+                F.coalesce(sec["section_id"], F.lit("")).alias("section_id"), heading.alias("section"), F.when(sure, 0.95).otherwise(0.80).alias("confidence"), context.alias("context"),
+            )
+
+        return let(section_at(found, s["start"]), at)
+
+    of = lambda k: lambda s: entity(k, s)
+    every = F.concat(*[F.transform(F.filter(spans(text, rf"(?i)\b(?:{_alternatives(w)})\b"), lambda s: F.length(F.trim(s["match"])) >= 3), of(k)) for k, w in ENTITY_WORDS.items()])
+    same = lambda a, b: F.coalesce((a["type"] == b["type"]) & (a["l"] == b["l"]) & (a["b"] == b["b"]), F.lit(False))
+    first = lambda arr: F.filter(arr, lambda e, i: (i == 0) | ~same(e, F.get(arr, i - 1)))
+    return F.transform(let(F.array_sort(every), first), lambda e: F.struct(*[e[n].alias(n) for n in ("type", "text", "start", "section_id", "section", "confidence", "context")]))
 
 
 def entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, text, type, confidence, start, section, context): diseases, drugs and procedures; one for each name and 200 characters. Confidence is 0.95 where the section confirms the type, else 0.80."""
-    base = df.select(F.col(key), F.col(text).alias("_t"), sections(F.col(text)).alias("_sec"))
-    kinds = [F.transform(spans(F.col("_t"), rf"(?i)\b(?:{'|'.join(w)})\b"), _named(k)) for k, w in ENTITY_WORDS.items()]
-    each = base.select(key, "_t", "_sec", F.explode(F.concat(*kinds)).alias("e")).select(key, "_t", "_sec", "e.*").where(F.length(F.trim("text")) >= 3)
-    at = F.coalesce(section_at(F.col("_sec"), F.col("start"))["heading"], F.lit(""))
-    each = each.withColumn("section", at).withColumn("context", F.trim(F.substring("_t", F.greatest(F.lit(0), F.col("start") - 50) + 1, F.col("end") + 50 - F.greatest(F.lit(0), F.col("start") - 50))))
-    sure = F.lit(False)
-    for k, words in CONFIRMING.items():
-        sure = sure | ((F.col("type") == k) & F.lower("section").rlike("|".join(words)))
-    each = each.withColumn("confidence", F.when(sure, 0.95).otherwise(0.80))
-    first = each.groupBy(key, "type", F.lower("text").alias("_l"), F.floor(F.col("start") / 200).alias("_b")).agg(F.min(F.struct("start", "text", "confidence", "section", "context")).alias("e"))
-    return first.select(key, "e.text", "type", "e.confidence", "e.start", "e.section", "e.context")
+    """(key, text, type, confidence, start, section_id, section, context) of ``entity_array``, a row for each. Nothing is shuffled."""
+    found = let(sections(F.col(text)), lambda sec: entity_array(F.col(text), sec))
+    return df.select(F.col(key), F.explode(found).alias("e")).select(key, "e.text", "e.type", "e.confidence", "e.start", "e.section_id", "e.section", "e.context")
 
 
 def entity_table(found: DataFrame, key: str) -> DataFrame:
@@ -210,25 +245,27 @@ def entity_table(found: DataFrame, key: str) -> DataFrame:
 
 def vitals_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, measurement, raw_value, raw_unit, value, unit, position), systolic and diastolic pressure in rows of their own."""
-    each = df.select(F.col(key), F.explode(measurements(F.col(text))).alias("m")).select(key, "m.*")
-    pressure = each.where("measurement = 'blood_pressure'")
-    rows = each.where("measurement <> 'blood_pressure'").select(key, "measurement", "measurement", "value", "unit", "position").toDF(key, "measurement", "_m", "raw_value", "raw_unit", "position")
-    for name, v in (("blood_pressure_systolic", "value"), ("blood_pressure_diastolic", "value2")):
-        rows = rows.unionByName(pressure.select(key, F.lit(name).alias("measurement"), F.lit("blood_pressure").alias("_m"), F.col(v).alias("raw_value"), F.lit(None).cast("string").alias("raw_unit"), "position"))
-    std = standard_unit(F.col("_m"), F.col("raw_value"), F.col("raw_unit"))
-    return rows.withColumn("_s", std).select(key, "measurement", "raw_value", "raw_unit", F.col("_s.value").alias("value"), F.col("_s.unit").alias("unit"), "position")
+    one = lambda m, name, v, unit: F.struct(name.alias("measurement"), m["measurement"].alias("of"), v.alias("raw_value"), unit.alias("raw_unit"), m["position"].alias("position"))
+    none = F.lit(None).cast("string")
+    rows = F.flatten(F.transform(measurements(F.col(text)), lambda m: F.when(m["measurement"] == "blood_pressure", F.array(one(m, F.lit("blood_pressure_systolic"), m["value"], none), one(m, F.lit("blood_pressure_diastolic"), m["value2"], none))).otherwise(F.array(one(m, m["measurement"], m["value"], m["unit"])))))
+    each = df.select(F.col(key), F.explode(rows).alias("m")).select(key, "m.*")
+    return each.withColumn("_s", standard_unit(F.col("of"), F.col("raw_value"), F.col("raw_unit"))).select(key, "measurement", "raw_value", "raw_unit", F.col("_s.value").alias("value"), F.col("_s.unit").alias("unit"), "position")
 
 
 def _range_of(metric: str, unit: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(metric).alias("metric"), s["g1"].alias("value_low"), F.coalesce(s["g2"], F.lit("")).alias("value_high"), F.lit(unit).alias("unit"), F.substring(F.trim(F.regexp_replace(s["match"], r"\s+", " ")), 1, 140).alias("raw_reference"), s["start"].alias("start"))
 
 
+def metric_array(text: Column) -> Column:
+    """array of struct(metric, value_low, value_high, unit, raw_reference, start): ranges of BMI and HbA1c."""
+    return F.concat(*[F.transform(spans(text, p, 1, 2), _range_of(n, u)) for n, (p, u) in METRICS.items()])
+
+
 def metrics_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, metric, value_low, value_high, unit, raw_reference, section_id, section): ranges of BMI and HbA1c."""
-    found = F.concat(*[F.transform(spans(F.col("_t"), p, 1, 2), _range_of(n, u)) for n, (p, u) in METRICS.items()])
-    each = df.select(F.col(key), F.col(text).alias("_t"), sections(F.col(text)).alias("_sec")).select(key, "_sec", F.explode(found).alias("m"))
-    at = section_at(F.col("_sec"), F.col("m.start"))
-    return each.select(key, "m.metric", "m.value_low", "m.value_high", "m.unit", "m.raw_reference", F.coalesce(at["section_id"], F.lit("")).alias("section_id"), F.coalesce(at["heading"], F.lit("")).alias("section"))
+    """(key, metric, value_low, value_high, unit, raw_reference, section_id, section) of ``metric_array``."""
+    placed = let(sections(F.col(text)), lambda sec: F.transform(metric_array(F.col(text)), lambda m: F.struct(m.alias("m"), section_at(sec, m["start"]).alias("at"))))
+    each = df.select(F.col(key), F.explode(placed).alias("x"))
+    return each.select(key, "x.m.metric", "x.m.value_low", "x.m.value_high", "x.m.unit", "x.m.raw_reference", F.coalesce("x.at.section_id", F.lit("")).alias("section_id"), F.coalesce("x.at.heading", F.lit("")).alias("section"))
 
 
 def timeline_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -241,10 +278,60 @@ def timeline_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return first.select(key, "date", iso_date(F.col("date")).alias("iso_date"), "section", "context")
 
 
+#: Issues that a quality report names, and the grades.
+FEW_TYPED = "Only a subset of log events were normalized into typed clinical records."
+NO_SIGNAL = "No clinical measurements or normalized clinical events were extracted."
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").otherwise("D")
+
+
 def process_documents(df: DataFrame, text: str = "text", style: str = "tag") -> DataFrame:
-    """``df`` cleaned, expanded, spelled right, redacted and read: one row for each document, no shuffle. Measurements and codes come from the text before redaction."""
+    """``df`` cleaned, expanded, spelled right, redacted and read: one row for each document, no shuffle.
+
+    Measurements, codes, sections, entities and metrics come from the text before redaction. n_... count what was
+    found and changed; quality_report adds scores. Null texts have nulls and empty lists; clashing columns are replaced.
+    """
     df = clean_documents(df, text)
-    df = df.withColumn("edited", fix_spelling(expand_abbreviations(F.col("cleaned"))))
+    df = df.withColumn("_long", fold_replaced(F.col("cleaned"), LONG_FORMS, True)).withColumn("_right", fold_replaced(F.col("_long.text"), TEXT_MISSPELLINGS, True))
+    df = df.withColumns({"edited": F.col("_right.text"), "n_abbreviations": F.col("_long.n"), "n_spelling": F.col("_right.n")}).drop("_long", "_right")
     df = redact_text(df, "edited", style)
-    df = df.withColumns({"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("redacted"))})
-    return df.withColumns({"n_findings": F.size("findings"), "n_values": F.size("clinical_values"), "n_sections": F.size("sections"), "n_chars_in": F.length(text), "n_chars_out": F.length("redacted")})
+    df = df.withColumns({"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("edited")), "metrics": metric_array(F.col("edited"))})
+    df = df.withColumn("entities", let(F.col("sections"), lambda sec: entity_array(F.col("edited"), sec)))
+    lines = lambda c: F.length(c) - F.length(F.translate(F.col(c), "\n", "")) + 1
+    counts = {"n_findings": F.size("findings"), "n_values": F.size("clinical_values"), "n_sections": F.size("sections"), "n_entities": F.size("entities"), "n_metrics": F.size("metrics")}
+    for name, c in (("in", text), ("out", "redacted")):
+        counts |= {f"n_chars_{name}": F.length(c), f"n_words_{name}": word_count(F.col(c)), f"n_lines_{name}": lines(c)}
+    return df.withColumns(counts)
+
+
+def quality_report(processed: DataFrame, key: str, events: DataFrame | None = None) -> DataFrame:
+    """(key, compliance, log_structure, clinical_coverage, document_structure, overall, grade, issues and the counts behind them) of each row of ``process_documents``.
+
+    ``events`` are the typed events of those documents that are logs (``normalise_logs`` with the same key); a
+    document without any counts as no log. Scores are 0 to 100, overall is their mean.
+    """
+    d = processed.select(F.col(key), "passed", F.col("issues").alias("_leaks"), "n_values", "n_sections", "n_entities")
+    counts = ["entries", "structured", "normalised", "signals", "medications", "labs"]
+    if events is None:
+        d = d.withColumns({n: F.lit(0).cast("long") for n in counts} | {"confidence": F.lit(None).cast("double")})
+    else:
+        structured = F.col("event_type") != "raw_log_line"
+        typed = structured & (F.coalesce(F.size("normalized_payload"), F.lit(0)) > 0)
+        of = lambda *kinds: F.count_if(typed & F.col("event_type").isin(*kinds))
+        g = events.groupBy(key).agg(F.count("*").alias("entries"), F.count_if(structured).alias("structured"), F.count_if(typed).alias("normalised"), of("lab_result", "medication_event", "vitals_capture").alias("signals"), of("medication_event").alias("medications"), of("lab_result").alias("labs"), F.avg(F.when(structured, F.col("parse_confidence"))).alias("confidence"))
+        d = d.join(g, key, "left").fillna(0, counts)
+    n, hundred = F.size("_leaks"), F.lit(100.0)
+    signals = F.col("n_values") + F.col("signals")
+    d = d.withColumns(
+        {
+            "compliance": F.when(F.col("passed"), 100.0).otherwise(F.greatest(F.lit(20.0), 100.0 - 20 * n)),
+            "log_structure": F.when(F.col("entries") == 0, 100.0).otherwise(F.bround(F.least(hundred, F.coalesce("confidence", F.lit(0.0)) * 70 + F.col("normalised") / F.greatest(F.lit(1), F.col("structured")) * 30))),
+            "clinical_coverage": F.least(hundred, 35.0 + 6 * signals),
+            "document_structure": F.least(hundred, 40.0 + 8 * F.col("n_sections") + 2 * F.col("n_entities")),
+            "issues": F.slice(F.concat("_leaks", F.filter(F.array(F.when((F.col("normalised") > 0) & (F.col("normalised") < F.greatest(F.lit(1), F.floor(F.col("structured") * 0.5))), FEW_TYPED), F.when(signals == 0, NO_SIGNAL)), lambda x: x.isNotNull())), 1, 6),
+        }
+    )
+    d = d.withColumn("overall", F.bround((F.col("compliance") + F.col("log_structure") + F.col("clinical_coverage") + F.col("document_structure")) / 4))
+    return d.select(key, "compliance", "log_structure", "clinical_coverage", "document_structure", "overall", grade(F.col("overall")).alias("grade"), "issues", "structured", "normalised", "medications", "labs", F.col("n_values").alias("measurements"), F.col("n_entities").alias("entities"))

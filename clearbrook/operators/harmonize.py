@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from clearbrook.functions.values import TARGET_SCHEMAS
 
 #: Words that tell the domain, and the least likeness of names.
-HEALTH_WORDS = ["patient", "diagnosis", "admission", "discharge", "blood", "heart"]
+HEALTH_WORDS = ["patient", "diagnosis", "mrn", "icd", "clinical", "hospital"]
 LEAST = 0.62
 
 

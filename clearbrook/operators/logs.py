@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_timestamp
-from clearbrook.functions.text import field_key
+from clearbrook.functions.text import field_key, let
 from clearbrook.functions.values import MEASUREMENTS
 from clearbrook.operators.documents import ICD10
 
@@ -190,8 +190,9 @@ def confidence(kind: Column, found: Column, source: Column, fields: Column) -> C
     for k, rule in RULES.items():
         if k != "lab_result":
             scored = F.when(kind == k, score(*rule)).otherwise(scored)
-    needs = scored["overall"] < F.when(kind.isin(*STRICT), 75).otherwise(70)
-    return F.when(F.size(found) > 0, F.struct(*[scored[n].alias(n) for n in ("required", "completeness", "extraction", "overall")], needs.alias("review_needed")))
+    limit = F.when(kind.isin(*STRICT), 75).otherwise(70)
+    parts = lambda s: F.struct(*[s[n].alias(n) for n in ("required", "completeness", "extraction", "overall")], (s["overall"] < limit).alias("review_needed"))
+    return F.when(F.size(found) > 0, let(scored, parts))
 
 
 def parse_confidence(timestamp: Column, level: Column, source: Column, kind: Column, fields: Column, vitals: Column, found: Column) -> Column:
@@ -219,11 +220,11 @@ def normalise_entries(e: DataFrame) -> DataFrame:
 
 
 def log_quality(events: DataFrame, key: str) -> DataFrame:
-    """(key, structured, normalised, avg_confidence, log_structure, clinical_coverage, overall, grade) of each text of events."""
+    """(key, structured, normalised, avg_confidence, log_structure, clinical_coverage, overall, grade) of each text of events, from the events alone; ``documents.quality_report`` judges documents with all four scores."""
     structured = F.col("event_type") != "raw_log_line"
     typed = structured & (F.size("normalized_payload") > 0)
-    g = events.groupBy(key).agg(F.count_if(structured).alias("structured"), F.count_if(typed).alias("normalised"), F.avg(F.when(structured, F.col("parse_confidence"))).alias("avg_confidence"), F.count_if(typed & F.col("event_type").isin("lab_result", "medication_event")).alias("_signals"), F.sum(F.size("clinical_snapshot")).alias("_values"))
-    g = g.withColumn("log_structure", F.round(F.least(F.lit(100.0), F.coalesce("avg_confidence", F.lit(0.0)) * 70 + F.col("normalised") / F.greatest(F.lit(1), F.col("structured")) * 30)))
+    g = events.groupBy(key).agg(F.count_if(structured).alias("structured"), F.count_if(typed).alias("normalised"), F.avg(F.when(structured, F.col("parse_confidence"))).alias("avg_confidence"), F.count_if(typed & F.col("event_type").isin("lab_result", "medication_event", "vitals_capture")).alias("_signals"), F.sum(F.size("clinical_snapshot")).alias("_values"))
+    g = g.withColumn("log_structure", F.bround(F.least(F.lit(100.0), F.coalesce("avg_confidence", F.lit(0.0)) * 70 + F.col("normalised") / F.greatest(F.lit(1), F.col("structured")) * 30)))
     g = g.withColumn("clinical_coverage", F.least(F.lit(100.0), 35.0 + 6 * (F.col("_signals") + F.col("_values"))))
-    g = g.withColumn("overall", F.round((F.col("log_structure") + F.col("clinical_coverage")) / 2))
+    g = g.withColumn("overall", F.bround((F.col("log_structure") + F.col("clinical_coverage")) / 2))
     return g.withColumn("grade", F.when(F.col("overall") >= 90, "A").when(F.col("overall") >= 80, "B").when(F.col("overall") >= 70, "C").otherwise("D")).drop("_signals", "_values")

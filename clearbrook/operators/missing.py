@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearbrook.operators.stats import classify, column_stats, kind_of
+from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of, most_frequent
 
 METHODS = {"auto": "auto", "fill_median": "median", "median": "median", "fill_mode": "mode", "mode": "mode", "mean": "mean", "remove": "remove", "drop": "remove"}
 
@@ -27,18 +27,19 @@ def handle_missing(df: DataFrame, method: str = "auto") -> DataFrame:
         return df.dropna()
     numbers = [c for c in df.columns if kind_of(df, c) == "number"]
     others = [c for c in df.columns if kind_of(df, c) != "number"]
-    take = {"median": lambda c: F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)), "auto": lambda c: F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)), "mean": lambda c: F.avg(f"`{c}`"), "mode": lambda c: F.mode(f"`{c}`", True)}[method]
-    aggs = [take(c).alias(f"v{i}") for i, c in enumerate(numbers)] + [F.count("*").alias("rows"), *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns)]]
-    if method in ("auto", "mode"):
-        aggs += [F.mode(f"`{c}`", True).alias(f"m{i}") for i, c in enumerate(others)]
-    r = df.agg(*aggs).first()
+    r = df.agg(F.count("*").alias("rows"), *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns)], *[F.avg(f"`{c}`").alias(f"v{c}") for c in numbers if method == "mean"]).first()
     lacking = {c for i, c in enumerate(df.columns) if r[f"k{i}"] < r["rows"]}
-    fill = {c: r[f"v{i}"] if r[f"v{i}"] is not None or method != "mode" else 0 for i, c in enumerate(numbers) if c in lacking}
+    numbers, others = ([c for c in cs if c in lacking] for cs in (numbers, others))
+    if method in ("median", "auto"):
+        fill = {c: q[0] for c, q in zip(numbers, exact_quantiles(df, [F.col(f"`{c}`") for c in numbers], [0.5]), strict=True)}
+    elif method == "mean":
+        fill = {c: r[f"v{c}"] for c in numbers}
+    else:
+        known = most_frequent(df, numbers)
+        fill = {c: known.get(c, 0) for c in numbers}
     if method in ("auto", "mode"):
-        for i, c in enumerate(others):
-            if c in lacking:
-                v = r[f"m{i}"]
-                fill[c] = v if v is not None else ("Unknown" if kind_of(df, c) == "string" else None)
+        known = most_frequent(df, others)
+        fill |= {c: known.get(c, "Unknown" if kind_of(df, c) == "string" else None) for c in others}
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fill.items() if v is not None})
 
 
@@ -113,5 +114,5 @@ def model_impute(df: DataFrame, target: str, trees: int = 80, seed: int = 42, le
 
 def _fill_one(df: DataFrame, target: str) -> DataFrame:
     numeric = kind_of(df, target) == "number"
-    v = df.agg((F.percentile(F.col(target).cast("double"), F.lit(0.5)) if numeric else F.mode(target, True)).alias("v")).first()["v"]
+    v = exact_quantiles(df, [F.col(target)], [0.5])[0][0] if numeric else most_frequent(df, [target]).get(target)
     return df if v is None else df.withColumn(target, F.coalesce(F.col(target), F.lit(v).cast(df.schema[target].dataType)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import age_years, date_parts
 from clearbrook.functions.text import email_domain, word_count
-from clearbrook.operators.stats import ColumnStats, classify, column_stats, kind_of
+from clearbrook.operators.stats import ColumnStats, classify, column_stats, exact_quantiles, kind_of
 
 #: Plausible ranges of clinical measurements.
 CLINICAL_RANGES = {"heart_rate": (40, 200), "systolic_bp": (70, 250), "diastolic_bp": (40, 150), "temperature": (35, 42), "spo2": (70, 100)}
@@ -20,9 +20,10 @@ def numbers(df: DataFrame) -> list[str]:
 def fix_negatives(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Where at least 99 % of a column's values, but not all, are 0 or more, its negatives become the median of those."""
     columns = numbers(df) if columns is None else columns
-    aggs = [a for i, c in enumerate(columns) for x in [F.col(f"`{c}`").cast("double")] for a in (F.avg((x >= 0).cast("double")).alias(f"s{i}"), F.percentile(F.when(x >= 0, x), F.lit(0.5)).alias(f"m{i}"))]
-    r = df.agg(*aggs).first() if aggs else {}
-    new = {c: F.when(F.col(f"`{c}`") < 0, F.lit(r[f"m{i}"])).otherwise(F.col(f"`{c}`")) for i, c in enumerate(columns) if r[f"s{i}"] is not None and 0.99 <= r[f"s{i}"] < 1}
+    r = df.agg(*[F.avg((F.col(f"`{c}`").cast("double") >= 0).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first() if columns else {}
+    few = [c for i, c in enumerate(columns) if r[f"s{i}"] is not None and 0.99 <= r[f"s{i}"] < 1]
+    medians = exact_quantiles(df, [F.when(F.col(f"`{c}`") >= 0, F.col(f"`{c}`")) for c in few], [0.5])
+    new = {c: F.when(F.col(f"`{c}`") < 0, F.lit(m[0])).otherwise(F.col(f"`{c}`")) for c, m in zip(few, medians, strict=True)}
     return df.withColumns(new) if new else df
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearbrook.functions.text import PART, cut_at, let
 from clearbrook.functions.values import PHI_PATTERNS
 from clearbrook.operators.stats import kind_of
 
@@ -37,6 +38,8 @@ LEAKS = [
     (r"\b(?:DOB|Date of Birth)[:\s]*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", "HIGH: Date of birth still visible"),
 ]
 NINE_DIGITS = ("SSN", "AADHAAR", "CREDIT_CARD")
+#: Types whose pattern asks for no digit (or mask); texts without one aren't searched for the others.
+WITHOUT_DIGITS = ("EMAIL", "INSURANCE_ID", "PATIENT_NAME", "PROVIDER_NAME")
 
 
 def identifying(name: str, whole_word: bool = False) -> bool:
@@ -73,18 +76,21 @@ def column_redactions(df: DataFrame, whole_word: bool = False) -> DataFrame:
 
 
 def spans(text: Column, pattern: str, *groups: int) -> Column:
-    """array of struct(start, end, match, g1...): every match of a pattern with its offsets (from 0), as text between matches and matches add up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    kept = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), *[k.alias(f"g{g}") for g, k in zip(groups, kept, strict=True)])
-    names = ["match", *[f"g{g}" for g in groups]]
-    start = lambda acc, z: acc["at"] + F.length(z["b"])
-    one = lambda acc, z: F.struct(start(acc, z).alias("start"), (start(acc, z) + F.length(z["m"])).alias("end"), z["m"].alias("match"), *[z[n].alias(n) for n in names[1:]])
-    kind = "array<struct<start:int,end:int,match:string" + "".join(f",{n}:string" for n in names[1:]) + ">>"
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-    folded = F.aggregate(zipped, empty, lambda a, z: F.struct((start(a, z) + F.length(z["m"])).alias("at"), F.concat(a["out"], F.array(one(a, z))).alias("out")), lambda a: a["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.expr(f"cast(array() as {kind})"))
+    """array of struct(start, end, match, g1...): every match of a pattern with its offsets (from 0), from one run of the pattern."""
+    names = "".join(f",g{g}:string" for g in groups)
+    none = F.expr(f"cast(array() as array<struct<start:int,end:int,match:string{names}>>)")
+
+    def step(a: Column, x: Column) -> Column:
+        def met(parts: Column) -> Column:
+            end = a["at"] + F.length(parts[0])
+            found = F.struct(a["at"].alias("start"), end.alias("end"), parts[0].alias("match"), *[F.get(parts, F.lit(i)).alias(f"g{g}") for i, g in enumerate(groups, 1)])
+            return F.struct(end.alias("at"), F.lit(False).alias("inside"), F.concat(a["out"], F.array(found)).alias("out"))
+
+        return F.when(a["inside"], let(F.split(x, PART, -1), met)).otherwise(F.struct((a["at"] + F.length(x)).alias("at"), F.lit(True).alias("inside"), a["out"].alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+    folded = lambda p: F.when(F.size(p) > 1, F.aggregate(p, start, step, lambda a: a["out"])).otherwise(none)
+    return F.coalesce(let(cut_at(text, pattern, *groups), folded), none)
 
 
 FINDING = "array<struct<start:int,end:int,match:string,type:string,hipaa_category:string,risk_level:string,specificity:int,risk:int>>"
@@ -96,6 +102,8 @@ def find_identifiers(text: Column) -> Column:
     def of(kind: str) -> Column:
         pattern, category, risk = PHI_PATTERNS[kind]
         found = spans(text, f"(?i){pattern}")
+        if kind not in WITHOUT_DIGITS:
+            found = F.when(text.rlike("[0-9*]|XXX-|xxx-"), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
         if kind in NINE_DIGITS:
             enough = lambda s: F.length(F.regexp_replace(s["match"], r"\D", "")) >= 9
             found = F.filter(found, lambda s: enough(s) | s["match"].rlike("[*Xx]") if kind == "SSN" else enough(s))
@@ -115,8 +123,16 @@ def find_identifiers(text: Column) -> Column:
 def with_findings(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with findings: type, category, risk, offsets, line and a preview of three characters."""
     found = df.withColumn("_f", find_identifiers(F.col(text)))
-    line = lambda f: F.regexp_count(F.substring(F.col(text), F.lit(1), f["start"]), F.lit("\n")) + 1
-    return found.withColumn("findings", F.transform("_f", lambda f: F.struct(f["type"], f["hipaa_category"], f["risk_level"], f["start"], f["end"], line(f).alias("line_number"), F.concat(F.substring(f["match"], 1, 3), F.lit("***")).alias("preview")))).drop("_f")
+    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    one = lambda f, line: F.struct(f["type"], f["hipaa_category"], f["risk_level"], f["start"], f["end"], line.alias("line_number"), F.concat(F.substring(f["match"], 1, 3), F.lit("***")).alias("preview"))
+
+    def step(a: Column, f: Column) -> Column:
+        line = a["line"] + breaks(F.substring(F.col(text), a["at"] + 1, f["start"] - a["at"]))
+        return let(line, lambda n: F.struct(f["start"].alias("at"), n.alias("line"), F.concat(a["out"], F.array(one(f, n))).alias("out")))
+
+    none = F.expr("cast(array() as array<struct<type:string,hipaa_category:string,risk_level:string,start:int,end:int,line_number:int,preview:string>>)")
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
+    return found.withColumn("findings", F.aggregate("_f", start, step, lambda a: a["out"])).drop("_f")
 
 
 def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFrame:
@@ -128,10 +144,11 @@ def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFr
         "remove": lambda f: F.lit(""),
     }[style]
     df = with_findings(df, text)
-    with_match = F.transform("findings", lambda f: F.struct(f["type"].alias("type"), f["start"].alias("start"), f["end"].alias("end"), F.substring(F.col(text), f["start"] + 1, f["end"] - f["start"]).alias("match")))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, f: F.struct(f["end"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, f["start"] - a["at"]), new(f)).alias("out"))
-    whole = F.aggregate(with_match, first, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
+    with_match = lambda f: F.struct(f["type"].alias("type"), f["start"].alias("start"), f["end"].alias("end"), F.substring(F.col(text), f["start"] + 1, f["end"] - f["start"]).alias("match"))
+    before = lambda i: F.coalesce(F.get("findings", i - 1)["end"], F.lit(0))
+    parts = F.transform("findings", lambda f, i: F.concat(F.substring(F.col(text), before(i) + 1, f["start"] - before(i)), new(with_match(f))))
+    rest = F.coalesce(F.element_at(F.col("findings.end"), -1), F.lit(0))
+    whole = F.when(F.size("findings") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), F.substring(F.col(text), rest + 1, F.length(F.col(text)))))
     df = df.withColumn("redacted", F.regexp_replace(whole, r"\*{3}-\*{2}-\d{4}\b", "[REDACTED-SSN]"))
     return with_leaks(df, "redacted").withColumn("compliant", (F.size("findings") > 0) & F.col("passed"))
 
@@ -143,9 +160,16 @@ def with_leaks(df: DataFrame, text: str) -> DataFrame:
 
 
 def finding_summary(df: DataFrame) -> DataFrame:
-    """(type, risk_level, findings, documents) over all rows of ``with_findings``."""
-    each = df.select(F.explode("findings").alias("f"), F.xxhash64("findings").alias("_d"))
-    return each.groupBy("f.type", "f.risk_level").agg(F.count("*").alias("findings"))
+    """(type, hipaa_category, risk_level, findings, documents) over all rows of ``with_findings``: each text counts once for a type."""
+    kinds = F.array_distinct(F.transform("findings", lambda f: F.struct(f["type"].alias("type"), f["hipaa_category"].alias("hipaa_category"), f["risk_level"].alias("risk_level"))))
+    each = df.select(F.explode(F.transform(kinds, lambda k: F.struct(k["type"], k["hipaa_category"], k["risk_level"], F.size(F.filter("findings", lambda f: f["type"] == k["type"])).alias("n")))).alias("f"))
+    return each.groupBy("f.type", "f.hipaa_category", "f.risk_level").agg(F.sum("f.n").alias("findings"), F.count("*").alias("documents"))
+
+
+def redaction_report(df: DataFrame, style: str = "tag") -> DataFrame:
+    """(style, documents, redactions, critical, high, medium, low, by_category) over all rows of ``redact_text``."""
+    by = finding_summary(df).groupBy().agg(F.sum("findings").alias("redactions"), *[F.coalesce(F.sum(F.when(F.col("risk_level") == r, F.col("findings"))), F.lit(0)).alias(r.lower()) for r in RISK], F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws(": ", "hipaa_category", "type"), "findings")))).alias("by_category"))
+    return df.agg(F.count("*").alias("documents")).join(F.broadcast(by)).select(F.lit(style).alias("style"), "documents", F.coalesce("redactions", F.lit(0)).alias("redactions"), *[r.lower() for r in RISK], "by_category")
 
 
 def identifier_values(df: DataFrame, text: str = "text") -> DataFrame:

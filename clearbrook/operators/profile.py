@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from clearbrook.functions.text import number_of
 from clearbrook.operators.dedup import duplicate_count
 from clearbrook.operators.numeric import numbers
-from clearbrook.operators.stats import classify, column_stats, isinstance_float, kind_of
+from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of
 
 DATE_SHAPES = r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-\d{1,2}-\d{2,4}|(?i:\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2})"
-MEDICAL_NAMES = ["patient", "diagnosis", "icd", "medication", "blood", "heart", "bp", "dob", "mrn"]
+#: Name parts that tell healthcare data.
+MEDICAL_NAMES = ["patient", "diagnosis", "icd", "mrn", "hospital", "physician", "medical", "clinical"]
 
 
 def _strings(df: DataFrame) -> list[str]:
@@ -36,7 +37,13 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def column_metadata(df: DataFrame) -> DataFrame:
-    return _rows(df, [F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.lit(kind_of(df, c)).alias("kind"), F.count_distinct(F.col(f"`{c}`")).alias("distinct"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.count(F.col(f"`{c}`")).alias("non_nulls")) for c, t in df.dtypes], "column string, dtype string, kind string, distinct long, nulls long, non_nulls long")
+    """(column, dtype, kind, distinct, nulls, non_nulls). Values are counted by a grouped aggregate for each column, which reads that column only; no row is repeated for each column."""
+    out = df.sparkSession.createDataFrame([], "column string, dtype string, kind string, distinct long, nulls long, non_nulls long")
+    for c, t in df.dtypes:
+        counts = df.groupBy(F.col(f"`{c}`").alias("v")).count()
+        sums = counts.agg(F.count("v").alias("distinct"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("count"))), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("count"))), F.lit(0)).alias("non_nulls"))
+        out = out.unionByName(sums.select(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.lit(kind_of(df, c)).alias("kind"), "distinct", "nulls", "non_nulls"))
+    return out
 
 
 def role_table(df: DataFrame) -> DataFrame:
@@ -74,6 +81,7 @@ class Profile:
     far: dict[str, int]
     farther: dict[str, int]
     beyond: dict[str, int]
+    special: list[str]
 
 
 def profile(df: DataFrame) -> Profile:
@@ -88,17 +96,26 @@ def profile(df: DataFrame) -> Profile:
         aggs.append((F.count_if(F.abs((x - s.mean) / s.std) > 3) if s.std else F.lit(0)).alias(f"z{i}"))
     r = df.agg(*aggs).first()
     dup = duplicate_count(df).first()
-    return Profile(r["_n"], len(df.columns), {c: s.nulls for c, s in stats.items()}, dup["duplicate_rows"], [c for c, x in found.items() if x["mixed"]], [c for c, x in found.items() if x["formatted_numbers"]], [c for c, x in found.items() if x["dates"]], {c: r[f"a{i}"] for i, c in enumerate(nums)}, {c: r[f"b{i}"] for i, c in enumerate(nums)}, {c: r[f"z{i}"] for i, c in enumerate(nums)})
+    return Profile(r["_n"], len(df.columns), {c: s.nulls for c, s in stats.items()}, dup["duplicate_rows"], [c for c, x in found.items() if x["mixed"]], [c for c, x in found.items() if x["formatted_numbers"]], [c for c, x in found.items() if x["dates"]], {c: r[f"a{i}"] for i, c in enumerate(nums)}, {c: r[f"b{i}"] for i, c in enumerate(nums)}, {c: r[f"z{i}"] for i, c in enumerate(nums)}, [c for c, x in found.items() if x["special_characters"]])
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
-    """A row for each issue: kind, column (null for the table), count and pct of rows."""
+    """A row for each issue: kind, column (null for the table), count, pct of rows, and what the combined issues of a column are."""
     p = profile(df)
     pct = lambda n: 100.0 * n / p.rows if p.rows else 0.0
-    rows = [("formatted_numbers", c, None, None) for c in p.formatted] + [("date_strings", c, None, None) for c in p.dates] + [("mixed_types", c, None, None) for c in p.mixed]
-    rows += [("missing", c, n, pct(n)) for c, n in p.missing.items() if n] + [("outliers", c, n, pct(n)) for c, n in p.far.items() if n]
-    rows += [("duplicates", None, p.duplicates, pct(p.duplicates))] if p.duplicates else []
-    return df.sparkSession.createDataFrame(rows, "issue string, column string, n long, pct double")
+    rows = [("formatted_numbers", c, None, None, None) for c in p.formatted] + [("date_strings", c, None, None, None) for c in p.dates] + [("mixed_types", c, None, None, None) for c in p.mixed]
+    cells = sum(p.missing.values())
+    rows += [("missing_cells", None, cells, None, None)] if cells else []
+    rows += [("missing", c, n, pct(n), None) for c, n in p.missing.items() if n] + [("outliers", c, n, pct(n), None) for c, n in p.far.items() if n]
+    rows += [("duplicates", None, p.duplicates, pct(p.duplicates), None)] if p.duplicates else []
+    parts = (("special characters", p.special), ("formatted numbers", p.formatted), ("date strings", p.dates))
+    rows += [("column_issues", c, None, None, ", ".join(held)) for c in df.columns if (held := [name for name, columns in parts if c in columns])]
+    return df.sparkSession.createDataFrame(rows, "issue string, column string, n long, pct double, details string")
+
+
+def preview(df: DataFrame, rows: int = 100) -> DataFrame:
+    """The first ``rows`` rows, as they come."""
+    return df.limit(rows)
 
 
 def column_quality(df: DataFrame) -> DataFrame:
@@ -128,29 +145,43 @@ def cleaning_score(df: DataFrame) -> DataFrame:
 
 
 def recommendations(df: DataFrame) -> DataFrame:
-    """(priority, operation, column, reason, confidence), the most urgent first."""
+    """(priority, operation, columns, reason, confidence), one row for each rule that fits, the most urgent first. Rules on letter case look at all string columns and values."""
     p, rows = profile(df), []
-    for c, n in p.missing.items():
-        pct = 100.0 * n / p.rows if p.rows else 0
-        if pct > 50:
-            rows.append(("HIGH", "remove_high_missing", c, f"{pct:.1f} % missing", 90))
-        if pct > 20:
-            rows.append(("HIGH", "handle_missing", c, f"{pct:.1f} % missing", 95))
-        elif pct > 5:
-            rows.append(("MEDIUM", "handle_missing", c, f"{pct:.1f} % missing", 85))
+    cells = p.rows * p.columns
+    missing = 100.0 * sum(p.missing.values()) / cells if cells else 0.0
+    lacking = [c for c, n in p.missing.items() if n]
+    if missing > 20:
+        rows += [("HIGH", "handle_missing", lacking, f"{missing:.1f} % of all cells are missing", 0.95), ("MEDIUM", "ml_impute_missing", lacking, "predictions keep relations between columns", 0.82)]
+    elif missing > 5:
+        rows.append(("MEDIUM", "handle_missing", lacking, f"{missing:.1f} % of all cells are missing", 0.90))
     if p.duplicates:
-        rows.append(("HIGH" if p.duplicates > 0.05 * p.rows else "MEDIUM", "remove_duplicates", None, f"{p.duplicates} duplicate rows", 98))
+        rows.append(("HIGH" if p.duplicates > 0.05 * p.rows else "MEDIUM", "remove_duplicates", [], f"{p.duplicates} duplicate rows", 1.0))
     medical = [c for c in df.columns if any(w in c.lower() for w in MEDICAL_NAMES)]
-    if medical:
-        rows.append(("HIGH", "standardize_codes", None, f"clinical columns: {', '.join(medical)}", 80))
-    rows += [("MEDIUM", "handle_outliers", c, f"{n} outliers", 75) for c, n in p.beyond.items() if n > 0.05 * p.rows]
+    if medical or any(w in " ".join(df.columns).lower() for w in MEDICAL_NAMES):
+        rows += [("HIGH", "redact_phi", medical, "healthcare data", 0.85), ("MEDIUM", "standardize_codes", medical, "healthcare data", 0.90)]
+    beyond = [c for c, n in p.beyond.items() if n]
+    if sum(p.beyond.values()) > 0.05 * p.rows:
+        rows.append(("MEDIUM", "handle_outliers", beyond, f"{sum(p.beyond.values())} outliers", 0.75))
     strings = _strings(df)
-    if strings:
-        mixed_case = df.agg(*[(F.count_distinct(F.col(f"`{c}`")) > F.count_distinct(F.lower(F.col(f"`{c}`")))).alias(c) for c in strings]).first()
-        rows += [("LOW", "clean_text", c, "inconsistent letter case", 80) for c in strings if mixed_case[c]]
-    rows += [("HIGH", "smart_type_conversion", c, "mixed types", 85) for c in p.mixed]
-    out = df.sparkSession.createDataFrame(rows, "priority string, operation string, column string, reason string, confidence int")
-    return out.orderBy(F.expr("CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END"), F.desc("confidence"), "operation", "column")
+    cased = df.agg(*[_mixed_case(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(strings)]).first() if strings else []
+    uneven = [c for i, c in enumerate(strings) if cased[f"c{i}"]]
+    if uneven:
+        rows.append(("LOW", "clean_text", uneven, "inconsistent letter case", 0.80))
+    if p.mixed:
+        rows.append(("HIGH", "smart_type_conversion", p.mixed, "mixed types", 0.88))
+    high = [c for c, n in p.missing.items() if n > 0.5 * p.rows]
+    if high:
+        rows.append(("MEDIUM", "remove_high_missing", high, "over 50 % missing", 0.70))
+    out = df.sparkSession.createDataFrame(rows, "priority string, operation string, columns array<string>, reason string, confidence double")
+    return out.orderBy(F.expr("CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END"), F.desc("confidence"), "operation")
+
+
+def _mixed_case(x: Column) -> Column:
+    """Whether a column has values all in capitals and values all in small letters, or several words in mixed case."""
+    low, up = F.lower(x), F.upper(x)
+    upper, lower = (x == up) & (x != low), (x == low) & (x != up)
+    mixed = x.contains(" ") & (x != low) & (x != up)
+    return F.coalesce((F.max(upper) & F.max(lower)) | F.max(mixed), F.lit(False))
 
 
 def column_statistics(df: DataFrame, column: str) -> DataFrame:
@@ -158,7 +189,8 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
     x = F.col(f"`{column}`")
     if kind_of(df, column) == "number":
         r = lambda c, n: F.round(c.cast("double"), 4).alias(n)
-        return df.agg(F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), r(F.avg(x), "mean"), r(F.median(x), "median"), r(F.stddev_samp(x), "std"), r(F.min(x), "min"), r(F.max(x), "max"))
+        median = F.lit(exact_quantiles(df, [x], [0.5])[0][0]).cast("double")
+        return df.agg(F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), r(F.avg(x), "mean"), r(median, "median"), r(F.stddev_samp(x), "std"), r(F.min(x), "min"), r(F.max(x), "max"))
     return df.where(x.isNotNull()).groupBy(x.cast("string").alias("value")).count().orderBy(F.desc("count"), "value").limit(10)
 
 
@@ -184,5 +216,15 @@ def feature_suggestions(df: DataFrame) -> list[str]:
     return found or ["schema alignment"]
 
 
-def float_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if isinstance_float(df, c)]
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, change, change_pct) of rows, columns, missing cells, duplicate rows and the overall score; pct is of the value before, null where that is 0."""
+    both = compare(before, after)
+    scores = cleaning_score(before).select(F.lit("before").alias("table"), "overall").unionByName(cleaning_score(after).select(F.lit("after").alias("table"), "overall"))
+    wide = both.join(scores, "table").groupBy().pivot("table", ["before", "after"]).agg(*[F.first(F.col(c).cast("double")).alias(c) for c in ("rows", "columns", "missing_cells", "duplicate_rows", "overall")])
+    of = lambda c: F.struct(F.lit(c).alias("metric"), F.col(f"before_{c}").alias("before"), F.col(f"after_{c}").alias("after"))
+    rows = wide.select(F.inline(F.array(*[of(c) for c in ("rows", "columns", "missing_cells", "duplicate_rows", "overall")])))
+    return rows.withColumn("change", F.col("after") - F.col("before")).withColumn("change_pct", F.try_divide(100.0 * F.col("change"), F.col("before")))
+
+
+def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
+    return [c for c in after.columns if c not in before.columns]

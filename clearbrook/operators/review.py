@@ -58,5 +58,16 @@ def review_summary(entries: DataFrame, threshold: float = 70) -> DataFrame:
     return entries.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(low).alias("flagged"), F.count_if(c < 50).alias("band_0_50"), F.count_if((c >= 50) & (c < 70)).alias("band_50_70"), F.count_if((c >= 70) & (c < 85)).alias("band_70_85"), F.count_if(c >= 85).alias("band_85_100"))
 
 
+def most_flagged(summary: DataFrame, k: int = 6) -> DataFrame:
+    """The ``k`` event types with the most flagged entries, of equal ones the first by name."""
+    return summary.where("flagged > 0").orderBy(F.desc("flagged"), "event_type").limit(k)
+
+
+def split_reviewed(entries: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reviewed, pending): entries with a decision and those without."""
+    known = latest(decisions).select("entry_id")
+    return entries.join(known, "entry_id", "left_semi"), entries.join(known, "entry_id", "left_anti")
+
+
 def export_reviewed(entries: DataFrame, decisions: DataFrame) -> DataFrame:
     return final_payloads(entries, decisions).join(history(decisions), "entry_id", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -12,8 +14,12 @@ from clearbrook.functions.dates import parse_date
 from clearbrook.functions.text import number_of
 
 #: Name parts and suffixes that roles depend on.
-DATE_WORDS = ["date", "time", "year", "month", "day", "dt", "timestamp"]
+DATE_WORDS = ["date", "time", "update", "created", "dob", "admission", "discharge"]
 ENGINEERED = ["_encoded", "_binned", "_length", "_word_count", "_was_missing"]
+#: Number of distinct values up to which it is exact; above, it is an estimate (no rule asks for more than 50).
+EXACT_DISTINCT = 100
+#: Share of the rows by which a first bracket around a quantile is widened on either side, and distinct values that are ranked one by one.
+MARGIN, RANKED = 4e-4, 20_000
 
 
 @dataclass
@@ -50,8 +56,75 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "number" if isinstance(t, NumericType) else "date" if isinstance(t, (DateType, TimestampType, TimestampNTZType)) else "string" if isinstance(t, StringType) else "other"
 
 
+def exact_quantiles(df: DataFrame, values: list[Column], probs: list[float]) -> list[list[float | None]]:
+    """Exact quantiles (linear between neighbours) of number expressions; None without values. Nulls are left out.
+
+    No task holds a column. Each quantile has a bracket of values, which approximate percentiles narrow pass by pass
+    until the bracket holds few distinct ones; only these are counted one by one. A bracket is checked by counts, so
+    the result is exact whatever the approximation.
+    """
+    if not values:
+        return []
+    table = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    ends = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    first = table.agg(*[a for i in range(len(values)) for a in (F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", ends, 10_000).alias(f"q{i}"))]).first()
+    out: list[list[float | None]] = [[None] * len(probs) for _ in values]
+    brackets: dict[tuple[int, int], list] = {}
+    for i in range(len(values)):
+        for j, p in enumerate(probs):
+            if n := first[f"n{i}"]:
+                brackets[i, j] = [p * (n - 1), first[f"q{i}"][j], first[f"q{i}"][len(probs) + j]]
+    margin = MARGIN
+    while brackets:
+        inside = {(i, j): F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")) for (i, j), (_, lo, hi) in brackets.items()}
+        sums = [a for (i, j), x in inside.items() for a in (F.count_if(F.col(f"v{i}") < brackets[i, j][1]).alias(f"b{i}_{j}"), F.count(x).alias(f"w{i}_{j}"), F.approx_count_distinct(x).alias(f"d{i}_{j}"))]
+        counts, ready, again = table.agg(*sums).first(), {}, {}
+        for (i, j), (k, lo, hi) in brackets.items():
+            below, within, distinct = (counts[f"{c}{i}_{j}"] for c in "bwd")
+            if math.floor(k) < below or math.ceil(k) >= below + within:
+                again[i, j] = [k, -math.inf, math.inf]  # the approximation was off: from all values once more, with a wider margin
+                margin *= 16
+            elif lo == hi:
+                out[i][j] = lo
+            elif distinct <= RANKED:
+                ready[i, j] = k - below
+            else:
+                again[i, j] = [k, below, within]
+        if ready:
+            cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), inside[i, j].alias("v")) for i, j in ready])
+            rows = table.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("i", "j", "v").count().collect()
+            found = defaultdict(list)
+            for r in rows:
+                found[r["i"], r["j"]].append((r["v"], r["count"]))
+            for (i, j), k in ready.items():
+                low, high, at = math.floor(k), math.ceil(k), 0
+                picked = {}
+                for v, n in sorted(found[i, j]):
+                    picked |= {x: v for x in (low, high) if at <= x < at + n}
+                    at += n
+                out[i][j] = picked[low] if low == high or picked[low] == picked[high] else (high - k) * picked[low] + (k - low) * picked[high]
+        if again:
+            narrow = {(i, j): (x[1], x[2]) for (i, j), x in again.items() if x[1] != -math.inf}
+            ranges = {(i, j): [max(0.0, (math.floor(again[i, j][0]) - b) / w - margin), min(1.0, (math.ceil(again[i, j][0]) - b) / w + margin)] for (i, j), (b, w) in narrow.items()}
+            q = table.agg(*[F.percentile_approx(inside[x], r, 10_000).alias(f"q{x[0]}_{x[1]}") for x, r in ranges.items()]).first() if ranges else {}
+            for i, j in narrow:
+                again[i, j] = [again[i, j][0], *q[f"q{i}_{j}"]]
+        brackets = again
+    return out
+
+
+def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, object]:
+    """The most frequent value of each column, of equal ones the smallest; none for columns without values. Values are counted by a grouped aggregate for each column."""
+    out = {}
+    for c in columns:
+        x = F.col(f"`{c}`")
+        top = df.select(x.alias("v")).where("v is not null").groupBy("v").count().orderBy(F.desc("count"), "v").limit(1).collect()
+        out |= {c: top[0]["v"]} if top else {}
+    return out
+
+
 def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: bool = False, rates: bool = False, quantiles: bool = True) -> dict[str, ColumnStats]:
-    """Statistics of ``columns`` (all if None), all from one pass. ``distinct`` and exact quantiles cost more; ``rates`` are the shares of strings that parse."""
+    """Statistics of ``columns`` (all if None) from one pass, quantiles from a few more. ``distinct`` is exact up to ``EXACT_DISTINCT``; ``rates`` are the shares of strings that parse."""
     columns = df.columns if columns is None else columns
     kinds, aggs = {c: kind_of(df, c) for c in columns}, [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
@@ -60,15 +133,20 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: bool
             x = F.when(~F.isnan(x.cast("double")), x)
         aggs.append(F.count(x).alias(f"n{i}"))
         if distinct and kinds[c] != "other":
-            aggs.append(F.count_distinct(x).alias(f"d{i}"))
+            aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
         if kinds[c] == "number":
             v = x.cast("double")
             aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.skewness(v).alias(f"skew{i}")]
-            if quantiles:
-                aggs.append(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
         if rates and kinds[c] == "string":
             aggs += [F.avg(F.when(x.isNotNull(), number_of(x).isNotNull().cast("double"))).alias(f"num{i}"), F.avg(F.when(x.isNotNull(), parse_date(x).isNotNull().cast("double"))).alias(f"date{i}")]
     r = df.agg(*aggs).first().asDict()
+    few = [i for i in range(len(columns)) if f"d{i}" in r and r[f"d{i}"] <= 1.5 * EXACT_DISTINCT]
+    if few:  # sets of few values
+        r |= df.agg(*[F.size(F.collect_set(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) if kinds[c] == "number" else F.col(f"`{c}`"))).alias(f"d{i}") for i, c in enumerate(columns) if i in few]).first().asDict()
+    if quantiles:
+        nums = [i for i, c in enumerate(columns) if kinds[c] == "number"]
+        v = [F.col(f"`{columns[i]}`").cast("double") for i in nums]
+        r |= {f"q{i}": q for i, q in zip(nums, exact_quantiles(df, [F.when(~F.isnan(x), x) for x in v], [0.25, 0.5, 0.75]), strict=True)}
     out = {}
     for i, c in enumerate(columns):
         q = r.get(f"q{i}") or [None] * 3

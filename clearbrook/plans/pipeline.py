@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearbrook.operators.categories import clean_text_columns, normalise_clinical_text, standardise_categories, standardise_codes
-from clearbrook.operators.dedup import drop_exact, duplicate_count
+from clearbrook.functions.text import fold_replaced
+from clearbrook.functions.values import SPELLING_FIXES, WORD_ABBREVIATIONS
+from clearbrook.operators.categories import clean_text_columns, code_report, normalise_clinical_text, standardise_categories, standardise_codes
+from clearbrook.operators.dedup import drop_exact, duplicate_count, near_duplicate_rows
 from clearbrook.operators.missing import drop_high_missing, drop_high_missing_rows, handle_missing, impute_with_audit, model_impute
-from clearbrook.operators.numeric import clinical_ranges, clip_ranges, engineer_features, fix_negatives, handle_outliers, role_features
-from clearbrook.operators.privacy import redact_columns
-from clearbrook.operators.profile import cleaning_score, compare, recommendations
+from clearbrook.operators.numeric import at_least, clinical_ranges, clip_ranges, engineer_features, fix_negatives, handle_outliers, outlier_report, role_features
+from clearbrook.operators.privacy import column_redactions, redact_columns
+from clearbrook.operators.profile import cleaning_score, compare, null_profile, recommendations
 from clearbrook.operators.stats import classify, column_stats, kind_of
 from clearbrook.operators.types import convert_types, parse_date_columns
+from clearbrook.sources.staging import staged
 
 Spec = dict[str, dict]
 
@@ -59,12 +63,13 @@ PRESETS: dict[str, Spec] = {
 
 
 def run_operations(df: DataFrame, spec: Spec, order: list[str] | None = None, lineage: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(cleaned, lineage). The operations of ``spec`` in ``order``; unknown names are skipped. Lineage rows cost a pass and a duplicate count for each step, and are left out by default."""
+    """(cleaned, lineage). The operations of ``spec`` in ``order``; unknown names are skipped. With ``lineage`` the result of each step is written once to the shared folder and counted from there."""
     steps, rows, spark = [s for s in order or ORDER if s in spec and s in OPERATIONS], [], df.sparkSession
     now = _state(df) if lineage else None
     for i, name in enumerate(steps, 1):
         df = OPERATIONS[name](df, spec[name])
         if lineage:
+            df = staged(df, f"step-{i}")
             was, now = now, _state(df)
             rows.append((i, name, was[0], now[0], was[1], now[1], was[2], now[2], was[3], now[3], abs(was[0] - now[0]), max(0, was[2] - now[2])))
     schema = "step int, operation string, rows_before long, rows_after long, columns_before int, columns_after int, missing_before long, missing_after long, duplicates_before long, duplicates_after long, rows_affected long, missing_reduced long"
@@ -76,15 +81,72 @@ def _state(df: DataFrame) -> tuple[int, int, int, int]:
     return r["n"], len(df.columns), r["m"], duplicate_count(df).first()["duplicate_rows"]
 
 
-def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cleaned, flags): the seven fixed steps. Roles are found anew after each step that may change them."""
+RULES = [("confirmed", "deaths"), ("confirmed", "recovered")]
+
+
+class AutoCleaned(NamedTuple):
+    """The cleaned table and the tables of its report."""
+
+    cleaned: DataFrame
+    flags: DataFrame
+    audit: DataFrame
+    outliers: DataFrame
+    violations: DataFrame
+    duplicates: DataFrame
+    near_duplicates: DataFrame
+    log: DataFrame
+
+
+def auto_clean(df: DataFrame) -> AutoCleaned:
+    """The seven fixed steps: missing values, dates, categories, numbers (negatives and rules fixed, outliers reported), duplicates (exact ones go, near ones are reported), features. Roles are found anew after each step that may change them.
+
+    audit: (column, nulls, action, remaining) of every input column; log: (step, category, column, metric, value) of what each step did.
+    """
+    spark, given = df.sparkSession, df
+    before = column_stats(df, distinct=True, rates=True, quantiles=False)
+    roles_in = classify(df, before)
     df, flags = impute_with_audit(df)
-    df = parse_date_columns(df, classify(df))
+    flagged, log = {r["column"] for r in flags.collect()}, []
+    filled = {c for c in given.columns if f"{c}_was_missing" in df.columns}
+    for c, s in before.items():
+        if s.nulls and c not in flagged:
+            log.append(("missing values", c, "filled" if c in filled else "rows dropped", float(s.nulls)))
+    roles = classify(df)
+    df = parse_date_columns(df, roles)
+    log += [("dates", c, "parsed", 1.0) for c, r in roles.items() if r == "date"]
     roles = classify(df)
     df = standardise_categories(df, roles)
-    df = fix_negatives(df, [c for c, r in classify(df).items() if r == "numeric"])
-    df = drop_exact(df)
-    return role_features(df), flags
+    log += [("categories", c, "standardised", 1.0) for c, r in roles.items() if r in ("categorical", "text")]
+    numeric = [c for c, r in classify(df).items() if r == "numeric"]
+    df = fix_negatives(df, numeric)
+    outliers = outlier_report(df, 1.5, numeric)
+    df, violations = at_least(df, RULES)
+    log += [("numbers", r["column"], "outliers", float(r["outliers"])) for r in outliers.collect()] + [("numbers", r["rule"], "violations fixed", float(r["violations"])) for r in violations.collect() if r["violations"]]
+    duplicates, df = duplicate_count(df), drop_exact(df)
+    log.append(("duplicates", None, "exact rows dropped", float(duplicates.first()["duplicate_rows"])))
+    roles = classify(df)
+    keys = [c for c, r in roles.items() if r in ("date", "categorical")]
+    if keys and len(keys) < len(df.columns):
+        near = near_duplicate_rows(df, keys).where("near_duplicate").drop("near_duplicate")
+        log.append(("duplicates", ", ".join(keys), "near-duplicate rows", float(near.count())))
+    else:
+        near = df.limit(0)
+    out = role_features(df, roles)
+    log += [("features", c, "added", 1.0) for c in out.columns if c not in df.columns]
+    left = {r["column"]: r["nulls"] for r in null_profile(out).collect()}
+
+    def action(c: str) -> str:
+        if not before[c].nulls:
+            return "none"
+        if c in flagged:
+            return "flagged"
+        if c not in filled:
+            return "rows dropped"
+        return "median" if roles_in.get(c) == "numeric" else "Unknown" if before[c].kind == "string" and roles_in.get(c) != "date" else "left null"
+
+    audit = spark.createDataFrame([(c, before[c].nulls, action(c), left.get(c, 0)) for c in given.columns], "column string, nulls long, action string, remaining long")
+    table = spark.createDataFrame([(i, *row) for i, row in enumerate(log, 1)], "step int, category string, column string, metric string, value double")
+    return AutoCleaned(out, flags, audit, outliers, violations, duplicates, near, table)
 
 
 def summary(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -101,17 +163,27 @@ def apply_recommendations(df: DataFrame, priority: str = "HIGH") -> tuple[DataFr
     return run_operations(df, spec)[0], spec
 
 
-def validation_report(df: DataFrame) -> DataFrame:
-    """(category, metric, value): what the checks of a run count, as rows."""
-    from clearbrook.operators.privacy import column_redactions
-
-    parts = [column_redactions(df).select(F.lit("privacy").alias("category"), F.concat_ws(":", "column", "kind").alias("metric"), "values")]
-    parts.append(clinical_ranges(df).select(F.lit("clinical").alias("category"), F.col("column").alias("metric"), F.col("invalid").alias("values")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("values", "value")
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if kind_of(df, c) == "string"]
+def validation_report(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """(category, metric, value): what a cleaning run has to do with a table, as rows: identifiers, conversions, missing values, duplicates, codes, text, outliers, ranges and the overall score (of ``after`` as well, if given)."""
+    spark = df.sparkSession
+    converted = convert_types(df)
+    kinds = [(kind_of(converted, c), c) for c in df.columns if kind_of(df, c) == "string" and kind_of(converted, c) != "string"]
+    rows = [("type_conversions", f"{k}_columns", float(sum(x == k for x, _ in kinds))) for k in ("date", "number")]
+    out = spark.createDataFrame(rows, "category string, metric string, value double")
+    sums = [F.lit(0.0) + sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))]
+    strings = [c for c in df.columns if kind_of(df, c) == "string"]
+    words = lambda table: sum((F.coalesce(F.sum(fold_replaced(F.col(f"`{c}`"), table, True)["n"]), F.lit(0)) for c in strings), F.lit(0))
+    names = [("missing", "cells"), ("text", "abbreviations"), ("text", "misspellings")]
+    sums += [words(WORD_ABBREVIATIONS), words(SPELLING_FIXES)]
+    counted = df.agg(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("metric"), v.cast("double").alias("value")) for (c, m), v in zip(names, sums, strict=True)]).alias("r")).select(F.inline("r"))
+    part = lambda d, category, metric, value: d.select(F.lit(category).alias("category"), metric.alias("metric"), value.cast("double").alias("value"))
+    out = out.unionByName(counted)
+    out = out.unionByName(part(column_redactions(df), "privacy", F.concat_ws(":", "column", "kind"), F.col("values")))
+    out = out.unionByName(part(duplicate_count(df), "duplicates", F.lit("rows"), F.col("duplicate_rows")))
+    out = out.unionByName(part(code_report(df), "codes", F.concat_ws(":", "column", "metric"), F.col("n")))
+    out = out.unionByName(part(outlier_report(df, 3.0), "outliers", F.col("column"), F.col("outliers")))
+    out = out.unionByName(part(clinical_ranges(df), "clinical", F.col("column"), F.col("invalid")))
+    for name, table in (("before", df), ("after", after)):
+        if table is not None:
+            out = out.unionByName(part(cleaning_score(table), "quality", F.lit(name), F.col("overall")))
+    return out

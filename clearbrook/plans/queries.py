@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearbrook.functions import dates, text
-from clearbrook.functions.fuzzy import may_reach, ratio
+from clearbrook.functions.fuzzy import ratio
 from clearbrook.functions.values import SPELLING_FIXES, WORD_ABBREVIATIONS
 from clearbrook.operators import categories, charts, dedup, documents, harmonize, logs, missing, numeric, privacy, profile, review, types
 from clearbrook.plans import pipeline
 from clearbrook.sources import tables
+from clearbrook.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,24 +69,44 @@ def cleaning_score(spark: SparkSession, sf: str) -> DataFrame:
     return profile.cleaning_score(_gaps(spark, sf))
 
 
-@query()
+SPREAD = "s AS (SELECT count(*) AS n, 2 * count(*) - count(o_totalprice) - count(o_orderpriority) AS m, quantile_cont(o_orderkey, 0.25) AS k1, quantile_cont(o_orderkey, 0.75) AS k3, quantile_cont(o_totalprice, 0.25) AS p1, quantile_cont(o_totalprice, 0.75) AS p3, avg(o_orderkey) AS ka, stddev_samp(o_orderkey) AS ks, avg(o_totalprice) AS pa, stddev_samp(o_totalprice) AS ps FROM g), z AS (SELECT count(*) FILTER (abs(o_orderkey - ka) > 3 * ks) AS zk, count(*) FILTER (abs(o_totalprice - pa) > 3 * ps) AS zp, count(*) FILTER (o_totalprice < p1 - 1.5 * (p3 - p1) OR o_totalprice > p3 + 1.5 * (p3 - p1)) AS far, count(*) FILTER (o_totalprice < p1 - 3 * (p3 - p1) OR o_totalprice > p3 + 3 * (p3 - p1)) AS farther FROM g, s)"
+
+
+@query(f"WITH {GAPS}, {SPREAD}, c AS (SELECT round(100 * (1 - m / (3 * n)), 1) AS a, 100.0 AS b, round(100 * (1 - farther / (2 * n)), 1) AS c, 100.0 AS d, round(100 * (1 - (zk + zp) / (2 * n)), 1) AS e FROM s, z) SELECT a AS completeness, b::DOUBLE AS consistency, c AS validity, d::DOUBLE AS uniqueness, e AS accuracy, round(a * 0.25 + b * 0.2 + c * 0.2 + d * 0.15 + e * 0.2 - 1e-9, 1)::DOUBLE AS overall FROM c")
 def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return profile.quality_score(_gaps(spark, sf))
 
 
-@query()
+@query(f"WITH {GAPS}, {SPREAD}, i AS (SELECT 'missing_cells' AS issue, NULL AS \"column\", m AS n, NULL::DOUBLE AS pct, NULL AS details FROM s UNION ALL SELECT 'missing', 'o_totalprice', count(*) - count(o_totalprice), 100.0 * (count(*) - count(o_totalprice)) / count(*), NULL FROM g UNION ALL SELECT 'missing', 'o_orderpriority', count(*) - count(o_orderpriority), 100.0 * (count(*) - count(o_orderpriority)) / count(*), NULL FROM g UNION ALL SELECT 'outliers', 'o_totalprice', far, 100.0 * far / n, NULL FROM s, z) SELECT * FROM i WHERE n > 0 UNION ALL SELECT 'column_issues', 'o_orderpriority', NULL, NULL, 'special characters' FROM g GROUP BY 1 HAVING bool_or(regexp_matches(o_orderpriority, '[^A-Za-z0-9_ ]'))")
 def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     return profile.quality_issues(_gaps(spark, sf))
 
 
-@query()
+@query(f"WITH {GAPS}, {SPREAD}, q AS (SELECT 'o_orderkey' AS \"column\", 0 AS nulls, zk AS z, n FROM s, z UNION ALL SELECT 'o_totalprice', (SELECT count(*) - count(o_totalprice) FROM g), zp, n FROM s, z UNION ALL SELECT 'o_orderpriority', (SELECT count(*) - count(o_orderpriority) FROM g), 0, n FROM s) SELECT \"column\", greatest(0.0, ((100 - 100.0 * nulls / n) + 100) / 2 - least(200.0 * z / n, 30)) AS score FROM q")
 def column_quality(spark: SparkSession, sf: str) -> DataFrame:
     return profile.column_quality(_gaps(spark, sf))
 
 
-@query()
+def _patients(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a table of patients with gaps, duplicates and uneven letter case."""
+    g = _gaps(spark, sf)
+    g = g.select(F.col("o_orderkey").alias("patient_id"), F.col("o_totalprice").alias("bill"), F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("note"))
+    return g.unionByName(g.where("patient_id % 13 = 0"))
+
+
+@query(f"""WITH {GAPS}, h AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE o_orderkey % 13 = 0), s AS (SELECT count(*) AS n, 100.0 * (2 * count(*) - count(o_totalprice) - count(o_orderpriority)) / (3 * count(*)) AS pct, count(*) FILTER (o_orderkey % 13 = 0) // 2 AS d FROM h)
+SELECT 'HIGH' AS priority, 'remove_duplicates' AS operation, []::VARCHAR[] AS columns, d || ' duplicate rows' AS reason, 1.0::DOUBLE AS confidence FROM s WHERE d > 0.05 * n
+UNION ALL SELECT 'HIGH', 'redact_phi', ['patient_id'], 'healthcare data', 0.85 UNION ALL SELECT 'MEDIUM', 'standardize_codes', ['patient_id'], 'healthcare data', 0.9
+UNION ALL SELECT 'MEDIUM', 'handle_missing', ['bill', 'note'], printf('%.1f', pct) || ' % of all cells are missing', 0.9 FROM s WHERE pct > 5 AND pct <= 20 UNION ALL SELECT 'LOW', 'clean_text', ['note'], 'inconsistent letter case', 0.8""")
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.recommendations(_gaps(spark, sf))
+    return profile.recommendations(_patients(spark, sf))
+
+
+@query(f"WITH {GAPS}, s AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 13 = 0) AS d, 2 * count(*) - count(o_totalprice) - count(o_orderpriority) AS m, (count(*) - count(o_totalprice)) FILTER (o_orderkey % 13 = 0) + (count(*) - count(o_orderpriority)) FILTER (o_orderkey % 13 = 0) AS k FROM g)".replace("(count(*) - count(o_totalprice)) FILTER (o_orderkey % 13 = 0) + (count(*) - count(o_orderpriority)) FILTER (o_orderkey % 13 = 0) AS k", "count(*) FILTER (o_orderkey % 91 = 0) + count(*) FILTER (o_orderkey % 143 = 0) AS k") + ", v AS (SELECT 'rows' AS metric, n + d AS before, n AS after FROM s UNION ALL SELECT 'columns', 3, 3 UNION ALL SELECT 'missing_cells', m + k, 0 FROM s UNION ALL SELECT 'duplicate_rows', d, 0 FROM s UNION ALL SELECT 'overall', 60.0 * (3 * (n + d) - m - k) / (3 * (n + d)) + 0.4 * (100 - 50.0 * d / (n + d)), 100 FROM s) SELECT metric, before::DOUBLE AS before, after::DOUBLE AS after, after::DOUBLE - before AS change, CASE WHEN before <> 0 THEN 100.0 * (after::DOUBLE - before) / before END AS change_pct FROM v")
+def run_changes(spark: SparkSession, sf: str) -> DataFrame:
+    g = _gaps(spark, sf)
+    g = g.unionByName(g.where("o_orderkey % 13 = 0"))
+    return profile.changes(g, pipeline.run_operations(g, {"handle_missing": {}, "remove_duplicates": {}})[0])
 
 
 @query("SELECT * FROM (VALUES ('p_partkey', 'numeric'), ('p_name', 'text'), ('p_brand', 'categorical'), ('p_type', 'categorical'), ('p_size', 'numeric'), ('p_retailprice', 'numeric')) t(\"column\", role) WHERE \"column\" <> 'p_name' UNION ALL SELECT 'p_name', CASE WHEN count(DISTINCT p_name) < 50 THEN 'categorical' ELSE 'text' END FROM part")
@@ -142,7 +163,7 @@ def drop_low_missing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def model_impute(spark: SparkSession, sf: str) -> DataFrame:
     li = _t(spark, sf, "part").select("p_partkey", "p_size", "p_type", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("p_retailprice"))
-    return missing.model_impute(li, "p_retailprice", trees=20)
+    return missing.model_impute(li, "p_retailprice")
 
 
 @query(f"WITH {GAPS}, s AS (SELECT count(*) AS n, count(*) - count(o_totalprice) + count(*) - count(o_orderpriority) AS m FROM g) SELECT 'before' AS \"table\", n AS rows, 3 AS columns, m AS missing_cells, 0::BIGINT AS duplicate_rows FROM s UNION ALL SELECT 'after', n, 3, 0, 0 FROM s")
@@ -216,9 +237,7 @@ def clinical_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    names = _t(spark, sf, "part").select("p_type").distinct()
-    pairs = names.join(names.select(F.col("p_type").alias("other")), (F.col("p_type") < F.col("other")) & may_reach(F.col("p_type"), F.col("other"), 20))
-    return pairs.select("p_type", "other", ratio(F.col("p_type"), F.col("other")).alias("ratio"))
+    return _t(spark, sf, "part").select("p_partkey", ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")
@@ -316,7 +335,7 @@ def rule_fix(spark: SparkSession, sf: str) -> DataFrame:
     return numeric.at_least(_t(spark, sf, "lineitem"), [("L_TAX", "l_discount")])[0].select("l_orderkey", "l_linenumber", "l_tax")
 
 
-@query()
+@query("WITH b AS (SELECT min(p_partkey) AS k0, max(p_partkey) AS k1, min(p_size) AS s0, max(p_size) AS s1, min(p_retailprice) AS r0, max(p_retailprice) AS r1 FROM part) SELECT part.*, length(p_name) AS p_name_length, 1 + length(p_name) - length(replace(p_name, ' ', '')) AS p_name_word_count, CAST(greatest(0, least(4, ceil((p_partkey - k0) / ((k1 - k0) / 5)) - 1)) AS INT) AS p_partkey_binned, CAST(greatest(0, least(4, ceil((p_size - s0) / ((s1 - s0) / 5)) - 1)) AS INT) AS p_size_binned, CAST(greatest(0, least(4, ceil((p_retailprice - r0) / ((r1 - r0) / 5)) - 1)) AS INT) AS p_retailprice_binned, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS p_brand_encoded, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS p_type_encoded FROM part, b")
 def features_by_role(spark: SparkSession, sf: str) -> DataFrame:
     return numeric.role_features(_t(spark, sf, "part"))
 
@@ -450,7 +469,13 @@ def redact_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.redact_columns(_t(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+_STEPS, _CHAIN = [], "text"
+for _n, _p in privacy.COLUMN_PATTERNS.items():
+    _STEPS.append(f"SELECT 'text' AS \"column\", '{_n}' AS kind, count(*) FILTER (regexp_matches({_CHAIN}, '(?i){_p}')) AS \"values\" FROM documents")
+    _CHAIN = f"regexp_replace({_CHAIN}, '(?i){_p}', '[REDACTED_{_n.upper()}]', 'g')"
+
+
+@query(f"SELECT * FROM ({' UNION ALL '.join(_STEPS)}) t WHERE \"values\" > 0")
 def column_redactions(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.column_redactions(_t(spark, sf, "documents").select("doc_id", "text"))
 
@@ -516,9 +541,9 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return _notes(spark, sf).select("event_id", F.explode(documents.sections(F.col("text"))).alias("s")).select("event_id", "s.section_id", "s.heading", "s.line_start")
 
 
-@query("SELECT event_id, e.t AS text, e.k AS type, e.c::DOUBLE AS confidence, e.s AS section FROM events, (VALUES ('hypertension', 'DISEASE', 0.95, 'Assessment'), ('metformin', 'DRUG', 0.95, 'MEDICATION LIST')) e(t, k, c, s)")
+@query("WITH x AS (SELECT event_id, 'VITALS' || chr(10) || 'BP: ' || (100 + event_id % 60) || '/' || (60 + event_id % 30) || ' HR: ' || (60 + event_id % 50) || ' Temp: 98.6 F' || chr(10) || '# Assessment' || chr(10) || 'History of hypertension and diabeties, code E11.9.' || chr(10) || 'CPT: ' || (99200 + event_id % 20) || chr(10) || 'MEDICATION LIST' || chr(10) || 'metformin 500 mg started 2024-01-' || lpad(CAST(1 + event_id % 28 AS VARCHAR), 2, '0') || '. BMI 25.1 30.2 kg/m2' AS a FROM events), p AS (SELECT event_id, a, e.t, e.k, e.s, e.i, strpos(a, e.t) - 1 AS pos FROM x, (VALUES ('hypertension', 'DISEASE', 'Assessment', 'SEC-002'), ('metformin', 'DRUG', 'MEDICATION LIST', 'SEC-003')) e(t, k, s, i)) SELECT event_id, t AS text, k AS type, 0.95::DOUBLE AS confidence, s AS section, i AS section_id, trim(substr(a, greatest(0, pos - 50) + 1, pos + length(t) + 50 - greatest(0, pos - 50)), ' ') AS context FROM p")
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.entities(_notes(spark, sf), "event_id").select("event_id", "text", "type", "confidence", "section")
+    return documents.entities(_notes(spark, sf), "event_id").select("event_id", "text", "type", "confidence", "section", "section_id", "context")
 
 
 @query("SELECT event_id, e.t AS text, e.k AS type, e.s AS section, 1::BIGINT AS mentions, e.c::DOUBLE AS confidence FROM events, (VALUES ('hypertension', 'DISEASE', 0.95, 'Assessment'), ('metformin', 'DRUG', 0.95, 'MEDICATION LIST')) e(t, k, c, s)")
@@ -547,9 +572,45 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     return documents.mentions(_notes(spark, sf), "event_id")
 
 
-@query()
+SHOWN = "t AS (SELECT event_id, 'VITALS' || chr(10) || 'BP: ' || (100 + event_id % 60) || '/' || (60 + event_id % 30) || ' HR: ' || (60 + event_id % 50) || ' Temp: 98.6 F' || chr(10) || '# Assessment' || chr(10) || 'History of hypertension and diabeties, code E11.9.' || chr(10) || 'CPT: ' || (99200 + event_id % 20) || chr(10) || 'MEDICATION LIST' || chr(10) || 'metformin 500 mg started 2024-01-' || lpad(CAST(1 + event_id % 28 AS VARCHAR), 2, '0') || '. BMI 25.1 30.2 kg/m2' AS a FROM events), r AS (SELECT event_id, a, replace(replace(replace(replace(replace(replace(a, 'BP:', 'Blood Pressure (BP):'), 'HR:', 'Heart Rate (HR):'), 'Temp:', 'Temperature (TEMP):'), 'CPT:', 'Current Procedural Terminology (CPT):'), 'BMI ', 'Body Mass Index (BMI) '), 'diabeties', 'diabetes') AS b FROM t), w AS (SELECT *, len(regexp_split_to_array(a, '\\s+')) AS wa, len(regexp_split_to_array(b, '\\s+')) AS wb FROM r)"
+
+
+@query(f"WITH {SHOWN} SELECT event_id, b AS redacted, ['E11.9'] AS icd10, true AS passed, 5 AS n_abbreviations, 1 AS n_spelling, 0 AS n_findings, 0 AS n_values, 3 AS n_sections, 3 AS n_entities, 1 AS n_metrics, length(a) AS n_chars_in, length(b) AS n_chars_out, wa AS n_words_in, wb AS n_words_out, 7 AS n_lines_in, 7 AS n_lines_out FROM w")
 def process_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.process_documents(_notes(spark, sf)).select("event_id", "redacted", "icd10", "n_findings", "n_values", "n_sections", "passed")
+    done = documents.process_documents(_notes(spark, sf))
+    return done.select("event_id", "redacted", "icd10", "passed", *[c for c in done.columns if c.startswith("n_")])
+
+
+@query()
+def document_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return documents.quality_report(staged(documents.process_documents(docs), "processed"), "doc_id")
+
+
+@query()
+def documents_processed(spark: SparkSession, sf: str) -> DataFrame:
+    done = documents.process_documents(_t(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.md5("redacted").alias("redacted"), "icd10", "passed", *[c for c in done.columns if c.startswith("n_")])
+
+
+@query()
+def document_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.mentions(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query()
+def document_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.entities(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query()
+def document_vitals(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.vitals_table(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query()
+def document_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", F.explode(documents.sections(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
 # -- logs and review -----------------------------------------------------------------------------------------------
@@ -569,7 +630,7 @@ def _log_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.normalise_logs(_log_text(spark, sf), "event_id").withColumn("entry_id", F.concat_ws("/", "event_id", "entry_id"))
+    return staged(logs.normalise_logs(_log_text(spark, sf), "event_id").withColumn("entry_id", F.concat_ws("/", "event_id", "entry_id")), "log-events")
 
 
 KINDS = "CASE event_type WHEN 'view' THEN 'lab_result' WHEN 'signup' THEN 'medication_event' WHEN 'error' THEN 'imaging_order' WHEN 'purchase' THEN 'consult' ELSE 'nursing_note' END"
@@ -592,12 +653,23 @@ def medications(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).where("event_type = 'medication_event'").select("entry_id", p("medication_name").alias("name"), p("route").alias("route"), p("action").alias("action"), p("infusion_rate").alias("rate"), p("infusion_rate_unit").alias("rate_unit"))
 
 
-@query()
+#: For each kind of message: inline fields, payload entries, share of required and of all fields found, weights, points for the source and fields.
+SCORES = f"""m AS (SELECT event_id, user_id, {KINDS} AS kind, CASE event_type WHEN 'view' THEN 2 WHEN 'signup' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 1 END AS fields,
+CASE event_type WHEN 'view' THEN 5 WHEN 'signup' THEN 6 WHEN 'error' THEN 3 ELSE 4 END AS entries,
+CASE event_type WHEN 'view' THEN (3 - (user_id = 0)::INT) / 3 ELSE 1 END AS required, CASE event_type WHEN 'view' THEN (5 - (user_id = 0)::INT) / 6 WHEN 'signup' THEN 4 / 6 WHEN 'error' THEN 1 WHEN 'purchase' THEN 4 / 5 ELSE 3 / 5 END AS found,
+CASE event_type WHEN 'signup' THEN 90 ELSE 100 END AS extraction, CASE event_type WHEN 'view' THEN [0.5, 0.3, 0.2] WHEN 'signup' THEN [0.45, 0.35, 0.2] WHEN 'error' THEN [0.55, 0.25, 0.2] WHEN 'purchase' THEN [0.5, 0.3, 0.2] ELSE [0.4, 0.35, 0.25] END AS w FROM events),
+c AS (SELECT event_id, event_id || '/LOG-0001' AS entry_id, kind, round(0.85 + 0.02 * fields + least(0.1, 0.02 * entries), 2) AS parse, round(100 * required * w[1] + 100 * found * w[2] + extraction * w[3], 1) AS conf FROM m
+UNION ALL SELECT event_id, event_id || '/LOG-0002', 'patient_check_in', 0.85, NULL FROM events),
+j AS (SELECT *, conf < CASE kind WHEN 'lab_result' THEN 75 ELSE 70 END AS review, coalesce(conf, 0) < 70 OR coalesce(conf < CASE kind WHEN 'lab_result' THEN 75 ELSE 70 END, false) AS flagged FROM c)"""
+BANDS = "SELECT kind AS event_type, count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (coalesce(conf, 0) < 50) AS band_0_50, count(*) FILTER (conf >= 50 AND conf < 70) AS band_50_70, count(*) FILTER (conf >= 70 AND conf < 85) AS band_70_85, count(*) FILTER (conf >= 85) AS band_85_100 FROM j GROUP BY kind"
+
+
+@query(f"WITH {SCORES} SELECT entry_id, kind AS event_type, parse AS parse_confidence, conf AS normalization_confidence, review AS review_needed FROM j")
 def log_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).select("entry_id", "event_type", "parse_confidence", "normalization_confidence", "review_needed")
 
 
-@query()
+@query(f"WITH {SCORES}, q AS (SELECT event_id, avg(parse) AS a, round_even(least(100, avg(parse) * 70 + 15), 0) AS s, 35.0 + 6 * count(*) FILTER (kind IN ('lab_result', 'medication_event')) AS v FROM j GROUP BY event_id), o AS (SELECT *, round_even((s + v) / 2, 0) AS t FROM q) SELECT event_id, 2::BIGINT AS structured, 1::BIGINT AS normalised, a AS avg_confidence, s AS log_structure, v AS clinical_coverage, t AS overall, CASE WHEN t >= 90 THEN 'A' WHEN t >= 80 THEN 'B' WHEN t >= 70 THEN 'C' ELSE 'D' END AS grade FROM o")
 def log_quality(spark: SparkSession, sf: str) -> DataFrame:
     return logs.log_quality(_events(spark, sf), "event_id")
 
@@ -619,16 +691,21 @@ def review_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return review.review_statistics(_events(spark, sf), _decisions(spark, sf))
 
 
-@query()
+@query(f"WITH {SCORES} SELECT entry_id, kind AS event_type, conf AS normalization_confidence, CASE WHEN event_id % 3 = 0 AND entry_id LIKE '%/LOG-0001' THEN 2 END AS n_history FROM j WHERE flagged")
 def review_flagged(spark: SparkSession, sf: str) -> DataFrame:
     return review.flagged(_events(spark, sf), _decisions(spark, sf)).select("entry_id", "event_type", "normalization_confidence", F.size("history").alias("n_history"))
 
 
-@query()
+@query(f"WITH {SCORES} {BANDS}")
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
     return review.review_summary(_events(spark, sf))
 
 
+@query(f"WITH {SCORES}, b AS ({BANDS}) SELECT * FROM b WHERE flagged > 0 ORDER BY flagged DESC, event_type LIMIT 6")
+def most_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    return review.most_flagged(review.review_summary(_events(spark, sf)))
+
+
 # -- pipelines -----------------------------------------------------------------------------------------------------
 
 
@@ -639,7 +716,7 @@ def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.run_operations(g.unionByName(g.where("o_orderkey % 13 = 0")), {"handle_missing": {}, "remove_duplicates": {}, "handle_outliers": {"method": "cap"}})[0]
 
 
-@query()
+@query(f"WITH {GAPS}, s AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 13 = 0) AS d, 2 * count(*) - count(o_totalprice) - count(o_orderpriority) + count(*) FILTER (o_orderkey % 91 = 0) + count(*) FILTER (o_orderkey % 143 = 0) AS m FROM g) SELECT 1 AS step, 'smart_type_conversion' AS operation, n + d AS rows_before, n + d AS rows_after, 3 AS columns_before, 3 AS columns_after, m AS missing_before, m AS missing_after, d AS duplicates_before, d AS duplicates_after, 0::BIGINT AS rows_affected, 0::BIGINT AS missing_reduced FROM s UNION ALL SELECT 2, 'handle_missing', n + d, n + d, 3, 3, m, 0, d, d, 0, m FROM s UNION ALL SELECT 3, 'remove_duplicates', n + d, n, 3, 3, 0, 0, d, 0, d, 0 FROM s")
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
     g = _gaps(spark, sf)
     return pipeline.run_operations(g.unionByName(g.where("o_orderkey % 13 = 0")), pipeline.PRESETS["conservative"] | {"handle_missing": {}}, lineage=True)[1]
@@ -647,12 +724,22 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def auto_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.auto_clean(_gaps(spark, sf))[0]
+    return pipeline.auto_clean(_gaps(spark, sf)).cleaned
+
+
+@query(f"WITH {GAPS} SELECT 'o_orderkey' AS \"column\", 0::BIGINT AS nulls, 'none' AS action, 0::BIGINT AS remaining UNION ALL SELECT 'o_totalprice', count(*) - count(o_totalprice), 'median', 0 FROM g UNION ALL SELECT 'o_orderpriority', count(*) - count(o_orderpriority), 'Unknown', 0 FROM g")
+def auto_clean_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.auto_clean(_gaps(spark, sf)).audit
+
+
+@query()
+def auto_clean_log(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.auto_clean(_gaps(spark, sf)).log
 
 
 @query()
 def recommended(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.apply_recommendations(_gaps(spark, sf))[0]
+    return pipeline.apply_recommendations(_patients(spark, sf))[0]
 
 
 @query()
