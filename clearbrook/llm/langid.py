@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearbrook.llm.shared import held_out, load, map_batches, schema_with, set_aside, staged
 
-#: Numbers that aren't decimal digits, such as fractions and circled ones: no letters.
-NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+WORD = regex.compile(r"\p{L}+")
 #: Labelled rows of each language that the model learns from on average, at most; which ones depends on a hash of the row. All their words and n-grams are kept.
 FIT_ROWS = 4_000
 LONGEST = 5
 #: Share of a frequency that comes from all languages together: languages that lack an entry all get the same, less than one that has it.
 BACKGROUND = 0.01
-#: Words that a worker remembers the scores of.
-REMEMBERED = 80_000
+#: Unseen words that a worker remembers the scores of.
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -60,24 +58,29 @@ class LanguageModel:
             known = self.ngrams[n - 1]
             rows = [r for i in range(len(edged) - n + 1) if (r := known.at.get(edged[i : i + n])) is not None]
             if rows:
-                return known.table[rows].mean(axis=0)
+                return known.table[rows].sum(axis=0) / len(rows) if len(rows) > 1 else known.table[rows[0]]
         return np.zeros(len(self.langs), dtype=np.float32)
 
-    def classify(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
+    def classify(self, text: str | None, memory: Memory) -> tuple[str, float]:
         """(language, posterior). ``und`` with 0 if there is no letter or no model; else the language of the best mean score, of equal ones the first by name."""
         words = Counter(WORD.findall(text.lower())) if text else {}
         if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        n = 0
+        known, seen, others, n = self.words.at, [], [], 0
         for word, k in words.items():
-            s = memory.get(word)
-            if s is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                s = memory[word] = self.word_scores(word)
-            total += s * k if k > 1 else s
+            row = known.get(word)
+            if row is not None:
+                seen.append((row, k))
+            else:
+                others.append((word, k))
             n += k
+        total = np.zeros(len(self.langs))
+        if seen:
+            rows, counts = zip(*seen, strict=True)
+            total += np.array(counts, dtype=np.float32) @ self.words.table[list(rows)]
+        for at in range(0, len(others), REMEMBERED):  # a very long text has more unseen words than are remembered at once
+            part = others[at : at + REMEMBERED]
+            total += np.array([k for _, k in part], dtype=np.float32) @ memory.scores([w for w, _ in part], self)
         # Words of a text depend on each other: its evidence grows as the root of their number.
         z = total / math.sqrt(n) + self.prior
         p = np.exp(z - z.max())
@@ -85,6 +88,29 @@ class LanguageModel:
         return self.langs[best], float(p[best] / p.sum())
 
 
+class Memory:
+    """Scores of unseen words that a worker has met, as rows of one table; starts anew when it is full."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((0, 0), dtype=np.float32)
+
+    def scores(self, words: list[str], model: LanguageModel) -> np.ndarray:
+        """A row for each word, of ``REMEMBERED`` words at most."""
+        if not len(self.table):
+            self.table = np.zeros((REMEMBERED, len(model.langs)), dtype=np.float32)
+        if len(self.at) + len(words) > REMEMBERED:
+            self.at.clear()
+        at, rows = self.at, []
+        for w in words:
+            row = at.get(w)
+            if row is None:
+                row = at[w] = len(at)
+                self.table[row] = model.word_scores(w)
+            rows.append(row)
+        return self.table[rows]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) summed over each batch, before anything is shuffled."""
     for batch in batches:
@@ -154,7 +180,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     schema = schema_with(df, "lang_pred string, score double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = sent.value, {}
+        model, memory = sent.value, Memory()
         for batch in batches:
             found = [model.classify(t.as_py(), memory) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])

@@ -207,8 +207,8 @@ def test_a_language_with_one_row_takes_no_text_of_others(spark):
     texts = [(i, write(x, 30), x) for i, x in enumerate(["en", "fr"] * 30)] + [(99, "hola perro mundo", "es")]
     for m in (model, rare):
         assert {"hola", "mundo", "casa", "perro"} <= set(m.words.at)
-        assert all(m.classify(t, {})[0] == x for _, t, x in texts)
-    assert model.classify("q" * 40 + "hola" + "q" * 60, {})[0] == "es"
+        assert all(m.classify(t, langid.Memory())[0] == x for _, t, x in texts)
+    assert model.classify("q" * 40 + "hola" + "q" * 60, langid.Memory())[0] == "es"
 
 
 def test_scores_follow_the_rule(spark):
