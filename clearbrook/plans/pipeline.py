@@ -97,7 +97,13 @@ class AutoCleaned(NamedTuple):
     log: DataFrame
 
 
-def auto_clean(df: DataFrame) -> AutoCleaned:
+def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, flags) of ``auto_clean_reports``."""
+    done = auto_clean_reports(df)
+    return done.cleaned, done.flags
+
+
+def auto_clean_reports(df: DataFrame) -> AutoCleaned:
     """The seven fixed steps: missing values, dates, categories, numbers (negatives and rules fixed, outliers reported), duplicates (exact ones go, near ones are reported), features. Roles are found anew after each step that may change them.
 
     audit: (column, nulls, action, remaining) of every input column; log: (step, category, column, metric, value) of what each step did.

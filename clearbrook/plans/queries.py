@@ -724,17 +724,17 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def auto_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.auto_clean(_gaps(spark, sf)).cleaned
+    return pipeline.auto_clean(_gaps(spark, sf))[0]
 
 
 @query(f"WITH {GAPS} SELECT 'o_orderkey' AS \"column\", 0::BIGINT AS nulls, 'none' AS action, 0::BIGINT AS remaining UNION ALL SELECT 'o_totalprice', count(*) - count(o_totalprice), 'median', 0 FROM g UNION ALL SELECT 'o_orderpriority', count(*) - count(o_orderpriority), 'Unknown', 0 FROM g")
 def auto_clean_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.auto_clean(_gaps(spark, sf)).audit
+    return pipeline.auto_clean_reports(_gaps(spark, sf)).audit
 
 
 @query()
 def auto_clean_log(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.auto_clean(_gaps(spark, sf)).log
+    return pipeline.auto_clean_reports(_gaps(spark, sf)).log
 
 
 @query()

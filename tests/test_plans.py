@@ -99,7 +99,7 @@ def test_redaction_report_and_counts_of_repairs(spark):
 
 def test_rules_violations_outliers_and_near_duplicates_are_reported(spark):
     rows = [("2020-01-0" + str(i % 2 + 1), "Hubei", float(10 + i), 5.0) for i in range(30)] + [("2020-01-01", "Hubei", 1000.0, 5.0), ("2020-01-02", "Hubei", 3.0, 25.0), ("2020-01-02", "Hubei", 3.0, 25.0)]
-    done = pipeline.auto_clean(spark.createDataFrame(rows, "ObservationDate string, Province string, Confirmed double, Deaths double"))
+    done = pipeline.auto_clean_reports(spark.createDataFrame(rows, "ObservationDate string, Province string, Confirmed double, Deaths double"))
     assert done.cleaned.count() == 32 and done.cleaned.where("Confirmed < Deaths").count() == 0
     assert {r.rule: r.violations for r in done.violations.collect()} == {"confirmed < deaths": 2}
     assert [r.column for r in done.outliers.collect()] == ["Confirmed", "Deaths"][: done.outliers.count()] and done.near_duplicates.count() == 32
