@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from clearbrook.llm.chat import OP4_SQL, op4_chat_formatting
 from clearbrook.llm.decontaminate import OP5_SQL, op5_decontamination
 from clearbrook.llm.langid import op3_language_id
+from clearbrook.llm.phrases import OP12_SQL, op12_phrases
 from clearbrook.llm.pieces import op6_sentencepiece
 from clearbrook.llm.pii import op9_pii
 from clearbrook.llm.quality import OP7_SQL, op7_quality_rules
+from clearbrook.llm.runs import op13_periodic_runs
 from clearbrook.llm.sharding import op1_sharding
 from clearbrook.llm.simhash import op2_simhash
 from clearbrook.llm.toxicity import op10_toxicity
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op12_phrases": op12_phrases,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -35,4 +39,5 @@ ORACLE_SQL = {
     "op5_decontamination": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op12_phrases": OP12_SQL,
 }
