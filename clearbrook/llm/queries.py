@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clearbrook.llm.chat import OP4_SQL, op4_chat_formatting
 from clearbrook.llm.decontaminate import OP5_SQL, op5_decontamination
 from clearbrook.llm.langid import op3_language_id
+from clearbrook.llm.neighbours import OP11_SQL, op11_neighbours
 from clearbrook.llm.phrases import OP12_SQL, op12_phrases
 from clearbrook.llm.pieces import op6_sentencepiece
 from clearbrook.llm.pii import op9_pii
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_neighbours": op11_neighbours,
     "op12_phrases": op12_phrases,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -39,5 +41,6 @@ ORACLE_SQL = {
     "op5_decontamination": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op11_neighbours": OP11_SQL,
     "op12_phrases": OP12_SQL,
 }
