@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from clearbrook.llm.shared import staged
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a and b); root is the smallest node that it reaches.
 
     Each round is a few joins whose rows are at most twice the edges; its result is written to the shared
     folder. The least of a node's neighbours is found by a grouped minimum, which is combined before the
-    shuffle, so a node with very many edges costs no more than others.
+    shuffle, so a node with very many edges costs no more than others. It ends when a round changes nothing: after the square of the
+    logarithm of the nodes at most, in practice after a few rounds.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, last = staged(pairs, "edges"), None
-    for _ in range(rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -31,4 +32,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -24,8 +24,8 @@ from clearbrook.llm.shared import load, map_batches, schema_with, set_aside, sta
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, CONTAINED = 5, 0.8
-#: Bytes of benchmark text up to which the items are sent to the tasks.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of benchmark text up to which the items are sent to the tasks: as objects of a Python worker they are about 32 times as large.
+BROADCAST_BYTES = 2 << 20
 FILTER_BITS = 22
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 HIT = "array<struct<item_id: bigint, n_shingles: int, n_shared: int>>"

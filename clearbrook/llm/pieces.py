@@ -11,8 +11,10 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,9 +98,9 @@ class PieceModel:
         """Normalised text and, if ``align``, the original byte of each of its bytes and one more for the end."""
         if not text:
             return "", [0]
-        if not self.map.units and not self.squeeze and not align:
-            plain = text.replace(" ", SPACE) if self.escape else text
-            return (SPACE if self.escape else " ") * self.prefix + plain, []
+        if not self.map.units and not self.squeeze:  # every byte stays, but spaces become a mark
+            mark = SPACE if self.escape else " "
+            return mark * self.prefix + text.replace(" ", mark), self._aligned(text, mark) if align else []
         data, out, at, space = text.encode(), bytearray(), [], SPACE.encode() if self.escape else b" "
 
         def step(p: int) -> tuple[bytes, int]:
@@ -135,6 +137,13 @@ class PieceModel:
             del at[-len(space) :]
         return out.decode(), [*at, p]
 
+    def _aligned(self, text: str, mark: str) -> np.ndarray:
+        data, wide = np.frombuffer(text.encode(), np.uint8), len(mark.encode())
+        size = np.where(data == 32, wide, 1)
+        if self.prefix:
+            size[0] += wide
+        return np.append(np.repeat(np.arange(len(data)), size), len(data))
+
     def merged(self, chars: str) -> list[str]:
         """BPE: the best-scored pair merges first, of equal ones the leftmost."""
         parts = list(chars)
@@ -199,14 +208,14 @@ class PieceModel:
                 sizes.append(len(raw))
         return ids, sizes
 
-    def brief(self, stretch: str) -> tuple[str, str]:
-        """ids of a stretch joined by commas, and their decoded text."""
+    def brief(self, stretch: str) -> tuple[str, str, bytes]:
+        """ids of a stretch joined by commas, their decoded text, and the normalised bytes that each stands for, as 32-bit numbers."""
         parts = self.split(stretch)
         try:
-            return ",".join([self.names[p] for p in parts]), stretch.replace(SPACE, " ")
+            return ",".join([self.names[p] for p in parts]), stretch.replace(SPACE, " "), array("I", [len(p.encode()) for p in parts]).tobytes()
         except KeyError:  # bytes or unknown
-            ids = self.coded(stretch)[0]
-            return ",".join(map(str, ids)), self._surface(ids)
+            ids, sizes = self.coded(stretch)
+            return ",".join(map(str, ids)), self._surface(ids), array("I", sizes).tobytes()
 
     def _surface(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
@@ -238,14 +247,18 @@ class PieceModel:
                 start.append(at[p])
                 p += n
                 end.append(at[p])
-        return ids, start, end
+        return ids, [int(p) for p in start], [int(p) for p in end]
 
-    def digest(self, text: str, memory: Memory) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        found = [memory[s] for s in self.stretch.findall(self.normalise(text)[0])]
-        ids, back = ",".join([c for c, _ in found]), "".join([b for _, b in found])
+    def digest(self, text: str, memory: Memory) -> tuple[int, str, str, str]:
+        """(number of ids, SHA-256 of the ids joined by commas, of the decoded text, and of the first and end bytes of all ids as little-endian 32-bit numbers)."""
+        normal, at = self.normalise(text, align=True)
+        found = [memory[s] for s in self.stretch.findall(normal)]
+        ids, back = ",".join([c for c, _, _ in found]), "".join([b for _, b, _ in found])
         back = back[1:] if self.prefix and back.startswith(" ") else back
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        ends = np.cumsum(np.frombuffer(b"".join([s for _, _, s in found]), np.uint32), dtype=np.int64)
+        borders = np.asarray(at)[np.concatenate([[0], ends])].astype("<u4")
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return len(ends), sha(ids.encode()), sha(back.encode()), sha(borders[:-1].tobytes() + borders[1:].tobytes())
 
 
 class Memory(dict):
@@ -254,7 +267,7 @@ class Memory(dict):
     def __init__(self, model: PieceModel) -> None:
         self.model, self.older = model, {}
 
-    def __missing__(self, stretch: str) -> tuple[str, str]:
+    def __missing__(self, stretch: str) -> tuple[str, str, bytes]:
         c = self.older.get(stretch) or self.model.brief(stretch)
         if len(stretch) <= 64:
             if len(self) >= REMEMBERED:
@@ -265,8 +278,8 @@ class Memory(dict):
 
 
 def _add(df: DataFrame, model: PieceModel, text: str, outputs: list[tuple[str, pa.DataType, str]], one) -> DataFrame:  # noqa: ANN001
-    df = set_aside(df, [n for n, _, _ in outputs])
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+    df = set_aside(df, [n for n, _, _ in outputs])
     schema = schema_with(df, ", ".join(f"{name} {kind}" for name, _, kind in outputs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +296,7 @@ def _add(df: DataFrame, model: PieceModel, text: str, outputs: list[tuple[str, p
 
 
 def encode_texts(df: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
-    """``df`` with ids, starts and ends (arrays of equal length; bytes of the UTF-8 text). A null text is empty and has no ids."""
+    """``df`` with ids, starts and ends (arrays of equal length; bytes of the UTF-8 text: the pieces tile it). A null text is empty and has no ids; a text of any length is read whole; repeated rows are encoded alike; an empty table gives an empty one. Input columns named like an output stay as ``<name>_in``."""
     ints = pa.list_(pa.int32())
     return _add(df, model, text, [("ids", ints, "array<int>"), ("starts", ints, "array<int>"), ("ends", ints, "array<int>")], lambda m, t, _: m.encode(t or ""))
 
@@ -294,8 +307,8 @@ def decode_ids(df: DataFrame, model: PieceModel, ids: str = "ids") -> DataFrame:
 
 
 def digest_texts(df: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
-    """``df`` with n_tokens, ids_sha256 and decoded_sha256 of each text, as encoding and decoding give them, without sending ids back from the workers."""
-    return _add(df, model, text, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], lambda m, t, memory: m.digest(t or "", memory))
+    """``df`` with n_tokens, ids_sha256, decoded_sha256 and spans_sha256 of each text, as encoding with its source alignment and decoding give them, without sending ids back from the workers. Odd texts and columns as in `encode_texts`."""
+    return _add(df, model, text, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string"), ("spans_sha256", pa.string(), "string")], lambda m, t, memory: m.digest(t or "", memory))
 
 
 def load_model(path: str | None = None) -> PieceModel:

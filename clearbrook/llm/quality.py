@@ -8,12 +8,14 @@ that aren't known yet cost on texts of the sample's size.
 
 from __future__ import annotations
 
+import statistics
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearbrook.llm.shared import ascii_words, load, set_aside
+from clearbrook.llm.shared import ascii_words, load, set_aside, staged, unused
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"]
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
@@ -29,8 +31,8 @@ RULES: dict[str, Rule] = BASE_RULES | {
     "repeated_lines": (["n_lines", "n_dup_lines"], lambda f: 10 * f["n_dup_lines"] > 4 * f["n_lines"]),
     "shouting": (["n_letters", "n_upper"], lambda f: (2 * f["n_upper"] > f["n_letters"]) & (f["n_letters"] > 0)),
 }
-#: Nanoseconds for each character of a text that a feature costs: timed on one core over sf0.01, on a busy machine and so to within a factor of two. They order rules, no verdict depends on them.
-COST = {"n_words": 110, "word_chars": 20, "n_symbols": 20, "n_lines": 15, "n_dup_lines": 20, "n_repeat_words": 320, "n_letters": 15, "n_upper": 15}
+#: Times that each feature of the sample is worked out to learn its cost; the median counts.
+TIMED = 3
 #: Rows that the sample has on average. Verdicts don't depend on it, only the order of the rules.
 SAMPLE_ROWS = 2000
 
@@ -89,27 +91,44 @@ def with_features(df: DataFrame, text: str = "text", only: list[str] | None = No
     want = FEATURES if only is None else only
     groups = [[n for n in want if n in g] for g in (["n_words", "n_repeat_words"], ["n_lines", "n_dup_lines"], [n for n in FEATURES if n in ("n_symbols", "word_chars", "n_letters", "n_upper")])]
     df = set_aside(df, FEATURES)
-    for k, g in enumerate(g for g in groups if g):
-        df = df.withColumn(f"_g{k}", measure(F.col(text), g))
-        df = df.withColumns({n: F.col(f"_g{k}.{n}") for n in g}).drop(f"_g{k}")
+    for g in filter(None, groups):
+        (held,) = unused(df, "_g")
+        df = df.withColumn(held, measure(F.col(text), g))
+        df = df.withColumns({n: F.col(f"{held}.{n}") for n in g}).drop(held)
     return df
 
 
-def rule_order(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, known: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def feature_costs(sample: DataFrame, text: str, names: list[str]) -> dict[str, float]:
+    """Nanoseconds a row that each feature takes in one task over the sample, a written table: the median of ``TIMED`` runs less that of counting characters. They order rules, no verdict depends on them."""
+
+    def timed(value: Column) -> float:
+        runs = []
+        for _ in range(TIMED):
+            began = time.perf_counter_ns()
+            sample.coalesce(1).agg(F.sum(value)).collect()
+            runs.append(time.perf_counter_ns() - began)
+        return statistics.median(runs)
+
+    rows, least = max(1, sample.count()), timed(F.length(text))
+    return {n: max(1.0, (timed(measure(F.col(text), [n])[n]) - least) / rows) for n in names}
+
+
+def rule_order(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, known: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, costs: dict[str, float] | None = None) -> list[tuple[str, float, float]]:
     """(rule, cost in nanoseconds a row, share that it rejects of the rows left to it), the best rejection per cost first; of equal ones the first by name.
 
-    The sample is drawn by a hash of the whole row, about ``sample_rows`` rows of the table, so that the order is the same each time. Which rules
+    The sample is drawn by a hash of the whole row, about ``sample_rows`` rows of the table. What features cost is timed on it (`feature_costs`) unless given. Which rules
     reject a row is counted for all combinations of rules in one job. Features in ``known`` cost nothing, nor do those of a rule placed before.
     """
     rules = RULES if rules is None else rules
     rows = df.count()
     sample = df if rows <= sample_rows else df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(rows)) < sample_rows)
+    sample = staged(sample.select(F.col(f"`{text}`").alias("text")), "quality-sample")
     names = sorted(rules)
     needs = [f for f in FEATURES if any(f in rules[r][0] for r in names)]
-    judged = with_features(sample, text, needs)
+    costs = feature_costs(sample, "text", needs) if costs is None else costs
+    judged = with_features(sample, "text", needs)
     hits = [F.coalesce(rules[r][1]({f: F.col(f) for f in rules[r][0]}), F.lit(False)).alias(f"r{i}") for i, r in enumerate(names)]
-    counts = judged.select(F.coalesce(F.length(text), F.lit(0)).alias("chars"), *hits).groupBy(*[f"r{i}" for i in range(len(names))]).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
-    chars = sum(r["chars"] for r in counts) / max(1, sum(r["n"] for r in counts))
+    counts = judged.select(*hits).groupBy(*[f"r{i}" for i in range(len(names))]).agg(F.count("*").alias("n")).collect()
     have, order = set(known or []), []
     while len(order) < len(names):
         left = sum(r["n"] for r in counts)
@@ -118,7 +137,7 @@ def rule_order(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None
             if name in [o[0] for o in order]:
                 continue
             share = sum(r["n"] for r in counts if r[f"r{i}"]) / left if left else 0.0
-            cost = 1.0 + chars * sum(COST.get(f, 0) for f in rules[name][0] if f not in have)
+            cost = 1.0 + sum(costs.get(f, 0) for f in rules[name][0] if f not in have)
             if best is None or (-share / cost, cost, name) < best[0]:
                 best = ((-share / cost, cost, name), (name, cost, share), i)
         order.append(best[1])
@@ -142,24 +161,25 @@ def cascade(order: list[str], text: Column, rules: dict[str, Rule] | None = None
     return branch(0, known or {})
 
 
-def judge_quality(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None, features: list[str] | None = None) -> DataFrame:
-    """``df`` with the columns named in ``features`` (none by default), ``rejected_by`` (null if none) and ``kept``.
+def judge_quality(df: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None, features: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """``df``, but for the columns ``without``, with those named in ``features`` (none by default), ``rejected_by`` (null if none) and ``kept``.
 
     ``order`` of the rules is estimated on a sample unless given; ``kept`` is the same for any order. Null and empty
     texts have no words and fail ``too_short``; very long texts are read whole; repeated rows are judged alike; an empty table gives
-    an empty one. Input columns named like an output stay as ``<name>_in``.
+    an empty one. Input columns named like an output stay as ``<name>_in``. The result is a written table: a filter on it works nothing out again.
     """
     rules, features = RULES if rules is None else rules, features or []
     order = [m[0] for m in rule_order(df, text, rules, features)] if order is None else order
     df = set_aside(df, ["rejected_by", "kept", *[n for n in FEATURES if n in features]])
     text = text if text in df.columns else f"{text}_in"
     df = with_features(df, text, features) if features else df
-    return df.withColumn("rejected_by", cascade(order, F.col(text), rules, {f: F.col(f) for f in features})).withColumn("kept", F.col("rejected_by").isNull())
+    judged = df.withColumn("rejected_by", cascade(order, F.col(text), rules, {f: F.col(f) for f in features})).withColumn("kept", F.col("rejected_by").isNull())
+    return staged(judged.drop(*(without or [])), "judged")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = judge_quality(load(spark, sf_dir, "documents").select("doc_id", "text"), features=counts)
+    judged = judge_quality(load(spark, sf_dir, "documents").select("doc_id", "text"), features=counts, without=["text"])
     failed = F.lit(False)
     for needs, rejects in BASE_RULES.values():
         failed = failed | rejects({n: F.col(n) for n in needs})

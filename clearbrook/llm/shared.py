@@ -61,6 +61,17 @@ def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumnsRenamed(renamed) if renamed else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with ``_`` in front until no column of ``df`` has them: for columns that an operator drops again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def given(out: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """The columns of ``df`` as they were, from the result of an operator that has set aside those named like its outputs ``names``."""
     renamed = _aside(df.columns, names)

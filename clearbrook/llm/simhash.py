@@ -72,7 +72,7 @@ def fingerprints(text: str | None, size: int, prints: int, distinct: bool) -> li
     h = np.unique(h) if distinct else h
     out = [majority(h)]
     for k in range(1, prints):
-        x = h + np.uint64(k) * MIX[2]
+        x = h + np.uint64(k * int(MIX[2]) % (1 << 64))
         x = (x ^ (x >> np.uint64(30))) * MIX[0]
         x = (x ^ (x >> np.uint64(27))) * MIX[1]
         out.append(majority(x ^ (x >> np.uint64(31))))
@@ -368,7 +368,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Columns that ``near_duplicates`` adds or uses.
-NEAR_OUTPUTS = ["group_id", "keep", "repeated", "_node"]
+NEAR_OUTPUTS = ["group_id", "keep", "repeated", "_node", "_first"]
 
 # -- near-duplicate groups by shingle similarity ---------------------------------------------------------------
 

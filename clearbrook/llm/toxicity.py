@@ -189,9 +189,13 @@ def _fit(own: tuple, other: tuple, named: np.ndarray, y: np.ndarray, features: i
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """``df`` with score (0 to 1) and predicted (1 if score >= ``reject``) of each whole text; null and empty texts get the score of the bias. Input columns named like an output stay as ``<name>_in``."""
-    df = set_aside(df, ["score", "predicted"])
+    """``df`` with score (0 to 1) and predicted (1 if score >= ``reject``) of each whole text.
+
+    Null and empty texts get the score of the bias; texts are read whole, however long; repeated rows are scored alike; an empty table
+    gives an empty one. Input columns named like an output stay as ``<name>_in``, the text's too.
+    """
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+    df = set_aside(df, ["score", "predicted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memory = sent.value, {}

@@ -1,5 +1,6 @@
 """Each operator on odd rows: nulls, empty texts, ties, repeated rows, empty tables, clashing column names."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -304,6 +305,34 @@ def test_pieces_equal_the_library(spark):
         assert r.ids == sp.encode(t) and r.decoded == sp.decode(r.ids)
         raw = t.encode()
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)) == raw
+    spans = {r.doc_id: hashlib.sha256(np.array([*r.starts, *r.ends], "<u4").tobytes()).hexdigest() for r in pieces.encode_texts(df, model).collect()}
+    for r in pieces.digest_texts(df, model).collect():  # the query's digests are those of the encoding with its spans
+        t = r.text or ""
+        assert (r.n_tokens, r.spans_sha256) == (len(sp.encode(t)), spans[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode(t))).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(sp.decode(sp.encode(t)).encode()).hexdigest()
+    clash = df.withColumnRenamed("text", "ids").withColumn("starts", F.lit("own"))
+    assert {r.doc_id: (r.starts_in, r.ids_in, len(r.starts)) for r in pieces.encode_texts(clash, model, text="ids").collect()} == {r.doc_id: ("own", r.text, len(sp.encode(r.text or ""))) for r in df.collect()}
+
+
+def test_names_that_operators_use_come_through(spark):
+    """Columns named like an output or a temporary column of an operator are found again."""
+    names = ["_first", "_rest", "_g", "_g0", "_node", "_won", "_row", "_hits", "_text", "score", "predicted", "block", "key"]
+    df = spark.createDataFrame([(i, text(i % 3, 60), *[f"{n}{i}" for n in names]) for i in range(4)], ["doc_id", "text", *names])
+    want = sorted(map(tuple, df.select(*names).collect()))
+    same = lambda out, held: sorted(map(tuple, out.select(*[held.get(n, n) for n in names]).collect())) == want
+    assert same(urls.filter_urls(df.withColumn("url", F.lit("http://a.com/x")), urls.rules_frame(spark, urls.RULES)), {})
+    assert same(quality.judge_quality(df, features=["n_words"]), {})
+    assert same(toxicity.score_toxicity(df, toxicity.ToxicityModel({}, 0.0)), {"score": "score_in", "predicted": "predicted_in"})
+    near = simhash.near_duplicates(df)
+    assert same(near, {"_first": "_first_in", "_node": "_node_in"}) and near.where("keep").count() == 3
+    assert toxicity.score_toxicity(df, toxicity.ToxicityModel({}, 0.0), text="score").where("score_in like 'score%'").count() == 4
+
+
+def test_a_very_long_url_is_judged_whole(spark):
+    long = "http://" + "a." * 3000 + "com/en/" + "x/" * 100_000
+    rows = [(i, u) for i, u in enumerate([long, long + "?q", "https://example.com/en/7" + "y" * 100_000, "http://net/de/", None])]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, urls.RULES)).collect()}
+    assert [got[i].rule for i in range(5)] == ["com/en/", "com/en/", "example.com/en/7", "net/de/", None] and len(got[0].path) == 4 + 200_000
 
 
 def test_character_map_takes_the_longest_prefix():
@@ -341,7 +370,9 @@ def test_order_of_rules_changes_no_verdict(odd):
     b = quality.judge_quality(odd).select("doc_id", "kept").collect()
     c = quality.judge_quality(odd, order=list(quality.RULES)[::-1], features=["n_words", "n_lines"]).select("doc_id", "kept").collect()
     assert Counter(a) == Counter(b) == Counter(c) and any(r.kept for r in a) and not all(r.kept for r in a)
-    assert quality.rule_order(odd) == quality.rule_order(odd)
+    costs = quality.feature_costs(odd, "text", quality.FEATURES)
+    assert costs.keys() == set(quality.FEATURES) and min(costs.values()) >= 1
+    assert quality.rule_order(odd, costs=costs) == quality.rule_order(odd, costs=costs)
 
 
 def test_a_rejected_row_skips_later_features(spark):
