@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -81,13 +82,76 @@ def fold_replace(x: Column, table: dict[str, str], bounded: bool) -> Column:
     return fold_replaced(x, table, bounded)["text"]
 
 
+def quoted(words: str) -> str:
+    return "".join("\\" + c if c in r".^$*+?()[]{}|\/" else c for c in words)
+
+
+def trie(words: dict[str, str]) -> str:
+    """One pattern for many words, each with what must follow it: words that begin alike share that part, so that a text is read once however many there are. Of words that begin at one place the longest is met."""
+    root: dict = {}
+    for w, after in words.items():
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = after
+
+    def pattern(node: dict) -> str:
+        ways = [quoted(ch) + pattern(below) for ch, below in node.items() if ch]
+        ways += [node[""]] if "" in node else []
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return pattern(root)
+
+
+def _unlike(word: str, into: str) -> str:
+    """A word must not go on as its replacement does (``parkinson's`` stays)."""
+    return f"(?!{quoted(into[len(word) :])})" if into.lower().startswith(word.lower()) and len(into) > len(word) else ""
+
+
+def _independent(table: dict[str, str]) -> bool:
+    """Whether replacing entries in turn is the same as replacing all at once: words that don't meet, and no replacement that holds a later one."""
+    words, whole = list(table), re.compile(r"\w(.*\w)?", re.S)
+    holds = lambda text, w: re.search(rf"(?i)\b{re.escape(w)}\b{_unlike(w, table[w])}", text)
+    return all(whole.fullmatch(w) for w in words) and not any(holds(v, w) for v in words for w in words if v != w) and not any(holds(table[v], w) for i, v in enumerate(words) for w in words[i + 1 :])
+
+
+def dictionary_replaced(x: Column, table: dict[str, str]) -> Column:
+    """struct(text, n): whole words of ``table`` replaced, ignoring case, and how many were, in one pass over the text; entries that depend on each other are replaced in turn."""
+    if not _independent(table):
+        return fold_replaced(x, table, True)
+    words = F.create_map(*[F.lit(v) for kv in table.items() for v in (kv[0].lower(), kv[1])])
+    pattern = r"(?iU)\b" + trie({k.lower(): r"\b" + _unlike(k, v) for k, v in table.items()})
+
+    def of(pieces: Column) -> Column:
+        swapped = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at(words, F.lower(F.upper(p))), p)).otherwise(p))
+        return F.struct(F.when(F.size(pieces) == 1, x).otherwise(F.array_join(swapped, "")).alias("text"), F.floor(F.size(pieces) / 2).cast("int").alias("n"))
+
+    return F.when(x.isNull(), F.struct(x.alias("text"), F.lit(0).alias("n"))).otherwise(let(cut_at(x, pattern), of))
+
+
+def terms_at(x: Column, terms: list[str]) -> Column:
+    """array of struct(match, position): at every place where some of ``terms`` begins as whole words, ignoring case, the longest one. One pass over the text; terms may overlap."""
+    pattern = rf"(?iU)\b(?=({trie({t.lower(): r'\b' for t in terms})}))"
+    marked = F.regexp_replace(F.translate(x, MARK + PART, SWAPPED * 2), pattern, f"{MARK}$1{PART}")
+    none = F.expr("cast(array() as array<struct<match:string,position:int>>)")
+
+    def step(a: Column, piece: Column) -> Column:
+        match = F.substring_index(piece, PART, 1)
+        found = F.struct(match.alias("match"), a["at"].alias("position"))
+        return F.struct((a["at"] + F.length(piece) - F.length(match) - 1).alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+
+    def of(pieces: Column) -> Column:
+        start = F.struct(F.length(pieces[0]).alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda a: a["out"])
+
+    return F.coalesce(let(F.split(marked, MARK, -1), of), none)
+
+
 def fold_replaced(x: Column, table: dict[str, str], bounded: bool) -> Column:
     """struct(text, n): entries of ``table`` replaced one after the other, ignoring case, and how many were; ``bounded``: whole words only, and none that goes on as its replacement does (``parkinson's`` stays). Texts that hold none are left alone."""
-    quote = lambda w: "".join("\\" + c if c in r".^$*+?()[]{}|\/" else c for c in w)
-    done = lambda k, v: f"(?!{quote(v[len(k) :])})" if v.lower().startswith(k.lower()) and len(v) > len(k) else ""
-    mark = lambda k, v: rf"(?iU)\b{quote(k)}\b{done(k, v)}" if bounded else f"(?i){quote(k)}"
+    mark = lambda k, v: rf"(?iU)\b{quoted(k)}\b{_unlike(k, v)}" if bounded else f"(?i){quoted(k)}"
     steps = F.array(*[F.struct(F.lit(mark(k, v)).alias("p"), F.lit(v.replace("$", r"\$")).alias("v")) for k, v in table.items()])
-    some = f"(?iU){'\\b' if bounded else ''}(?:{'|'.join(quote(k) for k in table)}){'\\b' if bounded else ''}"
+    some = f"(?iU){'\\b' if bounded else ''}(?:{'|'.join(quoted(k) for k in table)}){'\\b' if bounded else ''}"
     step = lambda a, s: let(F.regexp_count(a["text"], s["p"]), lambda n: F.when(n == 0, a).otherwise(F.struct(F.regexp_replace(a["text"], s["p"], s["v"]).alias("text"), (a["n"] + n).alias("n"))))
     start = F.struct(x.alias("text"), F.lit(0).alias("n"))
     return F.when(x.rlike(some), F.aggregate(steps, start, step)).otherwise(start)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearbrook.functions.fuzzy import may_reach, ratio
 from clearbrook.functions.text import category_case, expand_words, fold_replace, pad_cpt, title_case, trim_collapse
 from clearbrook.functions.values import DISEASE_CODES, LOINC_NAMES, SPELLING_FIXES, WORD_ABBREVIATIONS
+from clearbrook.operators.similarity import mapped, similar
 from clearbrook.operators.stats import column_stats, kind_of
+from clearbrook.sources.staging import staged
 
 #: Parts of column names that say what a column holds.
 ICD_WORDS = ["icd", "diagnosis", "dx_code"]
@@ -16,21 +17,16 @@ DISEASE_WORDS = ["disease", "condition", "illness", "disorder", "comorbidity"]
 CPT_WORDS = ["cpt", "procedure"]
 LOINC_WORDS = ["loinc", "lab_code", "test_code"]
 SKIPPED = ["Unknown", "", "nan"]
-#: Values up to which a column counts as one of categories; each is compared with each other one.
-MOST_VALUES = 5_000
 
 
 def merge_variants(df: DataFrame, column: str, least: int = 85) -> DataFrame:
-    """Every value becomes the most frequent one among those whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the smaller). Only for categories: a column of over ``MOST_VALUES`` values raises."""
+    """Every value becomes the most frequent one among those whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the shorter, then the larger). Values are met by a similarity join, however many there are."""
     counts = df.where(F.col(f"`{column}`").isNotNull() & ~F.col(f"`{column}`").isin(*SKIPPED)).groupBy(F.col(f"`{column}`").alias("v")).count()
-    few = counts.limit(MOST_VALUES + 1).collect()
-    if len(few) > MOST_VALUES:
-        raise ValueError(f"{column} has over {MOST_VALUES} values: it holds text, not categories")
-    counts = df.sparkSession.createDataFrame(few, counts.schema)
-    other = counts.select(F.col("v").alias("w"), F.col("count").alias("n"))
-    pairs = counts.join(F.broadcast(other), may_reach(F.col("v"), F.col("w"), least - 0.5)).withColumn("r", F.round(ratio(F.col("v"), F.col("w")))).where(F.col("r") >= least)
-    best = pairs.groupBy("v").agg(F.max_by("w", F.struct("n", "r", F.expr("-length(w)"), "w")).alias("w"))
-    return df.join(F.broadcast(best), F.col(f"`{column}`") == F.col("v"), "left").withColumn(column, F.coalesce("w", F.col(f"`{column}`"))).drop("v", "w")
+    counts = staged(counts, "value-counts")
+    pairs = similar(counts, counts, least - 0.5).withColumn("r", F.round("ratio")).where(F.col("r") >= least)
+    met = pairs.join(counts.select(F.col("v").alias("b"), F.col("count").alias("n")), "b")
+    best = met.groupBy(F.col("a").alias("v")).agg(F.max_by("b", F.struct("n", "r", (-F.length("b")).alias("l"), "b")).alias("out"))
+    return mapped(df, column, best.where("v <> out"))
 
 
 def diseases(df: DataFrame) -> DataFrame:
@@ -44,14 +40,16 @@ def standardise_icd(df: DataFrame, column: str, fuzzy: bool = True) -> DataFrame
 
 def _mapped(df: DataFrame, column: str, lookup) -> DataFrame:  # noqa: ANN001
     values = df.select(F.col(f"`{column}`").alias("v")).where("v is not null").distinct()
-    found = lookup(values, diseases(df)).select("v", "out")
-    return df.join(found, F.col(f"`{column}`") == F.col("v"), "left").withColumn(column, F.coalesce("out", F.col(f"`{column}`"))).drop("v", "out")
+    return mapped(df, column, lookup(staged(values, "values"), diseases(df)))
 
 
 def _best_fuzzy(values: DataFrame, known: DataFrame) -> DataFrame:
     """Most similar disease of each value, at a ratio of 80 or more."""
-    pairs = values.join(F.broadcast(known), may_reach(F.col("fixed"), F.col("disease"), 80)).withColumn("r", ratio(F.col("fixed"), F.col("disease"))).where("r >= 80")
-    return pairs.groupBy("v").agg(F.max_by(F.struct("disease", "code"), F.struct("r", F.expr("-ord"))).alias("f")).select("v", F.col("f.disease").alias("fuzzy_name"), F.col("f.code").alias("fuzzy_code"))
+    fixed = staged(values.select("v", "fixed"), "open-values")
+    pairs = similar(fixed.select(F.col("fixed").alias("v")).distinct(), known.select(F.col("disease").alias("v")), 80)
+    met = pairs.withColumnsRenamed({"a": "fixed", "b": "disease", "ratio": "r"}).join(F.broadcast(known), "disease")
+    best = met.groupBy("fixed").agg(F.max_by(F.struct("disease", "code"), F.struct("r", F.expr("-ord"))).alias("f"))
+    return fixed.join(best, "fixed").select("v", F.col("f.disease").alias("fuzzy_name"), F.col("f.code").alias("fuzzy_code"))
 
 
 def _icd_lookup(values: DataFrame, known: DataFrame, fuzzy: bool) -> DataFrame:

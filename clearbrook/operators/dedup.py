@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clearbrook.functions.names import set_aside, unused
+
 
 def drop_exact(df: DataFrame) -> DataFrame:
     """Rows equal in all columns once; nulls are equal."""
@@ -18,11 +20,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def near_duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with near_duplicate: whether another row has the same ``keys`` (nulls equal). Counts are combined before the shuffle and joined back, so that a frequent key is no window in one task."""
-    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg((F.count("*") > 1).alias("near_duplicate"))
-    counts = counts.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], "near_duplicate")
-    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(counts, on).drop(*[f"_k{i}" for i in range(len(keys))])
+    """``df`` with near_duplicate (an input column of that name stays as ``near_duplicate_in``): whether another row has the same ``keys`` (nulls equal). Counts are combined before the shuffle and joined back, so that a frequent key is no window in one task."""
+    renamed = set_aside(df, ["near_duplicate"])
+    keys, df = [renamed.columns[df.columns.index(k)] for k in keys], renamed
+    names = unused([*df.columns, "near_duplicate"], *["_k"] * len(keys))
+    counts = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]).agg((F.count("*") > 1).alias("near_duplicate"))
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(counts, on).drop(*names)
 
 
 def near_duplicate_sample(df: DataFrame, keys: list[str], n: int = 6) -> DataFrame:

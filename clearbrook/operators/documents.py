@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_date
-from clearbrook.functions.text import MARK, PART, cut_at, fold_replace, fold_replaced, let, word_count
+from clearbrook.functions.names import set_aside, unused
+from clearbrook.functions.text import MARK, PART, cut_at, dictionary_replaced, let, terms_at, word_count
 from clearbrook.functions.values import DISEASES, DRUGS, MEASUREMENTS, PROCEDURES, TEXT_ABBREVIATIONS, TEXT_MISSPELLINGS
 from clearbrook.operators.privacy import redact_text, spans
 
@@ -68,18 +69,25 @@ def cleaning_step(x: Column, name: str) -> Column:
     }[name]()
 
 
+#: Columns that cleaning adds.
+CLEANED = ["cleaned", "changes", "size_reduction_pct"]
+
+
 def clean_documents(df: DataFrame, text: str = "text", steps: list[str] | None = None) -> DataFrame:
-    """``df`` with cleaned, changes (characters that a step has taken; for the two that repair characters and for hyphens, how many it has repaired) and size_reduction_pct. Nulls stay null."""
+    """``df`` with cleaned, changes (characters that a step has taken; for the two that repair characters and for hyphens, how many it has repaired) and size_reduction_pct. Nulls stay null. Input columns named like an output stay as ``<name>_in``."""
     steps = CLEANING if steps is None else [s for s in CLEANING if s in steps]
-    df = df.withColumn("_s0", F.col(text))
+    df = set_aside(df, CLEANED)
+    text = text if text in df.columns else f"{text}_in"
+    names = unused([*df.columns, *CLEANED], *["_s"] * (len(steps) + 1))
+    df = df.withColumn(names[0], F.col(text))
     for i, s in enumerate(steps):
-        df = df.withColumn(f"_s{i + 1}", cleaning_step(F.col(f"_s{i}"), s))
-    held = lambda i, table: F.length(f"_s{i}") - F.length(F.translate(F.col(f"_s{i}"), "".join(table), ""))
-    repaired = {"fix_encoding_artifacts": lambda i: held(i, ARTEFACTS), "standardize_punctuation": lambda i: held(i, PUNCTUATION), "fix_hyphenation": lambda i: F.regexp_count(F.col(f"_s{i}"), F.lit(r"(?U)(\w+)-\n(\w+)"))}
-    count = lambda i, s: repaired.get(s, lambda i: F.length(f"_s{i}") - F.length(f"_s{i + 1}"))(i)
+        df = df.withColumn(names[i + 1], cleaning_step(F.col(names[i]), s))
+    held = lambda i, table: F.length(names[i]) - F.length(F.translate(F.col(names[i]), "".join(table), ""))
+    repaired = {"fix_encoding_artifacts": lambda i: held(i, ARTEFACTS), "standardize_punctuation": lambda i: held(i, PUNCTUATION), "fix_hyphenation": lambda i: F.regexp_count(F.col(names[i]), F.lit(r"(?U)(\w+)-\n(\w+)"))}
+    count = lambda i, s: repaired.get(s, lambda i: F.length(names[i]) - F.length(names[i + 1]))(i)
     taken = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), count(i, s))]) if steps else F.expr("cast(map() as map<string,int>)")
-    last = F.col(f"_s{len(steps)}")
-    return df.withColumns({"cleaned": last, "changes": taken, "size_reduction_pct": F.round(100.0 * (1 - F.length(last) / F.greatest(F.length(text), F.lit(1))), 2)}).drop(*[f"_s{i}" for i in range(len(steps) + 1)])
+    last = F.col(names[-1])
+    return df.withColumns({"cleaned": last, "changes": taken, "size_reduction_pct": F.round(100.0 * (1 - F.length(last) / F.greatest(F.length(text), F.lit(1))), 2)}).drop(*names)
 
 
 def strip_rtf(x: Column) -> Column:
@@ -90,12 +98,12 @@ LONG_FORMS = {k: f"{v} ({k.upper()})" for k, v in TEXT_ABBREVIATIONS.items()}
 
 
 def expand_abbreviations(x: Column) -> Column:
-    """``BP`` becomes ``Blood Pressure (BP)``, entry by entry."""
-    return fold_replace(x, LONG_FORMS, bounded=True)
+    """``BP`` becomes ``Blood Pressure (BP)``."""
+    return dictionary_replaced(x, LONG_FORMS)["text"]
 
 
 def fix_spelling(x: Column) -> Column:
-    return fold_replace(x, TEXT_MISSPELLINGS, bounded=True)
+    return dictionary_replaced(x, TEXT_MISSPELLINGS)["text"]
 
 
 def measurements(text: Column) -> Column:
@@ -154,22 +162,30 @@ def cpt_codes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(CPT), F.lit(1))))
 
 
-def _mentioned(concept: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(F.lit(concept).alias("concept"), s["match"].alias("matched_text"), s["start"].alias("position"))
+def known_terms() -> dict[str, list[tuple[str, int]]]:
+    """For each term in small letters the concepts that a place where it is the longest holds, with the lengths of their terms: its own and those of terms it begins with."""
+    concepts: dict[str, list[str]] = {}
+    for k, v in TEXT_ABBREVIATIONS.items():
+        for term in (k, v):
+            concepts.setdefault(term.lower(), []).append(v)
+    for v in sorted(set(TEXT_MISSPELLINGS.values())):
+        concepts.setdefault(v.lower(), []).append(v[:1].upper() + v[1:])
+    begins = lambda t, u: t.startswith(u) and not (t[len(u) : len(u) + 1].isalnum() or t[len(u) : len(u) + 1] == "_")
+    return {t: sorted({(c, len(u)) for u, cs in concepts.items() if begins(t, u) for c in cs}) for t in concepts}
 
 
 def mentions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, concept, matched_text, position) of every abbreviation, its long form and every known term; one for each concept and 50 characters. A term is searched for only in texts that hold it."""
-    quote = lambda w: "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in w)
-    terms = {f"(?i)\\b(?:{quote(k)}|{quote(v)})\\b": (v, [k, v]) for k, v in TEXT_ABBREVIATIONS.items()} | {f"(?i)\\b{quote(v)}\\b": (v[:1].upper() + v[1:], [v]) for v in sorted(set(TEXT_MISSPELLINGS.values()))}
-    none = F.expr("cast(array() as array<struct<concept:string,matched_text:string,position:int>>)")
+    """(key, concept, matched_text, position) of every abbreviation, its long form and every known term; one for each concept and 50 characters, the first."""
+    terms = known_terms()
+    held = F.create_map(*[x for t, cs in terms.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(n).alias("n")) for c, n in cs]))])
 
-    def found(low: Column) -> Column:
-        held = lambda words: F.lit(False) if not words else low.contains(words[0].lower()) | held(words[1:])
-        return F.concat(*[F.when(held(words), F.transform(spans(F.col(text), p), _mentioned(c))).otherwise(none) for p, (c, words) in terms.items()])
+    def concepts(s: Column) -> Column:
+        one = lambda c: F.struct(c["concept"].alias("concept"), F.substring(s["match"], F.lit(1), c["n"]).alias("matched_text"), s["position"].alias("position"))
+        return F.transform(F.element_at(held, F.lower(F.upper(s["match"]))), one)
 
-    each = df.select(F.col(key), F.explode(let(F.lower(F.col(text)), found)).alias("m")).select(key, "m.*")
-    first = each.groupBy(key, "concept", F.floor(F.col("position") / 50).alias("_b")).agg(F.min(F.struct("position", "matched_text")).alias("m"))
+    each = df.select(F.col(key), F.explode(F.flatten(F.transform(terms_at(F.col(text), list(terms)), concepts))).alias("m")).select(key, "m.*")
+    (bucket,) = unused([key], "_b")
+    first = each.groupBy(key, "concept", F.floor(F.col("position") / 50).alias(bucket)).agg(F.min(F.struct("position", "matched_text")).alias("m"))
     return first.select(key, "concept", "m.matched_text", "m.position")
 
 
@@ -294,8 +310,9 @@ def process_documents(df: DataFrame, text: str = "text", style: str = "tag") ->
     found and changed; quality_report adds scores. Null texts have nulls and empty lists; clashing columns are replaced.
     """
     df = clean_documents(df, text)
-    df = df.withColumn("_long", fold_replaced(F.col("cleaned"), LONG_FORMS, True)).withColumn("_right", fold_replaced(F.col("_long.text"), TEXT_MISSPELLINGS, True))
-    df = df.withColumns({"edited": F.col("_right.text"), "n_abbreviations": F.col("_long.n"), "n_spelling": F.col("_right.n")}).drop("_long", "_right")
+    expanded, right = unused(df.columns, "_long", "_right")
+    df = df.withColumn(expanded, dictionary_replaced(F.col("cleaned"), LONG_FORMS)).withColumn(right, dictionary_replaced(F.col(f"{expanded}.text"), TEXT_MISSPELLINGS))
+    df = df.withColumns({"edited": F.col(f"{right}.text"), "n_abbreviations": F.col(f"{expanded}.n"), "n_spelling": F.col(f"{right}.n")}).drop(expanded, right)
     df = redact_text(df, "edited", style)
     df = df.withColumns({"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("edited")), "metrics": metric_array(F.col("edited"))})
     df = df.withColumn("entities", let(F.col("sections"), lambda sec: entity_array(F.col("edited"), sec)))

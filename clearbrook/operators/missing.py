@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clearbrook.functions.names import unused
 from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of, most_frequent
 
 METHODS = {"auto": "auto", "fill_median": "median", "median": "median", "fill_mode": "mode", "mode": "mode", "mean": "mean", "remove": "remove", "drop": "remove"}
@@ -91,24 +92,26 @@ def model_impute(df: DataFrame, target: str, trees: int = 80, seed: int = 42, le
     if known.count() < least:
         return _fill_one(df, target)
     features, work = [], df
+    out, vector, label = unused(df.columns, "_p", "_features", "_label")
     for c in df.columns:
         if c == target:
             continue
         if kind_of(df, c) == "string":
-            work = StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep").fit(work).transform(work)
-            features.append(f"_i_{c}")
+            work = StringIndexer(inputCol=c, outputCol=(n := unused(work.columns, "_i")[0]), handleInvalid="keep").fit(work).transform(work).withMetadata(n, {})  # a number, however many values there are
+            features.append(n)
         elif kind_of(df, c) == "number":
-            work = work.withColumn(f"_i_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-            features.append(f"_i_{c}")
-    work = VectorAssembler(inputCols=features, outputCol="_features").transform(work)
+            (n,) = unused(work.columns, "_i")
+            work = work.withColumn(n, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+            features.append(n)
+    work = VectorAssembler(inputCols=features, outputCol=vector).transform(work)
     if kind_of(df, target) == "number":
-        model = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="_p", numTrees=trees, seed=seed).fit(work.where(F.col(target).isNotNull()))
-        filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.col("_p").cast(whole)))
+        model = RandomForestRegressor(featuresCol=vector, labelCol=target, predictionCol=out, numTrees=trees, seed=seed).fit(work.where(F.col(target).isNotNull()))
+        filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.col(out).cast(whole)))
     else:
-        labels = StringIndexer(inputCol=target, outputCol="_label").fit(known)
-        model = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_p", numTrees=trees, seed=seed, maxBins=256).fit(labels.transform(work.where(F.col(target).isNotNull())))
+        labels = StringIndexer(inputCol=target, outputCol=label).fit(known)
+        model = RandomForestClassifier(featuresCol=vector, labelCol=label, predictionCol=out, numTrees=trees, seed=seed, maxBins=256).fit(labels.transform(work.where(F.col(target).isNotNull())))
         names = F.array(*[F.lit(x) for x in labels.labels])
-        filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.get(names, F.col("_p").cast("int"))))
+        filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.get(names, F.col(out).cast("int"))))
     return filled.select(*df.columns)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import age_years, date_parts
+from clearbrook.functions.names import unused
 from clearbrook.functions.text import email_domain, word_count
-from clearbrook.operators.stats import ColumnStats, classify, column_stats, exact_quantiles, kind_of
+from clearbrook.operators.stats import ColumnStats, classify, column_stats, exact_quantiles, kind_of, number
+from clearbrook.sources.staging import staged
 
 #: Plausible ranges of clinical measurements.
 CLINICAL_RANGES = {"heart_rate": (40, 200), "systolic_bp": (70, 250), "diastolic_bp": (40, 150), "temperature": (35, 42), "spo2": (70, 100)}
@@ -20,9 +22,9 @@ def numbers(df: DataFrame) -> list[str]:
 def fix_negatives(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Where at least 99 % of a column's values, but not all, are 0 or more, its negatives become the median of those."""
     columns = numbers(df) if columns is None else columns
-    r = df.agg(*[F.avg((F.col(f"`{c}`").cast("double") >= 0).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first() if columns else {}
+    r = df.agg(*[F.avg((number(c).cast("double") >= 0).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first() if columns else {}
     few = [c for i, c in enumerate(columns) if r[f"s{i}"] is not None and 0.99 <= r[f"s{i}"] < 1]
-    medians = exact_quantiles(df, [F.when(F.col(f"`{c}`") >= 0, F.col(f"`{c}`")) for c in few], [0.5])
+    medians = exact_quantiles(df, [F.when(number(c) >= 0, number(c)) for c in few], [0.5])
     new = {c: F.when(F.col(f"`{c}`") < 0, F.lit(m[0])).otherwise(F.col(f"`{c}`")) for c, m in zip(few, medians, strict=True)}
     return df.withColumns(new) if new else df
 
@@ -62,9 +64,9 @@ def clip_ranges(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with <c>_z; null where a column has no spread."""
+    """``df`` with <c>_z; null where a column has no spread, and for NaN."""
     stats = column_stats(df, columns, quantiles=False)
-    return df.withColumns({f"{c}_z": F.try_divide(F.col(f"`{c}`") - F.lit(s.mean), F.lit(s.std)) for c, s in stats.items()})
+    return df.withColumns({f"{c}_z": F.try_divide(number(c) - F.lit(s.mean), F.lit(s.std)) for c, s in stats.items()})
 
 
 def clinical_ranges(df: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def at_least(df: DataFrame, rules: list[tuple[str, str]]) -> tuple[DataFrame, Da
     for a, b in rules:
         if a.lower() in names and b.lower() in names:
             x, y = F.col(f"`{names[a.lower()]}`"), F.col(f"`{names[b.lower()]}`")
-            n = f"_v{len(counts)}"
+            (n,) = unused(out.columns, "_v")
             out = out.withColumn(n, F.coalesce(x < y, F.lit(False))).withColumn(names[a.lower()], F.when(x < y, y).otherwise(x))
             counts.append((f"{a} < {b}", n))
     if not counts:
@@ -96,12 +98,26 @@ def equal_width(x: Column, low: float, high: float, bins: int = 5) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((x - low) / ((high - low) / bins)).cast("int") - 1))
 
 
+def dense_codes(values: DataFrame) -> DataFrame:
+    """(v, code): the distinct values of a column v of ``values``, numbered from 0 in order, without a task that sees them all: values are dealt by ranges and written, ranges are counted, and a code is a value's place in its range after all values of the ranges before."""
+    ranges = values.where("v is not null").distinct().repartitionByRange("v").sortWithinPartitions("v").select("v", F.spark_partition_id().alias("part"))
+    ranges = staged(ranges, "value-ranges")
+    sizes = sorted((r["part"], r["count"]) for r in ranges.groupBy("part").count().collect())
+    before, at = [], 0
+    for part, n in sizes:
+        before.append((part, at))
+        at += n
+    offsets = values.sparkSession.createDataFrame(before, "part int, before long")
+    placed = ranges.withColumn("place", F.expr("row_number() over (partition by part order by v)"))
+    return placed.join(F.broadcast(offsets), "part").select("v", (F.col("before") + F.col("place") - 1).alias("code"))
+
+
 def label_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """``df`` with 0-based codes of the values in order; null is -1. Only the distinct values are ranked and joined back."""
-    values = df.select(F.col(f"`{column}`").alias("_v")).where("_v is not null").distinct()
-    ranked = values.withColumn("_code", F.dense_rank().over(Window.orderBy("_v")).cast("int") - 1)
-    joined = df.join(ranked, F.col(f"`{column}`") == F.col("_v"), "left").drop("_v")
-    return joined.withColumn(out or f"{column}_encoded", F.coalesce("_code", F.lit(-1))).drop("_code")
+    """``df`` with 0-based codes of the values in order (`dense_codes`); null is -1."""
+    key, code = unused(df.columns, "_v", "_code")
+    ranked = dense_codes(df.select(F.col(f"`{column}`").alias("v"))).select(F.col("v").alias(key), F.col("code").cast("int").alias(code))
+    joined = df.join(ranked, F.col(f"`{column}`") == F.col(key), "left").drop(key)
+    return joined.withColumn(out or f"{column}_encoded", F.coalesce(code, F.lit(-1))).drop(code)
 
 
 def engineer_features(df: DataFrame, as_of: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearbrook.functions.names import unused
 from clearbrook.functions.text import PART, cut_at, let
 from clearbrook.functions.values import PHI_PATTERNS
 from clearbrook.operators.stats import kind_of
@@ -122,7 +123,8 @@ def find_identifiers(text: Column) -> Column:
 
 def with_findings(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with findings: type, category, risk, offsets, line and a preview of three characters."""
-    found = df.withColumn("_f", find_identifiers(F.col(text)))
+    (held,) = unused(df.columns, "_f")
+    found = df.withColumn(held, find_identifiers(F.col(text)))
     breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
     one = lambda f, line: F.struct(f["type"], f["hipaa_category"], f["risk_level"], f["start"], f["end"], line.alias("line_number"), F.concat(F.substring(f["match"], 1, 3), F.lit("***")).alias("preview"))
 
@@ -132,7 +134,7 @@ def with_findings(df: DataFrame, text: str = "text") -> DataFrame:
 
     none = F.expr("cast(array() as array<struct<type:string,hipaa_category:string,risk_level:string,start:int,end:int,line_number:int,preview:string>>)")
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
-    return found.withColumn("findings", F.aggregate("_f", start, step, lambda a: a["out"])).drop("_f")
+    return found.withColumn("findings", F.aggregate(held, start, step, lambda a: a["out"])).drop(held)
 
 
 def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFrame:
@@ -174,5 +176,6 @@ def redaction_report(df: DataFrame, style: str = "tag") -> DataFrame:
 
 def identifier_values(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with names and addresses found in each text, distinct and sorted; for audits, as these identify."""
-    pick = lambda kinds: F.array_sort(F.array_distinct(F.transform(F.filter("_f", lambda f: f["type"].isin(*kinds)), lambda f: f["match"])))
-    return df.withColumn("_f", find_identifiers(F.col(text))).withColumns({"patient_names": pick(["PATIENT_NAME"]), "provider_names": pick(["PROVIDER_NAME"]), "addresses": pick(["ADDRESS"])}).drop("_f")
+    (held,) = unused(df.columns, "_f")
+    pick = lambda kinds: F.array_sort(F.array_distinct(F.transform(F.filter(held, lambda f: f["type"].isin(*kinds)), lambda f: f["match"])))
+    return df.withColumn(held, find_identifiers(F.col(text))).withColumns({"patient_names": pick(["PATIENT_NAME"]), "provider_names": pick(["PROVIDER_NAME"]), "addresses": pick(["ADDRESS"])}).drop(held)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clearbrook.functions.text import number_of
 from clearbrook.operators.dedup import duplicate_count
 from clearbrook.operators.numeric import numbers
-from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of
+from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of, missing, number
 
 DATE_SHAPES = r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-\d{1,2}-\d{2,4}|(?i:\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2})"
 #: Name parts that tell healthcare data.
@@ -33,7 +33,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def null_profile(df: DataFrame) -> DataFrame:
     """(column, nulls, pct) of every column from one pass."""
-    return _rows(df, [F.struct(F.lit(c).alias("column"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.coalesce(F.try_divide(100.0 * F.count_if(F.col(f"`{c}`").isNull()), F.count("*")), F.lit(0.0)).alias("pct")) for c in df.columns], "column string, nulls long, pct double")
+    return _rows(df, [F.struct(F.lit(c).alias("column"), F.count_if(missing(df, c)).alias("nulls"), F.coalesce(F.try_divide(100.0 * F.count_if(missing(df, c)), F.count("*")), F.lit(0.0)).alias("pct")) for c in df.columns], "column string, nulls long, pct double")
 
 
 def column_metadata(df: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def cleaning_score(df: DataFrame) -> DataFrame:
     """completeness x 0.6 + consistency x 0.4, consistency being 100 - 50 x the share of duplicate rows."""
-    nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+    nulls = sum((F.count_if(missing(df, c)) for c in df.columns), F.lit(0))
     a = df.agg(F.count("*").alias("n"), nulls.alias("nulls"))
     both = a.join(duplicate_count(df).select(F.col("rows").alias("n"), "duplicate_rows"), "n")
     complete = F.coalesce(F.try_divide(100.0 * (F.col("n") * len(df.columns) - F.col("nulls")), F.col("n") * len(df.columns)), F.lit(100.0))
@@ -189,6 +189,7 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
     x = F.col(f"`{column}`")
     if kind_of(df, column) == "number":
         r = lambda c, n: F.round(c.cast("double"), 4).alias(n)
+        x = number(column)
         median = F.lit(exact_quantiles(df, [x], [0.5])[0][0]).cast("double")
         return df.agg(F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), r(F.avg(x), "mean"), r(median, "median"), r(F.stddev_samp(x), "std"), r(F.min(x), "min"), r(F.max(x), "max"))
     return df.where(x.isNotNull()).groupBy(x.cast("string").alias("value")).count().orderBy(F.desc("count"), "value").limit(10)
@@ -198,7 +199,7 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(table, rows, columns, missing_cells, duplicate_rows) of both tables."""
 
     def one(name: str, df: DataFrame) -> DataFrame:
-        nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+        nulls = sum((F.count_if(missing(df, c)) for c in df.columns), F.lit(0))
         return df.agg(nulls.cast("long").alias("missing_cells"), F.count("*").alias("rows")).join(duplicate_count(df), "rows").select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "missing_cells", "duplicate_rows")
 
     return one("before", before).unionByName(one("after", after))

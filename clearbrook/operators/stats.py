@@ -56,6 +56,18 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "number" if isinstance(t, NumericType) else "date" if isinstance(t, (DateType, TimestampType, TimestampNTZType)) else "string" if isinstance(t, StringType) else "other"
 
 
+def number(name: str) -> Column:
+    """A column in which NaN is missing."""
+    x = F.col(f"`{name}`")
+    return F.when(~F.isnan(x.cast("double")), x)
+
+
+def missing(df: DataFrame, name: str) -> Column:
+    """Whether a value is null, or NaN in a column of numbers."""
+    x = F.col(f"`{name}`")
+    return x.isNull() | F.isnan(x) if df.schema[name].dataType.typeName() in ("double", "float") else x.isNull()
+
+
 def exact_quantiles(df: DataFrame, values: list[Column], probs: list[float]) -> list[list[float | None]]:
     """Exact quantiles (linear between neighbours) of number expressions; None without values. Nulls are left out.
 
@@ -75,7 +87,7 @@ def exact_quantiles(df: DataFrame, values: list[Column], probs: list[float]) ->
             if n := first[f"n{i}"]:
                 brackets[i, j] = [p * (n - 1), first[f"q{i}"][j], first[f"q{i}"][len(probs) + j]]
     margin = MARGIN
-    while brackets:
+    while brackets:  # the widest margin is far beyond the approximation's error, and still narrows a bracket
         inside = {(i, j): F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")) for (i, j), (_, lo, hi) in brackets.items()}
         sums = [a for (i, j), x in inside.items() for a in (F.count_if(F.col(f"v{i}") < brackets[i, j][1]).alias(f"b{i}_{j}"), F.count(x).alias(f"w{i}_{j}"), F.approx_count_distinct(x).alias(f"d{i}_{j}"))]
         counts, ready, again = table.agg(*sums).first(), {}, {}
@@ -83,7 +95,7 @@ def exact_quantiles(df: DataFrame, values: list[Column], probs: list[float]) ->
             below, within, distinct = (counts[f"{c}{i}_{j}"] for c in "bwd")
             if math.floor(k) < below or math.ceil(k) >= below + within:
                 again[i, j] = [k, -math.inf, math.inf]  # the approximation was off: from all values once more, with a wider margin
-                margin *= 16
+                margin = min(1 / 64, margin * 16)
             elif lo == hi:
                 out[i][j] = lo
             elif distinct <= RANKED:
@@ -130,7 +142,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: bool
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         if kinds[c] == "number":
-            x = F.when(~F.isnan(x.cast("double")), x)
+            x = number(c)
         aggs.append(F.count(x).alias(f"n{i}"))
         if distinct and kinds[c] != "other":
             aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
