@@ -9,6 +9,8 @@ from clearbrook.functions.dates import iso_timestamp
 from clearbrook.functions.text import field_key, let
 from clearbrook.functions.values import MEASUREMENTS
 from clearbrook.operators.documents import ICD10
+from clearbrook.operators.similarity import sent_if_small
+from clearbrook.sources.staging import staged
 
 #: Layout of an entry, routes, frequencies, event rules.
 HEADER = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+\[\w+\]\s+[^:\n]+:"
@@ -50,6 +52,32 @@ def parse_entries(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return logs.unionByName(raw)
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """The same entries from single lines: (file, entry_id, timestamp, level, source, message, line_number).
+
+    ``lines`` has file, block (where in the file a stretch of lines begins), at (orders the lines of a block) and line. Blocks are
+    worked on each by itself: their lines and headers are counted, and the counts of the blocks before give every line its number and
+    its entry. An entry that is open at the end of a block goes on in the next ones, as its lines have its number. A header takes one line, and one
+    after a header without a message is an entry, though indented. Lines before a file's first header belong to none; a file without any gives its non-empty lines as RAW. Null lines are empty; no lines, no entries.
+    """
+    head = F.coalesce(F.col("line"), F.lit("")).rlike(rf"^\s*{HEADER}")
+    lines = lines.select("file", "block", "at", F.coalesce("line", F.lit("")).alias("line"), head.alias("head"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.count_if("head").alias("heads"))
+    earlier = "over (partition by file order by block rows between unbounded preceding and 1 preceding)"
+    before = blocks.select("file", "block", F.expr(f"coalesce(sum(lines) {earlier}, 0)").alias("lines_before"), F.expr(f"coalesce(sum(heads) {earlier}, 0)").alias("heads_before"), F.expr("sum(heads) over (partition by file) > 0").alias("log"))
+    within = "over (partition by file, block order by at rows between unbounded preceding and current row)"
+    numbered = lines.withColumns({"n": F.expr(f"row_number() over (partition by file, block order by at)"), "k": F.expr(f"sum(cast(head as int)) {within}")})
+    placed = numbered.join(sent_if_small(staged(before, "log-blocks")), ["file", "block"])
+    placed = placed.select("file", "log", (F.col("lines_before") + F.col("n")).alias("line_number"), (F.col("heads_before") + F.col("k")).alias("entry"), "line")
+    each = placed.where("log and entry > 0").groupBy("file", "entry").agg(F.sort_array(F.collect_list(F.struct("line_number", "line"))).alias("parts"))
+    text = F.array_join(F.col("parts.line"), "\n")
+    part = lambda g: F.regexp_extract(text, rf"(?s)^\s*(\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}})\s+\[(\w+)\]\s+([^:]+):(.*)", g)
+    logs = each.select("file", _entry_id(F.col("entry")), part(1).alias("timestamp"), part(2).alias("level"), F.trim(part(3)).alias("source"), F.trim(F.regexp_replace(part(4), r"\s+", " ")).alias("message"), F.col("parts")[0]["line_number"].cast("int").alias("line_number"))
+    raw = placed.where("not log").where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    raw = raw.select("file", _entry_id(F.col("line_number")), F.lit(None).cast("string").alias("timestamp"), F.lit("RAW").alias("level"), F.lit("unknown").alias("source"), F.trim("line").alias("message"), F.col("line_number").cast("int"))
+    return logs.unionByName(raw)
+
+
 def _entry_id(n: Column) -> Column:
     return F.concat(F.lit("LOG-"), F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))).alias("entry_id")
 

@@ -16,7 +16,7 @@ from clearbrook.functions.values import SPELLING_FIXES, WORD_ABBREVIATIONS
 from clearbrook.operators import categories, charts, dedup, documents, harmonize, logs, missing, numeric, privacy, profile, review, types
 from clearbrook.plans import pipeline
 from clearbrook.sources import tables
-from clearbrook.sources.staging import staged
+from clearbrook.sources.staging import staged, written_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,6 +633,15 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return staged(logs.normalise_logs(_log_text(spark, sf), "event_id").withColumn("entry_id", F.concat_ws("/", "event_id", "entry_id")), "log-events")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'INFO' AS level, 'EVENT ' || upper(event_type) AS source, 'user ' || user_id || ' value ' || event_id % 7 || CASE WHEN event_id % 3 = 0 THEN ' more of ' || event_id || ' and the end' ELSE '' END AS message FROM events")
+def log_file_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Log files written from the events, entries of one line and of three, read in as many tasks as files have blocks."""
+    more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\n  more of "), F.col("event_id").cast("string"), F.lit("\n\tand the end"))).otherwise("")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" [INFO] EVENT "), F.upper("event_type"), F.lit(": user "), F.col("user_id").cast("string"), F.lit(" value "), (F.col("event_id") % 7).cast("string"), more)
+    path = written_texts(_t(spark, sf, "events").select(line.alias("value")), "log-files")
+    return logs.parse_lines(tables.read_log_lines(spark, path)).select("timestamp", "level", "source", "message")
+
+
 KINDS = "CASE event_type WHEN 'view' THEN 'lab_result' WHEN 'signup' THEN 'medication_event' WHEN 'error' THEN 'imaging_order' WHEN 'purchase' THEN 'consult' ELSE 'nursing_note' END"
 
 

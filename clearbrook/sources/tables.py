@@ -47,6 +47,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return document_metadata(raw.select("path", ext.alias("ext"), text.alias("text")).withColumn("text", F.when(F.col("ext") == ".rtf", strip_rtf(F.col("text"))).otherwise(F.col("text"))))
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line) of log files for ``logs.parse_lines``: a file is read in many tasks, block being where a task's stretch begins and at the order of lines in it."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
 def document_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return df.withColumns({"n_chars": F.length(t), "n_lines": F.regexp_count(t, F.lit("\n")) + 1, "n_words": F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))})
