@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clearbrook.functions.names import unused
 from clearbrook.functions.text import category_case, expand_words, fold_replace, pad_cpt, title_case, trim_collapse
 from clearbrook.functions.values import DISEASE_CODES, LOINC_NAMES, SPELLING_FIXES, WORD_ABBREVIATIONS
-from clearbrook.operators.similarity import mapped, similar
+from clearbrook.operators.similarity import SMALL_ROWS, mapped, similar
 from clearbrook.operators.stats import column_stats, kind_of
 from clearbrook.sources.staging import staged
 
@@ -20,13 +21,30 @@ SKIPPED = ["Unknown", "", "nan"]
 
 
 def merge_variants(df: DataFrame, column: str, least: int = 85) -> DataFrame:
-    """Every value becomes the most frequent one among those whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the shorter, then the larger). Values are met by a similarity join, however many there are."""
-    counts = df.where(F.col(f"`{column}`").isNotNull() & ~F.col(f"`{column}`").isin(*SKIPPED)).groupBy(F.col(f"`{column}`").alias("v")).count()
+    """``merge_all_variants`` of one column."""
+    return merge_all_variants(df, [column], least)
+
+
+def merge_all_variants(df: DataFrame, columns: list[str], least: int = 85) -> DataFrame:
+    """Every value of a column becomes the most frequent one among those of the column whose rounded ratio to it is ``least`` or more (of equal ones the more similar, then the shorter, then the larger). Values of all columns are counted in one pass and met by one similarity join, however many there are."""
+    if not columns:
+        return df
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.explode(cells).alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.col("v").isin(*SKIPPED)).groupBy("i", "v").count()
     counts = staged(counts, "value-counts")
-    pairs = similar(counts, counts, least - 0.5).withColumn("r", F.round("ratio")).where(F.col("r") >= least)
-    met = pairs.join(counts.select(F.col("v").alias("b"), F.col("count").alias("n")), "b")
-    best = met.groupBy(F.col("a").alias("v")).agg(F.max_by("b", F.struct("n", "r", (-F.length("b")).alias("l"), "b")).alias("out"))
-    return mapped(df, column, best.where("v <> out"))
+    values = counts.select("v").distinct()
+    pairs = similar(values, values, least - 0.5).withColumn("r", F.round("ratio")).where((F.col("r") >= least) & (F.col("a") != F.col("b")))
+    met = pairs.join(counts.select("i", F.col("v").alias("a")), "a").join(counts.select("i", F.col("v").alias("b"), F.col("count").alias("n")), ["i", "b"])
+    rank = F.struct("n", "r", (-F.length("b")).alias("l"), "b")
+    best = met.groupBy("i", F.col("a").alias("v")).agg(F.max(rank).alias("best")).join(counts, ["i", "v"])
+    own = F.struct(F.col("count").alias("n"), F.lit(100.0).alias("r"), (-F.length("v")).alias("l"), F.col("v").alias("b"))
+    merged = staged(best.where(F.col("best") > own).select("i", "v", F.col("best.b").alias("out")), "merged-values")
+    small = merged.count() <= SMALL_ROWS
+    for i, c in enumerate(columns):
+        key, out = unused(df.columns, "v", "out")
+        table = merged.where(F.col("i") == i).select(F.col("v").alias(key), F.col("out").alias(out))
+        df = df.join(F.broadcast(table) if small else table, F.col(f"`{c}`") == F.col(key), "left").withColumn(c, F.coalesce(out, F.col(f"`{c}`"))).drop(key, out)
+    return df
 
 
 def diseases(df: DataFrame) -> DataFrame:
@@ -133,9 +151,7 @@ def standardise_categories(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     strings = [c for c in df.columns if kind_of(df, c) == "string" and roles.get(c) in ("categorical", "text")]
     if strings:
         df = df.withColumns({c: category_case(trim_collapse(F.col(f"`{c}`"))) if roles[c] == "categorical" else trim_collapse(F.col(f"`{c}`")) for c in strings})
-    for c in [c for c in strings if roles[c] == "categorical"]:
-        df = merge_variants(df, c)
-    return df
+    return merge_all_variants(df, [c for c in strings if roles[c] == "categorical"])
 
 
 #: Parts of names of columns whose text isn't clinical.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.names import unused
-from clearbrook.operators.stats import classify, column_stats, exact_quantiles, kind_of, most_frequent
+from clearbrook.operators.stats import ColumnStats, classify, column_stats, exact_quantiles, kind_of, most_frequent
 
 METHODS = {"auto": "auto", "fill_median": "median", "median": "median", "fill_mode": "mode", "mode": "mode", "mean": "mean", "remove": "remove", "drop": "remove"}
 
@@ -44,18 +44,20 @@ def handle_missing(df: DataFrame, method: str = "auto") -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fill.items() if v is not None})
 
 
-def impute_with_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def impute_with_audit(df: DataFrame, stats: dict[str, ColumnStats] | None = None) -> tuple[DataFrame, DataFrame]:
     """(cleaned, flags). Numbers lacking up to 30 % get the median, others under 2 % lose those rows, else ``Unknown`` (dates stay null); filled columns get ``<c>_was_missing``. Numbers lacking more are flagged and kept."""
     df = nan_to_null(df)
-    stats = column_stats(df, distinct=True, rates=True)
+    stats = column_stats(df, distinct=True, rates=True, quantiles=False) if stats is None else stats
     roles, drop, new, flags = classify(df, stats), [], {}, []
+    lacking = [c for c, s in stats.items() if s.nulls and roles.get(c) == "numeric" and s.missing <= 0.30]
+    medians = dict(zip(lacking, (q[0] for q in exact_quantiles(df, [F.col(f"`{c}`") for c in lacking], [0.5])), strict=True))
     for c, s in stats.items():
         if not s.nulls or c not in roles:
             continue
         x = F.col(f"`{c}`")
         if roles[c] == "numeric":
-            if s.missing <= 0.30 and s.median is not None:
-                new |= {f"{c}_was_missing": x.isNull(), c: F.coalesce(x, F.lit(s.median))}
+            if medians.get(c) is not None:
+                new |= {f"{c}_was_missing": x.isNull(), c: F.coalesce(x, F.lit(medians[c]))}
             else:
                 flags.append((c, "more than 30 % missing", s.nulls, s.missing))
         elif s.missing < 0.02:

@@ -19,11 +19,11 @@ def numbers(df: DataFrame) -> list[str]:
     return [c for c in df.columns if kind_of(df, c) == "number"]
 
 
-def fix_negatives(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def fix_negatives(df: DataFrame, columns: list[str] | None = None, stats: dict[str, ColumnStats] | None = None) -> DataFrame:
     """Where at least 99 % of a column's values, but not all, are 0 or more, its negatives become the median of those."""
     columns = numbers(df) if columns is None else columns
-    r = df.agg(*[F.avg((number(c).cast("double") >= 0).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first() if columns else {}
-    few = [c for i, c in enumerate(columns) if r[f"s{i}"] is not None and 0.99 <= r[f"s{i}"] < 1]
+    stats = column_stats(df, columns, quantiles=False) if stats is None else stats
+    few = [c for c in columns if stats[c].positive is not None and 0.99 <= stats[c].positive < 1]
     medians = exact_quantiles(df, [F.when(number(c) >= 0, number(c)) for c in few], [0.5])
     new = {c: F.when(F.col(f"`{c}`") < 0, F.lit(m[0])).otherwise(F.col(f"`{c}`")) for c, m in zip(few, medians, strict=True)}
     return df.withColumns(new) if new else df
@@ -33,14 +33,20 @@ def outlier_report(df: DataFrame, k: float = 1.5, columns: list[str] | None = No
     """A row for each column with spread and outliers: count, pct, bounds, least and greatest outlier."""
     columns = numbers(df) if columns is None else columns
     bounds = {c: b for c, s in column_stats(df, columns).items() if (b := s.bounds(k))}
-    if not bounds:
-        return df.sparkSession.createDataFrame([], "column string, outliers long, pct double, lower double, upper double, min_outlier double, max_outlier double")
+    return df.agg(outlier_rows(bounds).alias("r")).select(F.inline("r")).where("outliers > 0")
+
+
+OUTLIERS = "column string, outliers long, pct double, lower double, upper double, min_outlier double, max_outlier double"
+
+
+def outlier_rows(bounds: dict[str, tuple[float, float]]) -> Column:
+    """An aggregate: the array of a struct for each column, as in ``OUTLIERS``."""
     rows = []
     for c, (lo, hi) in bounds.items():
         x = F.col(f"`{c}`").cast("double")
         out = (x < lo) | (x > hi)
-        rows.append(F.struct(F.lit(c).alias("column"), F.count_if(out).alias("outliers"), (100.0 * F.count_if(out) / F.count("*")).alias("pct"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), F.min(F.when(out, x)).alias("min_outlier"), F.max(F.when(out, x)).alias("max_outlier")))
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r")).where("outliers > 0")
+        rows.append(F.struct(F.lit(c).alias("column"), F.count_if(out).alias("outliers"), (100.0 * F.count_if(out) / F.count(F.lit(1))).alias("pct"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), F.min(F.when(out, x)).alias("min_outlier"), F.max(F.when(out, x)).alias("max_outlier")))
+    return F.array(*rows) if rows else F.max(F.expr(f"cast(array() as array<struct<{OUTLIERS.replace(' ', ':').replace(',:', ',')}>>)"))
 
 
 def handle_outliers(df: DataFrame, method: str = "cap", k: float = 1.5, columns: list[str] | None = None) -> DataFrame:
@@ -122,7 +128,7 @@ def label_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame
 
 def engineer_features(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Date parts and ages, mail domains, lengths and word counts, bins, logs of skewed columns and label codes, by column type."""
-    stats, new, coded = column_stats(df, distinct=True), {}, []
+    stats, new, coded = column_stats(df, distinct=True, quantiles=False), {}, []
     holds_at = df.agg(*[F.max(F.col(f"`{c}`").contains("@")).alias(c) for c, s in stats.items() if s.kind == "string"] or [F.lit(None).alias("_")]).first()
     for c, s in stats.items():
         x = F.col(f"`{c}`")
@@ -153,9 +159,18 @@ def _number_features(c: str, x: Column, s: ColumnStats) -> dict[str, Column]:
     return new
 
 
-def role_features(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+def few_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with <c>_encoded of columns with few values (categories, of which there are under 50 each): places in the order of the values, null -1. One pass gives the values of all columns."""
+    if not columns:
+        return df
+    values = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    code = lambda c, vs: F.coalesce((F.array_position(F.array(*[F.lit(v) for v in vs]), F.col(f"`{c}`")) - 1).cast("int"), F.lit(-1)) if vs else F.lit(-1)
+    return df.withColumns({f"{c}_encoded": code(c, values[f"v{i}"]) for i, c in enumerate(columns)})
+
+
+def role_features(df: DataFrame, roles: dict[str, str] | None = None, stats: dict[str, ColumnStats] | None = None) -> DataFrame:
     """Features by role: lengths of text, bins of numbers with over 10 values, codes of categories."""
-    stats = column_stats(df, distinct=True, rates=roles is None)
+    stats = column_stats(df, distinct=True, rates=roles is None, quantiles=False) if stats is None else stats
     roles = classify(df, stats) if roles is None else roles
     new = {}
     for c, role in roles.items():
@@ -164,7 +179,4 @@ def role_features(df: DataFrame, roles: dict[str, str] | None = None) -> DataFra
             new |= {f"{c}_length": F.length(x), f"{c}_word_count": word_count(x)}
         elif role == "numeric" and (stats[c].distinct or 0) > 10:
             new[f"{c}_binned"] = F.coalesce(equal_width(x, stats[c].low, stats[c].high), F.lit(-1))
-    out = df.withColumns(new) if new else df
-    for c in [c for c, role in roles.items() if role == "categorical"]:
-        out = label_codes(out, c)
-    return out
+    return few_codes(df.withColumns(new) if new else df, [c for c, role in roles.items() if role == "categorical"])

@@ -50,7 +50,8 @@ def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """
     if not 67 < least <= 100:
         raise ValueError("least must be over 67 and at most 100")
-    sides = [_keys(x.where("v is not null").select("v")).where("n > 0") for x in (left, right)]
+    keys = lambda x: _keys(x.where("v is not null").select("v")).where("n > 0")
+    sides = [keys(left)] * 2 if left is right else [keys(left), keys(right)]
     often = sides[0].select("grams").unionByName(sides[1].select("grams")).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
     a, b = (_prefix(s, often, least) for s in sides)
     b = b.withColumnsRenamed({"v": "w", "x": "y", "n": "m"})

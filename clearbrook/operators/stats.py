@@ -6,12 +6,13 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from clearbrook.functions.dates import parse_date
 from clearbrook.functions.text import number_of
+from clearbrook.sources.staging import staged
 
 #: Name parts and suffixes that roles depend on.
 DATE_WORDS = ["date", "time", "update", "created", "dob", "admission", "discharge"]
@@ -39,6 +40,7 @@ class ColumnStats:
     skew: float | None = None
     number_rate: float | None = None
     date_rate: float | None = None
+    positive: float | None = None  # share of values of 0 or more
 
     @property
     def missing(self) -> float:
@@ -135,39 +137,57 @@ def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, object]:
     return out
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: bool = False, rates: bool = False, quantiles: bool = True) -> dict[str, ColumnStats]:
-    """Statistics of ``columns`` (all if None) from one pass, quantiles from a few more. ``distinct`` is exact up to ``EXACT_DISTINCT``; ``rates`` are the shares of strings that parse."""
-    columns = df.columns if columns is None else columns
-    kinds, aggs = {c: kind_of(df, c) for c in columns}, [F.count("*").alias("rows")]
+def _aggregates(df: DataFrame, columns: list[str], distinct: bool, rates: bool) -> list[Column]:
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`")
-        if kinds[c] == "number":
+        x, kind = F.col(f"`{c}`"), kind_of(df, c)
+        if kind == "number":
             x = number(c)
         aggs.append(F.count(x).alias(f"n{i}"))
-        if distinct and kinds[c] != "other":
+        if distinct and kind != "other":
             aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
-        if kinds[c] == "number":
+        if kind == "number":
             v = x.cast("double")
-            aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.skewness(v).alias(f"skew{i}")]
-        if rates and kinds[c] == "string":
+            aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.skewness(v).alias(f"skew{i}"), F.avg((v >= 0).cast("double")).alias(f"pos{i}")]
+        if rates and kind == "string":
             aggs += [F.avg(F.when(x.isNotNull(), number_of(x).isNotNull().cast("double"))).alias(f"num{i}"), F.avg(F.when(x.isNotNull(), parse_date(x).isNotNull().cast("double"))).alias(f"date{i}")]
-    r = df.agg(*aggs).first().asDict()
+    return aggs
+
+
+def _with_few(df: DataFrame, columns: list[str], r: dict) -> dict:
+    """``r`` with exact numbers of distinct values where they are few."""
     few = [i for i in range(len(columns)) if f"d{i}" in r and r[f"d{i}"] <= 1.5 * EXACT_DISTINCT]
-    if few:  # sets of few values
-        r |= df.agg(*[F.size(F.collect_set(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) if kinds[c] == "number" else F.col(f"`{c}`"))).alias(f"d{i}") for i, c in enumerate(columns) if i in few]).first().asDict()
-    if quantiles:
-        nums = [i for i, c in enumerate(columns) if kinds[c] == "number"]
-        v = [F.col(f"`{columns[i]}`").cast("double") for i in nums]
-        r |= {f"q{i}": q for i, q in zip(nums, exact_quantiles(df, [F.when(~F.isnan(x), x) for x in v], [0.25, 0.5, 0.75]), strict=True)}
+    own = lambda c: number(c) if kind_of(df, c) == "number" else F.col(f"`{c}`")
+    return r | (df.agg(*[F.size(F.collect_set(own(c))).alias(f"d{i}") for i, c in enumerate(columns) if i in few]).first().asDict() if few else {})
+
+
+def _as_stats(df: DataFrame, columns: list[str], r: dict) -> dict[str, ColumnStats]:
     out = {}
     for i, c in enumerate(columns):
         q = r.get(f"q{i}") or [None] * 3
         n, skew = r[f"n{i}"], r.get(f"skew{i}")
         adjusted = skew * (n * (n - 1)) ** 0.5 / (n - 2) if skew is not None and skew == skew and n > 2 else None
-        out[c] = ColumnStats(c, kinds[c], r["rows"], r["rows"] - n, r.get(f"d{i}"), r.get(f"mean{i}"), r.get(f"std{i}"), r.get(f"low{i}"), r.get(f"high{i}"), *q, adjusted, r.get(f"num{i}"), r.get(f"date{i}"))
+        out[c] = ColumnStats(c, kind_of(df, c), r["rows"], r["rows"] - n, r.get(f"d{i}"), r.get(f"mean{i}"), r.get(f"std{i}"), r.get(f"low{i}"), r.get(f"high{i}"), *q, adjusted, r.get(f"num{i}"), r.get(f"date{i}"), r.get(f"pos{i}"))
     return out
 
 
+def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: bool = False, rates: bool = False, quantiles: bool = True) -> dict[str, ColumnStats]:
+    """Statistics of ``columns`` (all if None) from one pass, quantiles from a few more. ``distinct`` is exact up to ``EXACT_DISTINCT``; ``rates`` are the shares of strings that parse."""
+    columns = df.columns if columns is None else columns
+    r = _with_few(df, columns, df.agg(*_aggregates(df, columns, distinct, rates)).first().asDict())
+    if quantiles:
+        nums = [i for i, c in enumerate(columns) if kind_of(df, c) == "number"]
+        r |= {f"q{i}": q for i, q in zip(nums, exact_quantiles(df, [number(columns[i]).cast("double") for i in nums], [0.25, 0.5, 0.75]), strict=True)}
+    return _as_stats(df, columns, r)
+
+
+def staged_with_stats(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, ColumnStats]]:
+    """``df`` written once, and the statistics that roles depend on, observed on the rows as they are written."""
+    seen = Observation()
+    table = staged(df.observe(seen, *_aggregates(df, df.columns, True, True)), name)
+    return table, _as_stats(table, df.columns, _with_few(table, df.columns, dict(seen.get)))
+
+
 def classify(df: DataFrame, stats: dict[str, ColumnStats] | None = None) -> dict[str, str]:
     """Role of each column: date, numeric, categorical, text or other; engineered columns have none."""
     stats = column_stats(df, distinct=True, rates=True, quantiles=False) if stats is None else stats

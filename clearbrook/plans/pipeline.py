@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clearbrook.functions.text import fold_replaced
@@ -13,10 +13,10 @@ from clearbrook.functions.values import SPELLING_FIXES, WORD_ABBREVIATIONS
 from clearbrook.operators.categories import clean_text_columns, code_report, normalise_clinical_text, standardise_categories, standardise_codes
 from clearbrook.operators.dedup import drop_exact, duplicate_count, near_duplicate_rows
 from clearbrook.operators.missing import drop_high_missing, drop_high_missing_rows, handle_missing, impute_with_audit, model_impute
-from clearbrook.operators.numeric import at_least, clinical_ranges, clip_ranges, engineer_features, fix_negatives, handle_outliers, outlier_report, role_features
+from clearbrook.operators.numeric import OUTLIERS, at_least, clinical_ranges, clip_ranges, engineer_features, fix_negatives, handle_outliers, outlier_report, outlier_rows, role_features
 from clearbrook.operators.privacy import column_redactions, redact_columns
-from clearbrook.operators.profile import cleaning_score, compare, null_profile, recommendations
-from clearbrook.operators.stats import classify, column_stats, kind_of
+from clearbrook.operators.profile import cleaning_score, compare, recommendations
+from clearbrook.operators.stats import classify, column_stats, kind_of, staged_with_stats
 from clearbrook.operators.types import convert_types, parse_date_columns
 from clearbrook.sources.staging import staged
 
@@ -104,42 +104,57 @@ def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def auto_clean_reports(df: DataFrame) -> AutoCleaned:
-    """The seven fixed steps: missing values, dates, categories, numbers (negatives and rules fixed, outliers reported), duplicates (exact ones go, near ones are reported), features. Roles are found anew after each step that may change them.
+    """The seven fixed steps: missing values, dates, categories, numbers (negatives and rules fixed, outliers reported), duplicates (exact ones go, near ones are reported), features.
 
-    audit: (column, nulls, action, remaining) of every input column; log: (step, category, column, metric, value) of what each step did.
+    The table is written after the steps that later ones take statistics of, and these, with what the report counts, are observed
+    on the rows as they are written: roles are found anew without a pass of their own. audit: (column, nulls, action,
+    remaining) of every input column; log: (step, category, column, metric, value) of what each step did.
     """
     spark, given = df.sparkSession, df
     before = column_stats(df, distinct=True, rates=True, quantiles=False)
     roles_in = classify(df, before)
-    df, flags = impute_with_audit(df)
+    df, flags = impute_with_audit(df, before)
     flagged, log = {r["column"] for r in flags.collect()}, []
     filled = {c for c in given.columns if f"{c}_was_missing" in df.columns}
     for c, s in before.items():
         if s.nulls and c not in flagged:
             log.append(("missing values", c, "filled" if c in filled else "rows dropped", float(s.nulls)))
-    roles = classify(df)
-    df = parse_date_columns(df, roles)
+    stats = before
+    if any(s.nulls for s in before.values()):
+        df, stats = staged_with_stats(df, "imputed")
+    roles = classify(df, stats)
+    dated = parse_date_columns(df, roles)
     log += [("dates", c, "parsed", 1.0) for c, r in roles.items() if r == "date"]
-    roles = classify(df)
+    if dated is not df:
+        df, stats = staged_with_stats(dated, "dated")
+        roles = classify(df, stats)
     df = standardise_categories(df, roles)
     log += [("categories", c, "standardised", 1.0) for c, r in roles.items() if r in ("categorical", "text")]
-    numeric = [c for c, r in classify(df).items() if r == "numeric"]
-    df = fix_negatives(df, numeric)
-    outliers = outlier_report(df, 1.5, numeric)
-    df, violations = at_least(df, RULES)
-    log += [("numbers", r["column"], "outliers", float(r["outliers"])) for r in outliers.collect()] + [("numbers", r["rule"], "violations fixed", float(r["violations"])) for r in violations.collect() if r["violations"]]
-    duplicates, df = duplicate_count(df), drop_exact(df)
-    log.append(("duplicates", None, "exact rows dropped", float(duplicates.first()["duplicate_rows"])))
-    roles = classify(df)
+    # What has been done to strings changes no role of a number.
+    numeric = [c for c, r in roles.items() if r == "numeric"]
+    df = staged(fix_negatives(df, numeric, stats), "standardised")
+    bounds = {c: x for c, s in column_stats(df, numeric).items() if (x := s.bounds(1.5))}
+    fixed, violations = at_least(df, RULES)
+    seen = Observation()
+    df, stats = staged_with_stats(drop_exact(fixed.observe(seen, F.count(F.lit(1)).alias("rows"), *([outlier_rows(bounds).alias("outliers")] if bounds else []))), "deduplicated")
+    outliers = spark.createDataFrame([tuple(r) for r in seen.get.get("outliers", []) if r["outliers"]], OUTLIERS)
+    log += [("numbers", r["column"], "outliers", float(r["outliers"])) for r in seen.get.get("outliers", []) if r["outliers"]]
+    log += [("numbers", r["rule"], "violations fixed", float(r["violations"])) for r in violations.collect() if r["violations"]]
+    rows = next(iter(stats.values())).rows
+    dropped = seen.get["rows"] - rows
+    duplicates = spark.createDataFrame([(seen.get["rows"], dropped)], "rows long, duplicate_rows long")
+    log.append(("duplicates", None, "exact rows dropped", float(dropped)))
+    roles = classify(df, stats)
     keys = [c for c, r in roles.items() if r in ("date", "categorical")]
     if keys and len(keys) < len(df.columns):
         near = near_duplicate_rows(df, keys).where("near_duplicate").drop("near_duplicate")
-        log.append(("duplicates", ", ".join(keys), "near-duplicate rows", float(near.count())))
+        again = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        log.append(("duplicates", ", ".join(keys), "near-duplicate rows", float(again)))
     else:
         near = df.limit(0)
-    out = role_features(df, roles)
+    out = role_features(df, roles, stats)
     log += [("features", c, "added", 1.0) for c in out.columns if c not in df.columns]
-    left = {r["column"]: r["nulls"] for r in null_profile(out).collect()}
+    left = {c: s.nulls for c, s in stats.items()}
 
     def action(c: str) -> str:
         if not before[c].nulls:

@@ -581,6 +581,39 @@ def process_documents(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("event_id", "redacted", "icd10", "passed", *[c for c in done.columns if c.startswith("n_")])
 
 
+#: What notes on orders are made of, by their keys: diseases, abbreviations, misspellings and drugs, and what each is known as.
+CASE_DISEASES, CASE_SHORT, CASE_WRONG, CASE_DRUGS = ["hypertension", "pneumonia", "asthma"], ["bp", "copd", "ct", "mi", "htn"], ["diabeties", "pnuemonia"], ["metformin", "aspirin", "lisinopril", "warfarin"]
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A note for each order, whose words, numbers and mail address follow from its key."""
+    k = F.col("o_orderkey")
+    of = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    text = F.concat(F.lit("ASSESSMENT\nKnown "), of(CASE_DISEASES), F.lit(", "), of(CASE_SHORT), F.lit(" and "), of(CASE_WRONG), F.lit(".\nMEDICATIONS\n"), of(CASE_DRUGS), F.lit(" "), (k % 90 + 10).cast("string"), F.lit(" mg, write to p"), k.cast("string"), F.lit("@mail.example.org"))
+    return _t(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+
+
+def _sql_of(words: list[str]) -> str:
+    return f"(ARRAY[{', '.join(repr(w) for w in words)}])[o_orderkey % {len(words)} + 1]"
+
+
+CASES = f"""x AS (SELECT o_orderkey, {_sql_of(CASE_DISEASES)} AS d, {_sql_of(CASE_SHORT)} AS s, {_sql_of(CASE_WRONG)} AS w, {_sql_of(CASE_DRUGS)} AS r, o_orderkey % 90 + 10 AS mg FROM orders),
+long AS (SELECT *, CASE s WHEN 'bp' THEN 'Blood Pressure' WHEN 'copd' THEN 'Chronic Obstructive Pulmonary Disease' WHEN 'ct' THEN 'Computed Tomography' WHEN 'mi' THEN 'Myocardial Infarction' ELSE 'Hypertension' END AS l, CASE w WHEN 'diabeties' THEN 'diabetes' ELSE 'pneumonia' END AS c FROM x),
+notes AS (SELECT *, 'ASSESSMENT' || chr(10) || 'Known ' || d || ', ' || s || ' and ' || w || '.' || chr(10) || 'MEDICATIONS' || chr(10) || r || ' ' || mg || ' mg, write to p' || o_orderkey || '@mail.example.org' AS text,
+ 'ASSESSMENT' || chr(10) || 'Known ' || d || ', ' || l || ' (' || upper(s) || ') and ' || c || '.' || chr(10) || 'MEDICATIONS' || chr(10) || r || ' ' || mg || ' mg, write to [REDACTED-EMAIL]' AS redacted FROM long)"""
+
+
+@query(f"WITH {CASES} SELECT o_orderkey, concept, matched_text, strpos(text, matched_text) - 1 AS position FROM (SELECT o_orderkey, text, l AS concept, s AS matched_text FROM notes WHERE NOT (d = 'hypertension' AND s = 'htn') UNION ALL SELECT o_orderkey, text, upper(d[1]) || d[2:], d FROM notes UNION ALL SELECT o_orderkey, text, upper(r[1]) || r[2:], r FROM notes WHERE r <> 'aspirin')")
+def case_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.mentions(_cases(spark, sf), "o_orderkey")
+
+
+@query(f"WITH {CASES} SELECT o_orderkey, redacted, true AS passed, 1 AS n_abbreviations, 1 AS n_spelling, 1 AS n_findings, 2 AS n_sections FROM notes")
+def case_documents(spark: SparkSession, sf: str) -> DataFrame:
+    done = documents.process_documents(_cases(spark, sf))
+    return done.select("o_orderkey", "redacted", "passed", "n_abbreviations", "n_spelling", "n_findings", "n_sections")
+
+
 @query()
 def document_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select("doc_id", "text")
@@ -731,7 +764,13 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.run_operations(g.unionByName(g.where("o_orderkey % 13 = 0")), pipeline.PRESETS["conservative"] | {"handle_missing": {}}, lineage=True)[1]
 
 
-@query()
+#: The orders with gaps, by the rules of the auto cleaner: 14 % of the prices get the median, 9 % of the priorities are unknown, and both are bounds of bins and codes.
+CLEANED = f"""{GAPS}, m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM g),
+f AS (SELECT o_orderkey, coalesce(o_totalprice, med) AS o_totalprice, CASE o_orderpriority WHEN '1-URGENT' THEN '1-Urgent' WHEN '2-HIGH' THEN '2-High' WHEN '3-MEDIUM' THEN '3-Medium' WHEN '4-NOT SPECIFIED' THEN '4-Not Specified' WHEN '5-LOW' THEN '5-Low' ELSE 'Unknown' END AS o_orderpriority, o_totalprice IS NULL AS o_totalprice_was_missing, o_orderpriority IS NULL AS o_orderpriority_was_missing FROM g, m),
+b AS (SELECT min(o_orderkey) AS k0, max(o_orderkey) AS k1, min(o_totalprice) AS p0, max(o_totalprice) AS p1 FROM f)"""
+
+
+@query(f"WITH {CLEANED} SELECT f.*, greatest(0, least(4, ceil((o_orderkey - k0) / ((k1 - k0) / 5)) - 1))::INT AS o_orderkey_binned, greatest(0, least(4, ceil((o_totalprice - p0) / ((p1 - p0) / 5)) - 1))::INT AS o_totalprice_binned, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS o_orderpriority_encoded FROM f, b")
 def auto_clean(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.auto_clean(_gaps(spark, sf))[0]
 
@@ -741,7 +780,7 @@ def auto_clean_audit(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.auto_clean_reports(_gaps(spark, sf)).audit
 
 
-@query()
+@query(f"WITH {CLEANED}, c AS (SELECT count(*) FILTER (o_totalprice_was_missing) AS p, count(*) FILTER (o_orderpriority_was_missing) AS o, count(*) AS n FROM f) SELECT * FROM (SELECT 1 AS step, 'missing values' AS category, 'o_totalprice' AS \"column\", 'filled' AS metric, p::DOUBLE AS value FROM c UNION ALL SELECT 2, 'missing values', 'o_orderpriority', 'filled', o FROM c UNION ALL SELECT 4, 'duplicates', NULL, 'exact rows dropped', 0 UNION ALL SELECT 5, 'duplicates', 'o_orderpriority', 'near-duplicate rows', n FROM c UNION ALL SELECT * FROM (VALUES (3, 'categories', 'o_orderpriority', 'standardised', 1), (6, 'features', 'o_orderkey_binned', 'added', 1), (7, 'features', 'o_totalprice_binned', 'added', 1), (8, 'features', 'o_orderpriority_encoded', 'added', 1)))")
 def auto_clean_log(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.auto_clean_reports(_gaps(spark, sf)).log
 
