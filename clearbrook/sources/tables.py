@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -19,15 +19,34 @@ def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a list, of the longest list in an object (the first of equal ones), or the object itself; nested values as JSON text."""
-    df = spark.read.json(path, multiLine=True)
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
-    if lists and len(df.columns) >= len(lists) and df.limit(2).count() == 1:
-        sizes = df.select(*[F.size(f"`{c}`").alias(c) for c in lists]).first()
-        name = max(lists, key=lambda c: (sizes[c] or 0, -lists.index(c)))
-        item = df.select(F.explode(f"`{name}`").alias("value"))
-        df = item.select("value.*") if isinstance(item.schema["value"].dataType, StructType) else item
-    return checked(flatten(df))
+    """Records of a list, of the longest list in an object (the first of equal ones), or the object itself, of each file; nested values as JSON text.
+
+    A file is parsed once as a variant; its records are dealt over the tasks before they become columns. Columns have the type that all
+    records agree on, else text; records that aren't objects are one column ``value``. No table of one record is taken for another one's list.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
+    fields = F.expr("try_variant_get(v, '$', 'map<string,variant>')")
+    of = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    # Objects forget the order of their keys, the text doesn't.
+    sized = F.filter(F.transform("keys", lambda k, i: F.struct(F.size(of(F.element_at(fields, k))).alias("n"), (-i).alias("i"), k.alias("k"))), lambda x: x["n"] >= 0)
+    longest = F.array_max(sized)["k"]
+    records = F.coalesce(of(F.col("v")), of(F.element_at(fields, longest)), F.array("v"))
+    rows = files.select(F.explode(records).alias("r")).repartition(max(2, spark.sparkContext.defaultParallelism))
+    rows = rows.select("r", F.expr("try_variant_get(r, '$', 'map<string,variant>')").alias("m"))
+    cells = F.coalesce(F.map_entries("m"), F.array(F.struct(F.lit("value").alias("key"), F.col("r").alias("value"))))
+    kinds = rows.select(F.explode(cells).alias("c")).groupBy("c.key").agg(F.schema_of_variant_agg("c.value").alias("kind")).orderBy("key").collect()
+
+    def column(name: str, kind: str) -> Column:
+        x = F.coalesce(F.element_at("m", F.lit(name)), F.when(F.col("m").isNull(), F.col("r"))) if name == "value" else F.element_at("m", F.lit(name))
+        if kind == "BIGINT" or kind == "BOOLEAN":
+            return F.try_variant_get(x, "$", kind)
+        if kind == "DOUBLE" or kind.startswith("DECIMAL"):
+            return F.try_variant_get(x, "$", "double")
+        if kind.startswith(("OBJECT", "ARRAY")):
+            return F.when(~F.is_variant_null(x), F.to_json(x))
+        return F.when(~F.is_variant_null(x), F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+
+    return checked(rows.select(*[column(r["key"], r["kind"]).alias(r["key"]) for r in kinds]))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
