@@ -614,6 +614,22 @@ def case_documents(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("o_orderkey", "redacted", "passed", "n_abbreviations", "n_spelling", "n_findings", "n_sections")
 
 
+@query("SELECT 'tag' AS style, count(*) AS documents, count(*) AS redactions, 0::BIGINT AS critical, count(*) AS high, 0::BIGINT AS medium, 0::BIGINT AS low FROM orders")
+def case_redaction_report(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.redaction_report(privacy.redact_text(_cases(spark, sf))).drop("by_category")
+
+
+@query("SELECT 'EMAIL' AS type, 'Email addresses' AS hipaa_category, 'HIGH' AS risk_level, count(*) AS findings, count(*) AS documents FROM orders")
+def case_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.finding_summary(privacy.with_findings(_cases(spark, sf)))
+
+
+@query(f"WITH {CASES} SELECT o_orderkey, s.id AS section_id, s.h AS heading, s.l AS line_start, CASE s.l WHEN 1 THEN 'Known ' || d || ', ' || notes.s || ' and ' || w || '.' ELSE r || ' ' || mg || ' mg, write to p' || o_orderkey || '@mail.example.org' END AS content, CASE s.l WHEN 1 THEN 5 ELSE 6 END AS word_count FROM notes, (VALUES ('SEC-001', 'ASSESSMENT', 1), ('SEC-002', 'MEDICATIONS', 3)) s(id, h, l)")
+def case_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = _cases(spark, sf).select("o_orderkey", F.explode(documents.sections(F.col("text"))).alias("s"))
+    return found.select("o_orderkey", "s.section_id", "s.heading", "s.line_start", "s.content", "s.word_count")
+
+
 @query()
 def document_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select("doc_id", "text")
@@ -646,6 +662,19 @@ def document_sections(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.explode(documents.sections(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
+@query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' One' AS segment, c_name || ' ' || c_mktsegment AS name FROM customer")
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), "c_mktsegment", F.lit("\t one ")).alias("segment"), F.concat("c_name", F.lit("\u00a0 "), "c_mktsegment").alias("name"))
+    return categories.clean_text_columns(c)
+
+
+@query(f"WITH {GAPS} SELECT 'o_totalprice' AS \"column\", CASE WHEN o_totalprice IS NULL THEN 'missing' ELSE 'good' END AS class, count(*) AS n FROM g GROUP BY 2 UNION ALL SELECT 'o_orderpriority', CASE WHEN o_orderpriority IS NULL THEN 'missing' ELSE 'good' END, count(*) FROM g GROUP BY 2")
+def cell_classes(spark: SparkSession, sf: str) -> DataFrame:
+    g = _gaps(spark, sf)
+    cells = g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in ("o_totalprice", "o_orderpriority")])).alias("x")).select("x.*")
+    return cells.join(F.broadcast(profile.column_quality(g)), "column").groupBy("column", charts.quality_class(F.col("value"), F.col("score")).alias("class")).agg(F.count("*").alias("n"))
+
+
 # -- logs and review -----------------------------------------------------------------------------------------------
 
 
