@@ -323,6 +323,12 @@ def process_documents(df: DataFrame, text: str = "text", style: str = "tag") ->
     return df.withColumns(counts)
 
 
+def corpus_totals(processed: DataFrame) -> DataFrame:
+    """One row over all rows of ``process_documents``: documents, those that passed, and the sum of every count."""
+    counts = [c for c in processed.columns if c.startswith("n_")]
+    return processed.agg(F.count(F.lit(1)).alias("documents"), F.count_if("passed").alias("passed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+
+
 def quality_report(processed: DataFrame, key: str, events: DataFrame | None = None) -> DataFrame:
     """(key, compliance, log_structure, clinical_coverage, document_structure, overall, grade, issues and the counts behind them) of each row of ``process_documents``.
 

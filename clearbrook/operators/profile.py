@@ -205,6 +205,18 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return one("before", before).unionByName(one("after", after))
 
 
+def compare_samples(before: DataFrame, after: DataFrame, rows: int = 25) -> DataFrame:
+    """(table, row): up to ``rows`` rows of both tables as JSON text, nulls included."""
+    text = lambda df: F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    one = lambda name, df: df.limit(rows).select(F.lit(name).alias("table"), text(df).alias("row"))
+    return one("before", before).unionByName(one("after", after))
+
+
+def inspection(df: DataFrame) -> dict[str, DataFrame]:
+    """All that is looked at before a table is cleaned: overview, roles, nulls, metadata, samples of categories and duplicates, each a table."""
+    return {"overview": overview(df), "roles": role_table(df), "nulls": null_profile(df), "columns": column_metadata(df), "samples": categorical_samples(df), "duplicates": duplicate_count(df)}
+
+
 def unexplained_nulls(df: DataFrame, flags: DataFrame) -> DataFrame:
     """Columns with nulls that ``flags`` doesn't name."""
     return null_profile(df).where("nulls > 0").join(flags.select("column").distinct(), "column", "left_anti")

@@ -662,6 +662,11 @@ def document_sections(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.explode(documents.sections(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
+@query("SELECT count(*) AS documents, count(*) AS passed, count(*) AS n_findings, 2 * count(*) AS n_sections FROM orders")
+def case_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.corpus_totals(documents.process_documents(_cases(spark, sf))).select("documents", "passed", "n_findings", "n_sections")
+
+
 @query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' One' AS segment, c_name || ' ' || c_mktsegment AS name FROM customer")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), "c_mktsegment", F.lit("\t one ")).alias("segment"), F.concat("c_name", F.lit("\u00a0 "), "c_mktsegment").alias("name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from clearbrook.functions.text import guard_formula
-from clearbrook.operators.charts import clip_text
+from clearbrook.operators.charts import clip_text, cross_filter, search_any
 from clearbrook.operators.documents import strip_rtf
 from clearbrook.operators.stats import kind_of
 
@@ -100,6 +100,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     guarded(df).write.csv(path, header=True, escape='"')
 
 
+def write_view(df: DataFrame, path: str, chosen: dict[str, str] | None = None, search: str = "") -> None:
+    """The rows whose columns equal the ``chosen`` values and of which some column holds ``search``, as guarded CSV."""
+    df = cross_filter(df, chosen) if chosen else df
+    write_csv(search_any(df, search) if search else df, path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
