@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_date
 from clearbrook.functions.names import set_aside, unused
-from clearbrook.functions.text import MARK, PART, cut_at, dictionary_replaced, let, terms_at, word_count
+from clearbrook.functions.text import PART, cut_at, dictionary_replaced, let, terms_at, word_count
 from clearbrook.functions.values import DISEASES, DRUGS, MEASUREMENTS, PROCEDURES, TEXT_ABBREVIATIONS, TEXT_MISSPELLINGS
 from clearbrook.operators.privacy import redact_text, spans
 
