@@ -81,6 +81,7 @@ class PieceModel:
         self.unknown, self.unknown_text = self.kinds.index(UNKNOWN), proto.trainer_spec.unk_surface
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.names = {p: str(i) for p, i in self.ids.items()}
+        self.sizes = {p: len(p.encode()).to_bytes(4, "little") for p in self.ids}
         self.costs = {p.piece: -p.score for p in proto.pieces if p.type == NORMAL}
         self.bytes = [0] * 256
         for i, p in enumerate(proto.pieces):
@@ -212,7 +213,7 @@ class PieceModel:
         """ids of a stretch joined by commas, their decoded text, and the normalised bytes that each stands for, as 32-bit numbers."""
         parts = self.split(stretch)
         try:
-            return ",".join([self.names[p] for p in parts]), stretch.replace(SPACE, " "), array("I", [len(p.encode()) for p in parts]).tobytes()
+            return ",".join([self.names[p] for p in parts]), stretch.replace(SPACE, " "), b"".join([self.sizes[p] for p in parts])
         except KeyError:  # bytes or unknown
             ids, sizes = self.coded(stretch)
             return ",".join(map(str, ids)), self._surface(ids), array("I", sizes).tobytes()
