@@ -68,3 +68,11 @@ def test_op10_ranks_toxic_documents_first(spark, documents):
     yes, no = ([r.score for r in seen if (r.doc_id in toxic) == x] for x in (True, False))
     r = random.Random(1)
     assert not yes or sum(r.choice(yes) > r.choice(no) for _ in range(500)) > 400
+
+
+def test_op8_gives_the_verdicts_of_its_contract(spark, tmp_path):
+    urls = {"http://a.com/en/1": "block", "http://example.com/en/71": "allow", "http://example.net/de/1": "allow", "http://a.net/de/8": "allow", "http://example.net/de/81": "block", "http://x.org/es/": "block", "http://x.org/en/": "allow"}
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.QUERIES["op8_url_filters"](spark, str(tmp_path)).collect()}
+    assert [got[i][1] for i in range(len(urls))] == list(urls.values())
+    assert got[2][0] == got[3][0] == "net/de/"
