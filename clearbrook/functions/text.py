@@ -22,9 +22,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unmarked(x: Column) -> Column:
+    """A text without the marks: they are looked for first, as hardly any text holds one and a translation walks through all its characters."""
+    return F.when(x.contains(MARK) | x.contains(PART), F.translate(x, MARK + PART, SWAPPED * 2)).otherwise(x)
+
+
+def holds_any(low: Column, words: list[str]) -> Column:
+    """Whether a text in small letters holds one of some words in small letters, anywhere: a scan of bytes, to spare texts a pattern that can't match without."""
+    found = low.contains(words[0])
+    for w in words[1:]:
+        found = found | low.contains(w)
+    return found
+
+
+def beyond_ascii(x: Column) -> Column:
+    return F.octet_length(x) > F.length(x)
+
+
+def breaks(x: Column) -> Column:
+    """Line breaks of a text."""
+    return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+
 def cut_at(x: Column, pattern: str, *groups: int) -> Column:
     """Pieces of a text: what lies between the matches of a pattern and the matches, in turn; groups follow a match after ``PART``. The pattern runs once."""
-    marked = F.regexp_replace(F.translate(x, MARK + PART, SWAPPED * 2), pattern, f"{MARK}$0{''.join(f'{PART}${g}' for g in groups)}{MARK}")
+    marked = F.regexp_replace(unmarked(x), pattern, f"{MARK}$0{''.join(f'{PART}${g}' for g in groups)}{MARK}")
     return F.split(marked, MARK, -1)
 
 
@@ -132,7 +154,7 @@ def dictionary_replaced(x: Column, table: dict[str, str]) -> Column:
 def terms_at(x: Column, terms: list[str]) -> Column:
     """array of struct(match, position): at every place where some of ``terms`` begins as whole words, ignoring case, the longest one. One pass over the text; terms may overlap."""
     pattern = rf"(?iU)\b(?=({trie({t.lower(): r'\b' for t in terms})}))"
-    marked = F.regexp_replace(F.translate(x, MARK + PART, SWAPPED * 2), pattern, f"{MARK}$1{PART}")
+    marked = F.regexp_replace(unmarked(x), pattern, f"{MARK}$1{PART}")
     none = F.expr("cast(array() as array<struct<match:string,position:int>>)")
 
     def step(a: Column, piece: Column) -> Column:

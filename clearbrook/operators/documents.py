@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_date
-from clearbrook.functions.names import set_aside, unused
-from clearbrook.functions.text import PART, cut_at, dictionary_replaced, let, terms_at, word_count
+from clearbrook.functions.names import set_aside, unused, worked_out
+from clearbrook.functions.text import PART, beyond_ascii, breaks, cut_at, dictionary_replaced, holds_any, let, terms_at, word_count
 from clearbrook.functions.values import DISEASES, DRUGS, MEASUREMENTS, PROCEDURES, TEXT_ABBREVIATIONS, TEXT_MISSPELLINGS
 from clearbrook.operators.privacy import redact_text, spans
 
@@ -59,13 +60,13 @@ def _swap(x: Column, table: dict[str, str]) -> Column:
 def cleaning_step(x: Column, name: str) -> Column:
     return {
         "remove_control_chars": lambda: F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""),
-        "fix_encoding_artifacts": lambda: _swap(x, ARTEFACTS),
-        "normalize_unicode": lambda: F.when(x.rlike(r"[^\x00-\x7f]"), nfkc(x)).otherwise(x),
+        "fix_encoding_artifacts": lambda: F.when(beyond_ascii(x), _swap(x, ARTEFACTS)).otherwise(x),
+        "normalize_unicode": lambda: F.when(beyond_ascii(x), nfkc(F.when(beyond_ascii(x), x))).otherwise(x),
         "normalize_whitespace": lambda: F.regexp_replace(x, r"(?U)[^\S\n]+", " "),
         "normalize_line_breaks": lambda: F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")),
         "remove_empty_lines": lambda: F.regexp_replace(x, r"\n{3,}", "\n\n"),
         "fix_hyphenation": lambda: F.regexp_replace(x, r"(?U)(\w+)-\n(\w+)", "$1$2"),
-        "standardize_punctuation": lambda: _swap(x, PUNCTUATION),
+        "standardize_punctuation": lambda: F.when(beyond_ascii(x), _swap(x, PUNCTUATION)).otherwise(x),
     }[name]()
 
 
@@ -82,7 +83,7 @@ def clean_documents(df: DataFrame, text: str = "text", steps: list[str] | None =
     df = df.withColumn(names[0], F.col(text))
     for i, s in enumerate(steps):
         df = df.withColumn(names[i + 1], cleaning_step(F.col(names[i]), s))
-    held = lambda i, table: F.length(names[i]) - F.length(F.translate(F.col(names[i]), "".join(table), ""))
+    held = lambda i, table: F.when(beyond_ascii(F.col(names[i])), F.length(names[i]) - F.length(F.translate(F.col(names[i]), "".join(table), ""))).otherwise(F.length(names[i]) - F.length(names[i]))
     repaired = {"fix_encoding_artifacts": lambda i: held(i, ARTEFACTS), "standardize_punctuation": lambda i: held(i, PUNCTUATION), "fix_hyphenation": lambda i: F.regexp_count(F.col(names[i]), F.lit(r"(?U)(\w+)-\n(\w+)"))}
     count = lambda i, s: repaired.get(s, lambda i: F.length(names[i]) - F.length(names[i + 1]))(i)
     taken = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), count(i, s))]) if steps else F.expr("cast(map() as map<string,int>)")
@@ -108,16 +109,23 @@ def fix_spelling(x: Column) -> Column:
 
 def measurements(text: Column) -> Column:
     """array of struct(measurement, value, value2, unit, position): value2 is the diastolic pressure."""
-    found = []
+    low, found = F.lower(text), []
     for name, pattern in MEASUREMENTS.items():
         unit = {"temperature": r"\s*(°?\s?[FC])?", "weight": r"\s*(kg|lbs?)?", "glucose": r"\s*(mg/dL|mmol/L)?", "creatinine": r"\s*(mg/dL|umol/L|µmol/L)?"}.get(name, "()")
         two = name == "blood_pressure"
         whole = f"(?i){pattern}" if two else f"(?i){_value_part(pattern)}{unit}"
-        rows = spans(text, whole, 1, 2)
-        found.append(F.transform(rows, _measured(name, two)))
+        rows = F.transform(spans(text, whole, 1, 2), _measured(name, two))
+        found.append(F.when(holds_any(low, measurement_words()[name]), rows).otherwise(F.expr("cast(array() as array<struct<measurement:string,value:double,value2:double,unit:string,position:int>>)")))
     return F.concat(*found)
 
 
+@cache
+def measurement_words() -> dict[str, list[str]]:
+    """What each measurement's pattern begins with, in small letters: a text that holds none of it has no such measurement."""
+    names = {n: re.match(r"\(\?:([^()]+)\)\[", p)[1].split("|") for n, p in MEASUREMENTS.items()}
+    return {n: sorted({re.match(r"\w+", w)[0].lower() for w in words}) for n, words in names.items()}
+
+
 def _measured(name: str, two: bool) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(name).alias("measurement"), s["g1"].try_cast("double").alias("value"), (s["g2"].try_cast("double") if two else F.lit(None).cast("double")).alias("value2"), (F.lit(None).cast("string") if two else F.nullif(s["g2"], F.lit(""))).alias("unit"), s["start"].alias("position"))
 
@@ -192,7 +200,6 @@ def mentions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def sections(text: Column) -> Column:
     """array of struct(section_id, heading, line_start, start, content, word_count); text before the first heading belongs to none. One run of the heading pattern cuts the text, one fold over the pieces adds lines and offsets up."""
     bare = lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
-    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
     none = F.expr("cast(array() as array<struct<heading:string,line_start:int,start:int>>)")
 
     def step(a: Column, x: Column) -> Column:
@@ -218,11 +225,15 @@ def section_at(found: Column, position: Column) -> Column:
 
 
 def _alternatives(words: list[str]) -> str:
-    """The words as one alternation, those with the same two first letters together; words that can match at one place keep their order."""
-    by: dict[str, list[str]] = {}
+    """The words as one alternation, those with the same first letter together and among them those with the same second; words that can match at one place keep their order."""
+    plain = lambda w: w[:2].isalpha() and w[2:3] not in ("?", "*")
+    if not all(map(plain, words)):
+        return "|".join(words)
+    by: dict[str, dict[str, list[str]]] = {}
     for w in words:
-        by.setdefault(w[:2] if w[:2].isalpha() and w[2:3] not in ("?", "*") else "", []).append(w)
-    return "|".join("|".join(ws) if not k else f"{k}(?:{'|'.join(w[2:] for w in ws)})" for k, ws in by.items())
+        by.setdefault(w[0].lower(), {}).setdefault(w[1].lower(), []).append(w[2:])
+    one = lambda ends: ends[0] if len(ends) == 1 else f"(?:{'|'.join(ends)})"
+    return f"(?=[{''.join(by)}])(?:{'|'.join(a + one([b + one(ends) for b, ends in below.items()]) for a, below in by.items())})"
 
 
 def entity_array(text: Column, found: Column) -> Column:
@@ -311,12 +322,13 @@ def process_documents(df: DataFrame, text: str = "text", style: str = "tag") ->
     """
     df = clean_documents(df, text)
     expanded, right = unused(df.columns, "_long", "_right")
-    df = df.withColumn(expanded, dictionary_replaced(F.col("cleaned"), LONG_FORMS)).withColumn(right, dictionary_replaced(F.col(f"{expanded}.text"), TEXT_MISSPELLINGS))
-    df = df.withColumns({"edited": F.col(f"{right}.text"), "n_abbreviations": F.col(f"{expanded}.n"), "n_spelling": F.col(f"{right}.n")}).drop(expanded, right)
+    df = worked_out(df, {expanded: dictionary_replaced(F.col("cleaned"), LONG_FORMS)})
+    df = worked_out(df, {right: dictionary_replaced(F.col(f"{expanded}.text"), TEXT_MISSPELLINGS)})
+    df = worked_out(df, {"edited": F.col(f"{right}.text"), "n_abbreviations": F.col(f"{expanded}.n"), "n_spelling": F.col(f"{right}.n")}).drop(expanded, right)
     df = redact_text(df, "edited", style)
-    df = df.withColumns({"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("edited")), "metrics": metric_array(F.col("edited"))})
-    df = df.withColumn("entities", let(F.col("sections"), lambda sec: entity_array(F.col("edited"), sec)))
-    lines = lambda c: F.length(c) - F.length(F.translate(F.col(c), "\n", "")) + 1
+    df = worked_out(df, {"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("edited")), "metrics": metric_array(F.col("edited"))})
+    df = worked_out(df, {"entities": let(F.col("sections"), lambda sec: entity_array(F.col("edited"), sec))})
+    lines = lambda c: breaks(F.col(c)) + 1
     counts = {"n_findings": F.size("findings"), "n_values": F.size("clinical_values"), "n_sections": F.size("sections"), "n_entities": F.size("entities"), "n_metrics": F.size("metrics")}
     for name, c in (("in", text), ("out", "redacted")):
         counts |= {f"n_chars_{name}": F.length(c), f"n_words_{name}": word_count(F.col(c)), f"n_lines_{name}": lines(c)}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearbrook.functions.names import unused
-from clearbrook.functions.text import PART, cut_at, let
+from clearbrook.functions.names import unused, worked_out
+from clearbrook.functions.text import PART, breaks, cut_at, holds_any, let
 from clearbrook.functions.values import PHI_PATTERNS
 from clearbrook.operators.stats import kind_of
 
@@ -41,6 +42,13 @@ LEAKS = [
 NINE_DIGITS = ("SSN", "AADHAAR", "CREDIT_CARD")
 #: Types whose pattern asks for no digit (or mask); texts without one aren't searched for the others.
 WITHOUT_DIGITS = ("EMAIL", "INSURANCE_ID", "PATIENT_NAME", "PROVIDER_NAME")
+#: What a text in small letters must hold for a type's pattern to match at all; the long numbers also ask for ``LONG_NUMBER``, or a mask.
+NEEDED = {
+    "MRN": ["mrn", "medical record"], "EMAIL": ["@"], "DOB": ["dob", "date of birth"], "DATE_FULL": ["/", "-"], "IP_ADDRESS": ["."], "NPI": ["npi"], "INSURANCE_ID": ["policy", "insurance", "member", "group"],
+    "PATIENT_NAME": ["patient", "name"], "PROVIDER_NAME": ["dr.", "doctor", "physician", "attending", "provider"],
+}
+LONG_NUMBERS, LONG_NUMBER, MASKS = ("SSN", "PHONE", "CREDIT_CARD", "AADHAAR"), r"\d{2}[-.\s]?\d{4}", ["***-**-", "xxx-xx-"]
+LEAKS_NEED = [["***-**-"], None, ["[redacted-"], ["ted-phone]"], ["dob", "date of birth"], ["dob", "date of birth"]]
 
 
 def identifying(name: str, whole_word: bool = False) -> bool:
@@ -97,14 +105,25 @@ def spans(text: Column, pattern: str, *groups: int) -> Column:
 FINDING = "array<struct<start:int,end:int,match:string,type:string,hipaa_category:string,risk_level:string,specificity:int,risk:int>>"
 
 
-def find_identifiers(text: Column) -> Column:
-    """All findings of a text without overlaps, by start: of two that overlap the more specific, longer, riskier one stays."""
+def what_it_holds(text: Column) -> Column:
+    """struct(low, digits, long): a text in small letters, whether it holds digits or a mask, and whether it holds a long number."""
+    return F.struct(F.lower(text).alias("low"), text.rlike("[0-9*]|XXX-|xxx-").alias("digits"), text.rlike(LONG_NUMBER).alias("long"))
+
+
+def find_identifiers(text: Column, seen: Column) -> Column:
+    """All findings of a text without overlaps, by start: of two that overlap the more specific, longer, riskier one stays. ``seen`` is ``what_it_holds``, which spares a text patterns that can't match."""
+
+    def possible(kind: str) -> Column:
+        ask = [] if kind in WITHOUT_DIGITS else [seen["digits"]]
+        if kind in NEEDED:
+            ask.append(holds_any(seen["low"], NEEDED[kind]))
+        if kind in LONG_NUMBERS:
+            ask.append(seen["long"] | holds_any(seen["low"], MASKS) if kind == "SSN" else seen["long"])
+        return reduce(lambda a, b: a & b, ask)
 
     def of(kind: str) -> Column:
         pattern, category, risk = PHI_PATTERNS[kind]
-        found = spans(text, f"(?i){pattern}")
-        if kind not in WITHOUT_DIGITS:
-            found = F.when(text.rlike("[0-9*]|XXX-|xxx-"), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
+        found = F.when(possible(kind), spans(text, f"(?i){pattern}")).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
         if kind in NINE_DIGITS:
             enough = lambda s: F.length(F.regexp_replace(s["match"], r"\D", "")) >= 9
             found = F.filter(found, lambda s: enough(s) | s["match"].rlike("[*Xx]") if kind == "SSN" else enough(s))
@@ -121,11 +140,15 @@ def find_identifiers(text: Column) -> Column:
     return F.when(text.isNull(), F.expr(f"cast(array() as {FINDING})")).otherwise(F.aggregate(ordered, F.expr(f"cast(array() as {FINDING})"), fold))
 
 
+def _found(df: DataFrame, held: str, text: str) -> DataFrame:
+    (seen,) = unused([*df.columns, held], "_seen")
+    return worked_out(worked_out(df, {seen: what_it_holds(F.col(text))}), {held: find_identifiers(F.col(text), F.col(seen))}).drop(seen)
+
+
 def with_findings(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with findings: type, category, risk, offsets, line and a preview of three characters."""
     (held,) = unused(df.columns, "_f")
-    found = df.withColumn(held, find_identifiers(F.col(text)))
-    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    found = _found(df, held, text)
     one = lambda f, line: F.struct(f["type"], f["hipaa_category"], f["risk_level"], f["start"], f["end"], line.alias("line_number"), F.concat(F.substring(f["match"], 1, 3), F.lit("***")).alias("preview"))
 
     def step(a: Column, f: Column) -> Column:
@@ -134,7 +157,7 @@ def with_findings(df: DataFrame, text: str = "text") -> DataFrame:
 
     none = F.expr("cast(array() as array<struct<type:string,hipaa_category:string,risk_level:string,start:int,end:int,line_number:int,preview:string>>)")
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
-    return found.withColumn("findings", F.aggregate(held, start, step, lambda a: a["out"])).drop(held)
+    return worked_out(found, {"findings": F.aggregate(held, start, step, lambda a: a["out"])}).drop(held)
 
 
 def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFrame:
@@ -151,14 +174,16 @@ def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFr
     parts = F.transform("findings", lambda f, i: F.concat(F.substring(F.col(text), before(i) + 1, f["start"] - before(i)), new(with_match(f))))
     rest = F.coalesce(F.element_at(F.col("findings.end"), -1), F.lit(0))
     whole = F.when(F.size("findings") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), F.substring(F.col(text), rest + 1, F.length(F.col(text)))))
-    df = df.withColumn("redacted", F.regexp_replace(whole, r"\*{3}-\*{2}-\d{4}\b", "[REDACTED-SSN]"))
+    df = worked_out(df, {"redacted": F.regexp_replace(whole, r"\*{3}-\*{2}-\d{4}\b", "[REDACTED-SSN]")})
     return with_leaks(df, "redacted").withColumn("compliant", (F.size("findings") > 0) & F.col("passed"))
 
 
 def with_leaks(df: DataFrame, text: str) -> DataFrame:
     """issues: what the six leak patterns still see; passed if that is nothing."""
-    marks = F.array(*[F.when(F.col(text).rlike(f"(?i){p}"), m) for p, m in LEAKS])
-    return df.withColumn("issues", F.filter(marks, lambda m: m.isNotNull())).withColumn("passed", F.size("issues") == 0)
+    seen = lambda p, low, need: F.col(text).rlike(f"(?i){p}") if need is None else F.when(holds_any(low, need), F.col(text).rlike(f"(?i){p}"))
+    low = F.lower(F.col(text))
+    marks = F.array(*[F.when(seen(p, low, need), m) for (p, m), need in zip(LEAKS, LEAKS_NEED, strict=True)])
+    return worked_out(df, {"issues": F.filter(marks, lambda m: m.isNotNull())}).withColumn("passed", F.size("issues") == 0)
 
 
 def finding_summary(df: DataFrame) -> DataFrame:
@@ -178,4 +203,4 @@ def identifier_values(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with names and addresses found in each text, distinct and sorted; for audits, as these identify."""
     (held,) = unused(df.columns, "_f")
     pick = lambda kinds: F.array_sort(F.array_distinct(F.transform(F.filter(held, lambda f: f["type"].isin(*kinds)), lambda f: f["match"])))
-    return df.withColumn(held, find_identifiers(F.col(text))).withColumns({"patient_names": pick(["PATIENT_NAME"]), "provider_names": pick(["PROVIDER_NAME"]), "addresses": pick(["ADDRESS"])}).drop(held)
+    return _found(df, held, text).withColumns({"patient_names": pick(["PATIENT_NAME"]), "provider_names": pick(["PROVIDER_NAME"]), "addresses": pick(["ADDRESS"])}).drop(held)

@@ -123,3 +123,8 @@ def write_derived(df: DataFrame, path: str, columns: list[str] | None = None) ->
     """A derived table with white space collapsed and long cells clipped, columns in the given order."""
     df = df.select(*(columns or df.columns))
     write_csv(df.withColumns({c: clip_text(F.col(c), n) for c, n in CLIPS.items() if c in df.columns}), path)
+
+
+def dealt(df: DataFrame, rows: int = 8192) -> DataFrame:
+    """``df`` dealt over as many tasks as it has times ``rows`` rows. Spark cuts tables by their bytes, and a table of a few bytes a row by its row groups, so work that takes long for each row would lie in few tasks."""
+    return df.repartition(max(1, -(-df.count() // rows)))
