@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearbrook.functions.dates import iso_timestamp
-from clearbrook.functions.text import field_key, let
+from clearbrook.functions.names import unused
+from clearbrook.functions.text import MARK, PART, field_key, holds_any
 from clearbrook.functions.values import MEASUREMENTS
-from clearbrook.operators.documents import ICD10
+from clearbrook.operators.documents import ICD10, measurement_words
 from clearbrook.operators.similarity import sent_if_small
 from clearbrook.sources.staging import staged
 
@@ -38,18 +39,28 @@ STATES = ["stable", "alert", "recovering", "critical", "unstable", "compromised"
 
 def parse_entries(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, entry_id, timestamp, level, source, message, line_number): entries of ``ts [LEVEL] SOURCE: message``, over as many lines as they take; a text without any gives its non-empty lines as RAW."""
-    t = F.col("_t")
-    get = lambda g: F.regexp_extract_all(t, F.lit(ENTRY), F.lit(g))
-    base = df.select(F.col(key), F.col(text).alias("_t")).where("_t is not null").withColumn("_log", t.rlike(rf"(?m)^\s*{HEADER}"))
+    t, e = F.col("_t"), F.col("_e")
+    base = df.select(F.col(key), F.col(text).alias("_t")).where("_t is not null").withColumns({"_log": t.rlike(rf"(?m)^\s*{HEADER}"), "_lines": F.split(t, "\n")})
     # Line numbers: an entry starts on the line of its header.
-    lines = F.split(t, "\n")
-    heads = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda s: s["x"].rlike(rf"^\s*{HEADER}")), lambda s: s["i"])
-    rows = F.arrays_zip(get(1).alias("timestamp"), get(2).alias("level"), get(3).alias("source"), get(4).alias("message"), heads.alias("line_number"))
-    logs = base.where("_log").select(key, F.posexplode(rows).alias("n", "e")).where("e.timestamp is not null")
-    logs = logs.select(key, _entry_id(F.col("n") + 1), "e.timestamp", "e.level", F.trim("e.source").alias("source"), F.trim(F.regexp_replace("e.message", r"\s+", " ")).alias("message"), "e.line_number")
-    raw = base.where("not _log").select(key, F.posexplode(lines).alias("n", "x")).where(F.trim(F.regexp_replace("x", r"\s+", " ")) != "")
-    raw = raw.select(key, _entry_id(F.col("n") + 1), F.lit(None).cast("string").alias("timestamp"), F.lit("RAW").alias("level"), F.lit("unknown").alias("source"), F.trim("x").alias("message"), (F.col("n") + 1).alias("line_number"))
-    return logs.unionByName(raw)
+    heads = F.array_compact(F.transform("_lines", lambda x, i: F.when(x.rlike(rf"^\s*{HEADER}"), i + 1)))
+    # Entries follow each other without a gap, so the pattern runs once and its matches are cut apart at marks, unless the text holds marks itself.
+    cut = F.transform(F.split(F.regexp_replace(t, ENTRY, f"{MARK}$1{PART}$2{PART}$3{PART}$4"), MARK, -1), lambda p: F.split(p, PART, -1))
+    get = lambda g: F.regexp_extract_all(t, F.lit(ENTRY), F.lit(g))
+    apart = F.transform(F.arrays_zip(get(1).alias("a"), get(2).alias("b"), get(3).alias("c"), get(4).alias("d")), lambda r: F.array(r["a"], r["b"], r["c"], r["d"]))
+    found = F.when(t.contains(MARK) | t.contains(PART), apart).otherwise(F.slice(cut, F.lit(2), F.size(cut)))
+    raw = F.transform("_lines", lambda x: F.array(x))
+    rows = base.withColumn("_heads", F.when(F.col("_log"), heads)).select(key, "_log", "_heads", F.posexplode(F.when(F.col("_log"), found).otherwise(raw)).alias("_n", "_e"))
+    rows = rows.where(F.col("_log") | e[0].rlike(r"\S"))
+    said = lambda x, other: F.when(F.col("_log"), x).otherwise(other)
+    return rows.select(
+        key, _entry_id(F.col("_n") + 1), said(e[0], F.lit(None).cast("string")).alias("timestamp"), said(F.get(e, F.lit(1)), F.lit("RAW")).alias("level"), said(F.trim(F.get(e, F.lit(2))), F.lit("unknown")).alias("source"),
+        said(F.trim(_spaced(F.get(e, F.lit(3)))), F.trim(e[0])).alias("message"), said(F.get("_heads", F.col("_n")), F.col("_n") + 1).alias("line_number"),
+    )
+
+
+def _spaced(x: Column) -> Column:
+    """Every run of white space as one space; single spaces aren't touched."""
+    return F.regexp_replace(x, r"\s{2,}|[\t-\r]", " ")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -88,21 +99,23 @@ def inline_fields(message: Column) -> Column:
     parts = F.filter(F.transform(F.split(message, r"\|"), lambda s: F.trim(s)), lambda s: s.rlike(form))
     pairs = F.filter(F.transform(parts, lambda s: F.struct(field_key(F.regexp_extract(s, form, 1)).alias("key"), F.trim(F.regexp_extract(s, form, 2)).alias("value"))), lambda p: (p["key"] != "") & (p["value"] != ""))
     first = F.aggregate(pairs, F.expr("cast(array() as array<struct<key:string,value:string>>)"), lambda a, p: F.when(F.exists(a, lambda q: q["key"] == p["key"]), a).otherwise(F.concat(a, F.array(p))))
-    return F.map_from_entries(first)
+    none = F.expr("cast(map() as map<string,string>)")
+    return F.when(message.isNull(), F.lit(None)).when(message.contains(":"), F.map_from_entries(first)).otherwise(none)
 
 
-def snapshot(message: Column) -> Column:
-    """The first value of each measurement as text, ``systolic/diastolic`` for blood pressure."""
-    pairs = []
+def snapshot(message: Column, low: Column) -> Column:
+    """The first value of each measurement as text, ``systolic/diastolic`` for blood pressure. ``low``: the message in small letters."""
+    pairs, words = [], measurement_words()
     for name, p in MEASUREMENTS.items():
         v = F.regexp_extract(message, f"(?i){p}", 1)
         v = F.concat(v, F.lit("/"), F.regexp_extract(message, f"(?i){p}", 2)) if name == "blood_pressure" else v
-        pairs.append(F.when(message.rlike(f"(?i){p}"), F.struct(F.lit(name).alias("key"), v.alias("value"))))
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+        pairs.append(F.when(holds_any(low, words[name]) & message.rlike(f"(?i){p}"), F.struct(F.lit(name).alias("key"), v.alias("value"))))
+    some = holds_any(low, sorted({w for ws in words.values() for w in ws}))
+    return F.when(some | message.isNull(), F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))).otherwise(F.expr("cast(map() as map<string,string>)"))
 
 
-def event_type(source: Column, message: Column, level: Column) -> Column:
-    s, low, m, lv = F.upper(source), F.lower(source), F.lower(message), F.upper(level)
+def event_type(source: Column, s: Column, low: Column, m: Column, lv: Column) -> Column:
+    """``s`` and ``low``: the source in large and small letters, ``m``: the message in small ones, ``lv``: the level in large ones."""
     return (
         F.when(lv == "RAW", "raw_log_line")
         .when(low.contains("triage") & m.contains("vitals"), "vitals_capture")
@@ -134,40 +147,67 @@ def frequency(x: Column) -> Column:
     return F.coalesce(F.element_at(_map(FREQUENCIES), v), F.when(v.rlike(r"^q\d+h$"), F.concat(F.lit("every_"), F.regexp_extract(v, r"^q(\d+)h$", 1), F.lit("_hours"))), field_key(v))
 
 
-def payload(kind: Column, message: Column, fields: Column, level: Column) -> Column:
-    """What an event says, as a map of text values whose keys depend on its type. Absent values have no key."""
-    summary = F.trim(F.substring_index(message, "|", 1))
-    low, m = F.lower(summary), F.lower(message)
+def _pieces(x: Column, pattern: str, groups: int) -> Column:
+    """An array with each group of a pattern that begins with ``^`` at its own number; of one element where it doesn't match. The pattern runs once."""
+    own = F.array(F.lit(""), *[F.regexp_extract(x, f"(?i){pattern}", g) for g in range(1, groups + 1)])
+    cut = F.split(F.regexp_replace(x, f"(?i){pattern}(?s:.*)", "".join(f"{PART}${g}" for g in range(1, groups + 1))), PART, -1)
+    return F.when(x.contains(PART), F.when(x.rlike(f"(?i){pattern}"), own).otherwise(F.array(F.lit("")))).otherwise(cut)
+
+
+#: The forms of medications and results that several values are taken from.
+DOSE = r"^([A-Z][A-Za-z0-9/\- ]+?)\s+(\d+(?:\.\d+)?)\s*(mcg|mg|g|units?|mL)\s*(PO|IV|IM|SC|SQ|SL|PR|NG|PEG)?\s*(.*)$"
+SCALE, DRIP = r"^([A-Za-z][A-Za-z0-9\- ]+?)\s+sliding scale\s+(ordered|started|initiated)", r"^([A-Z][A-Za-z0-9/\- ]+?)\s+drip\s+(initiated|started)"
+RESULT = r"^([A-Za-z0-9][A-Za-z0-9 .%/+\-]*?)(?:\s+trending\s+(up|down))?:\s*(<)?(\d+(?:\.\d+)?)\s*([A-Za-z%/0-9.]+)?(?:\s*\[([A-Z]+)\])?"
+
+
+def _medication(low: Column) -> tuple[Column, Column, Column]:
+    return low.contains("reconciliation started"), low.contains("discharge medications reconciled"), low.contains("sliding scale")
+
+
+def main_form(kind: Column, summary: Column, low: Column) -> Column:
+    """The pieces of ``RESULT`` of a result and of ``DOSE`` of a medication; null for others."""
+    started, gone, scaled = _medication(low)
+    return F.when((kind == "lab_result") & ~low.contains("critical value"), _pieces(summary, RESULT, 6)).when((kind == "medication_event") & ~started & ~gone & ~scaled, _pieces(summary, DOSE, 5))
+
+
+def other_form(kind: Column, summary: Column, low: Column, main: Column) -> Column:
+    """The pieces of ``SCALE`` of a medication by sliding scale and of ``DRIP`` of one that has no dose; null for others."""
+    started, gone, scaled = _medication(low)
+    return F.when(kind != "medication_event", F.lit(None)).when(scaled, _pieces(summary, SCALE, 2)).when(~started & ~gone & (F.size(main) <= 1), _pieces(summary, DRIP, 2))
+
+
+def payload(kind: Column, message: Column, fields: Column, level: Column, vitals: Column, m: Column, summary: Column, low: Column, main: Column, other: Column) -> Column:
+    """What an event says, as a map of text values whose keys depend on its type. Absent values have no key.
+
+    ``vitals``: the snapshot; ``m`` and ``low``: the message and the ``summary`` in small letters; ``main`` and ``other``: their forms.
+    """
     f = lambda k: F.element_at(fields, k)
     like = lambda words: F.get(F.map_values(F.map_filter(fields, lambda k, _: k.rlike(words))), F.lit(0))
     tests = F.flatten(F.transform(F.filter(F.split(message, r"\|"), lambda s: ~s.contains(":") & s.contains(",")), lambda s: F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")))
-    dose = r"^([A-Z][A-Za-z0-9/\- ]+?)\s+(\d+(?:\.\d+)?)\s*(mcg|mg|g|units?|mL)\s*(PO|IV|IM|SC|SQ|SL|PR|NG|PEG)?\s*(.*)$"
-    scale, drip = r"^([A-Za-z][A-Za-z0-9\- ]+?)\s+sliding scale\s+(ordered|started|initiated)", r"^([A-Z][A-Za-z0-9/\- ]+?)\s+drip\s+(initiated|started)"
     rate = r"(\d+(?:\.\d+)?)\s*(units?/kg/hr|units?/hr|mg/hr|mcg/kg/min)"
-    result = r"^([A-Za-z0-9][A-Za-z0-9 .%/+\-]*?)(?:\s+trending\s+(up|down))?:\s*(<)?(\d+(?:\.\d+)?)\s*([A-Za-z%/0-9.]+)?(?:\s*\[([A-Z]+)\])?"
-    tail = F.lower(F.coalesce(_part(summary, dose, 5), F.lit("")))
-    started, gone, scaled = low.contains("reconciliation started"), low.contains("discharge medications reconciled"), low.contains("sliding scale")
-    dosed = ~started & ~gone & ~scaled & summary.rlike(f"(?i){dose}")
-    dripped = ~started & ~gone & ~scaled & ~dosed & summary.rlike(f"(?i){drip}")
+    of = lambda pieces, g: F.nullif(F.trim(F.get(pieces, F.lit(g))), F.lit(""))
+    tail = F.lower(F.coalesce(of(main, 5), F.lit("")))
+    started, gone, scaled = _medication(low)
+    dosed, dripped = F.size(main) > 1, ~scaled & (F.size(other) > 1)
     action = (
-        F.when(started, "reconciliation_started").when(gone, "discharge_reconciliation").when(scaled, F.coalesce(F.lower(_part(summary, scale, 2)), F.lit("documented")))
+        F.when(started, "reconciliation_started").when(gone, "discharge_reconciliation").when(scaled, F.coalesce(F.lower(of(other, 2)), F.lit("documented")))
         .when(dosed & tail.contains("loading dose"), "loading_dose").when(dosed & tail.contains("administered"), "administered").when(dosed & tail.contains("ordered"), "ordered").when(dosed & tail.contains("initiated"), "initiated")
-        .when(dripped, F.lower(_part(summary, drip, 2))).otherwise("documented")
+        .when(dripped, F.lower(of(other, 2))).otherwise("documented")
     )
     medication = {
         "action": action, "medication_count": F.when(gone, _part(low, r"(\d+)\s+medications?")),
-        "medication_name": F.when(scaled, _part(summary, scale)).when(dosed, _part(summary, dose)).when(dripped, _part(summary, drip)),
-        "regimen": F.when(scaled & summary.rlike(f"(?i){scale}"), "sliding_scale"), "monitoring_frequency": F.when(scaled, frequency(_part(message, r"glucose monitoring\s+([A-Za-z0-9]+)"))),
-        "dose": F.when(dosed, _part(summary, dose, 2)), "dose_unit": F.when(dosed, _part(summary, dose, 3)),
-        "route": F.when(dosed, route(_part(summary, dose, 4))).when(dripped, "intravenous"), "administration_mode": F.when(dripped, "continuous_infusion"),
+        "medication_name": F.when(scaled, of(other, 1)).when(dosed, of(main, 1)).when(dripped, of(other, 1)),
+        "regimen": F.when(scaled & (F.size(other) > 1), "sliding_scale"), "monitoring_frequency": F.when(scaled, frequency(_part(message, r"glucose monitoring\s+([A-Za-z0-9]+)"))),
+        "dose": F.when(dosed, of(main, 2)), "dose_unit": F.when(dosed, of(main, 3)),
+        "route": F.when(dosed, route(of(main, 4))).when(dripped, "intravenous"), "administration_mode": F.when(dripped, "continuous_infusion"),
         "infusion_rate": F.when(dripped, _part(message, rate)), "infusion_rate_unit": F.when(dripped, _part(message, rate, 2)), "weight_kg": F.when(dripped, _part(message, r"Weight:\s*(\d+(?:\.\d+)?)\s*kg")),
     }
     alarm = low.contains("critical value")
     lab = {
         "criticality": F.when(alarm | (F.upper(level) == "ALERT"), "critical"), "status": F.when(alarm, "alerted"),
-        "test_name": F.when(alarm, _part(summary, r"critical value\s*-\s*(.+?)(?:\s+elevated|\s+low|$)")).otherwise(_part(summary, result)),
-        "value": F.when(~alarm, _part(summary, result, 4)), "comparator": F.when(~alarm & _part(summary, result, 3).isNotNull(), "less_than"), "unit": F.when(~alarm, _part(summary, result, 5)),
-        "abnormal_flag": F.when(~alarm, _part(summary, result, 6)), "trend": F.when(~alarm, _part(summary, result, 2)), "reference_range": F.when(~alarm, f("reference")), "previous_value": F.when(~alarm, f("previous")),
+        "test_name": F.when(alarm, _part(summary, r"critical value\s*-\s*(.+?)(?:\s+elevated|\s+low|$)")).otherwise(of(main, 1)),
+        "value": of(main, 4), "comparator": F.when(of(main, 3).isNotNull(), "less_than"), "unit": of(main, 5), "abnormal_flag": of(main, 6), "trend": of(main, 2),
+        "reference_range": F.when(~alarm, f("reference")), "previous_value": F.when(~alarm, f("previous")),
     }
     priority = lambda x: F.when(x.contains("stat"), "stat").otherwise("routine")
     order = {"order_set": summary, "priority": priority(low), "ordered_tests": F.nullif(F.array_join(tests, ", "), F.lit("")), "ordering_provider": f("provider")}
@@ -177,12 +217,12 @@ def payload(kind: Column, message: Column, fields: Column, level: Column) -> Col
         "specialty": _part(summary, r"^([A-Za-z\s\-]+?)\s+consult\s+(?:requested|accepted)"), "status": F.when(low.contains("requested"), "requested").otherwise("accepted"), "reason": f("reason"),
         "requesting_provider": f("requesting_provider"), "consulting_provider": F.coalesce(f("consulting_provider"), f("provider")), "plan": _part(message, r"plan:?\s*(.+?)(?:\||$)"),
     }
-    vital = lambda name: _part(message, MEASUREMENTS[name])
+    vital = lambda name: F.nullif(F.element_at(vitals, name), F.lit(""))
     orientation = _part(message, r"(?:alert|oriented|a&o|aao)[\s,]*(?:x)?(\d)")
     nursing = {
         "event_subtype": F.when(low.contains("assessment"), "assessment").when(low.rlike("monitoring|observation"), "monitoring"), "mental_status": F.concat(F.lit("alert_oriented_x"), orientation),
         "pain_level": _part(message, r"pain\s+(\d{1,2})/10"), "diet": like("diet"), "oxygen_support": like("o2|oxygen"),
-        "bp": F.concat(vital("blood_pressure"), F.lit("/"), _part(message, MEASUREMENTS["blood_pressure"], 2)), **{n: vital(n) for n in MEASUREMENTS if n != "blood_pressure"},
+        "bp": vital("blood_pressure"), **{n: vital(n) for n in MEASUREMENTS if n != "blood_pressure"},
     }
     doing = r"^([A-Za-z0-9\s\-.]+?)\s+(started|completed|began|initiated)"
     state = F.when(summary.rlike(f"(?i){doing}"), F.when(low.rlike("started|begun|initiated"), "in_progress").otherwise("completed"))
@@ -205,22 +245,26 @@ def payload(kind: Column, message: Column, fields: Column, level: Column) -> Col
     return F.map_from_entries(F.filter(chosen, lambda e: e["value"].isNotNull()))
 
 
-def confidence(kind: Column, found: Column, source: Column, fields: Column) -> Column:
-    """struct(required, completeness, extraction, overall, review_needed); null without a payload."""
-    has = lambda names: sum((F.when(F.coalesce(F.element_at(found, n), F.lit("0")).isin("", "0"), 0).otherwise(1) for n in names), F.lit(0))
-    extraction = F.least(F.lit(100), 75 + F.when(source.isNotNull() & (source != "unknown"), 15).otherwise(0) + F.when(F.size(fields) > 0, 10).otherwise(0))
+def _rules() -> Column:
+    """``RULES`` as a map: names of required and of all fields, weights."""
+    words = lambda names: F.array(*map(F.lit, names))
+    rules = [(F.lit(k), F.struct(words(required).alias("required"), words([*required, *optional]).alias("all"), F.array(*map(F.lit, w)).alias("weights"))) for k, (required, optional, w) in RULES.items()]
+    return F.create_map(*[x for pair in rules for x in pair])
 
-    def score(required: list[str], optional: list[str], w: tuple[float, float, float]) -> Column:
-        r, c = 100.0 * has(required) / len(required), 100.0 * has([*required, *optional]) / (len(required) + len(optional))
-        return F.struct(F.round(r, 1).alias("required"), F.round(c, 1).alias("completeness"), extraction.alias("extraction"), F.round(F.least(F.lit(100.0), r * w[0] + c * w[1] + extraction * w[2]), 1).alias("overall"))
 
-    scored = score(*RULES["lab_result"])
-    for k, rule in RULES.items():
-        if k != "lab_result":
-            scored = F.when(kind == k, score(*rule)).otherwise(scored)
-    limit = F.when(kind.isin(*STRICT), 75).otherwise(70)
-    parts = lambda s: F.struct(*[s[n].alias(n) for n in ("required", "completeness", "extraction", "overall")], (s["overall"] < limit).alias("review_needed"))
-    return F.when(F.size(found) > 0, let(scored, parts))
+def with_confidence(e: DataFrame) -> DataFrame:
+    """``e`` with confidence_components, struct(required, completeness, extraction, overall, review_needed), null without a payload; normalization_confidence, review_needed and review_status are taken from it."""
+    kind, found, source = F.col("event_type"), F.col("normalized_payload"), F.col("source")
+    names = unused(e.columns, "_rule", "_known", "_required", "_complete", "_extraction", "_overall")
+    rule, known, required, complete, extraction, overall = map(F.col, names)
+    share = lambda of: 100.0 * F.size(F.array_intersect(known, of)) / F.size(of)
+    e = e.withColumns({names[0]: F.element_at(_rules(), kind), names[1]: F.map_keys(F.map_filter(found, lambda _, v: ~v.isin("", "0"))), names[4]: F.least(F.lit(100), 75 + F.when(source.isNotNull() & (source != "unknown"), 15).otherwise(0) + F.when(F.size("fields") > 0, 10).otherwise(0))})
+    e = e.withColumns({names[2]: share(rule["required"]), names[3]: share(rule["all"])})
+    w = rule["weights"]
+    e = e.withColumn(names[5], F.when(F.size(found) > 0, F.round(F.least(F.lit(100.0), required * w[0] + complete * w[1] + extraction * w[2]), 1)))
+    low = overall < F.when(kind.isin(*STRICT), 75).otherwise(70)
+    parts = F.struct(F.round(required, 1).alias("required"), F.round(complete, 1).alias("completeness"), extraction.alias("extraction"), overall.alias("overall"), low.alias("review_needed"))
+    return e.withColumns({"confidence_components": F.when(F.size(found) > 0, parts), "normalization_confidence": overall, "review_needed": low, "review_status": F.when(low, "pending_review").when(overall.isNotNull(), "approved")}).drop(*names)
 
 
 def parse_confidence(timestamp: Column, level: Column, source: Column, kind: Column, fields: Column, vitals: Column, found: Column) -> Column:
@@ -237,14 +281,17 @@ def normalise_logs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def normalise_entries(e: DataFrame) -> DataFrame:
     """The columns of ``normalise_logs`` for parsed entries; works on a stream as well."""
-    m = F.col("message")
-    e = e.withColumns({"timestamp_iso": iso_timestamp(F.col("timestamp")), "event_type": event_type(F.col("source"), m, F.col("level")), "fields": inline_fields(m), "clinical_snapshot": snapshot(m)})
-    e = e.withColumn("summary", F.when(F.col("level") == "RAW", F.substring(m, 1, 120)).otherwise(F.trim(F.substring_index(m, "|", 1))))
-    e = e.withColumn("normalized_payload", payload(F.col("event_type"), m, F.col("fields"), F.col("level")))
+    m, source, kind = F.col("message"), F.col("source"), F.col("event_type")
+    # What several expressions read is a column of its own for a while, so that it is worked out once a row.
+    names = unused(e.columns, "_large", "_small", "_low", "_level", "_first", "_said", "_main", "_other")
+    large, small, low, level, first, said, main, other = map(F.col, names)
+    e = e.withColumns(dict(zip(names, [F.upper("source"), F.lower("source"), F.lower("message"), F.upper("level"), F.trim(F.substring_index(m, "|", 1))])))
+    e = e.withColumns({"timestamp_iso": iso_timestamp(F.col("timestamp")), "event_type": event_type(source, large, small, low, level), "fields": inline_fields(m), "clinical_snapshot": snapshot(m, low), names[5]: F.lower(first)})
+    e = e.withColumns({"summary": F.when(F.col("level") == "RAW", F.substring(m, 1, 120)).otherwise(first), names[6]: main_form(kind, first, said)}).withColumn(names[7], other_form(kind, first, said, main))
+    e = e.withColumn("normalized_payload", payload(kind, m, F.col("fields"), F.col("level"), F.col("clinical_snapshot"), low, first, said, main, other)).drop(*names)
     unique = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(m, F.lit(p), F.lit(0))))
     e = e.withColumns({"icd10": unique(ICD10), "cpt": unique(r"\b\d{5}\b"), "parse_confidence": parse_confidence(F.col("timestamp"), F.col("level"), F.col("source"), F.col("event_type"), F.col("fields"), F.col("clinical_snapshot"), F.col("normalized_payload"))})
-    e = e.withColumn("confidence_components", confidence(F.col("event_type"), F.col("normalized_payload"), F.col("source"), F.col("fields")))
-    return e.withColumns({"normalization_confidence": F.col("confidence_components.overall"), "review_needed": F.col("confidence_components.review_needed"), "review_status": F.when(F.col("confidence_components.review_needed"), "pending_review").when(F.col("confidence_components").isNotNull(), "approved")})
+    return with_confidence(e)
 
 
 def log_quality(events: DataFrame, key: str) -> DataFrame:
