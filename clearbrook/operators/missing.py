@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from clearbrook.functions.names import unused
 from clearbrook.operators.stats import ColumnStats, classify, column_stats, exact_quantiles, kind_of, most_frequent
 
+#: Rows that a forest is fitted on lie in tasks of so many: a row is held with its weight in every tree and read again for each level, whatever few bytes it has in the table.
+FOREST_ROWS = 32_768
 METHODS = {"auto": "auto", "fill_median": "median", "median": "median", "fill_mode": "mode", "mode": "mode", "mean": "mean", "remove": "remove", "drop": "remove"}
 
 
@@ -91,7 +93,7 @@ def model_impute(df: DataFrame, target: str, trees: int = 80, seed: int = 42, le
     df = nan_to_null(df)
     whole = df.schema[target].dataType
     known = df.where(F.col(target).isNotNull())
-    if known.count() < least:
+    if (rows := known.count()) < least:
         return _fill_one(df, target)
     features, work = [], df
     out, vector, label = unused(df.columns, "_p", "_features", "_label")
@@ -106,12 +108,15 @@ def model_impute(df: DataFrame, target: str, trees: int = 80, seed: int = 42, le
             work = work.withColumn(n, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
             features.append(n)
     work = VectorAssembler(inputCols=features, outputCol=vector).transform(work)
+    fitted = work.where(F.col(target).isNotNull())
+    if rows > FOREST_ROWS:
+        fitted = fitted.repartition(-(-rows // FOREST_ROWS))
     if kind_of(df, target) == "number":
-        model = RandomForestRegressor(featuresCol=vector, labelCol=target, predictionCol=out, numTrees=trees, seed=seed).fit(work.where(F.col(target).isNotNull()))
+        model = RandomForestRegressor(featuresCol=vector, labelCol=target, predictionCol=out, numTrees=trees, seed=seed).fit(fitted)
         filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.col(out).cast(whole)))
     else:
         labels = StringIndexer(inputCol=target, outputCol=label).fit(known)
-        model = RandomForestClassifier(featuresCol=vector, labelCol=label, predictionCol=out, numTrees=trees, seed=seed, maxBins=256).fit(labels.transform(work.where(F.col(target).isNotNull())))
+        model = RandomForestClassifier(featuresCol=vector, labelCol=label, predictionCol=out, numTrees=trees, seed=seed, maxBins=256).fit(labels.transform(fitted))
         names = F.array(*[F.lit(x) for x in labels.labels])
         filled = model.transform(work).withColumn(target, F.coalesce(F.col(target), F.get(names, F.col(out).cast("int"))))
     return filled.select(*df.columns)
