@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,21 @@ DOCUMENT_FORMATS = ["yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy"]
 
 
 def parse_date(x: Column, formats: list[str] | None = None) -> Column:
-    """Timestamp of the first format that fits; null for others and for ``Unknown``."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(x), F.lit(f)) for f in formats or FORMATS])
+    """Timestamp of the first format that fits; null for others and for ``Unknown``.
+
+    A format that doesn't fit costs an exception for each row, so it is spared where a text lacks its separators, or two numbers.
+    """
+    t = F.trim(x)
+
+    def tried(f: str) -> Column:
+        parsed, fits = F.try_to_timestamp(t, F.lit(f)), [t.contains(c) for c in "/-:" if c in f]
+        if re.search(r"[yMd]\W+[yMd]", re.sub("M{3,}", "", f)):  # names of months aside
+            fits.append(t.rlike(r"\p{Nd}\P{Nd}+\p{Nd}"))
+        for one in fits:
+            parsed = F.when(one, parsed)
+        return parsed
+
+    return F.coalesce(*[tried(f) for f in formats or FORMATS])
 
 
 def date_parts(x: Column, name: str, missing: int | None = -1) -> dict[str, Column]:
