@@ -23,12 +23,12 @@ from clearbrook.llm.shared import load, map_batches, schema_with, set_aside
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: A worker remembers stretches until they have so many ids: about 100 MB.
-REMEMBERED = 1_500_000
+#: A worker remembers stretches until they have so many ids, then forgets all.
+REMEMBERED = 800_000
 #: Stretches of up to so many characters merge side by side. Above, a stretch is cut where nothing merges, and what is longer still merges by a heap instead of repeated scans.
 SCAN = 48
 #: Texts are encoded together up to so many characters, and so many of their stretches at once.
-TOGETHER, BLOCK = 1_000_000, 200_000
+TOGETHER, BLOCK = 300_000, 50_000
 NO_PIECE = float("inf")
 
 
