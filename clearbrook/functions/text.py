@@ -142,7 +142,8 @@ def dictionary_replaced(x: Column, table: dict[str, str]) -> Column:
     if not _independent(table):
         return fold_replaced(x, table, True)
     words = F.create_map(*[F.lit(v) for kv in table.items() for v in (kv[0].lower(), kv[1])])
-    pattern = r"(?iU)\b" + trie({k.lower(): r"\b" + _unlike(k, v) for k, v in table.items()})
+    firsts = "".join(sorted({k[0].lower() for k in table}))  # spares the ends of words and what begins like none
+    pattern = rf"(?iU)\b(?=[{firsts}])" + trie({k.lower(): r"\b" + _unlike(k, v) for k, v in table.items()})
 
     def of(pieces: Column) -> Column:
         swapped = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at(words, F.lower(F.upper(p))), p)).otherwise(p))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,9 @@ METRICS = {"BMI": (r"(?i)BMI\D*(\d+\.?\d*)\s*(\d+\.?\d*)?\s*(kg/m2|kg/m\^2)?", "
 DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{4})\b"
 #: A heading line: marked by #, in capitals, in capitals with a title after a colon, or numbered. Its last group is the heading.
 HEADING = r"(?md)^[^\S\n]*(?:#{1,6}[^\S\n]+(.+?)|([A-Z][A-Z&/\-[^\S\n]]{3,}):|([A-Z][A-Z&/\-[^\S\n]]{2,}[A-Z&/\-])|[A-Z][A-Z&/\-[^\S\n]]{3,}:[^\S\n]*(.+?)|\d+\.[^\S\n]+([A-Z].+?))[^\S\n]*$"
+#: Control characters one by one, which Java looks up in a table, unlike ranges; and what an ASCII text with white space to be normalised holds.
+CONTROL = "[" + "".join(f"\\x{i:02x}" for i in [*range(9), 11, 12, *range(14, 32), *range(127, 160)]) + "]"
+UNEVEN = ["  ", "\t", "\r", "\x0b", "\x0c"]
 CLEANING = ["remove_control_chars", "fix_encoding_artifacts", "normalize_unicode", "normalize_whitespace", "normalize_line_breaks", "remove_empty_lines", "fix_hyphenation", "standardize_punctuation"]
 
 
@@ -59,13 +62,13 @@ def _swap(x: Column, table: dict[str, str]) -> Column:
 
 def cleaning_step(x: Column, name: str) -> Column:
     return {
-        "remove_control_chars": lambda: F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""),
+        "remove_control_chars": lambda: F.regexp_replace(x, CONTROL, ""),
         "fix_encoding_artifacts": lambda: F.when(beyond_ascii(x), _swap(x, ARTEFACTS)).otherwise(x),
         "normalize_unicode": lambda: F.when(beyond_ascii(x), nfkc(F.when(beyond_ascii(x), x))).otherwise(x),
-        "normalize_whitespace": lambda: F.regexp_replace(x, r"(?U)[^\S\n]+", " "),
+        "normalize_whitespace": lambda: F.when(beyond_ascii(x) | holds_any(x, UNEVEN), F.regexp_replace(x, r"(?U)[^\S\n]+", " ")).otherwise(x),
         "normalize_line_breaks": lambda: F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")),
-        "remove_empty_lines": lambda: F.regexp_replace(x, r"\n{3,}", "\n\n"),
-        "fix_hyphenation": lambda: F.regexp_replace(x, r"(?U)(\w+)-\n(\w+)", "$1$2"),
+        "remove_empty_lines": lambda: F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x),
+        "fix_hyphenation": lambda: F.when(x.contains("-\n"), F.regexp_replace(x, r"(?U)(\w+)-\n(\w+)", "$1$2")).otherwise(x),
         "standardize_punctuation": lambda: F.when(beyond_ascii(x), _swap(x, PUNCTUATION)).otherwise(x),
     }[name]()
 
@@ -109,14 +112,22 @@ def fix_spelling(x: Column) -> Column:
 
 def measurements(text: Column) -> Column:
     """array of struct(measurement, value, value2, unit, position): value2 is the diastolic pressure."""
-    low, found = F.lower(text), []
-    for name, pattern in MEASUREMENTS.items():
-        unit = {"temperature": r"\s*(°?\s?[FC])?", "weight": r"\s*(kg|lbs?)?", "glucose": r"\s*(mg/dL|mmol/L)?", "creatinine": r"\s*(mg/dL|umol/L|µmol/L)?"}.get(name, "()")
-        two = name == "blood_pressure"
-        whole = f"(?i){pattern}" if two else f"(?i){_value_part(pattern)}{unit}"
-        rows = F.transform(spans(text, whole, 1, 2), _measured(name, two))
-        found.append(F.when(holds_any(low, measurement_words()[name]), rows).otherwise(F.expr("cast(array() as array<struct<measurement:string,value:double,value2:double,unit:string,position:int>>)")))
-    return F.concat(*found)
+    none = F.expr("cast(array() as array<struct<measurement:string,value:double,value2:double,unit:string,position:int>>)")
+    rows = {n: F.transform(spans(text, p, 1, 2), _measured(n, n == "blood_pressure")) for n, p in measurement_patterns().items()}
+    return let(F.lower(text), lambda low: F.concat(*[F.when(holds_any(low, measurement_words()[n]), r).otherwise(none) for n, r in rows.items()]))
+
+
+def measurement_count(text: Column) -> Column:
+    """The size of ``measurements``, without what they say."""
+    counts = {n: F.regexp_count(text, F.lit(p)) for n, p in measurement_patterns().items()}
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a + b, [F.when(holds_any(low, measurement_words()[n]), c).otherwise(0) for n, c in counts.items()]))
+
+
+@cache
+def measurement_patterns() -> dict[str, str]:
+    """The pattern of each measurement with its unit: group 1 is the value, group 2 the unit or the diastolic pressure."""
+    units = {"temperature": r"\s*(°?\s?[FC])?", "weight": r"\s*(kg|lbs?)?", "glucose": r"\s*(mg/dL|mmol/L)?", "creatinine": r"\s*(mg/dL|umol/L|µmol/L)?"}
+    return {n: f"(?i){p}" if n == "blood_pressure" else f"(?i){_value_part(p)}{units.get(n, '()')}" for n, p in MEASUREMENTS.items()}
 
 
 @cache
@@ -163,11 +174,11 @@ def standard_unit(measurement: Column, value: Column, unit: Column) -> Column:
 
 
 def icd10_codes(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(ICD10), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(ICD10), F.lit(0))))
 
 
 def cpt_codes(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(CPT), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(CPT), F.lit(1))))
 
 
 def known_terms() -> dict[str, list[tuple[str, int]]]:
@@ -219,6 +230,11 @@ def sections(text: Column) -> Column:
     return let(cut_at(text, HEADING, 1, 2, 3, 4, 5), of)
 
 
+def section_count(text: Column) -> Column:
+    """The size of ``sections``."""
+    return F.regexp_count(text, F.lit(HEADING))
+
+
 def section_at(found: Column, position: Column) -> Column:
     """The last section that starts at or before a position."""
     return F.try_element_at(F.filter(found, lambda s: s["start"] <= position), F.lit(-1))
@@ -236,6 +252,17 @@ def _alternatives(words: list[str]) -> str:
     return f"(?=[{''.join(by)}])(?:{'|'.join(a + one([b + one(ends) for b, ends in below.items()]) for a, below in by.items())})"
 
 
+def _named(text: Column, kind: str) -> Column:
+    """The places of a text that name an entity of a kind."""
+    return F.filter(spans(text, rf"(?i)\b(?:{_alternatives(ENTITY_WORDS[kind])})\b"), lambda s: F.length(F.trim(s["match"])) >= 3)
+
+
+def entity_count(text: Column) -> Column:
+    """The size of ``entity_array``, for which no section is needed."""
+    which = lambda k: lambda s: F.struct(F.lit(k).alias("k"), F.lower(s["match"]).alias("l"), F.floor(s["start"] / 200).alias("b"))
+    return F.size(F.array_distinct(F.concat(*[F.transform(_named(text, k), which(k)) for k in ENTITY_WORDS])))
+
+
 def entity_array(text: Column, found: Column) -> Column:
     """array of struct(type, text, start, section_id, section, confidence, context) of a text and its sections: diseases, drugs and procedures; one for each name and 200 characters. Confidence is 0.95 where the section confirms the type, else 0.80."""
 
@@ -253,7 +280,7 @@ def entity_array(text: Column, found: Column) -> Column:
         return let(section_at(found, s["start"]), at)
 
     of = lambda k: lambda s: entity(k, s)
-    every = F.concat(*[F.transform(F.filter(spans(text, rf"(?i)\b(?:{_alternatives(w)})\b"), lambda s: F.length(F.trim(s["match"])) >= 3), of(k)) for k, w in ENTITY_WORDS.items()])
+    every = F.concat(*[F.transform(_named(text, k), of(k)) for k in ENTITY_WORDS])
     same = lambda a, b: F.coalesce((a["type"] == b["type"]) & (a["l"] == b["l"]) & (a["b"] == b["b"]), F.lit(False))
     first = lambda arr: F.filter(arr, lambda e, i: (i == 0) | ~same(e, F.get(arr, i - 1)))
     return F.transform(let(F.array_sort(every), first), lambda e: F.struct(*[e[n].alias(n) for n in ("type", "text", "start", "section_id", "section", "confidence", "context")]))
@@ -288,6 +315,11 @@ def metric_array(text: Column) -> Column:
     return F.concat(*[F.transform(spans(text, p, 1, 2), _range_of(n, u)) for n, (p, u) in METRICS.items()])
 
 
+def metric_count(text: Column) -> Column:
+    """The size of ``metric_array``."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for p, _ in METRICS.values()])
+
+
 def metrics_table(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, metric, value_low, value_high, unit, raw_reference, section_id, section) of ``metric_array``."""
     placed = let(sections(F.col(text)), lambda sec: F.transform(metric_array(F.col(text)), lambda m: F.struct(m.alias("m"), section_at(sec, m["start"]).alias("at"))))
@@ -314,25 +346,38 @@ def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").otherwise("D")
 
 
-def process_documents(df: DataFrame, text: str = "text", style: str = "tag") -> DataFrame:
+#: The counts of ``process_documents``, in its order.
+COUNTS = [f"n_{n}" for n in ("abbreviations", "spelling", "findings", "values", "sections", "entities", "metrics", *[f"{n}_{side}" for side in ("in", "out") for n in ("chars", "words", "lines")])]
+
+
+def process_documents(df: DataFrame, text: str = "text", style: str = "tag", columns: list[str] | None = None) -> DataFrame:
     """``df`` cleaned, expanded, spelled right, redacted and read: one row for each document, no shuffle.
 
     Measurements, codes, sections, entities and metrics come from the text before redaction. n_... count what was
     found and changed; quality_report adds scores. Null texts have nulls and empty lists; clashing columns are replaced.
+    ``columns``: the outputs that are wanted, all if there are none named. What none of them needs isn't worked out, and
+    things of which only the number is wanted are counted without being described.
     """
+    given = set_aside(df, CLEANED).columns
+    want = lambda *names: columns is None or not set(names).isdisjoint(columns)
     df = clean_documents(df, text)
     expanded, right = unused(df.columns, "_long", "_right")
     df = worked_out(df, {expanded: dictionary_replaced(F.col("cleaned"), LONG_FORMS)})
     df = worked_out(df, {right: dictionary_replaced(F.col(f"{expanded}.text"), TEXT_MISSPELLINGS)})
     df = worked_out(df, {"edited": F.col(f"{right}.text"), "n_abbreviations": F.col(f"{expanded}.n"), "n_spelling": F.col(f"{right}.n")}).drop(expanded, right)
     df = redact_text(df, "edited", style)
-    df = worked_out(df, {"clinical_values": measurements(F.col("edited")), "icd10": icd10_codes(F.col("edited")), "cpt": cpt_codes(F.col("edited")), "sections": sections(F.col("edited")), "metrics": metric_array(F.col("edited"))})
-    df = worked_out(df, {"entities": let(F.col("sections"), lambda sec: entity_array(F.col("edited"), sec))})
-    lines = lambda c: breaks(F.col(c)) + 1
-    counts = {"n_findings": F.size("findings"), "n_values": F.size("clinical_values"), "n_sections": F.size("sections"), "n_entities": F.size("entities"), "n_metrics": F.size("metrics")}
+    edited = F.col("edited")
+    if want("sections", "entities"):
+        df = worked_out(df, {"sections": sections(edited)})
+    found = {"clinical_values": measurements(edited), "icd10": icd10_codes(edited), "cpt": cpt_codes(edited), "metrics": metric_array(edited), "entities": let(F.col("sections"), lambda sec: entity_array(edited, sec))}
+    found = {n: c for n, c in found.items() if want(n)}
+    df = worked_out(df, found) if found else df
+    number = {"values": ("clinical_values", measurement_count), "sections": ("sections", section_count), "entities": ("entities", entity_count), "metrics": ("metrics", metric_count)}
+    counts = {"n_findings": F.size("findings")} | {f"n_{n}": F.size(c) if want(c) else count(edited) for n, (c, count) in number.items()}
     for name, c in (("in", text), ("out", "redacted")):
-        counts |= {f"n_chars_{name}": F.length(c), f"n_words_{name}": word_count(F.col(c)), f"n_lines_{name}": lines(c)}
-    return df.withColumns(counts)
+        counts |= {f"n_chars_{name}": F.length(c), f"n_words_{name}": word_count(F.col(c)), f"n_lines_{name}": breaks(F.col(c)) + 1}
+    df = df.withColumns({n: c for n, c in counts.items() if want(n)})
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in given or want(c)])
 
 
 def corpus_totals(processed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,7 @@ RISK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 SPECIFIC = {"MRN": 5, "INSURANCE_ID": 5, "NPI": 5, "DOB": 5, "PATIENT_NAME": 4, "PROVIDER_NAME": 4, "SSN": 3, "AADHAAR": 3, "CREDIT_CARD": 3, "PHONE": 2, "EMAIL": 2, "DATE_FULL": 1}
 LEAKS = [
     (r"\*{3}-\*{2}-\d{4}\b", "CRITICAL: Partial SSN still visible"),
-    (r"(?<![A-Za-z0-9-])(?:\d{3}-\d{2}-\d{4}|\d{9})(?![A-Za-z0-9-])", "CRITICAL: Unredacted SSN still visible"),
+    (r"(?=\d{3}[-\d])(?<![A-Za-z0-9-])(?:\d{3}-\d{2}-\d{4}|\d{9})(?![A-Za-z0-9-])", "CRITICAL: Unredacted SSN still visible"),
     (r"\[REDACTED-[^\]]+\]-[^\s\[]+", "CRITICAL: Malformed redaction marker detected"),
     (r"TED-PHONE\]", "CRITICAL: Truncated redaction marker detected"),
     (r"\b(?:DOB|Date of Birth)[:\s]*\d{4}[-/]\d{2}[-/]\d{2}\b", "HIGH: Date of birth still visible"),
@@ -48,6 +49,9 @@ NEEDED = {
     "PATIENT_NAME": ["patient", "name"], "PROVIDER_NAME": ["dr.", "doctor", "physician", "attending", "provider"],
 }
 LONG_NUMBERS, LONG_NUMBER, MASKS = ("SSN", "PHONE", "CREDIT_CARD", "AADHAAR"), r"\d{2}[-.\s]?\d{4}", ["***-**-", "xxx-xx-"]
+#: The mail pattern, tried only where its first part can begin: at the end of the last match, or where no character of it is before.
+_LOCAL = "[" + string.ascii_letters + string.digits + r"._%+\-]"
+QUICK = {"EMAIL": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}"}
 LEAKS_NEED = [["***-**-"], None, ["[redacted-"], ["ted-phone]"], ["dob", "date of birth"], ["dob", "date of birth"]]
 
 
@@ -123,7 +127,7 @@ def find_identifiers(text: Column, seen: Column) -> Column:
 
     def of(kind: str) -> Column:
         pattern, category, risk = PHI_PATTERNS[kind]
-        found = F.when(possible(kind), spans(text, f"(?i){pattern}")).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
+        found = F.when(possible(kind), spans(text, f"(?i){QUICK.get(kind, pattern)}")).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
         if kind in NINE_DIGITS:
             enough = lambda s: F.length(F.regexp_replace(s["match"], r"\D", "")) >= 9
             found = F.filter(found, lambda s: enough(s) | s["match"].rlike("[*Xx]") if kind == "SSN" else enough(s))
@@ -174,16 +178,16 @@ def redact_text(df: DataFrame, text: str = "text", style: str = "tag") -> DataFr
     parts = F.transform("findings", lambda f, i: F.concat(F.substring(F.col(text), before(i) + 1, f["start"] - before(i)), new(with_match(f))))
     rest = F.coalesce(F.element_at(F.col("findings.end"), -1), F.lit(0))
     whole = F.when(F.size("findings") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), F.substring(F.col(text), rest + 1, F.length(F.col(text)))))
-    df = worked_out(df, {"redacted": F.regexp_replace(whole, r"\*{3}-\*{2}-\d{4}\b", "[REDACTED-SSN]")})
+    masked = lambda w: F.when(w.contains("***-**-"), F.regexp_replace(w, r"\*{3}-\*{2}-\d{4}\b", "[REDACTED-SSN]")).otherwise(w)
+    df = worked_out(df, {"redacted": let(whole, masked)})
     return with_leaks(df, "redacted").withColumn("compliant", (F.size("findings") > 0) & F.col("passed"))
 
 
 def with_leaks(df: DataFrame, text: str) -> DataFrame:
     """issues: what the six leak patterns still see; passed if that is nothing."""
     seen = lambda p, low, need: F.col(text).rlike(f"(?i){p}") if need is None else F.when(holds_any(low, need), F.col(text).rlike(f"(?i){p}"))
-    low = F.lower(F.col(text))
-    marks = F.array(*[F.when(seen(p, low, need), m) for (p, m), need in zip(LEAKS, LEAKS_NEED, strict=True)])
-    return worked_out(df, {"issues": F.filter(marks, lambda m: m.isNotNull())}).withColumn("passed", F.size("issues") == 0)
+    marks = lambda low: F.array(*[F.when(seen(p, low, need), m) for (p, m), need in zip(LEAKS, LEAKS_NEED, strict=True)])
+    return worked_out(df, {"issues": F.filter(let(F.lower(F.col(text)), marks), lambda m: m.isNotNull())}).withColumn("passed", F.size("issues") == 0)
 
 
 def finding_summary(df: DataFrame) -> DataFrame:
