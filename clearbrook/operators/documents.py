@@ -125,9 +125,10 @@ def measurement_count(text: Column) -> Column:
 
 @cache
 def measurement_patterns() -> dict[str, str]:
-    """The pattern of each measurement with its unit: group 1 is the value, group 2 the unit or the diastolic pressure."""
+    """The pattern of each measurement with its unit: group 1 is the value, group 2 the unit or the diastolic pressure. It is tried only at letters that one of its words begins with."""
     units = {"temperature": r"\s*(°?\s?[FC])?", "weight": r"\s*(kg|lbs?)?", "glucose": r"\s*(mg/dL|mmol/L)?", "creatinine": r"\s*(mg/dL|umol/L|µmol/L)?"}
-    return {n: f"(?i){p}" if n == "blood_pressure" else f"(?i){_value_part(p)}{units.get(n, '()')}" for n, p in MEASUREMENTS.items()}
+    first = {n: "".join(sorted({w[0] for w in words})) for n, words in measurement_words().items()}
+    return {n: f"(?i)(?=[{first[n]}])" + (p if n == "blood_pressure" else f"{_value_part(p)}{units.get(n, '()')}") for n, p in MEASUREMENTS.items()}
 
 
 @cache
@@ -174,7 +175,7 @@ def standard_unit(measurement: Column, value: Column, unit: Column) -> Column:
 
 
 def icd10_codes(text: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(ICD10), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=[A-Z]\d){ICD10}"), F.lit(0))))
 
 
 def cpt_codes(text: Column) -> Column:
@@ -254,13 +255,24 @@ def _alternatives(words: list[str]) -> str:
 
 def _named(text: Column, kind: str) -> Column:
     """The places of a text that name an entity of a kind."""
-    return F.filter(spans(text, rf"(?i)\b(?:{_alternatives(ENTITY_WORDS[kind])})\b"), lambda s: F.length(F.trim(s["match"])) >= 3)
+    return F.filter(spans(text, _entity_pattern(kind)), lambda s: F.length(F.trim(s["match"])) >= 3)
+
+
+@cache
+def _entity_pattern(kind: str) -> str:
+    return rf"(?i)\b(?:{_alternatives(ENTITY_WORDS[kind])})\b"
 
 
 def entity_count(text: Column) -> Column:
-    """The size of ``entity_array``, for which no section is needed."""
-    which = lambda k: lambda s: F.struct(F.lit(k).alias("k"), F.lower(s["match"]).alias("l"), F.floor(s["start"] / 200).alias("b"))
-    return F.size(F.array_distinct(F.concat(*[F.transform(_named(text, k), which(k)) for k in ENTITY_WORDS])))
+    """The size of ``entity_array``, for which no section is needed, and places only where a text has a name more than once."""
+    place = lambda s: F.struct(F.lower(s["match"]).alias("l"), F.floor(s["start"] / 200).alias("b"))
+
+    def of(kind: str) -> Column:
+        names = F.transform(F.filter(F.regexp_extract_all(text, F.lit(_entity_pattern(kind)), F.lit(0)), lambda m: F.length(F.trim(m)) >= 3), lambda m: F.lower(m))
+        placed = F.size(F.array_distinct(F.transform(_named(text, kind), place)))
+        return let(names, lambda m: F.when(F.size(F.array_distinct(m)) == F.size(m), F.size(m)).otherwise(placed))
+
+    return reduce(lambda a, b: a + b, map(of, ENTITY_WORDS))
 
 
 def entity_array(text: Column, found: Column) -> Column:

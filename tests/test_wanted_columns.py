@@ -72,3 +72,13 @@ def test_mails_are_tried_only_where_they_can_begin(spark):
 def test_a_text_is_put_in_small_letters_once(spark):
     df = texts(spark).select(documents.measurements(F.col("text")).alias("m"))
     assert plan_of(spark, df).count("lower(text") == 1
+
+
+def test_numbers_of_entities_and_measurements_equal_their_lists(spark):
+    near, far = "Aspirin, aspirin and ASPIRIN", "aspirin" + " word" * 60 + " aspirin, biopsy" + " word" * 60 + " biopsy and mri"
+    df = spark.createDataFrame([(near,), (far,), (near + far,), ("Hypertension",), ("Blood Sugar: 110, PULSE 70, o2 sat 97, wt 80",), ("",), (None,)], "text string")
+    x = F.col("text")
+    found = df.select(documents.entity_count(x).alias("n"), F.size(documents.entity_array(x, documents.sections(x))).alias("m"), documents.measurement_count(x).alias("v"), F.size(documents.measurements(x)).alias("w")).collect()
+    assert [r.n for r in found] == [r.m for r in found]
+    assert [r.n for r in found] == [1, 5, 5, 1, 0, 0, 0]
+    assert [r.v for r in found] == [r.w for r in found] == [0, 0, 0, 0, 4, 0, 0]
